@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe_codec, token_counts
+from gridloom.llm import bpe_codec, near_dup, token_counts
 from gridloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,10 +33,15 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op5_token_counts": op5_token_counts,
         "op8_byte_bpe": op8_byte_bpe,
+        "op10_near_dup": op10_near_dup,
     }
 
 
