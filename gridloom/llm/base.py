@@ -66,3 +66,10 @@ def kept_schema(df: DataFrame, keep: list[str], *more: tuple[str, str]) -> str:
     """A DDL schema of the kept columns and the new ones."""
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     return ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"`{c}` {t}" for c, t in more])
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left with right's other columns, where the keys are equal or both null."""
+    right = right.withColumnsRenamed({k: f"right_{k}" for k in keys})
+    on = [left[k].eqNullSafe(right[f"right_{k}"]) for k in keys]
+    return left.join(right, on, how).drop(*[f"right_{k}" for k in keys])
