@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe_codec, mixing, near_dup, token_counts
+from gridloom.llm import bpe_codec, mixing, near_dup, quality_rules, token_counts
 from gridloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ruled = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ def queries() -> dict[str, Query]:
         "op5_token_counts": op5_token_counts,
         "op7_mixing": op7_mixing,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_quality_rules": op9_quality_rules,
         "op10_near_dup": op10_near_dup,
     }
 
@@ -54,4 +60,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_mixing": mixing.ORACLE_SQL,
+        "op9_quality_rules": quality_rules.ORACLE_SQL,
     }
