@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe_codec, mixing, near_dup, quality_rules, token_counts
+from gridloom.llm import bpe_codec, media, mixing, near_dup, quality_rules, token_counts
 from gridloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    stored = media.encode(docs, keep=["doc_id", "n_bytes"])
+    stored = stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    read = media.decode(stored, keep=["doc_id", "n_bytes", "media_bytes", "media_sha256"])
+    tail = F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32")
+    payload = (F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail)
+    feature = F.array_join(F.col("features").cast("array<string>"), " ").alias("feature")
+    return read.select("doc_id", "n_bytes", *payload, "media_bytes", "media_sha256", feature, F.sha2("rgb", 256).alias("rgb_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.systematic_copies(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -50,6 +61,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op5_token_counts": op5_token_counts,
+        "op6_media": op6_media,
         "op7_mixing": op7_mixing,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_quality_rules": op9_quality_rules,
