@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe_codec, media, mixing, near_dup, quality_rules, token_counts
+from gridloom.llm import bpe_codec, lang_id, media, mixing, near_dup, quality_model, quality_rules, token_counts
 from gridloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,26 @@ PIECE_MODEL = "piece_bpe_32k.model"
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = lang_id.fit(docs.where(~lang_id.held_out()))
+    found = lang_id.identify(docs.select("doc_id", "text"), model, keep=["doc_id"], reject=False)
+    return found.select("doc_id", lang_id.held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+def quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of the labelled documents: 0 poor, 1 good but toxic, 2 good."""
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    return table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+
+
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.fit(docs, quality_grades(spark, sf_dir))
+    found = quality_model.graded(docs, model, keep=["doc_id"])
+    return found.select("doc_id", "expected_grade", F.get("tails", 0).alias("p_grade_1"), F.get("tails", 1).alias("p_grade_2"), F.col("selected").alias("kept"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     counted = token_counts.token_counts(docs, public_tokenizers.path(PIECE_MODEL), keep=["doc_id", "n_bytes"])
@@ -60,6 +80,8 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_lang_id": op1_lang_id,
+        "op3_quality_model": op3_quality_model,
         "op5_token_counts": op5_token_counts,
         "op6_media": op6_media,
         "op7_mixing": op7_mixing,
