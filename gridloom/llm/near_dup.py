@@ -157,7 +157,8 @@ def links(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
 
 def compared(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (u, v) inside each block of members (block: a key, doc_id, side 0 or 1, both sides where null), as a spanning forest."""
-    rows = members.join(texts, "doc_id").select("block", "side", "doc_id", "text")
+    # members grow with the data: never sent to every task, whatever their size, so that the plan is one at every size
+    rows = members.hint("merge").join(texts, "doc_id").select("block", "side", "doc_id", "text")
     dealt = rows.repartition("block").sortWithinPartitions("block")
 
     def forest(ids: list[int], sides: list[int | None], sets: list[np.ndarray]) -> pa.RecordBatch:
