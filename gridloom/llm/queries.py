@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe_codec, lang_id, media, mixing, near_dup, quality_model, quality_rules, token_counts
+from gridloom.llm import bpe_codec, lang_id, media, mixing, near_dup, pii, quality_model, quality_rules, token_counts
 from gridloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,16 @@ def op1_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", lang_id.held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+#: Of the registered queries; a real run takes its own.
+PII_KEY = b"a key for the registered queries"
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.surrogate_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    numbers = [F.size(F.filter("entities", lambda e, k=kind: e["type"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.TYPES]
+    return done.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), *numbers)
+
+
 def quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades of the labelled documents: 0 poor, 1 good but toxic, 2 good."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
@@ -81,6 +91,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_lang_id": op1_lang_id,
+        "op2_pii": op2_pii,
         "op3_quality_model": op3_quality_model,
         "op5_token_counts": op5_token_counts,
         "op6_media": op6_media,
