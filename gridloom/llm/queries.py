@@ -31,8 +31,8 @@ PII_KEY = b"a key for the registered queries"
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii.surrogate_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
-    numbers = [F.size(F.filter("entities", lambda e, k=kind: e["type"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.TYPES]
-    return done.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), *numbers)
+    count = lambda kind: F.size(F.filter("entities", lambda e: e["type"] == kind)).cast("long").alias(f"n_{kind}")
+    return done.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), *map(count, pii.TYPES))
 
 
 def quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
