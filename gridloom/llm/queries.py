@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe_codec, lang_id, media, mixing, near_dup, pii, quality_model, quality_rules, token_counts
+from gridloom.llm import bpe_codec, lang_id, media, mixing, near_dup, pii, quality_model, quality_rules, repeats, token_counts
 from gridloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,11 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "expected_grade", F.get("tails", 0).alias("p_grade_1"), F.get("tails", 1).alias("p_grade_2"), F.col("selected").alias("kept"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with passages of 50 words or more that other documents have too, and where they are."""
+    return repeats.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     counted = token_counts.token_counts(docs, public_tokenizers.path(PIECE_MODEL), keep=["doc_id", "n_bytes"])
@@ -93,6 +98,7 @@ def queries() -> dict[str, Query]:
         "op1_lang_id": op1_lang_id,
         "op2_pii": op2_pii,
         "op3_quality_model": op3_quality_model,
+        "op4_repeats": op4_repeats,
         "op5_token_counts": op5_token_counts,
         "op6_media": op6_media,
         "op7_mixing": op7_mixing,
