@@ -157,8 +157,7 @@ def links(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
 
 def compared(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (u, v) inside each block of members (block: a key, doc_id, side 0 or 1, both sides where null), as a spanning forest."""
-    # members grow with the data: never sent to every task, whatever their size, so that the plan is one at every size
-    rows = members.hint("merge").join(texts, "doc_id").select("block", "side", "doc_id", "text")
+    rows = members.join(texts, "doc_id").select("block", "side", "doc_id", "text")
     dealt = rows.repartition("block").sortWithinPartitions("block")
 
     def forest(ids: list[int], sides: list[int | None], sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -200,6 +199,10 @@ def hashed(column: str, salt: int) -> Column:
 
 def verified_links(candidates: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Exact links (u, v) inside candidate components (node, root), connecting all that a full comparison would connect."""
+    # candidates grow with the data: never sent to every task, whatever their size, so that the plan is one at every size;
+    # all texts are shuffled once, those of the candidates are kept for the rounds below
+    chosen = candidates.select(F.col("node").alias("doc_id"))
+    texts = written(chosen.hint("merge").join(texts, "doc_id").select("doc_id", "text"))
     sizes = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     dealt = candidates.join(sizes, "root").withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = written(dealt.withColumn("chunk", F.floor(hashed("node", 1) * F.col("chunks")).cast("int")).withColumnRenamed("node", "doc_id"))
