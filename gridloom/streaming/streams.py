@@ -57,8 +57,7 @@ class Sustained(StatefulProcessor):
         self.last = handle.getValueState("last", "t timestamp, load double")
         self.waiting = handle.getMapState("waiting", "t timestamp", "hi double, mm double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        mark = pd.Timestamp(timers.getCurrentWatermarkInMs(), unit="ms")
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         done = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None
         late = []
         for frame in rows:
@@ -68,11 +67,10 @@ class Sustained(StatefulProcessor):
                 else:
                     self.waiting.updateValue((r.t,), (float(r.hi), float(r.mm)))
                     self.handle.registerTimer(int(r.t.value // 1_000_000))
-        del mark
         yield pd.DataFrame(late, columns=["key", "t", "load", "late"]).astype({"t": "datetime64[ns]", "load": "float64", "late": "bool"})
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
-        t = pd.Timestamp(expired.getExpiryTimeInMs(), unit="ms")
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        t = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
         out = []
         if self.waiting.containsKey((t,)):
             hi, mm = self.waiting.getValue((t,))
