@@ -8,27 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import grid
+from gridloom.operators.components import components
 from gridloom.sources.tables import written
 
 
 def labelled(nodes: DataFrame, keys: list[str], node: str, neighbours: Callable[[Column], Column]) -> DataFrame:
     """nodes with `label`, the smallest node that can be reached inside the same keys.
 
-    Labels go to the smallest of a node's neighbours, then jump to their label's label; each round is a table in the
-    shared folder, and rounds end when no label changes, after about the logarithm of the longest path.
+    Nodes get numbers, neighbours inside the keys become edges, and the components of those give the labels.
     """
-    base = written(nodes.select(*keys, node).distinct())
-    near = base.select(*keys, node, F.explode(neighbours(F.col(node))).alias("near")).where("near is not null")
-    links = written(near.join(base.withColumnRenamed(node, "near"), [*keys, "near"]).select(*keys, node, "near"))
-    labels = written(base.withColumn("label", F.col(node)))
-    while True:
-        seen = links.join(labels.withColumnRenamed(node, "near"), [*keys, "near"]).groupBy(*keys, node).agg(F.min("label").alias("least"))
-        lower = labels.join(seen, [*keys, node], "left").select(*keys, node, F.least("label", F.coalesce("least", "label")).alias("low"), F.col("label").alias("old"))
-        jump = labels.select(*keys, F.col(node).alias("low"), F.col("label").alias("jump"))
-        then = written(lower.join(jump, [*keys, "low"]).select(*keys, node, F.least("low", "jump").alias("label"), "old"))
-        labels = then.drop("old")
-        if then.where("label != old").isEmpty():
-            return nodes.join(labels, [*keys, node])
+    base = written(nodes.select(*keys, node).distinct().withColumn("number", F.monotonically_increasing_id()))
+    near = base.select(*keys, F.col("number").alias("u"), F.explode(neighbours(F.col(node))).alias("near")).where("near is not null")
+    edges = near.join(base.withColumnsRenamed({node: "near", "number": "v"}), [*keys, "near"]).where("u > v").select("u", "v")
+    linked = components(edges).withColumnRenamed("node", "number")
+    rooted = base.join(linked, "number", "left").withColumn("root", F.coalesce("root", "number"))
+    least = rooted.groupBy("root").agg(F.min(node).alias("label"))
+    return nodes.join(rooted.join(least, "root").select(*keys, node, "label"), [*keys, node])
 
 
 def cell_regions(cells: DataFrame, keys: list[str]) -> DataFrame:
