@@ -1,79 +1,5 @@
-"""Connected components of an edge table: union-find inside each partition, then star contraction across partitions.
+"""Union-find grouping: the library's connected components."""
 
-All state stays in tables; a node of any degree is met by partial aggregation and by joins that Spark can split.
-"""
+from gridloom.operators.components import components, contract, roots
 
-from __future__ import annotations
-
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from gridloom.llm.base import written
-
-
-def roots(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union-find over parallel arrays of node ids: the distinct nodes and the smallest node that each can reach."""
-    nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
-    a, b = at[: len(src)].tolist(), at[len(src) :].tolist()
-    parent = list(range(len(nodes)))
-    for x, y in zip(a, b, strict=True):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        while parent[y] != y:
-            parent[y] = y = parent[parent[y]]
-        if x < y:
-            parent[y] = x
-        elif y < x:
-            parent[x] = y
-    for i, p in enumerate(parent):  # a parent is never larger than its child, so one pass is enough
-        parent[i] = parent[p]
-    return nodes, nodes[np.array(parent, np.int64)] if len(nodes) else nodes
-
-
-def contract(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) of which each partition keeps a spanning star of what it holds, u > v."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, v = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            nodes, root = roots(np.concatenate([u, batch.column(0).to_numpy()]), np.concatenate([v, batch.column(1).to_numpy()]))
-            u, v = nodes[nodes != root], root[nodes != root]
-        if len(u):
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    return edges.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(run, "u bigint, v bigint")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of `edges` (u, v): root is the smallest node that it can reach.
-
-    Null ends are left out, an edge of a node with itself only names the node, repeated edges count once, no edges give
-    no rows. Each round moves every node to the smallest neighbour of its neighbours (pointer jumping), so the number of
-    rounds grows with the logarithm of the longest chain.
-    """
-    clean = written(edges.where("u is not null and v is not null").select("u", "v").distinct())
-    loose = clean.where("u = v").select(F.col("u").alias("node")).distinct()
-    star = written(contract(clean.where("u != v")))
-    while True:
-        # large star: every neighbour of a node that is above it, and the node, go to the smallest of them
-        both = star.select("u", "v").unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: the neighbours below a node, and the node, go to the smallest of them
-        below = large.where("u > v")
-        least = below.groupBy("u").agg(F.min("v").alias("m"))
-        moved = below.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        star = written(contract(moved).distinct())
-        # done when no node has two parents and no parent is itself below another node
-        twice = star.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        chained = star.join(star.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
-        if twice.isEmpty() and chained.isEmpty():
-            break
-    linked = star.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    tops = star.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    alone = loose.join(linked.select("node").unionByName(tops.select("node")), "node", "left_anti").select("node", F.col("node").alias("root"))
-    return linked.unionByName(tops).unionByName(alone)
+__all__ = ["components", "contract", "roots"]

@@ -235,7 +235,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """A row for each row of docs: doc_id, n_shingles, component_id (the smallest id of its group), kept (it is that one)."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows_ = written(sketched(docs, width, bands, rows))
-    classes = rows_.where("fingerprint is not null and doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
+    # a table of its own, so that the join below is free to split a fingerprint that many rows share
+    classes = written(rows_.where("fingerprint is not null and doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep")))
     # every document belongs to the class of its set; an id with several sets ties their classes together
     owned = rows_.where("doc_id is not null").join(classes, "fingerprint", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     owned = written(owned.distinct())
