@@ -123,7 +123,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     retained = written(docs.mapInArrow(select, "doc_id bigint, row bigint, n_words int, places array<int>, keys array<bigint>").where(F.size("places") > 0))
     suffixes = retained.select("doc_id", "row", F.explode(F.arrays_zip("places", "keys")).alias("s")).select("doc_id", "row", F.col("s.places").alias("place"), F.col("s.keys").alias("key"))
-    often = suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # a table of its own, so that the join below is free to split a key that many suffixes share
+    often = written(suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     # a text's places are at most its words: a bounded list
     wanted = suffixes.join(often, "key").groupBy("doc_id", "row").agg(F.collect_set("place").alias("places"))
 
