@@ -55,6 +55,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Ite
     if start < len(lengths):
         part = batch.slice(start)
         yield part, part.column(at).to_pylist()
+    pa.default_memory_pool().release_unused()  # workers are used again: give back what the batch took
 
 
 def with_columns(part: pa.RecordBatch, keep: list[str], **more: pa.Array) -> pa.RecordBatch:

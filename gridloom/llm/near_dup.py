@@ -45,7 +45,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of 64-bit shingle hashes; remembers the hashes of words up to a bound."""
 
-    def __init__(self, width: int, remembered: int = 400_000):
+    def __init__(self, width: int, remembered: int = 100_000):
         self.width, self.remembered, self.known = width, remembered, {}
 
     def set_of(self, text: str | None) -> np.ndarray:

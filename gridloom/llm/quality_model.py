@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.base import kept_schema, slices, with_columns, written
 
 PLACES = 1 << 16
-REMEMBERED = 300_000
+REMEMBERED = 60_000
 
 
 class Features:

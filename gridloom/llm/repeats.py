@@ -30,7 +30,7 @@ GRAM = 8
 #: Neighbours in the sorted order that each suffix is compared with.
 NEAR = 4
 WIDE = 3  # bytes of a word's hash
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 class Words:
