@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import grid
@@ -87,3 +87,14 @@ def band_stats(df: DataFrame, band: str, value: str, at_least: float = 0.5) -> D
 def share_of_children(fine: DataFrame, up: int, flag: Column) -> DataFrame:
     """(parent, hits, share): flagged fine cells over all the children that a parent has."""
     return fine.groupBy(grid.parent(F.col("cell"), up).alias("parent")).agg(F.count_if(flag).alias("hits")).withColumn("share", F.least(F.lit(1.0), F.col("hits") / float(4**up)))
+
+
+def row_index(df: DataFrame, key: str, name: str = "row", coarse: int = 1 << 31) -> DataFrame:
+    """Rows numbered in order of a whole-number key, without a window over all of them: ranks inside stretches of the key, which
+    are numbered by the rows of the stretches before (one row for each stretch)."""
+    stretch = F.floor(F.col(key) / coarse)
+    dealt = df.withColumn("stretch", stretch)
+    sizes = dealt.groupBy("stretch").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = dealt.withColumn("rn", F.row_number().over(Window.partitionBy("stretch").orderBy(key)))
+    return ranked.join(sizes.select("stretch", before.alias("before")), "stretch").withColumn(name, (F.col("before") + F.col("rn") - 1).cast("int")).drop("stretch", "rn", "before")

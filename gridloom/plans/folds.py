@@ -15,7 +15,7 @@ C7, C6, C9 = cell_sql(7), cell_sql(6), cell_sql(9)
 ROW, COL = "((cell >> 29) % 536870912)", "(cell % 536870912)"
 
 
-def r(c: Column | str, n: int = 6) -> Column:
+def r(c: Column | str, n: int = 9) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, n)
 
 
@@ -56,7 +56,7 @@ def _(v: Views) -> DataFrame:
     return index.join(hit, "file", "left").withColumn("read", F.coalesce("read", F.lit(False)))
 
 
-@query("s9_a12_u1_union_tiles", f"WITH tiles AS (SELECT lat, lon, v FROM px WHERE x < 40 UNION ALL SELECT lat, lon, v FROM px WHERE x >= 32) SELECT {C6} AS cell, round(avg(v), 6) AS value, count(*) AS px FROM tiles GROUP BY 1", "px")
+@query("s9_a12_u1_union_tiles", f"WITH tiles AS (SELECT lat, lon, v FROM px WHERE x < 40 UNION ALL SELECT lat, lon, v FROM px WHERE x >= 32) SELECT {C6} AS cell, round(avg(v), 9) AS value, count(*) AS px FROM tiles GROUP BY 1", "px")
 def _(v: Views) -> DataFrame:
     west, east = v.px.where("x < 40").select("lat", "lon", "v"), v.px.where("x >= 32").select("v", "lat", "lon")
     return fold.fold_mean(fold.union_tiles([west, east]), 6).select("cell", r("value").alias("value"), "px")
@@ -113,13 +113,13 @@ def _(v: Views) -> DataFrame:
     return fold.with_cell(v.px, 7).select("cell").distinct().select("cell", F.explode(grid.disk(F.col("cell"), 1)).alias("near"))
 
 
-@query("p10_centres", f"WITH c AS (SELECT DISTINCT {C7} AS cell FROM px) SELECT cell, round(degrees(asin(({ROW} + 0.5) / 128 * 2 - 1)), 6) AS lat, round(({COL} + 0.5) / 256 * 360 - 180, 6) AS lon FROM c", "px")
+@query("p10_centres", f"WITH c AS (SELECT DISTINCT {C7} AS cell FROM px) SELECT cell, round(degrees(asin(({ROW} + 0.5) / 128 * 2 - 1)), 9) AS lat, round(({COL} + 0.5) / 256 * 360 - 180, 9) AS lon FROM c", "px")
 def _(v: Views) -> DataFrame:
     lat, lon = grid.centre(F.col("cell"))
     return fold.with_cell(v.px.select("lat", "lon"), 7).select("cell").distinct().select("cell", r(lat).alias("lat"), r(lon).alias("lon"))
 
 
-@query("p11_edges", f"WITH c AS (SELECT DISTINCT {C6} AS cell FROM px) SELECT cell, dir, (6::BIGINT << 58) + ({ROW} + dy) * 536870912 + {COL} + dx AS neighbour, round(({COL} + ex) / 128.0 * 360 - 180, 6) AS x1, round(degrees(asin(({ROW} + ey) / 64.0 * 2 - 1)), 6) AS y1 FROM c, (VALUES ('e', 1, 0, 1, 0), ('n', 0, 1, 1, 1), ('w', -1, 0, 0, 1), ('s', 0, -1, 0, 0)) s(dir, dx, dy, ex, ey)", "px")
+@query("p11_edges", f"WITH c AS (SELECT DISTINCT {C6} AS cell FROM px) SELECT cell, dir, (6::BIGINT << 58) + ({ROW} + dy) * 536870912 + {COL} + dx AS neighbour, round(({COL} + ex) / 128.0 * 360 - 180, 9) AS x1, round(degrees(asin(({ROW} + ey) / 64.0 * 2 - 1)), 9) AS y1 FROM c, (VALUES ('e', 1, 0, 1, 0), ('n', 0, 1, 1, 1), ('w', -1, 0, 0, 1), ('s', 0, -1, 0, 0)) s(dir, dx, dy, ex, ey)", "px")
 def _(v: Views) -> DataFrame:
     cells = fold.with_cell(v.px.select("lat", "lon"), 6).select("cell").distinct()
     return cells.select("cell", F.inline(grid.edges(F.col("cell")))).select("cell", "dir", "neighbour", r("x1").alias("x1"), r("y1").alias("y1"))
@@ -142,14 +142,14 @@ def _(v: Views) -> DataFrame:
     return edge.agg(r(F.min("ax"), 1).alias("w"), r(F.min("ay"), 1).alias("s"), r(F.max("ax"), 1).alias("e"), r(F.max("ay"), 1).alias("n"))
 
 
-@query("p5_albers_inverse", "SELECT DISTINCT y, x, round(lat, 6) AS lat, round(lon, 6) AS lon FROM px", "px")
+@query("p5_albers_inverse", "SELECT DISTINCT y, x, round(lat, 9) AS lat, round(lon, 9) AS lon FROM px", "px")
 def _(v: Views) -> DataFrame:
     ax, ay = proj.albers(F.col("lon"), F.col("lat"))
     lon, lat = proj.albers_inverse(F.col("ax"), F.col("ay"))
     return v.px.select("y", "x", ax.alias("ax"), ay.alias("ay")).distinct().select("y", "x", r(lat).alias("lat"), r(lon).alias("lon"))
 
 
-@query("p3_mercator", "SELECT id, round(lon2, 6) AS lon, round(lat2, 6) AS lat FROM (SELECT id, cx AS lon2, cy AS lat2 FROM fields)", "fields")
+@query("p3_mercator", "SELECT id, round(lon2, 9) AS lon, round(lat2, 9) AS lat FROM (SELECT id, cx AS lon2, cy AS lat2 FROM fields)", "fields")
 def _(v: Views) -> DataFrame:
     col, row = proj.mercator_pixel(F.col("cx"), F.col("cy"), 12)
     lon, lat = proj.mercator_place(F.col("col"), F.col("row"), 12)
@@ -194,7 +194,7 @@ def _(v: Views) -> DataFrame:
     return v.cube.select("t", "x", "y", r(scalars.heat_index(tc, rh), 9).alias("hi"), scalars.half_degree_code(tc).alias("code"), scalars.packed_nibbles(mm, rh / 10).alias("packed"), r(scalars.wind_speed(tc, mm), 9).alias("wind"), r(scalars.excess(tc, 18.0, mm, 0.5), 9).alias("over"))
 
 
-@query("p18_p22_bands", "SELECT year, y, x, round(v * 3600, 6) AS rate, round(cls * 2.5 * 247.105, 4) AS acres, CASE WHEN cls >= 9 THEN 3 WHEN cls >= 6 THEN 2 WHEN cls >= 3 THEN 1 ELSE 0 END AS band FROM px", "px")
+@query("p18_p22_bands", "SELECT year, y, x, round(v * 3600, 9) AS rate, round(cls * 2.5 * 247.105, 4) AS acres, CASE WHEN cls >= 9 THEN 3 WHEN cls >= 6 THEN 2 WHEN cls >= 3 THEN 1 ELSE 0 END AS band FROM px", "px")
 def _(v: Views) -> DataFrame:
     return v.px.select("year", "y", "x", r(F.col("v") * 3600).alias("rate"), r(scalars.acres(F.col("cls"), 2.5), 4).alias("acres"), scalars.band(F.col("cls"), [3, 6, 9]).alias("band"))
 
@@ -212,13 +212,13 @@ def _(v: Views) -> DataFrame:
     return out.withColumn("plain", scalars.non_crop(F.col("name"), ["class_3"], ["class_1"]))
 
 
-@query("p25_p27_p39_pixels", "SELECT year, y, x, CASE WHEN x % 5 <> 0 THEN round((cls - v) / greatest(cls + v, 1), 6) END AS ndvi, cls * 256 + y + x / 256 - 32768 AS elev, CASE WHEN cls < 6 AND x % 2 = 0 THEN 1 WHEN cls < 6 THEN 2 WHEN x % 2 = 0 THEN 3 END AS kind, round(v + 0.5 * cls, 6) AS shade FROM px", "px")
+@query("p25_p27_p39_pixels", "SELECT year, y, x, CASE WHEN x % 5 <> 0 THEN round((cls - v) / greatest(cls + v, 1), 9) END AS ndvi, cls * 256 + y + x / 256 - 32768 AS elev, CASE WHEN cls < 6 AND x % 2 = 0 THEN 1 WHEN cls < 6 THEN 2 WHEN x % 2 = 0 THEN 3 END AS kind, round(v + 0.5 * cls, 9) AS shade FROM px", "px")
 def _(v: Views) -> DataFrame:
     cls, val, x, y = map(F.col, ("cls", "v", "x", "y"))
     return v.px.select("year", "y", "x", r(scalars.ndvi(cls, val, x % 5 != 0)).alias("ndvi"), scalars.terrarium(cls, y, x).alias("elev"), scalars.disagreement(cls < 6, x % 2 == 0).alias("kind"), r(val + 0.5 * cls).alias("shade"))
 
 
-@query("p28_normalised", "SELECT year, y, x, round((log10(greatest(0.01, least(0.1, v))) - log10(0.01)) / (log10(0.1) - log10(0.01)), 6) AS lg, round(sqrt(greatest(0, least(1, v / 0.08))), 6) AS sq, round(greatest(0, least(1, (v - (SELECT quantile_cont(v, 0.02) FROM px)) / (SELECT quantile_cont(v, 0.98) - quantile_cont(v, 0.02) FROM px))), 6) AS lin, round(greatest(-1, least(1, (v - 0.05) / 0.02)), 6) AS piv, round(ln(1 + v), 6) AS l1 FROM px", "px")
+@query("p28_normalised", "SELECT year, y, x, round((log10(greatest(0.01, least(0.1, v))) - log10(0.01)) / (log10(0.1) - log10(0.01)), 9) AS lg, round(sqrt(greatest(0, least(1, v / 0.08))), 9) AS sq, round(greatest(0, least(1, (v - (SELECT quantile_cont(v, 0.02) FROM px)) / (SELECT quantile_cont(v, 0.98) - quantile_cont(v, 0.02) FROM px))), 9) AS lin, round(greatest(-1, least(1, (v - 0.05) / 0.02)), 9) AS piv, round(ln(1 + v), 9) AS l1 FROM px", "px")
 def _(v: Views) -> DataFrame:
     px = v.px
     low, high = px.agg(F.percentile("v", F.lit(0.02)), F.percentile("v", F.lit(0.98))).first()
@@ -254,7 +254,7 @@ def _(v: Views) -> DataFrame:
     return v.orders.select("o_orderkey", F.year("o_orderdate").alias("y"), F.date_trunc("day", "o_orderdate").alias("day"), scalars.leaf_on(F.col("o_orderdate"), 24 + F.col("o_custkey") % 30).alias("leaf"))
 
 
-@query("p36_geometry", "SELECT id, round(2 * r * r, 6) AS area, round(cx, 6) AS x, round(cy, 6) AS y, round(cx - r, 6) AS w, round(cy + r, 6) AS n FROM fields", "fields")
+@query("p36_geometry", "SELECT id, round(2 * r * r, 9) AS area, round(cx, 9) AS x, round(cy, 9) AS y, round(cx - r, 9) AS w, round(cy + r, 9) AS n FROM fields", "fields")
 def _(v: Views) -> DataFrame:
     ringed = v.fields.withColumn("ring", geometry.diamond(F.col("cx"), F.col("cy"), F.col("r")))
     x, y = geometry.centroid(F.col("ring"))
@@ -262,7 +262,7 @@ def _(v: Views) -> DataFrame:
     return ringed.select("id", r(geometry.area(F.col("ring"))).alias("area"), r(x).alias("x"), r(y).alias("y"), r(w).alias("w"), r(n).alias("n"))
 
 
-@query("p37_squares", "SELECT DISTINCT y, x, round(0.9 * 0.9, 6) AS area, round(lon - 0.45, 6) AS w FROM px", "px")
+@query("p37_squares", "SELECT DISTINCT y, x, round(0.9 * 0.9, 9) AS area, round(lon - 0.45, 9) AS w FROM px", "px")
 def _(v: Views) -> DataFrame:
     ringed = v.px.select("y", "x", geometry.square(F.col("lon"), F.col("lat"), 0.45).alias("ring")).distinct()
     return ringed.select("y", "x", r(geometry.area(F.col("ring"))).alias("area"), r(geometry.envelope(F.col("ring"))[0]).alias("w"))
@@ -270,28 +270,28 @@ def _(v: Views) -> DataFrame:
 
 # --- folds
 
-@query("a1_fold_mean", f"SELECT {C7} AS cell, round(avg(v), 6) AS value, count(*) AS px FROM px WHERE x % 11 <> 0 GROUP BY 1", "px")
+@query("a1_fold_mean", f"SELECT {C7} AS cell, round(avg(v), 9) AS value, count(*) AS px FROM px WHERE x % 11 <> 0 GROUP BY 1", "px")
 def _(v: Views) -> DataFrame:
     holes = v.px.withColumn("v", F.when(F.col("x") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("v")))
     return fold.fold_mean(holes, 7).select("cell", r("value").alias("value"), "px")
 
 
-@query("a2_fold_positive", f"SELECT {C7} AS cell, round(avg(v), 6) AS value, count(*) AS px FROM px GROUP BY 1 HAVING avg(v) > 0", "px")
+@query("a2_fold_positive", f"SELECT {C7} AS cell, round(avg(v), 9) AS value, count(*) AS px FROM px GROUP BY 1 HAVING avg(v) > 0", "px")
 def _(v: Views) -> DataFrame:
     return fold.fold_mean(v.px, 7, positive=True).select("cell", r("value").alias("value"), "px")
 
 
-@query("a3_fold_terrain", f"SELECT {C7} AS cell, round(avg(v * 1000 - 20), 6) AS value, count(*) AS px FROM px WHERE v * 1000 - 20 > -15 AND abs(v * 1000 - 20) > 0.5 GROUP BY 1", "px")
+@query("a3_fold_terrain", f"SELECT {C7} AS cell, round(avg(v * 1000 - 20), 9) AS value, count(*) AS px FROM px WHERE v * 1000 - 20 > -15 AND abs(v * 1000 - 20) > 0.5 GROUP BY 1", "px")
 def _(v: Views) -> DataFrame:
     return fold.fold_terrain(v.px.withColumn("elev", F.col("v") * 1000 - 20), 7, floor=-15.0, eps=0.5).select("cell", r("value").alias("value"), "px")
 
 
-@query("a4_fold_hourly", f"SELECT t, {C6} AS cell, round(avg(tc), 6) AS tc, round(avg(rh), 6) AS rh, round(avg(mm), 6) AS mm FROM cube GROUP BY 1, 2", "cube")
+@query("a4_fold_hourly", f"SELECT t, {C6} AS cell, round(avg(tc), 9) AS tc, round(avg(rh), 9) AS rh, round(avg(mm), 9) AS mm FROM cube GROUP BY 1, 2", "cube")
 def _(v: Views) -> DataFrame:
     return fold.fold_hourly(v.cube, 6, ["tc", "rh", "mm"]).select("t", "cell", *[r(c).alias(c) for c in ("tc", "rh", "mm")])
 
 
-@query("a5_j2_zone_hours", "SELECT t, id, round(avg(tc), 6) AS value, count(*) AS px FROM cube JOIN zones ON lon >= w AND lon < e AND lat >= s AND lat < n GROUP BY 1, 2", "cube zones")
+@query("a5_j2_zone_hours", "SELECT t, id, round(avg(tc), 9) AS value, count(*) AS px FROM cube JOIN zones ON lon >= w AND lon < e AND lat >= s AND lat < n GROUP BY 1, 2", "cube zones")
 def _(v: Views) -> DataFrame:
     lookup = v.cube.select("y", "x", "lat", "lon").distinct()
     ringed = v.zones.select("id", geometry.box_ring(F.col("w"), F.col("s"), F.col("e"), F.col("n")).alias("ring"), "w", "s", "e", "n")
@@ -299,14 +299,14 @@ def _(v: Views) -> DataFrame:
     return fold.fold_zone_hours(v.cube, mapping, "tc").select("t", "id", r("value").alias("value"), "px")
 
 
-@query("a6_rollup_daily", f"WITH h AS (SELECT t, {C6} AS cell, avg(tc) AS tc FROM cube GROUP BY 1, 2) SELECT date_trunc('day', t) AS day, cell, round(avg(tc), 6) AS mean, round(max(tc), 6) AS most FROM h GROUP BY 1, 2", "cube")
+@query("a6_rollup_daily", f"WITH h AS (SELECT t, {C6} AS cell, avg(tc) AS tc FROM cube GROUP BY 1, 2) SELECT date_trunc('day', t) AS day, cell, round(avg(tc), 9) AS mean, round(max(tc), 9) AS most FROM h GROUP BY 1, 2", "cube")
 def _(v: Views) -> DataFrame:
     hourly = fold.fold_hourly(v.cube, 6, ["tc"])
     both = fold.rollup_daily(hourly, "cell", "tc").join(fold.rollup_daily(hourly, "cell", "tc", "max").withColumnRenamed("tc", "most"), ["day", "cell"])
     return both.select("day", "cell", r("tc").alias("mean"), r("most").alias("most"))
 
 
-@query("a7_fold_mode", f"WITH c AS (SELECT {C6} AS cell, cls, count(*) AS n FROM px GROUP BY 1, 2) SELECT cell, cls, n, total, round(n / total, 6) AS purity FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY cell) AS BIGINT) AS total, row_number() OVER (PARTITION BY cell ORDER BY n DESC, cls) AS rn FROM c) WHERE rn = 1", "px")
+@query("a7_fold_mode", f"WITH c AS (SELECT {C6} AS cell, cls, count(*) AS n FROM px GROUP BY 1, 2) SELECT cell, cls, n, total, round(n / total, 9) AS purity FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY cell) AS BIGINT) AS total, row_number() OVER (PARTITION BY cell ORDER BY n DESC, cls) AS rn FROM c) WHERE rn = 1", "px")
 def _(v: Views) -> DataFrame:
     return fold.fold_mode(v.px, 6).withColumn("purity", r("purity"))
 
@@ -314,19 +314,19 @@ def _(v: Views) -> DataFrame:
 PARTS = f"SELECT CAST(x // 16 AS BIGINT) AS tile, {C6} AS cell, sum(v) AS s, count(*) AS n, min(v) AS mn, max(v) AS mx FROM px GROUP BY 1, 2"
 
 
-@query("a9_partials", f"SELECT tile, cell, round(s, 6) AS s, n, mn, mx FROM ({PARTS})", "px")
+@query("a9_partials", f"SELECT tile, cell, round(s, 9) AS s, n, mn, mx FROM ({PARTS})", "px")
 def _(v: Views) -> DataFrame:
     parts = fold.partial_fold(v.px.withColumn("tile", F.floor(F.col("x") / 16)), 6, by=["tile"])
     return parts.withColumn("s", r("s"))
 
 
-@query("a10_a11_merge", f"SELECT cell, round(sum(s) / sum(n), 6) AS value, CAST(sum(n) AS BIGINT) AS n, round(max(mx) - min(mn), 6) AS relief FROM ({PARTS}) GROUP BY 1", "px")
+@query("a10_a11_merge", f"SELECT cell, round(sum(s) / sum(n), 9) AS value, CAST(sum(n) AS BIGINT) AS n, round(max(mx) - min(mn), 9) AS relief FROM ({PARTS}) GROUP BY 1", "px")
 def _(v: Views) -> DataFrame:
     parts = fold.partial_fold(v.px.withColumn("tile", F.floor(F.col("x") / 16)), 6, by=["tile"])
     return fold.merge_partials(parts).select("cell", r("value").alias("value"), "n", r("relief").alias("relief"))
 
 
-@query("j10_outer_partials", f"WITH a AS (SELECT {C6} AS cell, sum(v) AS s, count(*) AS n FROM px WHERE x < 30 GROUP BY 1), b AS (SELECT {C6} AS cell, sum(v) AS s2, count(*) AS n2 FROM px WHERE x >= 26 GROUP BY 1) SELECT coalesce(a.cell, b.cell) AS cell, round(s, 6) AS s, n, round(s2, 6) AS s2, n2 FROM a FULL JOIN b ON a.cell = b.cell", "px")
+@query("j10_outer_partials", f"WITH a AS (SELECT {C6} AS cell, sum(v) AS s, count(*) AS n FROM px WHERE x < 30 GROUP BY 1), b AS (SELECT {C6} AS cell, sum(v) AS s2, count(*) AS n2 FROM px WHERE x >= 26 GROUP BY 1) SELECT coalesce(a.cell, b.cell) AS cell, round(s, 9) AS s, n, round(s2, 9) AS s2, n2 FROM a FULL JOIN b ON a.cell = b.cell", "px")
 def _(v: Views) -> DataFrame:
     out = fold.join_partials(fold.partial_fold(v.px.where("x < 30"), 6), fold.partial_fold(v.px.where("x >= 26"), 6))
     return out.select("cell", r("s").alias("s"), "n", r("s2").alias("s2"), "n2")
@@ -338,12 +338,12 @@ def _(v: Views) -> DataFrame:
     return fold.share_of_children(fine, 2, F.col("cls") >= 9)
 
 
-@query("a28_band_stats", "SELECT year AS band, round(avg(v), 6) AS mean, round(avg(CASE WHEN v >= 0.05 THEN 1.0 ELSE 0.0 END), 6) AS share FROM px GROUP BY 1", "px")
+@query("a28_band_stats", "SELECT year AS band, round(avg(v), 9) AS mean, round(avg(CASE WHEN v >= 0.05 THEN 1.0 ELSE 0.0 END), 9) AS share FROM px GROUP BY 1", "px")
 def _(v: Views) -> DataFrame:
     return fold.band_stats(v.px, "year", "v", 0.05).select(F.col("year").alias("band"), r("mean").alias("mean"), r("share").alias("share"))
 
 
-@query("a29_scan", "SELECT l_returnflag, count(*) AS n, round(avg(CAST(l_quantity AS DOUBLE)), 6) AS q FROM lineitem GROUP BY 1")
+@query("a29_scan", "SELECT l_returnflag, count(*) AS n, round(avg(CAST(l_quantity AS DOUBLE)), 9) AS q FROM lineitem GROUP BY 1")
 def _(v: Views) -> DataFrame:
     return v.lineitem.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), r(F.avg(F.col("l_quantity").cast("double"))).alias("q"))
 
@@ -353,18 +353,18 @@ def _(v: Views) -> DataFrame:
     return v.px.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cls").alias("classes"), F.count_distinct("y", "x").alias("places"))
 
 
-@query("a31_quantiles", "SELECT round(quantile_cont(tc, 0.02), 6) AS p2, round(quantile_cont(tc, 0.5), 6) AS p50, round(quantile_cont(tc, 0.98), 6) AS p98 FROM cube", "cube")
+@query("a31_quantiles", "SELECT round(quantile_cont(tc, 0.02), 9) AS p2, round(quantile_cont(tc, 0.5), 9) AS p50, round(quantile_cont(tc, 0.98), 9) AS p98 FROM cube", "cube")
 def _(v: Views) -> DataFrame:
     return fold.quantiles(v.cube, "tc", [0.02, 0.5, 0.98]).select(*[r(p).alias(p) for p in ("p2", "p50", "p98")])
 
 
-@query("a38_pyramid", "WITH lv AS (SELECT k AS level, y // k, x // k, avg(v) AS v FROM px, (VALUES (1), (2), (4)) t(k) WHERE year = 1995 GROUP BY 1, 2, 3) SELECT level, round(avg(v), 6) AS mean, round(max(v), 6) AS most, round(avg(CASE WHEN v = 0 THEN 1.0 ELSE 0.0 END), 6) AS zeros FROM lv GROUP BY level", "px")
+@query("a38_pyramid", "WITH lv AS (SELECT k AS level, y // k, x // k, avg(v) AS v FROM px, (VALUES (1), (2), (4)) t(k) WHERE year = 1995 GROUP BY 1, 2, 3) SELECT level, round(avg(v), 9) AS mean, round(max(v), 9) AS most, round(avg(CASE WHEN v = 0 THEN 1.0 ELSE 0.0 END), 9) AS zeros FROM lv GROUP BY level", "px")
 def _(v: Views) -> DataFrame:
     k = F.explode(F.array(*[F.lit(x) for x in (1, 2, 4)])).alias("level")
     levels = v.px.where("year = 1995").select("y", "x", "v", k).groupBy("level", F.floor(F.col("y") / F.col("level")), F.floor(F.col("x") / F.col("level"))).agg(F.avg("v").alias("v"))
     return levels.groupBy("level").agg(r(F.avg("v")).alias("mean"), r(F.max("v")).alias("most"), r(F.avg(F.when(F.col("v") == 0, 1.0).otherwise(0.0))).alias("zeros"))
 
 
-@query("a32_frame_means", "SELECT t AS f, round(avg(tc), 6) AS tc FROM cube GROUP BY 1", "cube")
+@query("a32_frame_means", "SELECT t AS f, round(avg(tc), 9) AS tc FROM cube GROUP BY 1", "cube")
 def _(v: Views) -> DataFrame:
     return heat.frame_means(v.cube.withColumnRenamed("t", "f"), "tc").withColumn("tc", r("tc"))

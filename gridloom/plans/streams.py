@@ -10,12 +10,12 @@ from gridloom.plans.registry import Views, query
 from gridloom.streaming import streams
 
 
-@query("t5_hourly_fold", "SELECT date_trunc('hour', ts) AS t, user_id % 16 AS key, round(avg(value), 6) AS value, count(*) AS n FROM events GROUP BY 1, 2")
+@query("t5_hourly_fold", "SELECT date_trunc('hour', ts) AS t, user_id % 16 AS key, round(avg(value), 9) AS value, count(*) AS n FROM events GROUP BY 1, 2")
 def _(v: Views) -> DataFrame:
     return streams.hourly_fold(v.events, F.col("user_id") % 16, "value").withColumn("value", r("value"))
 
 
-@query("t6_daily_rollup", "SELECT date_trunc('day', ts) AS day, user_id % 16 AS key, round(avg(value), 6) AS mean, round(max(value), 6) AS most FROM events GROUP BY 1, 2")
+@query("t6_daily_rollup", "SELECT date_trunc('day', ts) AS day, user_id % 16 AS key, round(avg(value), 9) AS mean, round(max(value), 9) AS most FROM events GROUP BY 1, 2")
 def _(v: Views) -> DataFrame:
     return streams.daily_rollup(v.events, F.col("user_id") % 16, "value").select("day", "key", r("mean").alias("mean"), r("most").alias("most"))
 

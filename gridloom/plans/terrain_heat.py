@@ -20,17 +20,17 @@ ONE = "one AS (SELECT y, x, v, cls FROM px WHERE year = 1995)"
 
 # --- terrain and windows
 
-@query("w4_rebased", f"WITH {FOLD7} SELECT cell, round(value - (SELECT min(value) FROM fold), 6) AS value FROM fold", "px")
+@query("w4_rebased", f"WITH {FOLD7} SELECT cell, round(value - (SELECT min(value) FROM fold), 9) AS value FROM fold", "px")
 def _(v: Views) -> DataFrame:
     return terrain.rebased(fold.fold_mean(v.px, 7), "value").select("cell", r("value").alias("value"))
 
 
-@query("w5_relief_floor", f"WITH {FOLD7}, q AS (SELECT quantile_cont(value, 0.02) FILTER (value <> 0) AS p2, quantile_cont(value, 0.98) FILTER (value <> 0) AS p98 FROM fold) SELECT cell, round(greatest(value - p2, 0), 6) AS over, round(p98 - p2, 6) AS relief FROM fold, q", "px")
+@query("w5_relief_floor", f"WITH {FOLD7}, q AS (SELECT quantile_cont(value, 0.02) FILTER (value <> 0) AS p2, quantile_cont(value, 0.98) FILTER (value <> 0) AS p98 FROM fold) SELECT cell, round(greatest(value - p2, 0), 9) AS over, round(p98 - p2, 9) AS relief FROM fold, q", "px")
 def _(v: Views) -> DataFrame:
     return terrain.relief_floor(fold.fold_mean(v.px, 7), "value").select("cell", r("over").alias("over"), r("relief").alias("relief"))
 
 
-@query("j14_flow", f"WITH {FOLD7} SELECT a.cell, round(avg(b.value) - min(a.value), 6) AS flow FROM fold a, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) s(dx, dy), fold b WHERE b.cell = a.cell + dy * 536870912 + dx GROUP BY a.cell", "px")
+@query("j14_flow", f"WITH {FOLD7} SELECT a.cell, round(avg(b.value) - min(a.value), 9) AS flow FROM fold a, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) s(dx, dy), fold b WHERE b.cell = a.cell + dy * 536870912 + dx GROUP BY a.cell", "px")
 def _(v: Views) -> DataFrame:
     return terrain.flow(fold.fold_mean(v.px, 7)).select("cell", r("flow").alias("flow"))
 
@@ -40,12 +40,12 @@ def _(v: Views) -> DataFrame:
     return terrain.adjacency(fold.fold_mean(v.px, 7))
 
 
-@query("w11_focal_mean", f"WITH {ONE} SELECT a.y, a.x, round(sum(b.s) / sum(b.c), 6) AS mean FROM one a JOIN (SELECT p.y, p.x, sum(q.v) AS s, count(*) AS c FROM one p JOIN one q ON q.y = p.y AND q.x BETWEEN p.x - 2 AND p.x + 2 GROUP BY 1, 2) b ON b.x = a.x AND b.y BETWEEN a.y - 2 AND a.y + 2 GROUP BY 1, 2", "px")
+@query("w11_focal_mean", f"WITH {ONE} SELECT a.y, a.x, round(sum(b.s) / sum(b.c), 9) AS mean FROM one a JOIN (SELECT p.y, p.x, sum(q.v) AS s, count(*) AS c FROM one p JOIN one q ON q.y = p.y AND q.x BETWEEN p.x - 2 AND p.x + 2 GROUP BY 1, 2) b ON b.x = a.x AND b.y BETWEEN a.y - 2 AND a.y + 2 GROUP BY 1, 2", "px")
 def _(v: Views) -> DataFrame:
     return terrain.focal_mean(v.px.where("year = 1995").select("y", "x", "v"), 2).select("y", "x", r("mean").alias("mean"))
 
 
-@query("w12_bilinear", f"WITH {ONE}, p AS (SELECT id, (id % 470) / 10.3 AS row, (id % 613) / 10.1 AS col FROM buildings), k AS (SELECT id, floor(row) + a AS y, floor(col) + b AS x, (1 - abs(row - floor(row) - a)) * (1 - abs(col - floor(col) - b)) AS w FROM p, (VALUES (0), (1)) s(a), (VALUES (0), (1)) t(b)) SELECT id, round(sum(w * v) / sum(w), 6) AS sample FROM k JOIN one USING (y, x) WHERE w > 0 GROUP BY 1", "px buildings")
+@query("w12_bilinear", f"WITH {ONE}, p AS (SELECT id, (id % 470) / 10.3 AS row, (id % 613) / 10.1 AS col FROM buildings), k AS (SELECT id, floor(row) + a AS y, floor(col) + b AS x, (1 - abs(row - floor(row) - a)) * (1 - abs(col - floor(col) - b)) AS w FROM p, (VALUES (0), (1)) s(a), (VALUES (0), (1)) t(b)) SELECT id, round(sum(w * v) / sum(w), 9) AS sample FROM k JOIN one USING (y, x) WHERE w > 0 GROUP BY 1", "px buildings")
 def _(v: Views) -> DataFrame:
     points = v.buildings.select("id", (F.col("id") % 470 / 10.3).alias("row"), (F.col("id") % 613 / 10.1).alias("col"))
     return terrain.bilinear(points, v.px.where("year = 1995")).select("id", r("sample").alias("sample"))
@@ -57,13 +57,13 @@ def _(v: Views) -> DataFrame:
     return terrain.mosaic(v.px.select("y", "x", F.col("year").alias("source"), depth.alias("depth"), "v"))
 
 
-@query("w14_hillshade", f"WITH {ONE}, d AS (SELECT y, x, v, lag(v) OVER a AS xl, lead(v) OVER a AS xr, lag(v) OVER b AS yl, lead(v) OVER b AS yr FROM (SELECT y, x, v * 100 AS v FROM one) WINDOW a AS (PARTITION BY y ORDER BY x), b AS (PARTITION BY x ORDER BY y)), g AS (SELECT y, x, (coalesce(xr, v) - coalesce(xl, v)) / CASE WHEN xr IS NOT NULL AND xl IS NOT NULL THEN 2 ELSE 1 END AS dx, (coalesce(yr, v) - coalesce(yl, v)) / CASE WHEN yr IS NOT NULL AND yl IS NOT NULL THEN 2 ELSE 1 END AS dy FROM d) SELECT y, x, round(greatest(0, sin(radians(45)) * cos(atan(sqrt(dx * dx + dy * dy))) + cos(radians(45)) * sin(atan(sqrt(dx * dx + dy * dy))) * cos(radians(135) - atan2(dy, -dx))), 6) AS shade FROM g", "px")
+@query("w14_hillshade", f"WITH {ONE}, d AS (SELECT y, x, v, lag(v) OVER a AS xl, lead(v) OVER a AS xr, lag(v) OVER b AS yl, lead(v) OVER b AS yr FROM (SELECT y, x, v * 100 AS v FROM one) WINDOW a AS (PARTITION BY y ORDER BY x), b AS (PARTITION BY x ORDER BY y)), g AS (SELECT y, x, (coalesce(xr, v) - coalesce(xl, v)) / CASE WHEN xr IS NOT NULL AND xl IS NOT NULL THEN 2 ELSE 1 END AS dx, (coalesce(yr, v) - coalesce(yl, v)) / CASE WHEN yr IS NOT NULL AND yl IS NOT NULL THEN 2 ELSE 1 END AS dy FROM d) SELECT y, x, round(greatest(0, sin(radians(45)) * cos(atan(sqrt(dx * dx + dy * dy))) + cos(radians(45)) * sin(atan(sqrt(dx * dx + dy * dy))) * cos(radians(135) - atan2(dy, -dx))), 9) AS shade FROM g", "px")
 def _(v: Views) -> DataFrame:
     raster = v.px.where("year = 1995").select("y", "x", (F.col("v") * 100).alias("v"))
     return terrain.hillshade(raster).select("y", "x", r("shade").alias("shade"))
 
 
-@query("j23_painted", f"WITH {FOLD7} SELECT p.y, p.x, round(value, 6) AS value FROM (SELECT DISTINCT y, x, {C7} AS cell FROM px) p LEFT JOIN (SELECT * FROM fold WHERE value > 0.0201) f USING (cell)", "px")
+@query("j23_painted", f"WITH {FOLD7} SELECT p.y, p.x, round(value, 9) AS value FROM (SELECT DISTINCT y, x, {C7} AS cell FROM px) p LEFT JOIN (SELECT * FROM fold WHERE value > 0.0201) f USING (cell)", "px")
 def _(v: Views) -> DataFrame:
     lattice = v.px.select("y", "x", "lat", "lon").distinct()
     return terrain.painted(lattice, fold.fold_mean(v.px, 7).where("value > 0.0201"), 7).select("y", "x", r("value").alias("value"))
@@ -101,17 +101,17 @@ def load_sql(half: float, thr: float, wash: float, first: bool = False, hold: bo
     return f"{name} AS (SELECT cell, f, {start} AS load FROM frames WHERE f = 0 UNION ALL SELECT x.cell, x.f, {step} FROM {name} JOIN frames x ON x.cell = {name}.cell AND x.f = {name}.f + 1)"
 
 
-@query("t1_t2_sustained", f"WITH RECURSIVE {FRAMES}, {load_sql(12, 16, 0.4)} SELECT cell, f, round(load, 6) AS load FROM l", "cube")
+@query("t1_t2_sustained", f"WITH RECURSIVE {FRAMES}, {load_sql(12, 16, 0.4)} SELECT cell, f, round(load, 9) AS load FROM l", "cube")
 def _(v: Views) -> DataFrame:
     return heat.sustained(frames(v), 12, 16, 0.4).select("cell", "f", r("load").alias("load"))
 
 
-@query("t1_hold_first", f"WITH RECURSIVE {FRAMES}, {load_sql(12, 16, 0.0, True, True)} SELECT cell, f, round(load, 6) AS load FROM l", "cube")
+@query("t1_hold_first", f"WITH RECURSIVE {FRAMES}, {load_sql(12, 16, 0.0, True, True)} SELECT cell, f, round(load, 9) AS load FROM l", "cube")
 def _(v: Views) -> DataFrame:
     return heat.sustained(frames(v), 12, 16, include_first=True, nan="hold").select("cell", "f", r("load").alias("load"))
 
 
-@query("w6_window_memory", f"WITH RECURSIVE {FRAMES.replace('CASE WHEN hour(t) % 7 = 3 THEN NULL ELSE tc END', 'tc')}, {load_sql(12, 16, 0.0, True)} SELECT cell, f, round(load, 6) AS load FROM l WHERE f < 60", "cube")
+@query("w6_window_memory", f"WITH RECURSIVE {FRAMES.replace('CASE WHEN hour(t) % 7 = 3 THEN NULL ELSE tc END', 'tc')}, {load_sql(12, 16, 0.0, True)} SELECT cell, f, round(load, 9) AS load FROM l WHERE f < 60", "cube")
 def _(v: Views) -> DataFrame:
     whole = frames(v).drop("hi").join(frames_full(v), ["cell", "f"]).where("f < 60")
     return heat.sustained_window(whole, 12, 16).select("cell", "f", r("load").alias("load"))
@@ -124,7 +124,7 @@ def frames_full(v: Views) -> DataFrame:
     return ranked.select((F.col("x") * 100 + F.col("y")).alias("cell"), (F.col("f") - 1).alias("f"), F.col("tc").alias("hi"))
 
 
-@query("t3_sweep", f"WITH RECURSIVE {FRAMES}, {load_sql(6, 15, 0.0, name='l0')}, {load_sql(24, 17, 0.5, name='l1')} SELECT 0 AS setting, cell, round(max(load), 6) AS most FROM l0 GROUP BY cell UNION ALL SELECT 1, cell, round(max(load), 6) FROM l1 GROUP BY cell", "cube")
+@query("t3_sweep", f"WITH RECURSIVE {FRAMES}, {load_sql(6, 15, 0.0, name='l0')}, {load_sql(24, 17, 0.5, name='l1')} SELECT 0 AS setting, cell, round(max(load), 9) AS most FROM l0 GROUP BY cell UNION ALL SELECT 1, cell, round(max(load), 9) FROM l1 GROUP BY cell", "cube")
 def _(v: Views) -> DataFrame:
     return heat.swept(frames(v), [(6.0, 15.0, 0.0), (24.0, 17.0, 0.5)]).groupBy("setting", "cell").agg(r(F.max("load")).alias("most"))
 
@@ -164,7 +164,7 @@ def _(v: Views) -> DataFrame:
     return regions.patches(with_patches(v), ["year", "cls"])
 
 
-@query("g5_g6_blobs", f"WITH RECURSIVE {CLS7}, {REACH}, {LAB} SELECT year, cls, label, count(*) AS cells, round(count(*) * {grid.area_km2(7)!r}, 3) AS km2, round(avg(degrees(asin(({ROW} + 0.5) / 128 * 2 - 1))), 6) AS lat, round(avg(({COL} + 0.5) / 256 * 360 - 180), 6) AS lon FROM lab GROUP BY 1, 2, 3 HAVING count(*) >= 2", "px")
+@query("g5_g6_blobs", f"WITH RECURSIVE {CLS7}, {REACH}, {LAB} SELECT year, cls, label, count(*) AS cells, round(count(*) * {grid.area_km2(7)!r}, 3) AS km2, round(avg(degrees(asin(({ROW} + 0.5) / 128 * 2 - 1))), 9) AS lat, round(avg(({COL} + 0.5) / 256 * 360 - 180), 9) AS lon FROM lab GROUP BY 1, 2, 3 HAVING count(*) >= 2", "px")
 def _(v: Views) -> DataFrame:
     found = regions.blobs(with_patches(v), ["year", "cls"], 7, 1.5 * grid.area_km2(7))
     return found.select("year", "cls", "label", "cells", r("km2", 3).alias("km2"), r("lat").alias("lat"), r("lon").alias("lon"))
@@ -176,7 +176,7 @@ def _(v: Views) -> DataFrame:
     return regions.track(found, ["year"]).select("year", "cls", "label", "cells")
 
 
-@query("a33_a34_summary", f"WITH RECURSIVE {CLS7}, {REACH}, {LAB}, b AS (SELECT year, cls, label, count(*) AS cells FROM lab GROUP BY 1, 2, 3) SELECT cls, count(*) AS blobs, round(max(cells) * {grid.area_km2(7)!r}, 3) AS largest, arg_max(year, cells * 10000 - year) AS at_frame, round(quantile_cont(cells, 0.5), 6) AS median, count(*) FILTER (cells > 3) AS big FROM b GROUP BY 1", "px")
+@query("a33_a34_summary", f"WITH RECURSIVE {CLS7}, {REACH}, {LAB}, b AS (SELECT year, cls, label, count(*) AS cells FROM lab GROUP BY 1, 2, 3) SELECT cls, count(*) AS blobs, round(max(cells) * {grid.area_km2(7)!r}, 3) AS largest, arg_max(year, cells * 10000 - year) AS at_frame, round(quantile_cont(cells, 0.5), 9) AS median, count(*) FILTER (cells > 3) AS big FROM b GROUP BY 1", "px")
 def _(v: Views) -> DataFrame:
     found = written(regions.blobs(with_patches(v), ["year", "cls"], 7).withColumnRenamed("year", "f"))
     stats = found.groupBy("cls").agg(r(F.percentile("cells", F.lit(0.5))).alias("median"), F.count_if(F.col("cells") > 3).alias("big"))
@@ -220,3 +220,15 @@ def _(v: Views) -> DataFrame:
 @query("g2_touched_at_least_one", f"SELECT id, count(*) > 0 AS reached FROM buildings GROUP BY id", "buildings")
 def _(v: Views) -> DataFrame:
     return zones.fill_touched(boxes(v), 9).groupBy("id").agg((F.count(F.lit(1)) > 0).alias("reached"))
+
+
+@query("w10_row_index", f"WITH c AS (SELECT DISTINCT {C6} AS cell FROM px) SELECT cell, CAST(row_number() OVER (ORDER BY cell) - 1 AS INT) AS row FROM c", "px")
+def _(v: Views) -> DataFrame:
+    """The order of rows of a matrix: cells sorted in ranges, numbered by the cells of the ranges before."""
+    cells = fold.with_cell(v.px, 6).select("cell").distinct()
+    return fold.row_index(cells, "cell")
+
+
+@query("s15_s17_sink", "SELECT year, count(*) AS n, round(sum(v), 4) AS total FROM px WHERE cls IS NOT NULL GROUP BY 1", "px")
+def _(v: Views) -> DataFrame:
+    return written(v.px.where("cls IS NOT NULL")).groupBy("year").agg(F.count(F.lit(1)).alias("n"), r(F.sum("v"), 4).alias("total"))

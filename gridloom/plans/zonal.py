@@ -74,19 +74,19 @@ def _(v: Views) -> DataFrame:
     return fold.with_cell(v.px, 7).select("y", "x", "cell").distinct().join(mask, "cell", "left_semi").select("y", "x")
 
 
-@query("g11_blob_centroids", "SELECT id, round(cx, 6) AS x, round(cy, 6) AS y, round(0.04 * 0.04, 8) AS area FROM buildings", "buildings")
+@query("g11_blob_centroids", "SELECT id, round(cx, 5) AS x, round(cy, 5) AS y, round(0.04 * 0.04, 8) AS area FROM buildings", "buildings")
 def _(v: Views) -> DataFrame:
     ringed = boxes(v).select("id", geometry.box_ring(F.col("w"), F.col("s"), F.col("e"), F.col("n")).alias("ring"))
     x, y = geometry.centroid(F.col("ring"))
-    return ringed.select("id", r(x).alias("x"), r(y).alias("y"), r(geometry.area(F.col("ring")), 8).alias("area"))
+    return ringed.select("id", r(x, 5).alias("x"), r(y, 5).alias("y"), r(geometry.area(F.col("ring")), 8).alias("area"))
 
 
-@query("j1_a8_zonal_mean", f"WITH {FILL7}, {FOLD7} SELECT id, round(avg(value), 6) AS value, count(*) AS cells FROM fill JOIN fold USING (cell) GROUP BY 1", "px zones")
+@query("j1_a8_zonal_mean", f"WITH {FILL7}, {FOLD7} SELECT id, round(avg(value), 9) AS value, count(*) AS cells FROM fill JOIN fold USING (cell) GROUP BY 1", "px zones")
 def _(v: Views) -> DataFrame:
     return zones.zonal_mean(fold.fold_mean(v.px, 7), zones.fill_boxes(v.zones, 7)).withColumn("value", r("value"))
 
 
-@query("w8_zone_ranking", f"WITH {FILL7}, {FOLD7}, z AS (SELECT id, avg(value) AS value, count(*) AS cells FROM fill JOIN fold USING (cell) WHERE value > 0 GROUP BY 1) SELECT id, name, round(value, 6) AS value, cells FROM z JOIN zones USING (id) ORDER BY value DESC, id LIMIT 10", "px zones")
+@query("w8_zone_ranking", f"WITH {FILL7}, {FOLD7}, z AS (SELECT id, avg(value) AS value, count(*) AS cells FROM fill JOIN fold USING (cell) WHERE value > 0 GROUP BY 1) SELECT id, name, round(value, 9) AS value, cells FROM z JOIN zones USING (id) ORDER BY value DESC, id LIMIT 10", "px zones")
 def _(v: Views) -> DataFrame:
     ranked = zones.with_names(zones.zonal_mean(fold.fold_mean(v.px, 7, positive=True), zones.fill_boxes(v.zones, 7)), v.zones.select("id", "name"))
     return zones.top_zones(ranked, 10).select("id", "name", r("value").alias("value"), "cells")
@@ -104,7 +104,7 @@ def _(v: Views) -> DataFrame:
     return zones.unreached(v.zones.select("id", "name"), reached)
 
 
-@query("a39_coverage", f"WITH {FILL7}, a AS (SELECT {C7} AS cell, count(*) AS n FROM px GROUP BY 1), b AS (SELECT {C7} AS cell FROM px WHERE cls = 1 GROUP BY 1) SELECT count(*) AS cells, round(avg(n), 6) AS mean_px, min(n) AS least, (SELECT count(DISTINCT id) FROM fill JOIN a USING (cell)) AS zones, round(avg(CASE WHEN b.cell IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS both FROM a LEFT JOIN b USING (cell)", "px zones")
+@query("a39_coverage", f"WITH {FILL7}, a AS (SELECT {C7} AS cell, count(*) AS n FROM px GROUP BY 1), b AS (SELECT {C7} AS cell FROM px WHERE cls = 1 GROUP BY 1) SELECT count(*) AS cells, round(avg(n), 9) AS mean_px, min(n) AS least, (SELECT count(DISTINCT id) FROM fill JOIN a USING (cell)) AS zones, round(avg(CASE WHEN b.cell IS NOT NULL THEN 1.0 ELSE 0.0 END), 9) AS both FROM a LEFT JOIN b USING (cell)", "px zones")
 def _(v: Views) -> DataFrame:
     cells = fold.fold_mean(v.px, 7)
     second = fold.fold_mean(v.px.where("cls = 1"), 7).select("cell", F.lit(1.0).alias("second"))
@@ -112,7 +112,7 @@ def _(v: Views) -> DataFrame:
     return cells.join(second, "cell", "left").agg(F.count(F.lit(1)).alias("cells"), r(F.avg("px")).alias("mean_px"), F.min("px").alias("least"), F.lit(zone_count).cast("long").alias("zones"), r(F.avg(F.coalesce("second", F.lit(0.0)))).alias("both"))
 
 
-@query("a37_join_quality", f"WITH {FOLD7}, b AS (SELECT id, {cell_sql(7, 'cy', 'cx')} AS cell, (abs(cx) + cy) / 2 AS w FROM buildings) SELECT round(corr(value, w), 6) AS c, round(quantile_cont(value / w, 0.5), 9) AS ratio, count(*) AS n FROM b JOIN fold USING (cell)", "px buildings")
+@query("a37_join_quality", f"WITH {FOLD7}, b AS (SELECT id, {cell_sql(7, 'cy', 'cx')} AS cell, (abs(cx) + cy) / 2 AS w FROM buildings) SELECT round(corr(value, w), 9) AS c, round(quantile_cont(value / w, 0.5), 9) AS ratio, count(*) AS n FROM b JOIN fold USING (cell)", "px buildings")
 def _(v: Views) -> DataFrame:
     at = v.buildings.select("id", grid.cell(F.col("cy"), F.col("cx"), 7).alias("cell"), ((F.abs("cx") + F.col("cy")) / 2).alias("w"))
     both = at.join(fold.fold_mean(v.px, 7), "cell")
@@ -146,7 +146,7 @@ def _(v: Views) -> DataFrame:
     return classes.rotation_matrix(pairs, [1, 2, 3, 4])
 
 
-@query("j3_j18_a14_area_by_year", "SELECT year, cls, name, n, round(n * 0.75 * 247.105, 6) AS acres FROM (SELECT year, cls, count(*) AS n FROM px WHERE cls IN (SELECT cls FROM px GROUP BY cls ORDER BY count(*) DESC, cls LIMIT 6) GROUP BY 1, 2) JOIN classes ON cls = code", "px classes")
+@query("j3_j18_a14_area_by_year", "SELECT year, cls, name, n, round(n * 0.75 * 247.105, 9) AS acres FROM (SELECT year, cls, count(*) AS n FROM px WHERE cls IN (SELECT cls FROM px GROUP BY cls ORDER BY count(*) DESC, cls LIMIT 6) GROUP BY 1, 2) JOIN classes ON cls = code", "px classes")
 def _(v: Views) -> DataFrame:
     out = classes.area_by_year(v.px, 6, 0.75)
     return out.join(v.classes, out["cls"] == F.col("code")).select("year", "cls", "name", "n", r("acres", 6).alias("acres"))
@@ -166,17 +166,17 @@ def agreed(v: Views) -> DataFrame:
 AGREED = "f AS (SELECT DISTINCT CAST(floor((cx + 180) / 2) AS BIGINT) AS gx, CAST(floor((60 - cy) / 2) AS BIGINT) AS gy FROM fields), c AS (SELECT cls, cls NOT IN (3, 7, 11) AS is_crop, f.gx IS NOT NULL AS is_field, count(*) AS px FROM (SELECT *, CAST(floor((lon + 180) / 2) AS BIGINT) AS gx, CAST(floor((60 - lat) / 2) AS BIGINT) AS gy FROM px) p LEFT JOIN f USING (gx, gy) GROUP BY ALL)"
 
 
-@query("a24_p27_two_by_two", f"WITH {AGREED} SELECT is_crop, is_field, CAST(sum(px) AS BIGINT) AS px, round(100 * sum(px) / sum(sum(px)) OVER (), 6) AS pct, CASE WHEN is_crop AND is_field THEN 1 WHEN is_crop THEN 2 WHEN is_field THEN 3 END AS kind FROM c GROUP BY 1, 2", "px fields")
+@query("a24_p27_two_by_two", f"WITH {AGREED} SELECT is_crop, is_field, CAST(sum(px) AS BIGINT) AS px, round(100 * sum(px) / sum(sum(px)) OVER (), 9) AS pct, CASE WHEN is_crop AND is_field THEN 1 WHEN is_crop THEN 2 WHEN is_field THEN 3 END AS kind FROM c GROUP BY 1, 2", "px fields")
 def _(v: Views) -> DataFrame:
     return classes.agreement_table(agreed(v)).withColumn("pct", r("pct"))
 
 
-@query("a25_misses", f"WITH {AGREED} SELECT cls, CAST(sum(px) AS BIGINT) AS px, round(100 * sum(CASE WHEN NOT is_field THEN px ELSE 0 END) / sum(px), 6) AS pct FROM c GROUP BY 1 HAVING sum(px) >= 5 ORDER BY 100 * sum(CASE WHEN NOT is_field THEN px ELSE 0 END) / sum(px) DESC, cls LIMIT 15", "px fields")
+@query("a25_misses", f"WITH {AGREED} SELECT cls, CAST(sum(px) AS BIGINT) AS px, round(100 * sum(CASE WHEN NOT is_field THEN px ELSE 0 END) / sum(px), 9) AS pct FROM c GROUP BY 1 HAVING sum(px) >= 5 ORDER BY 100 * sum(CASE WHEN NOT is_field THEN px ELSE 0 END) / sum(px) DESC, cls LIMIT 15", "px fields")
 def _(v: Views) -> DataFrame:
     return classes.misses(agreed(v), 5, 15, ~F.col("is_field")).withColumn("pct", r("pct"))
 
 
-@query("j8_j9_terrain_cover", f"WITH a AS (SELECT {C7} AS cell, avg(cls) AS c FROM px WHERE x % 2 = 0 GROUP BY 1), b AS (SELECT {C7} AS cell, avg(v) AS elev FROM px WHERE x % 3 = 0 GROUP BY 1) SELECT cell, round(c, 6) AS c, round(coalesce(elev, 0), 6) AS elev FROM a LEFT JOIN b USING (cell)", "px")
+@query("j8_j9_terrain_cover", f"WITH a AS (SELECT {C7} AS cell, avg(cls) AS c FROM px WHERE x % 2 = 0 GROUP BY 1), b AS (SELECT {C7} AS cell, avg(v) AS elev FROM px WHERE x % 3 = 0 GROUP BY 1) SELECT cell, round(c, 9) AS c, round(coalesce(elev, 0), 9) AS elev FROM a LEFT JOIN b USING (cell)", "px")
 def _(v: Views) -> DataFrame:
     cover = fold.fold_mean(v.px.where("x % 2 = 0").withColumn("cls", F.col("cls").cast("double")), 7, "cls")
     dem = fold.fold_mean(v.px.where("x % 3 = 0"), 7).select("cell", F.col("value").alias("elev"))
@@ -186,7 +186,7 @@ def _(v: Views) -> DataFrame:
 PARENT = f"(7::BIGINT << 58) + ({ROW} >> 2) * 536870912 + ({COL} >> 2)"
 
 
-@query("j11_parent_join", f"WITH f AS (SELECT {C9} AS cell, avg(v) AS fine FROM px GROUP BY 1), c AS (SELECT {C7} AS parent, avg(v) AS coarse FROM px WHERE x % 4 = 0 GROUP BY 1) SELECT cell, round(fine, 6) AS fine, round(coarse, 6) AS coarse FROM (SELECT *, {PARENT} AS parent FROM f) LEFT JOIN c USING (parent)", "px")
+@query("j11_parent_join", f"WITH f AS (SELECT {C9} AS cell, avg(v) AS fine FROM px GROUP BY 1), c AS (SELECT {C7} AS parent, avg(v) AS coarse FROM px WHERE x % 4 = 0 GROUP BY 1) SELECT cell, round(fine, 9) AS fine, round(coarse, 9) AS coarse FROM (SELECT *, {PARENT} AS parent FROM f) LEFT JOIN c USING (parent)", "px")
 def _(v: Views) -> DataFrame:
     coarse = fold.fold_mean(v.px.where("x % 4 = 0"), 7).select("cell", F.col("value").alias("coarse"))
     return zones.parent_join(fold.fold_mean(v.px, 9).select("cell", F.col("value").alias("fine")), coarse, 2).select("cell", r("fine").alias("fine"), r("coarse").alias("coarse"))
@@ -200,7 +200,7 @@ def hazard_cells(v: Views, level: int = 9) -> DataFrame:
     return zones.fill_boxes(rated, level, "fid").join(rated.select("fid", "zc"), "fid").groupBy("cell").agg(F.max("zc").alias("zc"))
 
 
-@query("j12_two_ladders", f"WITH {HZ9}, p AS (SELECT {PARENT} AS cell, count(*) FILTER (zc >= 2) AS hits, least(1, count(*) FILTER (zc >= 2) / 16) AS share FROM hz GROUP BY 1), {FILL7} SELECT id, round(avg(coalesce(share, 0)), 6) AS share, count(*) AS cells FROM fill LEFT JOIN p USING (cell) GROUP BY 1", "zones hazard")
+@query("j12_two_ladders", f"WITH {HZ9}, p AS (SELECT {PARENT} AS cell, count(*) FILTER (zc >= 2) AS hits, least(1, count(*) FILTER (zc >= 2) / 16) AS share FROM hz GROUP BY 1), {FILL7} SELECT id, round(avg(coalesce(share, 0)), 9) AS share, count(*) AS cells FROM fill LEFT JOIN p USING (cell) GROUP BY 1", "zones hazard")
 def _(v: Views) -> DataFrame:
     rolled = fold.share_of_children(hazard_cells(v), 2, F.col("zc") >= 2).withColumnRenamed("parent", "cell")
     return zones.fill_boxes(v.zones, 7).join(rolled, "cell", "left").groupBy("id").agg(r(F.avg(F.coalesce("share", F.lit(0.0)))).alias("share"), F.count(F.lit(1)).alias("cells"))
@@ -211,7 +211,7 @@ def _(v: Views) -> DataFrame:
     return zones.worst_class(zones.fill_touched(boxes(v), 9), hazard_cells(v))
 
 
-@query("j15_ring_widened", f"WITH m AS (SELECT id, cell, iy, ix FROM ({cells_sql(9)}) c JOIN buildings ON e0 > cx - 0.02 AND w0 <= cx + 0.02 AND n0 > cy - 0.02 AND s0 <= cy + 0.02), wd AS (SELECT DISTINCT id, cell + dy * 536870912 + dx AS cell FROM m, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) s(dx, dy)), f AS (SELECT {C9} AS cell, avg(v) AS v, avg(cls) AS c FROM px GROUP BY 1), t AS (SELECT id, avg(v) AS fire FROM m LEFT JOIN f USING (cell) GROUP BY 1), u AS (SELECT id, avg(c) AS fuel FROM wd JOIN f USING (cell) GROUP BY 1) SELECT id, round(fire, 6) AS fire, round(fuel, 6) AS fuel FROM t LEFT JOIN u USING (id)", "buildings px")
+@query("j15_ring_widened", f"WITH m AS (SELECT id, cell, iy, ix FROM ({cells_sql(9)}) c JOIN buildings ON e0 > cx - 0.02 AND w0 <= cx + 0.02 AND n0 > cy - 0.02 AND s0 <= cy + 0.02), wd AS (SELECT DISTINCT id, cell + dy * 536870912 + dx AS cell FROM m, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) s(dx, dy)), f AS (SELECT {C9} AS cell, avg(v) AS v, avg(cls) AS c FROM px GROUP BY 1), t AS (SELECT id, avg(v) AS fire FROM m LEFT JOIN f USING (cell) GROUP BY 1), u AS (SELECT id, avg(c) AS fuel FROM wd JOIN f USING (cell) GROUP BY 1) SELECT id, round(fire, 9) AS fire, round(fuel, 9) AS fuel FROM t LEFT JOIN u USING (id)", "buildings px")
 def _(v: Views) -> DataFrame:
     tight = zones.fill_touched(boxes(v), 9)
     cells = fold.with_cell(v.px, 9).groupBy("cell").agg(F.avg("v").alias("v"), F.avg("cls").alias("c"))
@@ -249,7 +249,7 @@ def _(v: Views) -> DataFrame:
     return classes.area_by_year(v.px, 6, 1.0).select("year", "cls").join(v.px.where(F.col("lat").between(28, 44)), ["year", "cls"]).groupBy("year", "cls").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a26_w3_composition", "SELECT year, cls, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY year), 6) AS pct FROM px GROUP BY 1, 2", "px")
+@query("a26_w3_composition", "SELECT year, cls, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY year), 9) AS pct FROM px GROUP BY 1, 2", "px")
 def _(v: Views) -> DataFrame:
     return classes.composition(v.px).withColumn("pct", r("pct"))
 
@@ -259,29 +259,29 @@ def _(v: Views) -> DataFrame:
     return classes.change(v.px)
 
 
-@query("a19_field_summary", "SELECT count(*) AS fields, round(sum(2 * r * r), 6) AS area, round(quantile_cont(2 * r * r, 0.5), 6) AS median, round(max(2 * r * r), 6) AS largest FROM fields", "fields")
+@query("a19_field_summary", "SELECT count(*) AS fields, round(sum(2 * r * r), 9) AS area, round(quantile_cont(2 * r * r, 0.5), 9) AS median, round(max(2 * r * r), 9) AS largest FROM fields", "fields")
 def _(v: Views) -> DataFrame:
     sized = field_rings(v).select(geometry.area(F.col("ring")).alias("a"))
     return sized.agg(F.count(F.lit(1)).alias("fields"), r(F.sum("a")).alias("area"), r(F.percentile("a", F.lit(0.5))).alias("median"), r(F.max("a")).alias("largest"))
 
 
-@query("a20_w1_w2_majority", f"WITH {HITS}, {MAJ} SELECT id, cls, n, total, round(purity, 6) AS purity, CAST(rn AS INT) AS rn FROM maj", "px fields")
+@query("a20_w1_w2_majority", f"WITH {HITS}, {MAJ} SELECT id, cls, n, total, round(purity, 9) AS purity, CAST(rn AS INT) AS rn FROM maj", "px fields")
 def _(v: Views) -> DataFrame:
     return classes.field_majority(field_hits(v)).withColumn("purity", r("purity"))
 
 
-@query("a21_crop_summary", f"WITH {HITS}, {MAJ} SELECT cls, count(*) AS fields, round(sum(2 * r * r), 6) AS area, round(quantile_cont(2 * r * r, 0.5), 6) AS median_area, round(avg(purity), 6) AS mean_purity FROM maj JOIN fields USING (id) WHERE rn = 1 GROUP BY 1", "px fields")
+@query("a21_crop_summary", f"WITH {HITS}, {MAJ} SELECT cls, count(*) AS fields, round(sum(2 * r * r), 9) AS area, round(quantile_cont(2 * r * r, 0.5), 9) AS median_area, round(avg(purity), 9) AS mean_purity FROM maj JOIN fields USING (id) WHERE rn = 1 GROUP BY 1", "px fields")
 def _(v: Views) -> DataFrame:
     areas = field_rings(v).select("id", geometry.area(F.col("ring")).alias("area"))
     return classes.crop_summary(classes.field_majority(field_hits(v)), areas).select("cls", "fields", *[r(c).alias(c) for c in ("area", "median_area", "mean_purity")])
 
 
-@query("a22_j19_mixed_fields", f"WITH {HITS}, {MAJ} SELECT a.id, a.cls AS first, b.cls AS second, round(a.purity, 6) AS purity, round(b.purity, 6) AS second_share FROM maj a JOIN maj b ON a.id = b.id WHERE a.rn = 1 AND b.rn = 2 ORDER BY a.purity, a.id LIMIT 12", "px fields")
+@query("a22_j19_mixed_fields", f"WITH {HITS}, {MAJ} SELECT a.id, a.cls AS first, b.cls AS second, round(a.purity, 9) AS purity, round(b.purity, 9) AS second_share FROM maj a JOIN maj b ON a.id = b.id WHERE a.rn = 1 AND b.rn = 2 ORDER BY a.purity, a.id LIMIT 12", "px fields")
 def _(v: Views) -> DataFrame:
     return classes.mixed_fields(classes.field_majority(field_hits(v)), 12).withColumns({"purity": r("purity"), "second_share": r("second_share")})
 
 
-@query("a36_campaigns", "WITH d AS (SELECT DISTINCT o_custkey % 20 AS footprint, year(o_orderdate) AS campaign, min(o_orderdate) OVER (PARTITION BY o_custkey % 20, year(o_orderdate)) AS day FROM orders), s AS (SELECT campaign, count(*) AS footprints, count(DISTINCT day) = 1 AS single, count(*) / 20.0 AS coverage FROM d GROUP BY 1) SELECT CAST(campaign AS INT) AS campaign, footprints, single, round(coverage, 6) AS coverage, row_number() OVER (ORDER BY coverage DESC, single DESC, campaign DESC) = 1 AS best FROM s")
+@query("a36_campaigns", "WITH d AS (SELECT DISTINCT o_custkey % 20 AS footprint, year(o_orderdate) AS campaign, min(o_orderdate) OVER (PARTITION BY o_custkey % 20, year(o_orderdate)) AS day FROM orders), s AS (SELECT campaign, count(*) AS footprints, count(DISTINCT day) = 1 AS single, count(*) / 20.0 AS coverage FROM d GROUP BY 1) SELECT CAST(campaign AS INT) AS campaign, footprints, single, round(coverage, 9) AS coverage, row_number() OVER (ORDER BY coverage DESC, single DESC, campaign DESC) = 1 AS best FROM s")
 def _(v: Views) -> DataFrame:
     items = v.orders.groupBy((F.col("o_custkey") % 20).alias("footprint"), F.year("o_orderdate").alias("campaign")).agg(F.min("o_orderdate").alias("day"))
     scored = items.groupBy("campaign").agg(F.count(F.lit(1)).alias("footprints"), (F.count_distinct("day") == 1).alias("single"), r(F.count(F.lit(1)) / 20.0).alias("coverage"))
