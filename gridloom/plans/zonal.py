@@ -104,12 +104,12 @@ def _(v: Views) -> DataFrame:
     return zones.unreached(v.zones.select("id", "name"), reached)
 
 
-@query("a39_coverage", f"WITH {FILL7}, a AS (SELECT {C7} AS cell, count(*) AS n FROM px GROUP BY 1), b AS (SELECT {C7} AS cell FROM px WHERE cls = 1 GROUP BY 1) SELECT count(*) AS cells, round(avg(n), 9) AS mean_px, min(n) AS least, (SELECT count(DISTINCT id) FROM fill JOIN a USING (cell)) AS zones, round(avg(CASE WHEN b.cell IS NOT NULL THEN 1.0 ELSE 0.0 END), 9) AS both FROM a LEFT JOIN b USING (cell)", "px zones")
+@query("a39_coverage", f"WITH {FILL7}, a AS (SELECT {C7} AS cell, count(*) AS n FROM px GROUP BY 1), b AS (SELECT {C7} AS cell FROM px WHERE cls = 1 GROUP BY 1) SELECT count(*) AS cells, round(avg(n), 9) AS mean_px, min(n) AS least, (SELECT count(DISTINCT id) FROM fill JOIN a USING (cell)) AS zones, round(avg(CASE WHEN b.cell IS NOT NULL THEN 1.0 ELSE 0.0 END), 9) AS both_share FROM a LEFT JOIN b USING (cell)", "px zones")
 def _(v: Views) -> DataFrame:
     cells = fold.fold_mean(v.px, 7)
     second = fold.fold_mean(v.px.where("cls = 1"), 7).select("cell", F.lit(1.0).alias("second"))
     zone_count = zones.zonal_mean(cells, zones.fill_boxes(v.zones, 7)).count()
-    return cells.join(second, "cell", "left").agg(F.count(F.lit(1)).alias("cells"), r(F.avg("px")).alias("mean_px"), F.min("px").alias("least"), F.lit(zone_count).cast("long").alias("zones"), r(F.avg(F.coalesce("second", F.lit(0.0)))).alias("both"))
+    return cells.join(second, "cell", "left").agg(F.count(F.lit(1)).alias("cells"), r(F.avg("px")).alias("mean_px"), F.min("px").alias("least"), F.lit(zone_count).cast("long").alias("zones"), r(F.avg(F.coalesce("second", F.lit(0.0)))).alias("both_share"))
 
 
 @query("a37_join_quality", f"WITH {FOLD7}, b AS (SELECT id, {cell_sql(7, 'cy', 'cx')} AS cell, (abs(cx) + cy) / 2 AS w FROM buildings) SELECT round(corr(value, w), 9) AS c, round(quantile_cont(value / w, 0.5), 9) AS ratio, count(*) AS n FROM b JOIN fold USING (cell)", "px buildings")

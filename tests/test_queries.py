@@ -23,14 +23,16 @@ def con():
 
 
 def plain(rows):
-    """Rows as sorted lists: numbers as floats to six figures, times as text."""
+    """Rows as sorted lists: numbers as floats to six figures (cell ids as they are), times as text."""
 
     def one(x):
         if x is None or isinstance(x, float) and math.isnan(x):
             return "null"
         if isinstance(x, bool | str):
             return str(x)
-        return str(x) if hasattr(x, "isoformat") else f"{float(x):.5g}"
+        if hasattr(x, "isoformat") or isinstance(x, int) and abs(x) > 1 << 53:
+            return str(x)
+        return f"{float(x) + 0.0:.6g}"
 
     return sorted(tuple(map(one, r)) for r in rows)
 
