@@ -43,9 +43,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, their number, and whether they decode to the text."""
     path, pattern = public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
-    ids = bpe_codec.encode(docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)), path, pattern, keep=["doc_id", "lang", "source", "n_chars", "digest"])
-    back = bpe_codec.decode(ids, path, pattern)
-    return back.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("digest")).alias("exact"))
+    ids = bpe_codec.round_trip(docs, path, pattern, keep=["doc_id", "lang", "source", "n_chars"])
+    return ids.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", "exact")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mix", mix), ("encoded", encoded)]

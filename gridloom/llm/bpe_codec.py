@@ -78,3 +78,19 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids", out: s
                 yield with_columns(part, keep, **{out: pa.array([enc.decode_bytes(x or []) for x in part.column(at).to_pylist()], pa.binary())})
 
     return inner.mapInArrow(run, kept_schema(df, keep, (out, "binary")))
+
+
+def round_trip(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "ids", exact: str = "exact", keep: list[str] | None = None, limit: int = 1 << 15) -> DataFrame:
+    """The columns `keep` (all by default), `ids`, and whether they decode to the text's bytes: one pass, one worker a task."""
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (ids, exact)]
+    inner = df.select(*dict.fromkeys([*keep, text]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(rank_path, pattern)
+        for batch in batches:
+            for part, texts in slices(batch, text):
+                found = [encode_text(t, enc, limit) for t in texts]
+                same = [enc.decode_bytes(i) == (t or "").encode() for i, t in zip(found, texts, strict=True)]
+                yield with_columns(part, keep, **{ids: pa.array(found, pa.list_(pa.int32())), exact: pa.array(same)})
+
+    return inner.mapInArrow(run, kept_schema(df, keep, (ids, "array<int>"), (exact, "boolean")))
