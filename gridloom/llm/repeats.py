@@ -7,6 +7,10 @@ whole corpus (by range, with document and place as last keys, so that no group o
 compared with the next ones in that order; a match is extended to the right and to the left as far as a passage of
 `least` words through that place can need, and the spans of a document's matches are merged.
 
+That settles the hashes of few suffixes, where each meets all others. Of the others, every window is settled by
+aggregates: a retained place owns the windows that selected it, equal windows have equal owners, and the least and the
+greatest document of a window's hash tell whether two have it. Equal stretches of owned windows count as one row first.
+
 Words are compared by 24-bit hashes after a 64-bit hash of the first `GRAM`; case counts. Null and blank texts, and those of
 fewer than `least` words, have no passages. A row without an id is a document like others; repeated rows are copies of
 each other only if their ids differ: matches count between different ids alone, or also inside one with `within`. An empty
@@ -49,8 +53,8 @@ class Words:
         return np.fromiter(map(known.__getitem__, found), U, len(found))
 
 
-def minimisers(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the retained suffixes of a word array."""
+def owners(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes): the retained place of each window of a word array, ascending, and the hash of each."""
     if len(words) < least:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     n = len(words) - GRAM + 1
@@ -59,10 +63,39 @@ def minimisers(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         gram = mixed(gram * U(0x9E3779B97F4A7C15) + words[k : k + n])
     wide = least - GRAM + 1
     windows = np.lib.stride_tricks.sliding_window_view(gram, wide)
-    places = np.unique(np.concatenate([np.argmin(windows[i : i + 4096], axis=1) + np.arange(i, min(i + 4096, len(windows))) for i in range(0, len(windows), 4096)]))
+    places = np.concatenate([np.argmin(windows[i : i + 4096], axis=1) + np.arange(i, min(i + 4096, len(windows))) for i in range(0, len(windows), 4096)])
     return places, gram[places].view(np.int64)
 
 
+def minimisers(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the retained suffixes of a word array."""
+    owner, keys = owners(words, least)
+    places, first = np.unique(owner, return_index=True)
+    return places, keys[first]
+
+
+def window_hashes(words: np.ndarray, least: int) -> np.ndarray:
+    """A 64-bit hash of each window of `least` words, put together from those of 1, 2, 4, ... words."""
+    n, size, done, power = len(words) - least + 1, 1, 0, words
+    out = np.full(n, least, U)
+    while size <= least:
+        if least & size:
+            out = mixed(out * U(0x9E3779B97F4A7C15) + power[done : done + n])
+            done += size
+        power = mixed(power[:-size] * U(0x9E3779B97F4A7C15) + power[size:])
+        size *= 2
+    return out.view(np.int64)
+
+
+def owned(words: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, pa.Array]:
+    """The first window that each retained place owns, and the hashes of all that it owns, one after the other."""
+    owner, hashes = owners(words, least)[0], window_hashes(words, least)
+    first, size = np.searchsorted(owner, places), np.searchsorted(owner, places, "right") - np.searchsorted(owner, places)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)
+    return first, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes[at]))
+
+
 def contexts(words: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the words from each place on, and of those before it (nearest first); zeros beyond the text."""
     left = least - GRAM
@@ -105,6 +138,21 @@ def matched(table: pa.Table, least: int, within: bool, apart: int = 0) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
+def settled(stretches: DataFrame, least: int, within: bool) -> DataFrame:
+    """Spans of (doc_id, row, first, windows, stretch) whose windows another document has, however many have them."""
+    own = F.struct("doc_id", "row", "first") if within else F.struct("doc_id")
+    # tables of their own, so that the joins are free to split a stretch or a window that many documents share
+    each = written(stretches.groupBy("stretch").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.any_value("windows").alias("windows")))
+    ends = each.select(F.explode("windows").alias("window"), "low", "high").groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    ends = written(ends.where("low < high"))
+    other = F.when(own == F.col("low"), F.col("high.doc_id")).otherwise(F.col("low.doc_id")).alias("other")
+    met = stretches.join(each.select("stretch", "low", "high"), "stretch")
+    whole = met.where("low < high").select("doc_id", "row", F.col("first").alias("start"), (F.col("first") + F.size("windows") + (least - 1)).alias("stop"), other)
+    lone = met.where("low = high").select("doc_id", "row", "first", F.posexplode("windows").alias("nth", "window")).join(ends, "window")
+    start = F.col("first") + F.col("nth")
+    return whole.unionByName(lone.select("doc_id", "row", start.alias("start"), (start + least).alias("stop"), other))
+
+
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 50, within: bool = False) -> DataFrame:
     """(doc_id, start, stop, n_words, other): the maximal runs of words start..stop-1 that repeat elsewhere, the text's words,
     and the smallest id of a document that a match of the run was found in."""
@@ -124,15 +172,16 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     retained = written(docs.mapInArrow(select, "doc_id bigint, row bigint, n_words int, places array<int>, keys array<bigint>").where(F.size("places") > 0))
     suffixes = retained.select("doc_id", "row", F.explode(F.arrays_zip("places", "keys")).alias("s")).select("doc_id", "row", F.col("s.places").alias("place"), F.col("s.keys").alias("key"))
     # a table of its own, so that the join below is free to split a key that many suffixes share
-    often = written(suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    often = written(suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     # a text's places are at most its words: a bounded list
-    wanted = suffixes.join(often, "key").groupBy("doc_id", "row").agg(F.collect_set("place").alias("places"))
+    many = F.collect_set(F.when(F.col("n") > NEAR + 1, F.col("place"))).alias("many")
+    wanted = suffixes.join(often, "key").groupBy("doc_id", "row").agg(F.collect_set("place").alias("places"), many)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
             for part, texts in slices(batch, "text", 1 << 20):
-                for doc, row, places, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), texts, strict=True):
+                for doc, row, places, many, t in zip(*(part.column(c).to_pylist() for c in range(4)), texts, strict=True):
                     w = words.of(t)
                     at, keys = minimisers(w, least)
                     hit = np.isin(at, places)
@@ -141,11 +190,16 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys), pa.array([r.tobytes() for r in after], pa.binary()), pa.array([r.tobytes() for r in before], pa.binary()), pa.array(np.full(len(at), doc)), pa.array(np.full(len(at), row)), pa.array(at.astype(np.int32))],
                         names=SUFFIX,
-                    )
+                    ).append_column("first", pa.nulls(len(at), pa.int32())).append_column("windows", pa.nulls(len(at), pa.list_(pa.int64())))
+                    if many:
+                        first, windows = owned(w, at := np.unique(np.array(many, np.int64)), least)
+                        none = [pa.nulls(len(at), c) for c in (pa.int64(), pa.binary(), pa.binary())]
+                        yield pa.RecordBatch.from_arrays([*none, pa.array(np.full(len(at), doc)), pa.array(np.full(len(at), row)), pa.array(at.astype(np.int32)), pa.array(first.astype(np.int32)), windows], names=[*SUFFIX, "first", "windows"])
 
     # `wanted` grows with the data: one plan at every size
-    texts = wanted.hint("merge").join(docs, ["doc_id", "row"]).select("doc_id", "row", "places", "text")
-    kept = written(texts.mapInArrow(cut, "key bigint, after binary, before binary, doc_id bigint, row bigint, place int"))
+    texts = wanted.hint("merge").join(docs, ["doc_id", "row"]).select("doc_id", "row", "places", "many", "text")
+    cuts = written(texts.mapInArrow(cut, "key bigint, after binary, before binary, doc_id bigint, row bigint, place int, first int, windows array<bigint>"))
+    kept = cuts.where("windows is null").select(*SUFFIX)
     order = ["key", "after", "doc_id", "row", "place"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = kept.repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -193,7 +247,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             before = before.slice(max(0, before.num_rows - NEAR))
 
     across = edges.repartition(1).sortWithinPartitions("side", *order).mapInArrow(meet, SPAN)
-    spans = both.where("side is null").drop("side", *[f"e_{c}" for c in SUFFIX]).unionByName(across).distinct()
+    stretches = cuts.where("windows is not null").select("doc_id", "row", "first", "windows", F.xxhash64("windows").alias("stretch"))
+    spans = both.where("side is null").drop("side", *[f"e_{c}" for c in SUFFIX]).unionByName(across).unionByName(settled(stretches, least, within)).distinct()
     # merge the spans of a text that touch or overlap
     by = Window.partitionBy("doc_id", "row").orderBy("start", "stop")
     reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))

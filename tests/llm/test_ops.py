@@ -197,6 +197,32 @@ def test_repeated_spans_equal_brute_force(spark):
     assert dict(got) == repeats_plain(rows, 50)
 
 
+def crowded():
+    """A passage many times in each of two documents; passages of two documents each that end in a phrase all have."""
+    line, phrase = prose(300, 50), prose(301, 12)
+    texts = [" ".join([prose(302 + i, 30, 5000), *[line] * 20, prose(304 + i, 30, 5000)]) for i in range(2)]
+    texts += ["Der " * 300 + prose(306 + i, 60, 5000) for i in range(2)]
+    for i in range(120):
+        texts += [" ".join([prose(400 + i, 45, 5000), phrase, prose(1000 + 2 * i + k, 60, 5000)]) for k in range(2)]
+    return texts
+
+
+@pytest.mark.parametrize("least", [50, 33])
+def test_repeated_spans_of_crowded_keys(spark, least):
+    texts = crowded()
+    got = collections.defaultdict(set)
+    for r in repeats.repeated_spans(frame(spark, texts), least=least).collect():
+        got[r.doc_id].update(range(r.start, r.stop))
+        assert r.other != r.doc_id
+    assert dict(got) == repeats_plain(list(enumerate(texts)), least)
+
+
+def test_repeats_inside_one_document(spark):
+    texts = [" ".join([prose(310, 60, 5000), *[prose(311, 50)] * 9, prose(312, 60, 5000)]), prose(313, 200, 5000)]
+    got = [(r.doc_id, r.start, r.stop) for r in repeats.repeated_spans(frame(spark, texts), within=True).collect()]
+    assert got == [(0, 60, 510)]
+
+
 def test_mixing_shares_caps_and_copies(spark):
     rows = [(i, prose(i, 5 + i % 40), "en", ("a", "b", "c", "d", None)[min(4, i % 7)], 0) for i in range(700)]
     got = mixing.systematic_copies(spark.createDataFrame(rows, SCHEMA)).collect()
