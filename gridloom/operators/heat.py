@@ -38,11 +38,25 @@ def sustained(frames: DataFrame, half_life: float | Column = 24.0, threshold: fl
 
 
 def sustained_window(frames: DataFrame, half_life: float, threshold: float, by: tuple[str, ...] = ("cell",)) -> DataFrame:
-    """The same without rain, first frame included, as one window sum of powers: for films of bounded length only."""
+    """The same without rain, first frame included, as window sums of powers in blocks of frames.
+
+    Powers count from a block's first frame, so that they stay below 2^500; what the blocks before leave at that frame is
+    folded over a cell's blocks."""
     a = 2 ** (-1 / half_life)
-    w = Window.partitionBy(*by).orderBy("f").rowsBetween(Window.unboundedPreceding, 0)
-    part = (1 - a) * F.greatest(F.lit(0.0), F.col("hi") - threshold) * F.pow(F.lit(a), -F.col("f"))
-    return frames.select(*by, "f", (F.pow(F.lit(a), F.col("f")) * F.sum(part).over(w)).alias("load"))
+    wide = max(1, int(500 * half_life))
+    placed = frames.withColumns({"block": F.floor(F.col("f") / wide), "at": F.pmod("f", F.lit(wide))})
+    w = Window.partitionBy(*by, "block").orderBy("f").rowsBetween(Window.unboundedPreceding, 0)
+    part = (1 - a) * F.greatest(F.lit(0.0), F.col("hi") - threshold) * F.pow(F.lit(a), -F.col("at"))
+    inside = placed.select(*by, "f", "block", "at", F.sum(part).over(w).alias("sum"))
+    films = inside.groupBy(*by, "block").agg(F.max("sum").alias("sum")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("block", "sum"))).alias("film"))
+
+    def step(acc: Column, x: Column) -> Column:
+        left = acc["left"] * F.pow(F.lit(a), (x["block"] - acc["block"]) * wide)
+        return F.struct(x["block"].alias("block"), (left + x["sum"]).alias("left"), F.concat(acc["out"], F.array(F.struct(x["block"].alias("block"), left.alias("left")))).alias("out"))
+
+    start = F.struct(F.col("film")[0]["block"].alias("block"), F.lit(0.0).alias("left"), F.array().cast("array<struct<block:bigint,left:double>>").alias("out"))
+    lefts = films.select(*by, F.inline(F.aggregate("film", start, step, lambda acc: acc["out"])))
+    return inside.join(lefts, [*by, "block"]).select(*by, "f", (F.pow(F.lit(a), F.col("at")) * (F.col("sum") + F.col("left"))).alias("load"))
 
 
 def swept(frames: DataFrame, params: list[tuple[float, float, float]], by: tuple[str, ...] = ("cell",)) -> DataFrame:

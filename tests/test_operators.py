@@ -127,3 +127,16 @@ def test_predicates_reach_the_scan(spark, tmp_path):
     places(spark).write.parquet(str(tmp_path / "t"))
     plan = tables.in_box(spark.read.parquet(str(tmp_path / "t")), -10, -10, 10, 10).select("v")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(lon), IsNotNull(lat), GreaterThanOrEqual(lon,-10.0)" in plan
+
+
+def test_window_memory_of_long_films(spark):
+    """Films of more blocks than powers of a half-life fit in a double, with frames left out and frames without a value."""
+    rows = [(c, f, None if f % 7 == 3 else 20.0 + (f * 37 % 11) if f % 900 < 300 else 0.0, 0.0) for c in (1, 2) for f in range(c * 40, 3000) if f % 13]
+    df = spark.createDataFrame(rows, "cell long, f int, hi double, mm double")
+    a, expected, last = 2 ** (-1 / 1.5), {}, {}
+    for c, f, hi, _ in rows:
+        load, at = last.get(c, (0.0, f))
+        load = load * a ** (f - at) + (1 - a) * max(0.0, (hi or 0.0) - 16)
+        expected[c, f], last[c] = load, (load, f)
+    got = {(r.cell, r.f): r.load for r in heat.sustained_window(df, 1.5, 16).collect()}
+    assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in expected)
