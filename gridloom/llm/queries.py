@@ -44,7 +44,7 @@ def quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_model.fit(docs, quality_grades(spark, sf_dir))
-    found = quality_model.graded(docs, model, keep=["doc_id"])
+    found = quality_model.graded(docs, model, keep=["doc_id"], at_least=2)
     return found.select("doc_id", "expected_grade", F.get("tails", 0).alias("p_grade_1"), F.get("tails", 1).alias("p_grade_2"), F.col("selected").alias("kept"))
 
 

@@ -326,3 +326,13 @@ def test_media_query_digests(spark, tmp_path):
         raw = (AWKWARD[r.doc_id] or "").encode()
         data = raw + b" " * (-len(raw) % 192 if raw else 192)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]))
+
+
+def test_kept_documents_are_good_and_not_toxic(spark, tmp_path):
+    kinds = ["fine clear sound useful".split(), "fine clear rude nasty".split(), "### *** $$$ %%%".split()]
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice(kinds[i % 3]) for _ in range(30)) for i in range(180)]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 < 2), int(i % 3 == 1)) for i in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r.kept for r in queries.op3_quality_model(spark, str(tmp_path)).collect()}
+    assert got == {i: i % 3 == 0 for i in range(180)}
