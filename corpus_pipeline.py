@@ -35,9 +35,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    copies = mixing.systematic_copies(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    taken = docs.join(copies.hint("merge"), docs["doc_id"].eqNullSafe(copies["mixed_id"]))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    rows = docs.withColumn("mixed_row", F.struct(*docs.columns))  # one column, so that no name meets the operator's own
+    taken = mixing.systematic_copies(rows, carry=["mixed_row"]).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("mixed_row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,7 +72,7 @@ def systematic_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "so
     before = Window.partitionBy("source").orderBy("step", "cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("source", "step", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     starts = join_null_safe(starts, targets, ["source"])
-    within = Window.partitionBy("source", "step", "cell").orderBy("key", "doc_id", "size")
+    within = Window.partitionBy("source", "step", "cell").orderBy("key", "doc_id", "size", *([F.xxhash64(*carry)] if carry else []))
     ranked = placed.withColumn("rank", F.row_number().over(within))
     joined = join_null_safe(ranked, starts, ["source", "step", "cell"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)

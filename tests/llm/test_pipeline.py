@@ -46,3 +46,12 @@ def test_stages(spark):
     last = stages["encoded"](spark, mixed, SF).collect()
     enc = bpe_codec.encoding(queries.public_tokenizers.path(queries.RANK_FILE), queries.public_tokenizers.PATTERN)
     assert len(last) == len(rows) and all(r.exact and r.ids == enc.encode_ordinary(texts[r.doc_id]) for r in last)
+
+
+def test_mix_draws_for_each_row_of_an_id(spark):
+    sizes = [10 + i % 30 for i in range(400)]
+    rows = [(None if i % 2 else 7, " ".join(f"w{i}x{k}" for k in range(n)), "en", "s", 1, "x") for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string")
+    got = corpus_pipeline.mix(spark, docs, SF)
+    words = [len(r.text.split()) for r in got.collect()]
+    assert got.columns == docs.columns and abs(sum(words) - 1.5 * sum(sizes)) <= 0.05 * sum(sizes)
