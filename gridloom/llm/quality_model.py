@@ -15,6 +15,7 @@ an id graded more than once counts as often. Rows are independent; an empty tabl
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +33,18 @@ PLACES = 1 << 16
 REMEMBERED = 60_000
 
 
+class Classes(dict):
+    """Characters by their class, for str.translate; made as they are met."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = k = "a" if c.islower() else "A" if c.isupper() else "l" if c.isalpha() else "0" if c.isdigit() else c
+        return k
+
+
+CLASSES, RUN = Classes(), re.compile(r"(.)\1+", re.DOTALL)
+
+
 class Features:
     """Hashed features of texts; remembers the places of words up to a bound."""
 
@@ -44,12 +57,7 @@ class Features:
     @staticmethod
     def shape(word: str) -> str:
         """A word with letters and digits as classes and runs as one: `Ered***` is `Aa*`."""
-        out = ""
-        for c in word[:64]:
-            k = "a" if c.islower() else "A" if c.isupper() else "l" if c.isalpha() else "0" if c.isdigit() else c
-            if not out.endswith(k):
-                out += k
-        return out
+        return RUN.sub(r"\1", word.translate(CLASSES))
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Places and values: damped word counts of length 1, shares of word shapes, the share of repeated neighbours."""

@@ -336,3 +336,8 @@ def test_kept_documents_are_good_and_not_toxic(spark, tmp_path):
     spark.createDataFrame([(i, int(i % 3 < 2), int(i % 3 == 1)) for i in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r.doc_id: r.kept for r in queries.op3_quality_model(spark, str(tmp_path)).collect()}
     assert got == {i: i % 3 == 0 for i in range(180)}
+
+
+def test_shapes_are_of_whole_words():
+    shape = quality_model.Features.shape
+    assert shape("Ered***") == "Aa*" and shape("x" * 70) == "a" and shape("漢字" * 40 + "É9#!" * 2) == "lA0#!A0#!"
