@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.sources.tables import written
+from gridloom.sources.tables import discard, written
 
 
 def roots(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,11 +67,12 @@ def components(edges: DataFrame) -> DataFrame:
         below = large.where("u > v")
         least = below.groupBy("u").agg(F.min("v").alias("m"))
         moved = below.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        star = written(contract(moved).distinct())
-        # done when no node has two parents and no parent is itself below another node
-        twice = star.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        chained = star.join(star.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
-        if twice.isEmpty() and chained.isEmpty():
+        before, star = star, written(contract(moved).distinct())
+        discard(before)
+        # done when no node has two parents and no parent is itself below another node: one pass over the ends
+        ends = star.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("top")).unionByName(star.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("top")))
+        seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("top").alias("top"))
+        if seen.where("up > 1 OR (up > 0 AND top > 0)").isEmpty():
             break
     linked = star.select(F.col("u").alias("node"), F.col("v").alias("root"))
     tops = star.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))

@@ -10,16 +10,49 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints. Where none is set: a new local one in local mode, as in tests; on a
+    cluster ValueError, as executors don't share their own disks."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def session_dir(spark: SparkSession) -> str:
+    """The folder of all tables that this application has written."""
+    return f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that the cluster names for checkpoints (a local one only where none is set), read back."""
+    """df as a Parquet table in the shared folder, read back: cuts the lineage, survives lost executors.
+
+    The table stays until `discard` or `clear`, as results may still be read from it."""
     spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        at = spark.sparkContext.getCheckpointDir()
-    path = f"{at.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` gave, once nothing reads them any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written; results that still read from them are lost."""
+    _delete(spark, session_dir(spark))
 
 
 def grid_table(spark: SparkSession, path: str, level: int | None = None) -> DataFrame:
