@@ -6,10 +6,12 @@ where 100 * |intersection| >= percent * |union| of the full sets; groups are the
 
 Steps: one pass makes each document's set size, fingerprint and band keys. Equal sets fall together by their fingerprint
 (an aggregate, so a third of all rows may be copies). Set representatives that share a band key form candidate
-components, by ids alone. Texts meet once per candidate component, in blocks of bounded size that are compared by an
-exact matrix product; a component of more than a block is first cut into blocks that share a few pivots, then only the
-members that are still apart from its largest part meet the other blocks. No pair list is ever emitted: a block returns
-a spanning forest of its links.
+components, by ids alone. A component of a block's size is compared by one exact matrix product of its full sets. Larger
+ones are cut into blocks that share some pivots (random members and the most central ones); what a component's largest
+part has not reached by then is looked for by prefixes: with the shingles of a component in one order, the rarest first,
+two sets that link share one of the first few of each, so only members that share such a shingle are compared. Pages of
+one template whose own words differ share none and are not compared again: texts sent grow in proportion to documents.
+No pair list is ever emitted: a block returns a spanning forest of its links.
 
 A document without an id takes part in no group: its component is null and it is kept. Rows that repeat an id are one
 node. Ties go to the smallest id. Empty tables give empty results; other columns play no part.
@@ -30,8 +32,10 @@ from gridloom.llm.components import components, roots
 
 U = np.uint64
 BANDS, ROWS = 24, 6
-#: Members of a block; of its pivots, as many as these are expected.
-BLOCK, PIVOTS = 224, 32
+#: Members of a block; random pivots that a component of several blocks is expected to have; its central ones at most.
+BLOCK, PIVOTS, CENTRAL = 224, 24, 16
+#: Sets with fewer shingles take many levels of ranks.
+FEW, BATCH = 16, 8192
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -73,20 +77,36 @@ def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
 
     Each element deals the ranks 0, 1, 2, ... to slots in the order of a random permutation of its own, and puts
     rank + fraction there if that is smaller. The ranks are dealt level by level over all elements at once; a set is done
-    when every slot holds less than the next rank.
+    when every slot holds less than the next rank. A set of few elements takes many levels: its permutations are held as
+    arrays; of others the few swaps so far are looked through.
     """
     lengths = np.array([len(s) for s in sets], np.int64)
+    few = lengths < FEW
+    if few.any() and not few.all():
+        out = np.empty((len(sets), m))
+        for part in (few, ~few):
+            out[part] = signatures([s for s, p in zip(sets, part, strict=True) if p], m)
+        return out
+    if few.any() and lengths.sum() > BATCH and len(sets) > 1:  # arrays that stay in a core's cache
+        half = len(sets) // 2
+        return np.concatenate([signatures(sets[:half], m), signatures(sets[half:], m)])
     doc = np.repeat(np.arange(len(sets)), lengths)
     seed = np.concatenate(sets) if len(sets) else np.empty(0, U)
     best = np.full((len(sets), m), np.inf)
     swaps: list[np.ndarray] = []
+    held = np.tile(np.arange(m, dtype=np.int16), (len(seed), 1)) if few.any() else None
     for level in range(m):
         draw = mixed(seed + U((2 * level + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
         fraction = (draw >> U(11)).astype(np.float64) * 2.0**-53
         other = level + ((mixed(draw + U(0xD1B54A32D192ED03)) >> U(32)) * U(m - level) >> U(32)).astype(np.int64)
-        slot = other.copy()  # what the earlier swaps have left at that place
-        for k in range(level - 1, -1, -1):
-            slot[slot == swaps[k]] = k
+        if held is not None:
+            flat, at = held.reshape(-1), np.arange(0, held.size, m) + other
+            slot = flat.take(at).astype(np.int64)
+            flat[at] = held[:, level]
+        else:
+            slot = other.copy()  # what the earlier swaps have left at that place
+            for k in range(level - 1, -1, -1):
+                slot[slot == swaps[k]] = k
         np.minimum.at(best.reshape(-1), doc * m + slot, level + fraction)
         open_docs = best.max(axis=1) > level + 1
         if not open_docs.any():
@@ -96,6 +116,7 @@ def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
             stay = open_docs[doc]
             if stay.sum() < 0.7 * len(stay):
                 doc, seed, swaps = doc[stay], seed[stay], [s[stay] for s in swaps]
+                held = held[stay] if held is not None else None
     return best
 
 
@@ -155,21 +176,52 @@ def links(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
     return 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
 
 
-def compared(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (u, v) inside each block of members (block: a key, doc_id, side 0 or 1, both sides where null), as a spanning forest."""
-    rows = members.join(texts, "doc_id").select("block", "side", "doc_id", "text")
-    dealt = rows.repartition("block").sortWithinPartitions("block")
+def prefix_size(size: int, percent: int) -> int:
+    """Of how many first shingles, in any one order of all, a set shares at least one with every set that it links with."""
+    return size - -(-percent * size // 100) + 1
 
-    def forest(ids: list[int], sides: list[int | None], sets: list[np.ndarray]) -> pa.RecordBatch:
+
+def prefixed(s: np.ndarray, order: np.ndarray, seen: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rare, rest) of a set: all shingles that no pivot has, and as many of the others, those of the fewest pivots first, as
+    its prefix may need. `order` holds the pivots' shingles, `seen` in how many pivots each is."""
+    at = np.minimum(np.searchsorted(order, s), max(0, len(order) - 1))
+    n = np.where(order[at] == s, seen[at], 0) if len(order) else np.zeros(len(s), np.int64)
+    held = np.flatnonzero(n)
+    need = max(0, prefix_size(len(s), percent) - (len(s) - len(held)))
+    return s[n == 0].view(np.int64), s[held[np.lexsort((s[held], n[held]))[:need]]].view(np.int64)
+
+
+COMPARED = "u bigint, v bigint, doc_id bigint, rare array<bigint>, rest array<bigint>, size int"
+
+
+def compared(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) inside each block of rows (block: a key, doc_id, side, text), as a spanning forest; exact.
+
+    Rows of side 0 meet those of side 1, rows of side null all. Rows of side 2 are pivots: they meet all, and in their blocks
+    each row of side null also gives its prefix (doc_id, rare, rest, size)."""
+    dealt = rows.select("block", "side", "doc_id", "text").repartition("block").sortWithinPartitions("block")
+    names = [c.split()[0] for c in COMPARED.split(", ")]
+
+    def out(**given: pa.Array) -> pa.RecordBatch:
+        n = len(next(iter(given.values())))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32()]
+        return pa.RecordBatch.from_arrays([given[c].cast(k) if c in given else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names=names)
+
+    def forest(ids: list[int], sides: list[int | None], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        pivots = [i for i, s in enumerate(sides) if s == 2 and len(sets[i])]
         left = [i for i, s in enumerate(sides) if s != 1 and len(sets[i])]
         right = [i for i, s in enumerate(sides) if s != 0 and len(sets[i])]
-        u, v = np.empty(0, np.int64), np.empty(0, np.int64)
         if left and right:
             i, j = np.nonzero(links([sets[i] for i in left], [sets[i] for i in right], percent))
             ids_ = np.array(ids, np.int64)
             nodes, root = roots(ids_[np.array(left)[i]], ids_[np.array(right)[j]])
-            u, v = nodes[nodes != root], root[nodes != root]
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            yield out(u=pa.array(nodes[nodes != root]), v=pa.array(root[nodes != root]))
+        if pivots:
+            order, seen = np.unique(np.concatenate([sets[i] for i in pivots]), return_counts=True)
+            own = [i for i, s in enumerate(sides) if s is None and len(sets[i])]
+            found = [prefixed(sets[i], order, seen, percent) for i in own]
+            if own:
+                yield out(doc_id=pa.array([ids[i] for i in own]), rare=pa.array([f[0] for f in found], pa.list_(pa.int64())), rest=pa.array([f[1] for f in found], pa.list_(pa.int64())), size=pa.array([len(sets[i]) for i in own]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, now = Shingler(width), None
@@ -181,15 +233,15 @@ def compared(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
                 for block, side, doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), found, strict=True):
                     if block != now:
                         if len(ids) > 1:
-                            yield forest(ids, sides, sets)
+                            yield from forest(ids, sides, sets)
                         now, ids, sides, sets = block, [], [], []
                     ids.append(doc)
                     sides.append(side)
                     sets.append(shingler.set_of(text))
         if len(ids) > 1:
-            yield forest(ids, sides, sets)
+            yield from forest(ids, sides, sets)
 
-    return dealt.mapInArrow(run, "u bigint, v bigint")
+    return dealt.mapInArrow(run, COMPARED)
 
 
 def hashed(column: str, salt: int) -> Column:
@@ -197,38 +249,90 @@ def hashed(column: str, salt: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(column, F.lit(salt)), 1) / F.lit(float(1 << 63))
 
 
+def copies(rows: DataFrame, n: str, name: str, wide: int = 32) -> DataFrame:
+    """Each row `n` times, numbered: first a row for each stretch of numbers, dealt anew, then the stretch's rows, so that no
+    task makes or reads all copies of a row that many blocks need."""
+    stretch = rows.withColumn("stretch", F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / wide).cast("int"))))
+    dealt = stretch.repartition("doc_id", "stretch")
+    last = F.least(F.col(n) - 1, F.col("stretch") * wide + (wide - 1))
+    return dealt.withColumn(name, F.explode(F.sequence(F.col("stretch") * wide, last.cast("int")))).drop("stretch")
+
+
+named: Callable[..., Column] = lambda *c: F.concat_ws(":", *c)
+
+
+def crossed(parts: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """All links between the parts of each component, of (doc_id, root, part): what is not in a component's largest part meets
+    all its members, block by block."""
+    sizes = parts.groupBy("root", "part").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("root").agg(F.max_by("part", F.struct("size", -F.col("part"))).alias("main"), F.sum("size").alias("n"))
+    main = main.select("root", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"))
+    placed = parts.join(main, "root")
+    rest = placed.where("part != main").groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("rests"))
+    placed = written(placed.join(rest, "root").select("root", "doc_id", (F.col("part") != F.col("main")).alias("apart"), "chunks", "rests"))
+    full = placed.join(texts, "doc_id")
+    asked = full.where("apart").withColumn("rest", F.floor(hashed("doc_id", 3) * F.col("rests")).cast("int"))
+    asked = copies(asked, "chunks", "chunk").select(named("root", "rest", "chunk").alias("block"), F.lit(0).alias("side"), "doc_id", "text")
+    against = copies(full.withColumn("chunk", F.floor(hashed("doc_id", 1) * F.col("chunks")).cast("int")), "rests", "rest")
+    against = against.select(named("root", "rest", "chunk").alias("block"), F.lit(1).alias("side"), "doc_id", "text")
+    return compared(asked.unionByName(against), width, percent).select("u", "v")
+
+
+def prefix_groups(prefixes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, root, part) of the members that share a shingle of their prefixes with a member of another part; root names
+    those that hang together so.
+
+    The order of a component's shingles: those that no pivot has by how many members have them, then those of the fewest
+    pivots; the prefixes give the latter in that order."""
+    held = written(prefixes.join(parts, "doc_id").select("doc_id", "root", "part", "rare", "rest", "size"))
+    each = held.select("doc_id", "root", F.explode("rare").alias("shingle"))
+    often = written(each.groupBy("root", "shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # shingles of one member alone come first and are in no other prefix: they only use up places
+    found = each.join(often, ["root", "shingle"]).groupBy("doc_id", "root").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("shared"))
+    near = held.join(found, ["doc_id", "root"], "left")
+    common = F.coalesce(F.transform("shared", lambda x: x["shingle"]), F.array().cast("array<bigint>"))
+    places = F.col("size") - F.ceil(F.col("size") * percent / 100).cast("int") + 1
+    near = near.select("doc_id", "root", "part", "rest", common.alias("shared"), F.size("rare").alias("n_rare"), places.alias("places"))
+    alone = F.col("n_rare") - F.size("shared")
+    upto = lambda c, n: F.slice(c, F.lit(1), F.greatest(F.lit(0), F.least(n, F.size(c))))
+    prefix = F.concat(upto("shared", F.col("places") - alone), upto("rest", F.col("places") - F.col("n_rare")))
+    met = written(near.select("doc_id", "root", "part", F.explode(prefix).alias("shingle")))
+    groups = written(met.groupBy("root", "shingle").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("doc_id").alias("top")).where("low < high").select("root", "shingle", "top"))
+    edges = met.join(groups, ["root", "shingle"]).select(F.col("doc_id").alias("u"), F.col("top").alias("v"))
+    return components(edges).select(F.col("node").alias("doc_id"), "root").join(parts.select("doc_id", "part"), "doc_id")
+
+
 def verified_links(candidates: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Exact links (u, v) inside candidate components (node, root), connecting all that a full comparison would connect."""
+    """Exact links (u, v) inside candidate components (node, root, degree), connecting all that a full comparison would connect."""
     # candidates grow with the data: never sent to every task, whatever their size, so that the plan is one at every size;
     # all texts are shuffled once, those of the candidates are kept for the rounds below
     chosen = candidates.select(F.col("node").alias("doc_id"))
     texts = written(chosen.hint("merge").join(texts, "doc_id").select("doc_id", "text"))
     sizes = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    dealt = candidates.join(sizes, "root").withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = written(dealt.withColumn("chunk", F.floor(hashed("node", 1) * F.col("chunks")).cast("int")).withColumnRenamed("node", "doc_id"))
-    pivots = dealt.where((F.col("chunks") > 1) & (hashed("doc_id", 2) * F.col("n") < PIVOTS))
-    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    shared = pivots.select("root", "doc_id", "chunk", every.alias("at")).where("at != chunk").select("root", "doc_id", F.col("at").alias("chunk"))
-    named: Callable[..., Column] = lambda *c: F.concat_ws(":", *c)
-    members = dealt.select("root", "doc_id", "chunk").unionByName(shared).select(named("root", "chunk").alias("block"), F.lit(None).cast("int").alias("side"), "doc_id")
-    first = written(compared(members, texts, width, percent))
+    dealt = candidates.join(sizes, "root").withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumnRenamed("node", "doc_id")
+    dealt = written(dealt.withColumn("chunk", F.floor(hashed("doc_id", 1) * F.col("chunks")).cast("int")))
     large = dealt.where("chunks > 1")
-    if large.isEmpty():
+    # central members link with more of the others: one of each of a few hash classes
+    kind = F.floor(hashed("doc_id", 4) * CENTRAL).cast("int").alias("kind")
+    central = large.groupBy("root", kind).agg(F.max_by("doc_id", F.struct("degree", "doc_id")).alias("doc_id")).select("root", "doc_id")
+    pivots = large.where(hashed("doc_id", 2) * F.col("n") < PIVOTS).select("root", "doc_id").unionByName(central).distinct()
+    pivots = pivots.join(dealt.groupBy("root").agg(F.first("chunks").alias("chunks")), "root")
+    pivot_rows = copies(pivots.join(texts, "doc_id"), "chunks", "chunk").select(named("root", "chunk").alias("block"), F.lit(2).alias("side"), "doc_id", "text")
+    # pivots are members too: without a side, so that they give their prefixes; their second copy in that block links with the first
+    own = dealt.join(texts, "doc_id").select(named("root", "chunk").alias("block"), F.lit(None).cast("int").alias("side"), "doc_id", "text")
+    found = written(compared(own.unionByName(pivot_rows), width, percent))
+    first = found.where("u IS NOT NULL").select("u", "v")
+    prefixes = found.where("doc_id IS NOT NULL").select("doc_id", "rare", "rest", "size")
+    if prefixes.isEmpty():
         return first
-    # of each component that was cut, the part that most members have reached; the others meet every chunk
+    # of each component that was cut, the parts that are still apart
     reached = components(first)
-    large = large.join(reached.select(F.col("node").alias("doc_id"), F.col("root").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
-    large = written(large)
-    parts = large.groupBy("root", "part").agg(F.count(F.lit(1)).alias("size"))
-    main = parts.groupBy("root").agg(F.max_by("part", F.struct("size", -F.col("part"))).alias("main"))
-    rest = large.join(main, "root").where("part != main")
-    counts = rest.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("rests"))
-    rest = rest.join(counts, "root").withColumn("rest", F.floor(hashed("doc_id", 3) * F.col("rests")).cast("int"))
-    asked = rest.select("root", "doc_id", "rest", every.alias("chunk")).select(named("root", "rest", "chunk").alias("block"), F.lit(0).alias("side"), "doc_id")
-    against = large.join(counts, "root").select("root", "doc_id", "chunk", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("rest"))
-    against = against.select(named("root", "rest", "chunk").alias("block"), F.lit(1).alias("side"), "doc_id")
-    second = written(compared(asked.unionByName(against), texts, width, percent))
-    return first.unionByName(second)
+    parts = large.select("doc_id", "root").join(reached.select(F.col("node").alias("doc_id"), F.col("root").alias("part")), "doc_id", "left")
+    parts = written(parts.withColumn("part", F.coalesce("part", "doc_id")))
+    torn = parts.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("root")
+    parts = parts.join(torn, "root", "left_semi")
+    near = written(prefix_groups(prefixes, parts, percent))
+    return first.unionByName(written(crossed(near, texts, width, percent)))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -242,9 +346,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     owned = written(owned.distinct())
     sets = rows_.where("fingerprint is not null and doc_id is not null").join(owned.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
     member = sets.select("doc_id", F.explode("keys").alias("key"))
-    buckets = member.groupBy("key").agg(F.min("doc_id").alias("top"), F.max("doc_id").alias("last")).where("top < last").select("key", "top")
-    near = member.join(buckets, "key").where("doc_id != top").select(F.col("doc_id").alias("u"), F.col("top").alias("v"))
-    candidates = written(components(near))
+    buckets = member.groupBy("key").agg(F.min("doc_id").alias("top"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("top < last").select("key", "top", "n")
+    met = member.join(buckets, "key")
+    # the members of a document's buckets: how central it is
+    near = written(met.groupBy("doc_id").agg(F.sum("n").alias("degree"), F.collect_set("top").alias("tops")))
+    linked = components(near.select(F.col("doc_id").alias("u"), F.explode("tops").alias("v")))
+    candidates = linked.join(near.select(F.col("doc_id").alias("node"), "degree"), "node")
     found = verified_links(candidates, docs, width, percent)
     ties = owned.where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     groups = components(found.unionByName(ties))

@@ -152,6 +152,59 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert got == near_plain(list(enumerate(texts)))
 
 
+def templates(n, seed=0):
+    """Pages of one template: half of their words are the template's, so none links with another."""
+    rnd = random.Random(seed)
+    frame_ = prose(70, 150).split()
+    return [" ".join([*frame_[:75], *(f"p{rnd.randrange(10**7)}" for _ in range(38)), *frame_[75:]]) for _ in range(n)]
+
+
+def test_template_pages_are_sent_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 32)
+    monkeypatch.setattr(near_dup, "PIVOTS", 4)
+    monkeypatch.setattr(near_dup, "CENTRAL", 2)
+    compared, sent = near_dup.compared, {}
+
+    def counting(rows, *rest):
+        sent[n] = sent.get(n, 0) + rows.count()
+        return compared(rows, *rest)
+
+    monkeypatch.setattr(near_dup, "compared", counting)
+    for n in (300, 600):
+        texts = templates(n)
+        twin = texts[5].split()
+        texts.append(" ".join([*twin[:60], "other", *twin[61:]]))
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, texts)).collect()}
+        assert got == {i: i for i in range(n)} | {n: 5}
+    assert sent[600] <= 2.3 * sent[300]
+
+
+def test_hub_and_spokes_equal_brute_force(spark, monkeypatch):
+    """Copies that link with their source alone, not with each other."""
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "PIVOTS", 2)
+    rnd = random.Random(11)
+    base = prose(71, 300, 5000).split()
+    texts = []
+    for k in range(90):
+        w = list(base)
+        for at in rnd.sample(range(5, 295), 5 if k else 0):
+            w[at] = f"z{k}x{at}"
+        texts.append(" ".join(w))
+    texts = texts[40:] + texts[:40]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == near_plain(list(enumerate(texts)))
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 63, 64, 500])
+def test_superminhash_of_few_elements_is_the_same(monkeypatch, size):
+    rnd = random.Random(size)
+    sets = [near_dup.np.array([rnd.getrandbits(64) for _ in range(size)], near_dup.U) for _ in range(3)]
+    one = near_dup.signatures(sets, 48)
+    monkeypatch.setattr(near_dup, "FEW", 0)
+    assert (one == near_dup.signatures(sets, 48)).all()
+
+
 def test_superminhash_estimates_similarity():
     rnd = random.Random(1)
     a = near_dup.np.array([rnd.getrandbits(64) for _ in range(900)], near_dup.U)
