@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # GRS 80 and the parameters of EPSG:5070 (conterminous Albers equal area).
@@ -71,8 +74,74 @@ def mollweide(lon: Column, lat: Column, steps: int = 12) -> tuple[Column, Column
     return 2 * math.sqrt(2) / math.pi * A * F.radians(lon) * F.cos(theta), math.sqrt(2) * A * F.sin(theta)
 
 
+#: The array's extent in Albers metres that boxes are clamped to.
+EXTENT = (-2417835.0, 158265.0, 2387295.0, 3321225.0)
+
+
+def albers_box(boxes: DataFrame, key: str = "id", steps: int = 8, extent: tuple[float, float, float, float] = EXTENT) -> DataFrame:
+    """(id, w, s, e, n) in Albers metres of boxes (id, w, s, e, n) in degrees: the bounds of places along the edges, as a parallel
+    bows between the corners, clamped to an extent."""
+    t = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: i / float(steps))).alias("t")
+    along = boxes.select(key, "w", "s", "e", "n", t)
+    x, y = F.col("w") + (F.col("e") - F.col("w")) * F.col("t"), F.col("s") + (F.col("n") - F.col("s")) * F.col("t")
+    place = lambda a, b: F.struct(a.alias("lon"), b.alias("lat"))
+    edge = along.select(key, F.explode(F.array(place(x, F.col("s")), place(x, F.col("n")), place(F.col("w"), y), place(F.col("e"), y))).alias("p"))
+    ax, ay = albers(F.col("p.lon"), F.col("p.lat"))
+    w, s, e, n = (F.lit(v) for v in extent)
+    return edge.select(key, ax.alias("x"), ay.alias("y")).groupBy(key).agg(F.greatest(F.min("x"), w).alias("w"), F.greatest(F.min("y"), s).alias("s"), F.least(F.max("x"), e).alias("e"), F.least(F.max("y"), n).alias("n"))
+
+
+def powers(degree: int = 3) -> list[tuple[int, int]]:
+    """The powers (of u, of v) of a polynomial's terms in the order of its coefficients."""
+    return [(i, j) for i in range(degree + 1) for j in range(degree + 1 - i)]
+
+
+def lonlat_fits(tiles: DataFrame, degree: int = 3, samples: int = 12, check: int = 24, tolerance_mm: float = 1.0) -> DataFrame:
+    """(tile, cx, cy, sx, sy, lon, lat, error_mm): for each tile (tile, w, s, e, n in Albers metres) the coefficients of two
+    polynomials of its place in the tile (-1 to 1 on each axis) that give longitude and latitude.
+
+    Fitted by least squares on a grid of places whose longitude and latitude come from the projection itself, and held against
+    a denser grid; a tile whose error is over the tolerance fails the job, so that no scene is shifted unseen."""
+    schema = "tile bigint, cx double, cy double, sx double, sy double, lon array<double>, lat array<double>, error_mm double"
+
+    def grid_of(n: int) -> Column:
+        line = F.sequence(F.lit(0), F.lit(n - 1))
+        at = lambda i: i * 2 / float(n - 1) - 1
+        return F.flatten(F.transform(line, lambda i: F.transform(line, lambda j: F.struct(at(i).alias("u"), at(j).alias("v")))))
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            rows = []
+            for r in frame.itertuples(index=False):
+                sample, test = ({k: np.array([p[k] for p in side]) for k in ("u", "v", "lon", "lat")} for side in (r.sample, r.test))
+                design = lambda p: np.stack([p["u"] ** i * p["v"] ** j for i, j in powers(degree)], axis=1)
+                lon, lat = (np.linalg.lstsq(design(sample), sample[k], rcond=None)[0] for k in ("lon", "lat"))
+                off = np.hypot(design(test) @ lat - test["lat"], (design(test) @ lon - test["lon"]) * np.cos(np.radians(test["lat"])))
+                error = float(off.max() * 111_320_000)
+                if not error <= tolerance_mm:
+                    raise ValueError(f"the fit of tile {r.tile} is off by {error:.3f} mm")
+                rows.append((r.tile, r.cx, r.cy, r.sx, r.sy, lon, lat, error))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    half = lambda a, b: F.greatest((F.col(b) - F.col(a)) / 2, F.lit(1e-9))
+    placed = tiles.select(F.col("tile").cast("long"), ((F.col("w") + F.col("e")) / 2).alias("cx"), ((F.col("s") + F.col("n")) / 2).alias("cy"), half("w", "e").alias("sx"), half("s", "n").alias("sy"))
+
+    def true(p: Column) -> Column:
+        lon, lat = albers_inverse(F.col("cx") + p["u"] * F.col("sx"), F.col("cy") + p["v"] * F.col("sy"))
+        return F.struct(p["u"].alias("u"), p["v"].alias("v"), lon.alias("lon"), lat.alias("lat"))
+
+    known = placed.select("*", F.transform(grid_of(samples), true).alias("sample"), F.transform(grid_of(check), true).alias("test"))
+    return known.mapInPandas(fit, schema)
+
+
+def lonlat(x: Column, y: Column, fit: str = "fit", degree: int = 3) -> Column:
+    """{lon, lat} of a place in metres by a tile's fitted coefficients (a struct column)."""
+    f = F.col(fit)
+    u, v = (x - f["cx"]) / f["sx"], (y - f["cy"]) / f["sy"]
+    return F.struct(polynomial(u, v, f["lon"], degree).alias("lon"), polynomial(u, v, f["lat"], degree).alias("lat"))
+
+
 def polynomial(u: Column, v: Column, coefficients: Column, degree: int = 3) -> Column:
     """The value at (u, v) of a polynomial whose coefficients are an array ordered by power of u, then of v."""
-    powers = [(i, j) for i in range(degree + 1) for j in range(degree + 1 - i)]
-    terms = [F.get(coefficients, F.lit(k)) * F.pow(u, F.lit(float(i))) * F.pow(v, F.lit(float(j))) for k, (i, j) in enumerate(powers)]
+    terms = [F.get(coefficients, F.lit(k)) * F.pow(u, F.lit(float(i))) * F.pow(v, F.lit(float(j))) for k, (i, j) in enumerate(powers(degree))]
     return sum(terms[1:], terms[0])

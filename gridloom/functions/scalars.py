@@ -39,7 +39,8 @@ def acres(pixels: Column, pixel_km2: float) -> Column:
 
 
 def heat_index(tc: Column, rh: Column) -> Column:
-    """Apparent temperature in Celsius: a simple average below 80 F, else a regression with its two humidity adjustments."""
+    """Apparent temperature in Celsius: a simple formula where its mean with the temperature is below 80 F, else a regression
+    with its two humidity adjustments."""
     t = tc * 9 / 5 + 32
     simple = 0.5 * (t + 61 + (t - 68) * 1.2 + rh * 0.094)
     # Coefficients of the published regression.
@@ -47,7 +48,7 @@ def heat_index(tc: Column, rh: Column) -> Column:
     dry = F.when((rh < 13) & t.between(80, 112), (13 - rh) / 4 * F.sqrt((17 - F.abs(t - 95)) / 17)).otherwise(0.0)
     wet = F.when((rh > 85) & t.between(80, 87), (rh - 85) / 10 * ((87 - t) / 5)).otherwise(0.0)
     mean = (simple + t) / 2
-    return (F.when(mean >= 80, full - dry + wet).otherwise(mean) - 32) * 5 / 9
+    return (F.when(mean >= 80, full - dry + wet).otherwise(simple) - 32) * 5 / 9
 
 
 def half_degree_code(tc: Column) -> Column:
@@ -75,11 +76,15 @@ def band(load: Column, levels: Iterable[float]) -> Column:
     return out
 
 
+# Zones of special hazard by their published codes; "AREA NOT INCLUDED" begins with A too and is none.
+COASTAL, FLOODED = ("V", "VE"), ("A", "AE", "AH", "AO", "A99", "AR")
+
+
 def zone_severity(zone: Column, subtype: Column) -> Column:
-    """Flood zones: coastal 3, the A family 2, shaded X 1, undetermined 0, anything else -1."""
-    z, s = F.upper(F.trim(zone)), F.upper(F.coalesce(subtype, F.lit("")))
-    shaded = (z == "X") & (s.contains("0.2 PCT") | s.contains("SHADED") | s.contains("LEVEE"))
-    return F.when(z.isin("V", "VE"), 3).when(z.startswith("A"), 2).when(shaded, 1).when(z == "D", 0).otherwise(-1)
+    """Flood zones: coastal 3, the A family 2, shaded X (a yearly chance of 0.2 %) 1, undetermined 0, anything else -1."""
+    z = F.upper(F.trim(F.coalesce(zone, F.lit(""))))
+    shaded = (z == "X") & F.coalesce(subtype.contains("0.2"), F.lit(False))
+    return F.when(z.isin(*COASTAL), 3).when(z.isin(*FLOODED), 2).when(shaded, 1).when(z == "D", 0).otherwise(-1)
 
 
 def non_crop(name: Column, names: Iterable[str], prefixes: Iterable[str]) -> Column:
@@ -121,8 +126,19 @@ def pivot_clip(v: Column, pivot: float, span: float) -> Column:
 
 
 def most_of_list(text: Column) -> Column:
-    """The largest whole number in a list separated by ; or , (null without one)."""
-    return F.array_max(F.transform(F.split(text, "[;,]"), lambda x: F.trim(x).try_cast("int")))
+    """The largest whole number in a list separated by ; or , (0 without one)."""
+    numbers = F.filter(F.transform(F.split(text, "[;,]"), F.trim), lambda x: x.rlike("^[0-9]+$"))
+    return F.coalesce(F.array_max(F.transform(numbers, lambda x: x.try_cast("bigint"))), F.lit(0))
+
+
+def voltage(tags: Column) -> Column:
+    """The highest voltage that a map of tags names, 0 where there is none."""
+    return most_of_list(F.get(F.map_values(F.map_filter(tags, lambda k, _: k == "voltage")), 0))
+
+
+def power_line(cls: Column, geometry: Column, tags: Column, least: int = 115_000) -> Column:
+    """Major power lines: of that class, a line, and of a voltage."""
+    return (cls == "power_line") & geometry.isin("LINESTRING", "MULTILINESTRING") & (voltage(tags) >= least)
 
 
 def building_height(height: Column, floors: Column, per_floor: float = 3.0) -> Column:
@@ -150,8 +166,14 @@ def hilbert(x: Column, y: Column, zoom: int) -> Column:
     return F.aggregate(F.sequence(F.lit(zoom - 1), F.lit(0), F.lit(-1)), start, step, lambda acc: acc["d"]) + base
 
 
+def leaf_season(lat: Column) -> tuple[Column, Column]:
+    """First and last day of the year of the season of leaves: from day 105 to 305 at latitude 35, and 0.9 days later and
+    earlier for each degree away from the equator, within bounds. A rule of thumb."""
+    shift = 0.9 * (F.abs(lat) - 35)
+    clamp = lambda v, low, high: F.least(F.greatest(v, F.lit(low)), F.lit(high))
+    return clamp(105 + shift, 60.0, 160.0), clamp(305 - shift, 250.0, 340.0)
+
+
 def leaf_on(date: Column, lat: Column) -> Column:
-    """Whether a date is in the season of leaves, which shortens with the latitude."""
-    north = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.abs(lat) - 25) / 24))
-    day = F.dayofyear(date)
-    return (day >= 91 + 45 * north) & (day <= 319 - 45 * north)
+    first, last = leaf_season(lat)
+    return F.dayofyear(date).between(first, last)

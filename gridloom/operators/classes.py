@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalars import acres, disagreement
+from gridloom.functions.scalars import acres, disagreement, leaf_season
+from gridloom.operators.fold import quantiles_by
 from gridloom.operators.zones import rank_in
 
 
@@ -40,6 +41,43 @@ def composition(px: DataFrame, by: str = "year", cls: str = "cls") -> DataFrame:
     return counts.withColumn("pct", 100 * F.col("n") / F.sum("n").over(Window.partitionBy(by)))
 
 
+def change_of_patches(areas: DataFrame, patches: DataFrame, least_pct: float = 0.5, cls: str = "cls") -> DataFrame:
+    """(cls, pct_0, pct_1, pct_change, patches_0, patches_1, patches_change) between the first year and the last, of areas
+    (year, cls, n) and patches (year, cls, patches); classes under `least_pct` of both years' areas are left out."""
+    every = Window.partitionBy()  # a row for each class and year
+    share = areas.select("year", cls, (100 * F.col("n") / F.sum("n").over(Window.partitionBy("year"))).alias("pct"))
+    both = share.join(patches.select("year", cls, "patches"), ["year", cls], "left")
+    dated = both.withColumns({"y0": F.min("year").over(every), "y1": F.max("year").over(every)})
+    end = lambda c, y, none: F.coalesce(F.max(F.when(F.col("year") == F.col(y), F.col(c))), F.lit(none))
+    ends = dated.groupBy(cls).agg(end("pct", "y0", 0.0).alias("pct_0"), end("pct", "y1", 0.0).alias("pct_1"), end("patches", "y0", 0).alias("patches_0"), end("patches", "y1", 0).alias("patches_1"))
+    kept = ends.where(F.greatest("pct_0", "pct_1") >= least_pct)
+    return kept.withColumns({"pct_change": F.col("pct_1") - F.col("pct_0"), "patches_change": F.col("patches_1") - F.col("patches_0")})
+
+
+def campaign_scores(items: DataFrame, lookup: DataFrame, aoi: DataFrame, lat: float) -> DataFrame:
+    """(campaign, footprints, days, cov, one_date, leaf_off) of items (footprint, campaign, date): the newest item of each
+    footprint counts, a campaign's coverage is the share of the area's cells (cell) that its footprints (footprint, cell) have,
+    and it is leaf-off where no date is in the season of leaves at that latitude."""
+    newest = items.groupBy("footprint", "campaign").agg(F.max("date").alias("date"))
+    first, last = leaf_season(F.lit(lat))
+    off = ~F.dayofyear("date").between(first, last)
+    scores = newest.groupBy("campaign").agg(F.count(F.lit(1)).alias("footprints"), F.count_distinct(F.to_date("date")).alias("days"), F.min(off).alias("leaf_off"))
+    hit = newest.select("footprint", "campaign").join(lookup, "footprint").join(aoi.select("cell"), "cell").groupBy("campaign").agg(F.count_distinct("cell").alias("hit"))
+    total = aoi.select("cell").distinct().agg(F.count(F.lit(1)).alias("total"))
+    whole = scores.join(hit, "campaign", "left").join(F.broadcast(total))  # one row
+    cov = F.coalesce("hit", F.lit(0)) / F.col("total")
+    return whole.select("campaign", "footprints", "days", cov.alias("cov"), (F.col("days") == 1).alias("one_date"), "leaf_off")
+
+
+def best_campaign(scored: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """scored with `best`: coverage first, the seam second. Of the campaigns within `tolerance` of the best coverage those of a
+    single day, if any, and of these the one with the most coverage, the newest on ties. A row for each campaign: few."""
+    every = Window.partitionBy()
+    near = F.col("cov") >= F.max("cov").over(every) - tolerance
+    order = Window.orderBy(near.desc(), (near & F.col("one_date")).desc(), F.col("cov").desc(), F.col("campaign").desc())
+    return scored.withColumn("best", F.row_number().over(order) == 1)
+
+
 def change(px: DataFrame, cls: str = "cls") -> DataFrame:
     """(cls, first_n, last_n, change) between the first year and the last."""
     every = Window.partitionBy()  # a row for each class and year
@@ -58,7 +96,9 @@ def field_majority(hits: DataFrame, key: str = "id", cls: str = "cls") -> DataFr
 
 def crop_summary(majority: DataFrame, areas: DataFrame, key: str = "id", cls: str = "cls") -> DataFrame:
     """(cls, fields, area, median_area, mean_purity) of the fields by their majority class."""
-    return majority.where("rn = 1").join(areas, key).groupBy(cls).agg(F.count(F.lit(1)).alias("fields"), F.sum("area").alias("area"), F.percentile("area", F.lit(0.5)).alias("median_area"), F.avg("purity").alias("mean_purity"))
+    led = majority.where("rn = 1").join(areas, key)
+    summed = led.groupBy(cls).agg(F.count(F.lit(1)).alias("fields"), F.sum("area").alias("area"), F.avg("purity").alias("mean_purity"))
+    return summed.join(quantiles_by(led, [cls], "area", {"median_area": 0.5}), cls)
 
 
 def mixed_fields(majority: DataFrame, n: int, key: str = "id", cls: str = "cls") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import grid
 from gridloom.functions.scalars import above_floor, present
+from gridloom.sources.tables import discard, join_null_safe, written
 
 
 def with_cell(pixels: DataFrame, level: int, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -72,12 +73,62 @@ def join_partials(a: DataFrame, b: DataFrame, key: str = "cell") -> DataFrame:
 
 
 def union_tiles(tiles: Iterable[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tiles)
+    """Tiles as one table, though their columns, the order of these or their types differ: columns that a tile has not are null,
+    a column of several numeric types gets the widest, one of other differing types is text."""
+    tiles = list(tiles)
+    types: dict[str, set[str]] = {}
+    for t in tiles:
+        for f in t.schema:
+            types.setdefault(f.name, set()).add(f.dataType.simpleString())
+    wide = ["tinyint", "smallint", "int", "bigint", "float", "double"]
+
+    def common(found: set[str]) -> str | None:
+        if len(found) == 1:
+            return None
+        if found <= set(wide):
+            return "double" if found & {"float", "double"} and found & {"int", "bigint", "double"} else max(found, key=wide.index)
+        return "string"
+
+    cast = {c: to for c, found in types.items() if (to := common(found))}
+    alike = [t.withColumns({c: F.col(c).cast(to) for c, to in cast.items() if c in t.columns}) for t in tiles]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), alike)
+
+
+#: Bins of one round of a search for a rank; rows of a search that may be sent to every task.
+BINS, SENT = 1024, 10_000
+
+
+def quantiles_by(df: DataFrame, keys: Iterable[str], value: str, ps: dict[str, float]) -> DataFrame:
+    """(keys, a column for each of ps): exact quantiles of the present values, between ranks as a straight line.
+
+    No task holds a group's values: counts in bins of the range that holds a rank narrow it down, until a bin holds one value.
+    A round divides the range by the number of bins; a few are enough for doubles."""
+    keys = list(keys)
+    base = df.where(present(F.col(value))).select(*keys, F.col(value).cast("double").alias("v"), F.lit(0).alias("one"))
+    spread = base.groupBy("one", *keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    at = lambda p: (F.col("n") - 1) * F.lit(p)
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), f(at(p)).cast("long").alias("rank"), (at(p) - F.floor(at(p))).alias("part")) for name, p in ps.items() for side, f in (("low", F.floor), ("high", F.ceil))])
+    state = written(spread.select("one", *keys, F.explode(ranks).alias("r"), "low", "high", F.lit(0).cast("long").alias("before")).select("one", *keys, "r.*", "low", "high", "before"))
+    small = F.broadcast if state.count() <= SENT else lambda d: d
+    named = ["one", *keys, "name", "side", "rank", "part"]
+    while not state.where("low < high").isEmpty():
+        wanted = state.where("low < high").select(*named, "low", "high", "before")
+        met = join_null_safe(base, small(wanted), ["one", *keys]).where("v >= low AND v <= high")
+        place = F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BINS))
+        binned = met.groupBy(*named, "before", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        upto = F.col("before") + F.sum("n").over(Window.partitionBy(*named).orderBy("bin"))
+        held = binned.withColumn("upto", upto).where("upto > rank AND upto - n <= rank").select(*named, "low", "high", (F.col("upto") - F.col("n")).alias("before"))
+        last, state = state, written(state.where("low = high").unionByName(held))
+        discard(last)
+    side = lambda name, s: F.max(F.when((F.col("name") == name) & (F.col("side") == s), F.col("low")))
+    part = lambda name: F.max(F.when(F.col("name") == name, F.col("part")))
+    found = [(side(name, "low") + (side(name, "high") - side(name, "low")) * part(name)).alias(name) for name in ps]
+    return state.groupBy("one", *keys).agg(*found).drop("one")
 
 
 def quantiles(df: DataFrame, value: str, ps: Iterable[float]) -> DataFrame:
-    """One row of exact quantiles, named p2, p50, ..."""
-    return df.agg(*[F.percentile(value, F.lit(p)).alias(f"p{round(p * 100)}") for p in ps])
+    """One row of exact quantiles, named p2, p50, ...; none without a value."""
+    return quantiles_by(df, [], value, {f"p{round(p * 100)}": p for p in ps})
 
 
 def band_stats(df: DataFrame, band: str, value: str, at_least: float = 0.5) -> DataFrame:
@@ -97,4 +148,4 @@ def row_index(df: DataFrame, key: str, name: str = "row", coarse: int = 1 << 31)
     sizes = dealt.groupBy("stretch").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = dealt.withColumn("rn", F.row_number().over(Window.partitionBy("stretch").orderBy(key)))
-    return ranked.join(sizes.select("stretch", before.alias("before")), "stretch").withColumn(name, (F.col("before") + F.col("rn") - 1).cast("int")).drop("stretch", "rn", "before")
+    return ranked.join(sizes.select("stretch", before.alias("before")), "stretch").withColumn(name, (F.col("before") + F.col("rn") - 1).cast("long")).drop("stretch", "rn", "before")

@@ -8,33 +8,55 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Frames of a cell that are folded as one array.
+BLOCK = 256
+
+
 def sustained(frames: DataFrame, half_life: float | Column = 24.0, threshold: float | Column = 27.0, flush: float | Column = 0.0, include_first: bool = False, nan: str = "decay", by: tuple[str, ...] = ("cell",)) -> DataFrame:
     """(by, f, load) of frames (by, f, hi, mm): L = a L' + (1 - a) max(0, hi - threshold), cut by rain.
 
-    A cell's frames are folded in order; a film is some hundred frames, so the array of a cell is small. A missing index
-    decays the load or holds it. The first frame begins at 0 unless `include_first`.
+    A missing index decays the load or holds it. The first frame begins at 0 unless `include_first`. Each frame is a linear
+    function of the load before it: the functions of a block of frames are put together in one array, the loads at the blocks'
+    first frames are folded over a cell's blocks, and every load follows from that of its block. So no array holds a film, and
+    the work grows with the frames.
     """
     decay = F.pow(F.lit(2.0), -1.0 / (half_life if isinstance(half_life, Column) else F.lit(float(half_life))))
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     wash = flush if isinstance(flush, Column) else F.lit(float(flush))
-    params = F.first(F.struct(decay.alias("a"), limit.alias("thr"), wash.alias("wash"))).alias("p")
-    films = frames.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("f", "hi", "mm"))).alias("film"), params)
+    missing = F.col("hi").isNull() | F.isnan("hi")
+    kept = 1 - wash * F.least(F.lit(1.0), F.coalesce("mm", F.lit(0.0)) / 2.5)
+    over = F.when(missing, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("hi") - limit))
+    a, b = decay * kept, (1 - decay) * over * kept
+    if nan == "hold":
+        a, b = F.when(missing, 1.0).otherwise(a), F.when(missing, 0.0).otherwise(b)
+    # one shuffle: blocks and cells are both grouped where the cell is
+    maps = frames.select(*by, "f", F.floor(F.col("f") / BLOCK).alias("block"), a.alias("a"), b.alias("b")).repartition(*by)
+    films = maps.groupBy(*by, "block").agg(F.sort_array(F.collect_list(F.struct("f", "a", "b"))).alias("film"))
 
     def step(acc: Column, x: Column) -> Column:
-        missing = x["hi"].isNull() | F.isnan(x["hi"])
-        more = F.when(missing, 0.0).otherwise(F.greatest(F.lit(0.0), x["hi"] - F.col("p.thr")))
-        load = F.col("p.a") * acc["l"] + (1 - F.col("p.a")) * more
-        load = load * (1 - F.col("p.wash") * F.least(F.lit(1.0), F.coalesce(x["mm"], F.lit(0.0)) / 2.5))
-        if nan == "hold":
-            load = F.when(missing, acc["l"]).otherwise(load)
+        begun = F.size(acc["out"]) > 0  # the first frame's own function is left to the fold over blocks
+        c, d = F.when(begun, x["a"] * acc["c"]).otherwise(1.0), F.when(begun, x["a"] * acc["d"] + x["b"]).otherwise(0.0)
+        return F.struct(c.alias("c"), d.alias("d"), F.concat(acc["out"], F.array(F.struct(x["f"].alias("f"), c.alias("c"), d.alias("d")))).alias("out"))
+
+    kind = frames.schema["f"].dataType.simpleString()
+    start = F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("d"), F.array().cast(f"array<struct<f:{kind},c:double,d:double>>").alias("out"))
+    folded = films.select(*by, "block", F.aggregate("film", start, step).alias("z"), F.col("film")[0]["a"].alias("a0"), F.col("film")[0]["b"].alias("b0"))
+    before = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    summed = folded.select(*by, "z.out", "a0", "b0", F.collect_list(F.struct("a0", "b0", F.col("z.c").alias("c"), F.col("z.d").alias("d"))).over(before).alias("earlier"))
+
+    def over_block(acc: Column, x: Column) -> Column:
+        first = x["a0"] * acc["load"] + x["b0"]
         if not include_first:
-            load = F.when(F.size(acc["out"]) == 0, 0.0).otherwise(load)
-        return F.struct(load.alias("l"), F.concat(acc["out"], F.array(load)).alias("out"))
-
-    start = F.struct(F.lit(0.0).alias("l"), F.array().cast("array<double>").alias("out"))
-    loads = F.aggregate("film", start, step, lambda acc: acc["out"])
-    both = F.arrays_zip(F.transform("film", lambda x: x["f"]).alias("f"), loads.alias("load"))
-    return films.select(*by, F.inline(both).alias("f", "load"))
+            first = F.when(acc["begun"], first).otherwise(0.0)
+        return F.struct((x["c"] * first + x["d"]).alias("load"), F.lit(True).alias("begun"))
+
+    carried = F.aggregate("earlier", F.struct(F.lit(0.0).alias("load"), F.lit(False).alias("begun")), over_block)
+    led = summed.select(*by, "out", "a0", "b0", carried.alias("left"))
+    first = F.col("a0") * F.col("left.load") + F.col("b0")
+    if not include_first:
+        first = F.when(F.col("left.begun"), first).otherwise(0.0)
+    each = led.select(*by, first.alias("first"), F.explode("out").alias("o"))
+    return each.select(*by, F.col("o.f").alias("f"), (F.col("o.c") * F.col("first") + F.col("o.d")).alias("load"))
 
 
 def sustained_window(frames: DataFrame, half_life: float, threshold: float, by: tuple[str, ...] = ("cell",)) -> DataFrame:

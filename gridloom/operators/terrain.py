@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import grid
+from gridloom.functions.scalars import present
+from gridloom.operators.fold import quantiles
 
 
 def rebased(df: DataFrame, value: str = "elev") -> DataFrame:
@@ -18,8 +20,8 @@ def rebased(df: DataFrame, value: str = "elev") -> DataFrame:
 
 def relief_floor(df: DataFrame, value: str = "elev", low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Values over a low percentile, not below 0, and the relief between the percentiles; empty values (0, NaN) don't count."""
-    held = F.when((F.col(value) != 0) & ~F.isnan(value), F.col(value))
-    p2, p98 = df.agg(F.percentile(held, F.lit(low)), F.percentile(held, F.lit(high))).first()
+    row = quantiles(df.where(F.col(value) != 0), value, [low, high]).first()
+    p2, p98 = row or (None, None)
     return df.withColumns({"over": F.greatest(F.col(value) - F.lit(p2), F.lit(0.0)), "relief": F.lit(None if p2 is None else p98 - p2)})
 
 
@@ -37,43 +39,75 @@ def adjacency(cells: DataFrame) -> DataFrame:
 
 
 def focal_mean(raster: DataFrame, radius: int, value: str = "v", by: tuple[str, ...] = ()) -> DataFrame:
-    """The mean over a square of pixels, of those that are there: sums by row, then by column."""
-    rows = Window.partitionBy(*by, "y").orderBy("x").rangeBetween(-radius, radius)
-    summed = raster.withColumns({"s": F.sum(value).over(rows), "c": F.count(value).over(rows)})
-    # a missing pixel of the other rows still has a place in the column pass only if the raster is dense there
+    """The mean over a square of pixels, of those that have a value: sums along rows, then along columns.
+
+    A row's pixels first give their share to all places beside them, so that a missing pixel takes nothing from the columns.
+    Every row of the raster gets a mean, also one whose own value is missing (null or NaN)."""
+    held = raster.where(present(F.col(value)))
+    spread = held.withColumn("x", F.explode(F.sequence(F.col("x") - radius, F.col("x") + radius)))
+    rows = spread.groupBy(*by, "y", "x").agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
+    asked = rows.join(raster.select(*by, "y", "x", F.lit(True).alias("asked")), [*by, "y", "x"], "full")
     cols = Window.partitionBy(*by, "x").orderBy("y").rangeBetween(-radius, radius)
-    return summed.select(*by, "y", "x", (F.sum("s").over(cols) / F.sum("c").over(cols)).alias("mean"))
+    meant = asked.select(*by, "y", "x", "asked", (F.sum("s").over(cols) / F.sum("c").over(cols)).alias("mean"))
+    return meant.where("asked").drop("asked")
 
 
-def hillshade(raster: DataFrame, size: float = 1.0, azimuth: float = 315.0, altitude: float = 45.0, value: str = "v", by: tuple[str, ...] = ()) -> DataFrame:
-    """Shade 0..1 from central differences, one-sided at the edge."""
+def hillshade(raster: DataFrame, size: float = 1.0, azimuth: float = 315.0, altitude: float = 45.0, value: str = "v", by: tuple[str, ...] = (), size_y: float | None = None, scale: float = 1.0, inside: Column | None = None) -> DataFrame:
+    """Shade 0..1 of a surface whose rows run north: the sun on its normal, from central differences, one-sided where a
+    neighbour is missing. `size` is a pixel's width, `size_y` its height (the same by default), `scale` exaggerates heights.
 
-    def slope(along: str, across: str) -> Column:
+    Rasters in tiles (`by`) are given with a margin of one pixel at least, so that seams have central differences too; `inside`
+    then picks the tile's own pixels of the result."""
+
+    def slope(along: str, across: str, step: float) -> Column:
         w = Window.partitionBy(*by, across).orderBy(along)
-        before, after = F.lag(value).over(w), F.lead(value).over(w)
-        both = (F.coalesce(after, F.col(value)) - F.coalesce(before, F.col(value))) / size
+        near = lambda c, d: F.when(F.abs(c(along).over(w) - F.col(along)) == 1, c(value).over(w))
+        before, after = near(F.lag, -1), near(F.lead, 1)
+        both = (F.coalesce(after, F.col(value)) - F.coalesce(before, F.col(value))) * scale / step
         return F.when(before.isNotNull() & after.isNotNull(), both / 2).otherwise(both)
 
-    sloped = raster.withColumns({"dx": slope("x", "y"), "dy": slope("y", "x")})
-    alt, az = math.radians(altitude), math.radians(360 - azimuth + 90)
-    steep = F.atan(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
-    facing = F.atan2(F.col("dy"), -F.col("dx"))
-    shade = math.sin(alt) * F.cos(steep) + math.cos(alt) * F.sin(steep) * F.cos(az - facing)
-    return sloped.select(*by, "y", "x", F.greatest(F.lit(0.0), shade).alias("shade"))
+    sloped = raster.withColumns({"dx": slope("x", "y", size), "dy": slope("y", "x", size_y or size)})
+    alt, az = math.radians(altitude), math.radians(azimuth)
+    facing = -F.col("dx") * (math.cos(alt) * math.sin(az)) - F.col("dy") * (math.cos(alt) * math.cos(az)) + math.sin(alt)
+    shade = facing / F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + 1)
+    shaded = sloped.select(*by, "y", "x", F.greatest(F.lit(0.0), F.least(F.lit(1.0), shade)).alias("shade"))
+    return shaded if inside is None else shaded.where(inside)
+
+
+def bilinear(points: DataFrame, raster: DataFrame, height: int, width: int, row: str = "row", col: str = "col", value: str = "v") -> DataFrame:
+    """Points with the value of a raster of so many rows and columns between its pixel centres (0, 1, ...).
+
+    Valid to the edge of the outer pixels: the outer half pixel goes on with the slope of the last pair, so that rasters that
+    touch leave no crack. Points beyond, or with one of the four pixels missing, have no row."""
+    r0, c0 = (F.greatest(F.lit(0), F.least(F.lit(n - 2), F.floor(p))).cast("int") for p, n in ((row, height), (col, width)))
+    ty, tx = F.col(row) - r0, F.col(col) - c0
+    corner = lambda dr, dc: F.struct((r0 + dr).alias("y"), (c0 + dc).alias("x"), ((ty if dr else 1 - ty) * (tx if dc else 1 - tx)).alias("weight"))
+    valid = points.where(F.col(row).between(-0.5, height - 0.5) & F.col(col).between(-0.5, width - 0.5))
+    four = valid.withColumn("corner", F.explode(F.array(*[corner(a, b) for a in (0, 1) for b in (0, 1)]))).select(*points.columns, "corner.*")
+    hit = four.join(raster.where(present(F.col(value))).select("y", "x", value), ["y", "x"])
+    summed = hit.groupBy(*points.columns).agg(F.sum(F.col("weight") * F.col(value)).alias("sample"), F.count(F.lit(1)).alias("n"))
+    return summed.where("n = 4").drop("n")
 
 
-def bilinear(points: DataFrame, raster: DataFrame, row: str = "row", col: str = "col", value: str = "v") -> DataFrame:
-    """Points (fractional row and col) with the weighted mean of the four pixels around them, of those that are there."""
-    r0, c0 = F.floor(row).cast("int"), F.floor(col).cast("int")
-    corner = lambda dr, dc: F.struct((r0 + dr).alias("y"), (c0 + dc).alias("x"), ((F.lit(1.0) - F.abs(F.col(row) - r0 - dr)) * (F.lit(1.0) - F.abs(F.col(col) - c0 - dc))).alias("weight"))
-    four = points.withColumn("corner", F.explode(F.array(*[corner(a, b) for a in (0, 1) for b in (0, 1)]))).select(*points.columns, "corner.*").where("weight > 0")
-    hit = four.join(raster.select("y", "x", value), ["y", "x"])
-    return hit.groupBy(*points.columns).agg((F.sum(F.col("weight") * F.col(value)) / F.sum("weight")).alias("sample"))
+def depth_inside(x: Column, y: Column, w: Column, s: Column, e: Column, n: Column) -> Column:
+    """How far inside a box a place is: 0 at its edge, a half in its middle, whatever the size of the box."""
+    along = lambda v, a, b: F.least(v - a, b - v) / F.greatest(b - a, F.lit(1e-12))
+    return F.least(along(x, w, e), along(y, s, n))
 
 
-def mosaic(pixels: DataFrame, value: str = "v") -> DataFrame:
-    """(y, x, value): of the sources (source, y, x, depth, value) over a pixel, that in which it lies deepest, the first on ties."""
-    return pixels.groupBy("y", "x").agg(F.max_by(value, F.struct("depth", -F.col("source"))).alias(value), F.count(F.lit(1)).alias("sources"))
+def mosaic(pixels: DataFrame, footprints: DataFrame, value: str = "v") -> DataFrame:
+    """(y, x, value, depth, sources): of the sources (source, y, x, lon, lat, value) over a place, that whose footprint
+    (source, w, s, e, n) has it deepest inside, the first on ties. Places outside a source's footprint are not its own."""
+    placed = pixels.where(present(F.col(value))).join(footprints.select("source", "w", "s", "e", "n"), "source")
+    deep = placed.withColumn("depth", depth_inside(F.col("lon"), F.col("lat"), *map(F.col, "wsen"))).where("depth >= 0")
+    best = F.struct("depth", -F.col("source"))
+    return deep.groupBy("y", "x").agg(F.max_by(value, best).alias(value), F.max("depth").alias("depth"), F.count(F.lit(1)).alias("sources"))
+
+
+def covered_share(lattice: DataFrame, made: DataFrame) -> DataFrame:
+    """One row: the share of a lattice's places (y, x) that a mosaic has."""
+    hit = lattice.select("y", "x").join(made.select("y", "x", F.lit(1.0).alias("hit")), ["y", "x"], "left")
+    return hit.agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("covered"), F.count(F.lit(1)).alias("places"))
 
 
 def painted(lattice: DataFrame, cells: DataFrame, level: int, value: str = "value") -> DataFrame:
@@ -85,3 +119,14 @@ def raised(lattice: DataFrame, inside: DataFrame, base: DataFrame, scale: float
     """A surface (y, x, ground) under buildings: `inside` has (id, y, x, height), `base` the ground (id, base) at each one's centroid."""
     tops = inside.join(base, "id").groupBy("y", "x").agg(F.max(F.col("base") + F.col("height") * scale).alias("top"))
     return lattice.join(tops, ["y", "x"], "left").select("y", "x", F.greatest("ground", F.coalesce("top", "ground")).alias("surface"))
+
+
+def footprint_counts(buildings: DataFrame, inside: DataFrame, base: DataFrame) -> DataFrame:
+    """One row: buildings (id, height) that raise a lattice (stamped), those between its places (unresolved), and those without
+    a height or without ground under them (dropped)."""
+    live = buildings.withColumn("live", F.coalesce(F.col("height") > 0, F.lit(False)))
+    with_base = live.join(base.select("id", F.lit(True).alias("based")).distinct(), "id", "left")
+    with_all = with_base.join(inside.select("id", F.lit(True).alias("held")).distinct(), "id", "left")
+    ok = F.col("live") & F.coalesce("based", F.lit(False))
+    held = F.coalesce("held", F.lit(False))
+    return with_all.agg(F.count_if(ok & held).alias("stamped"), F.count_if(ok & ~held).alias("unresolved"), F.count_if(~ok).alias("dropped"))

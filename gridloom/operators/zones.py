@@ -9,26 +9,39 @@ from gridloom.functions import geometry, grid
 
 
 def candidates(level: int, w: Column, s: Column, e: Column, n: Column) -> Column:
-    """Array of the cells of a level that a box (degrees) can touch."""
+    """Array of the cells of a level that a box (degrees) can touch. A box over the date line has w > e, or runs beyond 180."""
     rows, cols = 1 << level, 2 << level
     clamp = lambda v, top: F.greatest(F.lit(0), F.least(F.lit(top - 1), F.floor(v)))
     row = lambda lat: clamp((1 + F.sin(F.radians(lat))) / 2 * rows, rows).cast("long")
-    col = lambda lon: clamp((lon + 180) / 360 * cols, cols).cast("long")
-    return F.flatten(F.transform(F.sequence(row(s), row(n)), lambda r: F.transform(F.sequence(col(w), col(e)), lambda c: grid.made(level, r, c))))
+    at = lambda lon: F.floor((lon + 180) / 360 * cols)
+    first = at(w).cast("long")
+    last = F.when(e < w, at(e) + cols).when(e <= 180, F.least(F.lit(cols - 1), at(e))).otherwise(at(e)).cast("long")
+    last = F.greatest(first, F.least(last, first + cols - 1))
+    return F.flatten(F.transform(F.sequence(row(s), row(n)), lambda r: F.transform(F.sequence(first, last), lambda c: grid.made(level, r, F.pmod(c, F.lit(cols))))))
+
+
+def between_lons(lon: Column, w: Column, e: Column) -> Column:
+    """Half open in longitude, also over the date line (w > e, or an end beyond 180)."""
+    plain = (lon >= w) & (lon < e)
+    return F.when(e < w, (lon >= w) | (lon < e)).when(e > 180, plain | (lon + 360 < e)).when(w < -180, plain | (lon - 360 >= w)).otherwise(plain)
 
 
 def fill_centres(zones: DataFrame, level: int, ring: str = "ring", key: str = "id") -> DataFrame:
-    """(id, cell): cells whose centre is inside the ring. A row is one piece; pieces of an id are united by the distinct."""
-    boxed = zones.withColumn("cell", F.explode(candidates(level, *geometry.envelope(F.col(ring)))))
+    """(id, cell): cells whose centre is inside the ring. A row is one piece; pieces of an id are united by the distinct. A ring
+    over the date line runs beyond 180 (or -180)."""
+    w, s, e, n = geometry.envelope(F.col(ring))
+    boxed = zones.withColumns({"w_": w, "e_": e, "cell": F.explode(candidates(level, w, s, e, n))})
     lat, lon = grid.centre(F.col("cell"))
-    return boxed.where(geometry.contains(F.col(ring), lon, lat)).select(key, "cell").distinct()
+    turned = F.when((F.col("e_") > 180) & (lon < F.col("w_")), lon + 360).when((F.col("w_") < -180) & (lon > F.col("e_")), lon - 360).otherwise(lon)
+    return boxed.where(geometry.contains(F.col(ring), turned, lat)).select(key, "cell").distinct()
 
 
-def fill_boxes(zones: DataFrame, level: int, key: str = "id") -> DataFrame:
-    """The centre rule for boxes (w, s, e, n), half open."""
+def fill_boxes(zones: DataFrame, level: int, key: str = "id", pieces: bool = True) -> DataFrame:
+    """The centre rule for boxes (w, s, e, n), half open. Without `pieces` each id has one box, whose cells are distinct as they are."""
     boxed = zones.withColumn("cell", F.explode(candidates(level, F.col("w"), F.col("s"), F.col("e"), F.col("n"))))
     lat, lon = grid.centre(F.col("cell"))
-    return boxed.where((lon >= F.col("w")) & (lon < F.col("e")) & (lat >= F.col("s")) & (lat < F.col("n"))).select(key, "cell").distinct()
+    filled = boxed.where(between_lons(lon, F.col("w"), F.col("e")) & (lat >= F.col("s")) & (lat < F.col("n"))).select(key, "cell")
+    return filled.distinct() if pieces else filled
 
 
 def fill_touched(objects: DataFrame, level: int, key: str = "id") -> DataFrame:
@@ -66,6 +79,14 @@ def first_with_rows(ranked: DataFrame, ladder: str, order: list[str]) -> DataFra
     return ranked.join(F.broadcast(first), place == F.col("first")).drop("first")  # one row
 
 
+def ranked_on_ladder(cells: DataFrame, pieces: DataFrame, order: list[str], n: int, value: str = "value", key: str = "id") -> DataFrame:
+    """(rung, id, value, cells): the n zones with the greatest mean on the first rung of `order` on which any zone has a cell.
+
+    `pieces` (rung, id, cell) holds the fills of all rungs: one join and one aggregate for the whole ladder."""
+    zonal = pieces.join(cells.select("cell", value), "cell").groupBy("rung", key).agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("cells"))
+    return first_with_rows(zonal, "rung", order).orderBy(F.col(value).desc(), key).limit(n)
+
+
 def points_in(points: DataFrame, areas: DataFrame, level: int, ring: str = "ring", x: str = "lon", y: str = "lat") -> DataFrame:
     """Points with the areas that hold them: an equi-join on cells that the areas touch, then the exact test.
 

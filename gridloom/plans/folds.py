@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,18 +17,23 @@ C7, C6, C9 = cell_sql(7), cell_sql(6), cell_sql(9)
 ROW, COL = "((cell >> 29) % 536870912)", "(cell % 536870912)"
 
 
+ALB = f"(1 - {proj.E2}) * (s / (1 - {proj.E2} * s * s) - ln((1 - {proj.E} * s) / (1 + {proj.E} * s)) / (2 * {proj.E}))"
+ALBERS_SQL = f"SELECT y, x, lat, lon, rho * sin(th) AS ax, {proj.RHO0} - rho * cos(th) AS ay FROM (SELECT *, {proj.A} * sqrt({proj.C} - {proj.N} * {ALB}) / {proj.N} AS rho, {proj.N} * (radians(lon) - {proj.LON0}) AS th FROM (SELECT DISTINCT y, x, lat, lon, sin(radians(lat)) AS s FROM px))"
+
+
 def r(c: Column | str, n: int = 9) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, n)
 
 
 # --- sources
 
-@query("s2_time_window", "SELECT t, x, y, tc FROM cube WHERE t BETWEEN (SELECT min(t) FROM cube) AND (SELECT min(t) FROM cube) + INTERVAL 2 DAY", "cube")
+@query("s2_time_window", "WITH d AS (SELECT date_trunc('day', min(t)) AS a FROM cube) SELECT t, x, y, tc FROM cube, d WHERE t >= a AND t < a + INTERVAL 3 DAY", "cube")
 def _(v: Views) -> DataFrame:
-    first = v.cube.agg(F.min("t")).first()[0]
-    import datetime
-
-    return tables.in_time(v.cube, first, first + datetime.timedelta(days=2)).select("t", "x", "y", "tc")
+    """Three days, given the wrong way round and from before the store begins."""
+    first, last = v.cube.agg(F.min("t"), F.max("t")).first()
+    day = datetime.timedelta(days=1)
+    a, b = tables.time_window(str((first + 2 * day).date()), str((first - day).date()), str(first.date()), str(last.date()), 14)
+    return tables.in_time(v.cube, a, b).select("t", "x", "y", "tc")
 
 
 @query("s3_space_window", "SELECT year, y, x, v FROM px WHERE lon BETWEEN -110 AND -90 AND lat BETWEEN 30 AND 42", "px")
@@ -34,38 +41,100 @@ def _(v: Views) -> DataFrame:
     return tables.in_box(v.px, -110, 30, -90, 42).select("year", "y", "x", "v")
 
 
-@query("s4_s5_level_budget", "WITH lv AS (SELECT k AS level, y // k AS yy, x // k AS xx FROM px, (VALUES (1), (2), (4), (8)) t(k) GROUP BY ALL), c AS (SELECT level, count(*) AS n FROM lv GROUP BY level) SELECT level, n, level = coalesce((SELECT min(level) FROM c WHERE n <= 300), 8) AS chosen FROM c", "px")
+def pyramid(v: Views, steps: tuple[int, ...] = (1, 2, 4, 8)) -> DataFrame:
+    """Levels of a raster: the means of blocks of pixels, placed at their first pixel."""
+    k = F.explode(F.array(*[F.lit(x) for x in steps])).alias("level")
+    first = lambda c: (F.floor(F.col(c) / F.col("level")) * F.col("level")).cast("int").alias(c)
+    return v.px.select("y", "x", "v", k).groupBy("level", first("y"), first("x")).agg(F.avg("v").alias("v"))
+
+
+PYRAMID = "lv AS (SELECT k AS level, y // k * k AS y, x // k * k AS x, avg(v) AS v FROM px, (VALUES (1), (2), (4), (8)) t(k) GROUP BY ALL)"
+
+
+@query("s4_level_choice", f"WITH {PYRAMID} SELECT level, y, x, round(v, 9) AS v FROM lv WHERE level = 4", "px")
 def _(v: Views) -> DataFrame:
-    k = F.explode(F.array(*[F.lit(x) for x in (1, 2, 4, 8)])).alias("level")
-    levels = v.px.select("y", "x", k).select("level", F.floor(F.col("y") / F.col("level")).alias("y"), F.floor(F.col("x") / F.col("level")).alias("x")).distinct()
+    """A view of 25 degrees on 200 pixels asks for cells of level 7, these for a level of the pyramid: one partition of it."""
+    level = tables.level_in_view(-110.0, -85.0, 200, 9, {5: 8, 7: 4, 9: 1})
+    return pyramid(v).where(F.col("level") == level).select("level", "y", "x", r("v").alias("v"))
+
+
+@query("s4_s5_level_budget", f"WITH {PYRAMID}, c AS (SELECT level, count(*) AS n FROM lv GROUP BY level) SELECT level, n, level = coalesce((SELECT min(level) FROM c WHERE n <= 300), 8) AS chosen FROM c", "px")
+def _(v: Views) -> DataFrame:
+    levels = pyramid(v)
     best = tables.level_in_budget(levels, 300)
     return levels.groupBy("level").agg(F.count(F.lit(1)).alias("n")).withColumn("chosen", F.col("level") == F.lit(best))
 
 
+@query("s5_budget_in_box", f"WITH {PYRAMID}, b AS (SELECT * FROM lv WHERE x BETWEEN 4 AND 44 AND y BETWEEN 4 AND 40), c AS (SELECT k AS level, 1440.0 / (k * k) AS bound, (SELECT count(*) FROM b WHERE level = k) AS n FROM (VALUES (1), (2), (4), (8)) t(k)) SELECT level, y, x, round(v, 9) AS v FROM b WHERE level = coalesce((SELECT min(level) FROM c WHERE level < 8 AND (bound <= 200 OR bound <= 4800 AND n <= 200)), 8)", "px")
+def _(v: Views) -> DataFrame:
+    levels = pyramid(v)
+    best = tables.level_for_box(levels, [1, 2, 4, 8], (4, 4, 44, 40), 1.0, 200)
+    return tables.in_box(levels.where(F.col("level") == best), 4, 4, 44, 40, "x", "y").select("level", "y", "x", r("v").alias("v"))
+
+
 @query("s6_bbox_scan", "SELECT id, cx, cy FROM fields WHERE cx - r > -115 AND cx + r < -85 AND cy - r > 28 AND cy + r < 40", "fields")
 def _(v: Views) -> DataFrame:
+    """Features stored with their boxes, as struct columns: the comparisons reach the scan."""
     x, y, rr = F.col("cx"), F.col("cy"), F.col("r")
-    boxed = v.fields.withColumn("bbox", F.struct((x - rr).alias("xmin"), (y - rr).alias("ymin"), (x + rr).alias("xmax"), (y + rr).alias("ymax")))
-    return boxed.where(tables.strictly_inside(-115, 28, -85, 40)).select("id", "cx", "cy")
+    stored = tables.written(v.fields.withColumn("bbox", F.struct((x - rr).alias("xmin"), (y - rr).alias("ymin"), (x + rr).alias("xmax"), (y + rr).alias("ymax"))))
+    return stored.where(tables.strictly_inside(-115, 28, -85, 40)).select("id", "cx", "cy")
 
 
-@query("s7_s8_extent_index", "WITH i AS (SELECT year AS file, min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) AS ymax FROM px WHERE (y + x) % 7 = year % 7 GROUP BY year) SELECT file, xmin, ymin, xmax, ymax, xmin <= -120 AND xmax >= -124 AND ymin <= 26 AND ymax >= 24 AS read FROM i", "px")
+def filed(v: Views) -> str:
+    """The raster as a table of four files, one for each sixteen columns; the folder."""
+    path = tables.new_path(v.spark)
+    v.px.withColumn("strip", F.floor(F.col("x") / 16)).repartition("strip").write.partitionBy("strip").parquet(path)
+    return path
+
+
+@query("s7_s8_extent_index", "SELECT CAST(x // 16 AS INT) AS strip, min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) AS ymax, min(lon) <= -105 AND max(lon) >= -124 AND min(lat) <= 26 AND max(lat) >= 24 AS read FROM px GROUP BY 1", "px")
 def _(v: Views) -> DataFrame:
-    index = tables.extent_index(v.px.where((F.col("y") + F.col("x")) % 7 == F.col("year") % 7).withColumnRenamed("year", "file"), "lon", "lat")
-    hit = tables.files_over(index, -124, 24, -120, 26).select("file", F.lit(True).alias("read"))
-    return index.join(hit, "file", "left").withColumn("read", F.coalesce("read", F.lit(False)))
+    index = tables.file_index(v.spark, filed(v), "lon", "lat")
+    hit = tables.files_over(index, -124, 24, -105, 26).select("file", F.lit(True).alias("read"))
+    strip = F.regexp_extract("file", "strip=([0-9]+)", 1).cast("int").alias("strip")
+    return index.join(hit, "file", "left").select(strip, "xmin", "ymin", "xmax", "ymax", F.coalesce("read", F.lit(False)).alias("read"))
 
 
-@query("s9_a12_u1_union_tiles", f"WITH tiles AS (SELECT lat, lon, v FROM px WHERE x < 40 UNION ALL SELECT lat, lon, v FROM px WHERE x >= 32) SELECT {C6} AS cell, round(avg(v), 9) AS value, count(*) AS px FROM tiles GROUP BY 1", "px")
+@query("s7_read_over", "SELECT year, y, x, v FROM px WHERE lon BETWEEN -124 AND -105 AND lat BETWEEN 24 AND 26", "px")
 def _(v: Views) -> DataFrame:
-    west, east = v.px.where("x < 40").select("lat", "lon", "v"), v.px.where("x >= 32").select("v", "lat", "lon")
-    return fold.fold_mean(fold.union_tiles([west, east]), 6).select("cell", r("value").alias("value"), "px")
+    path = filed(v)
+    index = tables.file_index(v.spark, path, "lon", "lat")
+    return tables.read_over(v.spark, index, (-124, 24, -105, 26), "lon", "lat", v.px.schema).select("year", "y", "x", "v")
 
 
-@query("s10_tile_corners", "SELECT id, round(w, 4) AS w, round(n, 4) AS n, round((w + 180) / 360 * 65536, 3) AS col, round((1 - ln(tan(radians(n)) + 1 / cos(radians(n))) / pi()) / 2 * 65536, 3) AS row FROM zones", "zones")
+@query("s9_a12_u1_union_tiles", f"WITH tiles AS (SELECT lat, lon, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v, cls FROM px WHERE x < 40 UNION ALL SELECT lat, lon, v, NULL FROM px WHERE x >= 32) SELECT {C6} AS cell, round(avg(v), 9) AS value, count(*) AS px, count(cls) AS classed FROM tiles GROUP BY 1", "px")
 def _(v: Views) -> DataFrame:
-    col, row = proj.mercator_pixel(F.col("w"), F.col("n"), 8)
-    return v.zones.select("id", r("w", 4).alias("w"), r("n", 4).alias("n"), r(col, 3).alias("col"), r(row, 3).alias("row"))
+    """Two tiles that share some columns and whose columns differ in order, in type, and in what there is."""
+    west, east = v.px.where("x < 40").select("lat", "lon", F.col("v").cast("float").alias("v"), "cls"), v.px.where("x >= 32").select("v", "year", "lat", "lon")
+    both = fold.union_tiles([west, east])
+    classed = fold.with_cell(both, 6).groupBy("cell").agg(F.count("cls").alias("classed"))
+    return fold.fold_mean(both, 6).join(classed, "cell").select("cell", r("value").alias("value"), "px", "classed")
+
+
+def albers_tiles(v: Views, size: float) -> DataFrame:
+    """An index of the square tiles of so many metres that hold pixels."""
+    ax, ay = proj.albers(F.col("lon"), F.col("lat"))
+    i, j = F.floor(ax / size), F.floor(ay / size)
+    found = v.px.select(i.alias("i"), j.alias("j"), "year", "v").groupBy("i", "j").agg(F.max("year").alias("year"), F.max(F.col("v") * 1000).alias("z_max"))
+    edge = {"aw": F.col("i") * size, "as": F.col("j") * size, "ae": (F.col("i") + 1) * size, "an": (F.col("j") + 1) * size}
+    return found.select((F.col("i") * 100 + F.col("j")).alias("tile"), F.concat(F.lit("tiles/"), "i", F.lit("/"), "j").alias("link"), F.make_date("year", F.lit(7), F.lit(1)).alias("date"), "z_max", *[c.alias(k) for k, c in edge.items()])
+
+
+def inverse_sql(x: str, y: str) -> str:
+    """[lon, lat] of Albers metres: Newton steps over a list."""
+    q = f"(({proj.C} - (({x}) ** 2 + ({proj.RHO0} - ({y})) ** 2) * {proj.N**2} / {proj.A**2}) / {proj.N})"
+    one = f"(1 - {proj.E2} * sin(a) ** 2)"
+    step = f"a + {one} ** 2 / (2 * cos(a)) * ({q} / (1 - {proj.E2}) - sin(a) / {one} + ln((1 - {proj.E} * sin(a)) / (1 + {proj.E} * sin(a))) / (2 * {proj.E}))"
+    return f"[degrees(atan2({x}, {proj.RHO0} - ({y})) / {proj.N} + {proj.LON0}), degrees(list_reduce([asin({q} / 2), 0, 0, 0, 0, 0, 0], lambda a, b: {step}))]"
+
+
+CORNERS = {"sw": ("aw", "as_"), "se": ("ae", "as_"), "ne": ("ae", "an"), "nw": ("aw", "an")}
+
+
+@query("s10_tile_corners", f"WITH a AS ({ALBERS_SQL}), t AS (SELECT CAST(floor(ax / 1e6) AS BIGINT) AS i, CAST(floor(ay / 1e6) AS BIGINT) AS j, max(year) AS year, max(v * 1000) AS z_max FROM px JOIN a USING (y, x) GROUP BY 1, 2), e AS (SELECT *, i * 1e6 AS aw, j * 1e6 AS as_, (i + 1) * 1e6 AS ae, (j + 1) * 1e6 AS an FROM t), c AS (SELECT *, {', '.join(f'{inverse_sql(*p)} AS {k}' for k, p in CORNERS.items())} FROM e) SELECT i * 100 + j AS tile, concat('tiles/', i, '/', j) AS link, make_date(year, 7, 1) AS date, round(z_max, 6) AS z_max, CAST(aw AS DOUBLE) AS aw, CAST(ae AS DOUBLE) AS ae, {', '.join(f'round({k}[{n}], 7) AS {k}_{c}' for k in CORNERS for n, c in ((1, 'lon'), (2, 'lat')))} FROM c", "px")
+def _(v: Views) -> DataFrame:
+    found = tables.tile_corners(albers_tiles(v, 1e6))
+    return found.select("tile", "link", "date", r("z_max", 6).alias("z_max"), "aw", "ae", *[r(f"{k}_{c}", 7).alias(f"{k}_{c}") for k in CORNERS for c in ("lon", "lat")])
 
 
 @query("s11_source_filters", "SELECT id, name, substr('ZZ-' || region, 4) AS short FROM zones WHERE region NOT IN ('ASIA', 'AFRICA')", "zones")
@@ -125,21 +194,18 @@ def _(v: Views) -> DataFrame:
     return cells.select("cell", F.inline(grid.edges(F.col("cell")))).select("cell", "dir", "neighbour", r("x1").alias("x1"), r("y1").alias("y1"))
 
 
-ALB = f"(1 - {proj.E2}) * (s / (1 - {proj.E2} * s * s) - ln((1 - {proj.E} * s) / (1 + {proj.E} * s)) / (2 * {proj.E}))"
-ALBERS_SQL = f"SELECT y, x, lat, lon, rho * sin(th) AS ax, {proj.RHO0} - rho * cos(th) AS ay FROM (SELECT *, {proj.A} * sqrt({proj.C} - {proj.N} * {ALB}) / {proj.N} AS rho, {proj.N} * (radians(lon) - {proj.LON0}) AS th FROM (SELECT DISTINCT y, x, lat, lon, sin(radians(lat)) AS s FROM px))"
-
-
 @query("p1_albers", f"SELECT y, x, round(ax, 2) AS ax, round(ay, 2) AS ay FROM ({ALBERS_SQL})", "px")
 def _(v: Views) -> DataFrame:
     ax, ay = proj.albers(F.col("lon"), F.col("lat"))
     return v.px.select("y", "x", "lat", "lon").distinct().select("y", "x", r(ax, 2).alias("ax"), r(ay, 2).alias("ay"))
 
 
-@query("p2_box_reprojected", f"SELECT round(min(ax), 1) AS w, round(min(ay), 1) AS s, round(max(ax), 1) AS e, round(max(ay), 1) AS n FROM ({ALBERS_SQL}) WHERE y IN (0, 47) OR x IN (0, 63)", "px")
+BOX_EDGES = "SELECT id, unnest([w + (e - w) * k / 8, w + (e - w) * k / 8, w, e]) AS lon, unnest([s, n, s + (n - s) * k / 8, s + (n - s) * k / 8]) AS lat FROM zones, range(9) t(k)"
+
+
+@query("p2_box_reprojected", f"WITH p AS ({BOX_EDGES}), q AS ({ALBERS_SQL.replace('SELECT y, x, lat, lon, rho', 'SELECT id, rho').replace('SELECT DISTINCT y, x, lat, lon, sin(radians(lat)) AS s FROM px', 'SELECT *, sin(radians(lat)) AS s FROM p')}) SELECT id, round(greatest(min(ax), {proj.EXTENT[0]}), 1) AS w, round(greatest(min(ay), {proj.EXTENT[1]}), 1) AS s, round(least(max(ax), {proj.EXTENT[2]}), 1) AS e, round(least(max(ay), {proj.EXTENT[3]}), 1) AS n FROM q GROUP BY id", "zones")
 def _(v: Views) -> DataFrame:
-    ax, ay = proj.albers(F.col("lon"), F.col("lat"))
-    edge = v.px.where("y IN (0, 47) OR x IN (0, 63)").select(ax.alias("ax"), ay.alias("ay"))
-    return edge.agg(r(F.min("ax"), 1).alias("w"), r(F.min("ay"), 1).alias("s"), r(F.max("ax"), 1).alias("e"), r(F.max("ay"), 1).alias("n"))
+    return proj.albers_box(v.zones).select("id", *[r(c, 1).alias(c) for c in "wsen"])
 
 
 @query("p5_albers_inverse", "SELECT DISTINCT y, x, round(lat, 9) AS lat, round(lon, 9) AS lon FROM px", "px")
@@ -162,10 +228,16 @@ def _(v: Views) -> DataFrame:
     return v.fields.select("id", r(mx, 2).alias("mx"), r(my, 2).alias("my"))
 
 
-@query("p6_polynomial", "SELECT DISTINCT y, x, round(-96 + 0.9 * (x / 63.0) + 0.01 * (y / 47.0) + 0.002 * (x / 63.0) * (y / 47.0), 8) AS lon FROM px", "px")
+@query("p6_f4_tile_fits", "SELECT DISTINCT y, x, round(lon, 6) AS lon, round(lat, 6) AS lat FROM px", "px")
 def _(v: Views) -> DataFrame:
-    terms = F.array(*[F.lit(c) for c in (-96.0, 0.01, 0.0, 0.0, 0.9, 0.002, 0.0, 0.0, 0.0, 0.0)])
-    return v.px.select("y", "x").distinct().select("y", "x", r(proj.polynomial(F.col("x") / 63.0, F.col("y") / 47.0, terms), 8).alias("lon"))
+    """Pixels in metres get their degrees by the fit of their tile of 40 km; the fits are a table of coefficients."""
+    ax, ay = proj.albers(F.col("lon"), F.col("lat"))
+    at = v.px.select("y", "x", ax.alias("ax"), ay.alias("ay")).distinct()
+    at = at.withColumns({"i": F.floor(F.col("ax") / 4e4), "j": F.floor(F.col("ay") / 4e4)}).withColumn("tile", F.col("i") * 10_000 + F.col("j"))
+    tiles = at.select("tile", (F.col("i") * 4e4).alias("w"), (F.col("j") * 4e4).alias("s"), ((F.col("i") + 1) * 4e4).alias("e"), ((F.col("j") + 1) * 4e4).alias("n")).distinct()
+    fits = proj.lonlat_fits(tiles, degree=4).select("tile", F.struct("cx", "cy", "sx", "sy", "lon", "lat").alias("fit"))
+    place = at.join(fits, "tile").select("y", "x", proj.lonlat(F.col("ax"), F.col("ay"), degree=4).alias("p"))
+    return place.select("y", "x", r("p.lon", 6).alias("lon"), r("p.lat", 6).alias("lat"))
 
 
 # --- scalars
@@ -185,7 +257,7 @@ def _(v: Views) -> DataFrame:
 HI = """(CASE WHEN ((0.5 * (tf + 61 + (tf - 68) * 1.2 + rh * 0.094)) + tf) / 2 >= 80 THEN
   -42.379 + 2.04901523 * tf + 10.14333127 * rh - 0.22475541 * tf * rh - 0.00683783 * tf * tf - 0.05481717 * rh * rh + 0.00122874 * tf * tf * rh + 0.00085282 * tf * rh * rh - 0.00000199 * tf * tf * rh * rh
   - CASE WHEN rh < 13 AND tf BETWEEN 80 AND 112 THEN (13 - rh) / 4 * sqrt((17 - abs(tf - 95)) / 17) ELSE 0 END + CASE WHEN rh > 85 AND tf BETWEEN 80 AND 87 THEN (rh - 85) / 10 * ((87 - tf) / 5) ELSE 0 END
-  ELSE ((0.5 * (tf + 61 + (tf - 68) * 1.2 + rh * 0.094)) + tf) / 2 END - 32) * 5 / 9"""
+  ELSE 0.5 * (tf + 61 + (tf - 68) * 1.2 + rh * 0.094) END - 32) * 5 / 9"""
 
 
 @query("p17_p21_heat", f"SELECT t, x, y, round({HI}, 9) AS hi, CAST(greatest(0, least(254, round_even((tc + 40) * 2, 0))) AS INT) AS code, (CAST(least(15, round_even(mm, 0)) AS INT) << 4) | CAST(least(15, round_even(rh / 10, 0)) AS INT) AS packed, round(sqrt(tc * tc + mm * mm), 9) AS wind, round(greatest(0, tc - 18) * greatest(0, 1 - 0.5 * mm / 10), 9) AS over FROM (SELECT *, tc * 9 / 5 + 32 AS tf FROM cube)", "cube")
@@ -199,7 +271,7 @@ def _(v: Views) -> DataFrame:
     return v.px.select("year", "y", "x", r(F.col("v") * 3600).alias("rate"), r(scalars.acres(F.col("cls"), 2.5), 4).alias("acres"), scalars.band(F.col("cls"), [3, 6, 9]).alias("band"))
 
 
-@query("p23_severity", "SELECT fid, CASE WHEN zone IN ('V', 'VE') THEN 3 WHEN zone LIKE 'A%' THEN 2 WHEN zone = 'X' AND subty LIKE '%0.2 PCT%' THEN 1 WHEN zone = 'D' THEN 0 ELSE -1 END AS zc FROM hazard", "hazard")
+@query("p23_severity", "SELECT fid, CASE WHEN zone IN ('V', 'VE') THEN 3 WHEN zone IN ('A', 'AE', 'AH', 'AO', 'A99', 'AR') THEN 2 WHEN zone = 'X' AND subty LIKE '%0.2%' THEN 1 WHEN zone = 'D' THEN 0 ELSE -1 END AS zc FROM hazard", "hazard")
 def _(v: Views) -> DataFrame:
     return v.hazard.select("fid", scalars.zone_severity(F.col("zone"), F.col("subty")).alias("zc"))
 
@@ -221,16 +293,26 @@ def _(v: Views) -> DataFrame:
 @query("p28_normalised", "SELECT year, y, x, round((log10(greatest(0.01, least(0.1, v))) - log10(0.01)) / (log10(0.1) - log10(0.01)), 9) AS lg, round(sqrt(greatest(0, least(1, v / 0.08))), 9) AS sq, round(greatest(0, least(1, (v - (SELECT quantile_cont(v, 0.02) FROM px)) / (SELECT quantile_cont(v, 0.98) - quantile_cont(v, 0.02) FROM px))), 9) AS lin, round(greatest(-1, least(1, (v - 0.05) / 0.02)), 9) AS piv, round(ln(1 + v), 9) AS l1 FROM px", "px")
 def _(v: Views) -> DataFrame:
     px = v.px
-    low, high = px.agg(F.percentile("v", F.lit(0.02)), F.percentile("v", F.lit(0.98))).first()
+    low, high = fold.quantiles(px, "v", [0.02, 0.98]).first()
     val = F.col("v")
     return px.select("year", "y", "x", r(scalars.log_clip(val, 0.01, 0.1)).alias("lg"), r(scalars.sqrt_clip(val, 0.08)).alias("sq"), r(scalars.linear_clip(val, F.lit(low), F.lit(high))).alias("lin"), r(scalars.pivot_clip(val, 0.05, 0.02)).alias("piv"), r(F.log1p(val)).alias("l1"))
 
 
-@query("p29_tags", "SELECT id, CASE WHEN id % 4 = 0 THEN greatest(id % 7 * 1000, 110000) WHEN id % 4 = 1 THEN 400000 END AS voltage FROM buildings", "buildings")
+def tagged(v: Views) -> DataFrame:
+    tag = F.when(F.col("id") % 4 == 0, F.concat((F.col("id") % 7 * 1000).cast("string"), F.lit("; 110000"))).when(F.col("id") % 4 == 1, F.lit("400000,x")).when(F.col("id") % 4 == 2, F.lit("n/a"))
+    cls = F.when(F.col("id") % 3 == 0, "power_line").otherwise("power_tower")
+    kind = F.when(F.col("id") % 5 == 0, "POINT").when(F.col("id") % 5 == 1, "MULTILINESTRING").otherwise("LINESTRING")
+    return v.buildings.select("id", cls.alias("cls"), kind.alias("kind"), F.when(tag.isNotNull(), F.create_map(F.lit("voltage"), tag)).alias("tags"))
+
+
+@query("p29_tags", "SELECT id, CAST(CASE WHEN id % 4 = 0 THEN greatest(id % 7 * 1000, 110000) WHEN id % 4 = 1 THEN 400000 ELSE 0 END AS BIGINT) AS voltage FROM buildings", "buildings")
+def _(v: Views) -> DataFrame:
+    return tagged(v).select("id", scalars.voltage(F.col("tags")).alias("voltage"))
+
+
+@query("p29_power_lines", "SELECT id FROM buildings WHERE id % 3 = 0 AND id % 5 <> 0 AND id % 4 = 1", "buildings")
 def _(v: Views) -> DataFrame:
-    tag = F.when(F.col("id") % 4 == 0, F.concat((F.col("id") % 7 * 1000).cast("string"), F.lit(";110000"))).when(F.col("id") % 4 == 1, F.lit("400000,x"))
-    tags = F.create_map(F.lit("voltage"), tag)
-    return v.buildings.select("id", tags.alias("tags")).select("id", scalars.most_of_list(F.col("tags")["voltage"]).cast("long").alias("voltage"))
+    return tagged(v).where(scalars.power_line(F.col("cls"), F.col("kind"), F.col("tags"))).select("id")
 
 
 @query("p30_heights", "SELECT id, round(coalesce(height, num_floors * 3.0), 4) AS h FROM buildings WHERE NOT underground AND coalesce(height, num_floors * 3.0, 1) > 0", "buildings")
@@ -249,9 +331,9 @@ def _(v: Views) -> DataFrame:
     return v.px.select("y", "x").distinct().select("y", "x", scalars.hilbert(F.col("x"), F.col("y"), 6).alias("tile"))
 
 
-@query("p34_p35_dates", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS day, dayofyear(o_orderdate) BETWEEN 91 + 45 * k AND 319 - 45 * k AS leaf FROM (SELECT *, greatest(0, least(1, (24 + o_custkey % 30 - 25) / 24)) AS k FROM orders)")
+@query("p34_p35_dates", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS day, dayofyear(o_orderdate) BETWEEN least(greatest(105 + 0.9 * (lat - 35), 60), 160) AND least(greatest(305 - 0.9 * (lat - 35), 250), 340) AS leaf FROM (SELECT *, o_custkey % 90 AS lat FROM orders)")
 def _(v: Views) -> DataFrame:
-    return v.orders.select("o_orderkey", F.year("o_orderdate").alias("y"), F.date_trunc("day", "o_orderdate").alias("day"), scalars.leaf_on(F.col("o_orderdate"), 24 + F.col("o_custkey") % 30).alias("leaf"))
+    return v.orders.select("o_orderkey", F.year("o_orderdate").alias("y"), F.date_trunc("day", "o_orderdate").alias("day"), scalars.leaf_on(F.col("o_orderdate"), F.col("o_custkey") % 90).alias("leaf"))
 
 
 @query("p36_geometry", "SELECT id, round(2 * r * r, 9) AS area, round(cx, 9) AS x, round(cy, 9) AS y, round(cx - r, 9) AS w, round(cy + r, 9) AS n FROM fields", "fields")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from gridloom.functions import proj
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,12 +31,16 @@ def session_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}"
 
 
+def new_path(spark: SparkSession) -> str:
+    return f"{session_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: cuts the lineage, survives lost executors.
 
     The table stays until `discard` or `clear`, as results may still be read from it."""
     spark = df.sparkSession
-    path = f"{session_dir(spark)}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_path = path
@@ -55,6 +63,13 @@ def clear(spark: SparkSession) -> None:
     _delete(spark, session_dir(spark))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left with right's other columns, where the keys are equal or both null."""
+    right = right.withColumnsRenamed({k: f"right_{k}" for k in keys})
+    on = [left[k].eqNullSafe(right[f"right_{k}"]) for k in keys]
+    return left.join(right, on, how).drop(*[f"right_{k}" for k in keys])
+
+
 def grid_table(spark: SparkSession, path: str, level: int | None = None) -> DataFrame:
     """An unravelled cube: dimensions and variables as columns, `level` as a partition column if there are several."""
     df = spark.read.parquet(path)
@@ -87,6 +102,14 @@ def level_for(cell_level: int, table: dict[int, int]) -> int:
     return table[max(fits)] if fits else table[min(table)]
 
 
+def level_in_view(w: float, e: float, width: int, most: int, table: dict[int, int] | None = None) -> int:
+    """The cell level for a box shown so many pixels wide: about eight pixels to a cell, `most` at most; with a table the
+    pyramid level for it."""
+    span = max(e - w, 1e-9)
+    level = max(0, min(most, math.floor(math.log2(360 / span * width / 8)) - 1))
+    return level if table is None else level_for(level, table)
+
+
 def level_in_budget(df: DataFrame, budget: int, level: str = "level") -> int | None:
     """The finest level (the smallest number) with at most `budget` rows; the coarsest if none fits."""
     counts = df.groupBy(level).agg(F.count(F.lit(1)).alias("n"))
@@ -94,6 +117,23 @@ def level_in_budget(df: DataFrame, budget: int, level: str = "level") -> int | N
     return row["fits"] if row["fits"] is not None else row["coarsest"]
 
 
+def level_for_box(pyramid: DataFrame, levels: list[int], box: tuple[float, float, float, float], pixel: float, budget: int, x: str = "x", y: str = "y", level: str = "level", far: int = 24) -> int:
+    """The finest of `levels` whose rows in the box fit a budget, counting only where that is needed: the cells that the box can
+    hold (its area over that of a pixel times the level) are an upper bound, which settles a level that is under the budget and
+    one that is `far` times over it."""
+    w, s, e, n = box
+    bound = {k: (e - w) * (n - s) / (pixel * k) ** 2 for k in levels}
+    open_ = [k for k in sorted(levels)[:-1] if budget < bound[k] <= far * budget]
+    counted = {}
+    if open_:
+        rows = in_box(pyramid.where(F.col(level).isin(open_)), w, s, e, n, x, y).groupBy(level).agg(F.count(F.lit(1)).alias("n"))
+        counted = {r[0]: r[1] for r in rows.collect()}  # a row for each level
+    for k in sorted(levels)[:-1]:
+        if bound[k] <= budget or k in open_ and counted.get(k, 0) <= budget:
+            return k
+    return max(levels)
+
+
 def strictly_inside(w: float, s: float, e: float, n: float, box: str = "bbox") -> Column:
     """A feature's box inside the query's: comparisons on struct fields, which prune row groups."""
     b = F.col(box)
@@ -105,12 +145,35 @@ def extent_index(df: DataFrame, x: str, y: str, file: str = "file") -> DataFrame
     return df.groupBy(file).agg(F.min(x).alias("xmin"), F.min(y).alias("ymin"), F.max(x).alias("xmax"), F.max(y).alias("ymax"))
 
 
+def file_index(spark: SparkSession, path: str, x: str, y: str) -> DataFrame:
+    """The extents of the files of a Parquet table, as a table of its own: one pass over two columns, to be stored once for each
+    release and used by `read_over`. A file without values has no extent."""
+    return written(extent_index(spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), x, y), x, y))
+
+
+def read_over(spark: SparkSession, index: DataFrame, box: tuple[float, float, float, float], x: str, y: str, schema: StructType) -> DataFrame:
+    """The rows of a box, read from those files alone that an index has over it. Their paths are what a scan is told anyway."""
+    paths = [r.file for r in files_over(index, *box).select("file").collect()]
+    whole = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return in_box(whole, *box, x, y)
+
+
 def files_over(index: DataFrame, w: float, s: float, e: float, n: float, pad: float = 0.0) -> DataFrame:
     """Files whose extent meets a (padded) box; a file without an extent is always read."""
     unknown = F.col("xmin").isNull()
     return index.where(unknown | ((F.col("xmin") <= e + pad) & (F.col("xmax") >= w - pad) & (F.col("ymin") <= n + pad) & (F.col("ymax") >= s - pad)))
 
 
+def tile_corners(tiles: DataFrame) -> DataFrame:
+    """An index of tiles in projected metres (tile, link, date, z_max, aw, as, ae, an) with the places of its four corners: a square
+    in metres is a turned quad in degrees, so an envelope would not do. The envelope in metres stays for choosing tiles."""
+    out = tiles
+    for name, px, py in (("sw", "aw", "as"), ("se", "ae", "as"), ("ne", "ae", "an"), ("nw", "aw", "an")):
+        lon, lat = proj.albers_inverse(F.col(px), F.col(py))
+        out = out.withColumns({f"{name}_lon": lon, f"{name}_lat": lat})
+    return out
+
+
 def latest_forecast(df: DataFrame, init: str = "init_time", lead: str = "lead_hours") -> DataFrame:
     """The rows of the latest run with the time that each is valid for."""
     last = df.agg(F.max(init)).first()[0]
