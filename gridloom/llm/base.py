@@ -1,16 +1,22 @@
-"""Small helpers shared by the text operators."""
+"""Small helpers shared by the text operators.
+
+One rule holds for clashing names in all of them: an operator's new columns have the names that it states, and a column of
+the caller that has such a name already is handed on as `<name>_before` (as `<name>_before_before` if that is taken too).
+"""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.sources.tables import clear, discard, join_null_safe, shared_dir, written
+
+__all__ = ["apart", "clear", "discard", "join_null_safe", "kept_schema", "shared_dir", "slices", "table", "with_columns", "words", "written"]
+
 #: The white space between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
 
@@ -19,35 +25,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a local one only where none is set, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/gridloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """The words of a text (runs without white space) as an array; null counts as empty."""
     plain = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * (len(SPACES) - 1))
     return F.array_remove(F.split(plain, " "), "")
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
+def apart(columns: list[str], made: Iterable[str]) -> dict[str, str]:
+    """Column -> its name beside the columns that an operator makes, for all of `columns`."""
+    taken = {c.lower() for c in [*columns, *made]}
+    out = {}
+    for c in columns:
+        name = c
+        if c.lower() in {m.lower() for m in made}:
+            while name.lower() in taken:
+                name += "_before"
+            taken.add(name.lower())
+        out[c] = name
+    return out
+
+
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20, most_rows: int = 4096) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Parts of an Arrow batch whose texts take about most_bytes, with the texts; bounds a worker's memory."""
     at, start, size = batch.schema.get_field_index(column), 0, 0
     lengths = pa.compute.binary_length(batch.column(at)).fill_null(0).to_pylist()
     for i, n in enumerate(lengths):
-        if size and size + n > most_bytes:
+        if i > start and (size + n > most_bytes or i - start >= most_rows):
             part = batch.slice(start, i - start)
             yield part, part.column(at).to_pylist()
             start, size = i, 0
@@ -67,10 +70,3 @@ def kept_schema(df: DataFrame, keep: list[str], *more: tuple[str, str]) -> str:
     """A DDL schema of the kept columns and the new ones."""
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     return ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"`{c}` {t}" for c, t in more])
-
-
-def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """left with right's other columns, where the keys are equal or both null."""
-    right = right.withColumnsRenamed({k: f"right_{k}" for k in keys})
-    on = [left[k].eqNullSafe(right[f"right_{k}"]) for k in keys]
-    return left.join(right, on, how).drop(*[f"right_{k}" for k in keys])

@@ -2,7 +2,8 @@
 
 Null texts encode as empty; every text is encoded whole. Long texts are cut at places where the split pattern always
 begins a new match, so that the cut changes no token. Rows are independent: repeated rows give equal results, an empty
-table gives an empty table, and columns that are not named in `keep` play no part.
+table gives an empty table, and columns that are not named in `keep` play no part; a kept column with the name of a new one is handed on as
+`<name>_before`.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from gridloom.llm.base import kept_schema, slices, with_columns
+from gridloom.llm.base import apart, kept_schema, slices, with_columns
 
 #: A letter or digit run always ends its match where one of these follows; no match reaches across.
 SAFE = re.compile(r"[A-Za-z0-9](?=[ \n\t])|[A-Za-z](?=[0-9!-/:-@])|[0-9](?=[A-Za-z!-/:-@])")
@@ -52,7 +53,8 @@ def encode_text(text: str | None, enc: tiktoken.Encoding, limit: int = 1 << 15)
 
 def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None, limit: int = 1 << 15) -> DataFrame:
     """The columns `keep` (all by default) and `ids`: the token ids of `text`, array<int>."""
-    keep = [c for c in (df.columns if keep is None else keep) if c != ids]
+    names = apart(df.columns, [ids])
+    df, keep, text = df.withColumnsRenamed(names), [names[c] for c in (df.columns if keep is None else keep)], names[text]
     inner = df.select(*dict.fromkeys([*keep, text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +68,8 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids:
 
 def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all by default) and `out`: the raw bytes of `ids`, binary. A null list gives no bytes."""
-    keep = [c for c in (df.columns if keep is None else keep) if c != out]
+    names = apart(df.columns, [out])
+    df, keep, ids = df.withColumnsRenamed(names), [names[c] for c in (df.columns if keep is None else keep)], names[ids]
     inner = df.select(*dict.fromkeys([*keep, ids]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,9 +83,12 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids", out: s
     return inner.mapInArrow(run, kept_schema(df, keep, (out, "binary")))
 
 
-def round_trip(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "ids", exact: str = "exact", keep: list[str] | None = None, limit: int = 1 << 15) -> DataFrame:
-    """The columns `keep` (all by default), `ids`, and whether they decode to the text's bytes: one pass, one worker a task."""
-    keep = [c for c in (df.columns if keep is None else keep) if c not in (ids, exact)]
+def round_trip(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None, exact: str | None = "exact", keep: list[str] | None = None, limit: int = 1 << 15) -> DataFrame:
+    """The columns `keep` (all by default), `ids`, `decoded` (their raw bytes) and `exact`, whether these are the text's: one
+    pass, one worker a task. `decoded` and `exact` may be None, for no such column."""
+    made = [c for c in (ids, decoded, exact) if c]
+    names = apart(df.columns, made)
+    df, keep, text = df.withColumnsRenamed(names), [names[c] for c in (df.columns if keep is None else keep)], names[text]
     inner = df.select(*dict.fromkeys([*keep, text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +96,13 @@ def round_trip(df: DataFrame, rank_path: str, pattern: str, text: str = "text",
         for batch in batches:
             for part, texts in slices(batch, text):
                 found = [encode_text(t, enc, limit) for t in texts]
-                same = [enc.decode_bytes(i) == (t or "").encode() for i, t in zip(found, texts, strict=True)]
-                yield with_columns(part, keep, **{ids: pa.array(found, pa.list_(pa.int32())), exact: pa.array(same)})
-
-    return inner.mapInArrow(run, kept_schema(df, keep, (ids, "array<int>"), (exact, "boolean")))
+                back = [enc.decode_bytes(i) for i in found]
+                more = {ids: pa.array(found, pa.list_(pa.int32()))}
+                if decoded:
+                    more[decoded] = pa.array(back, pa.binary())
+                if exact:
+                    more[exact] = pa.array([b == (t or "").encode() for b, t in zip(back, texts, strict=True)])
+                yield with_columns(part, keep, **more)
+
+    types = {ids: "array<int>", decoded: "binary", exact: "boolean"}
+    return inner.mapInArrow(run, kept_schema(df, keep, *[(c, types[c]) for c in made]))

@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import kept_schema, slices, with_columns, written
+from gridloom.llm.base import apart, kept_schema, slices, with_columns, written
 
 UNKNOWN = "und"
 PLACES = 1 << 13
+#: Texts whose counts a worker holds at once.
+BATCH = 512
 
 
 @lru_cache(maxsize=1)
@@ -55,9 +57,9 @@ def counts(text: str | None, places: int = PLACES) -> np.ndarray | None:
     two = code[:-1] * np.uint32(0x9E3779B1) + code[1:]
     three = two[:-1] * np.uint32(0x85EBCA6B) + code[2:]
     shift = np.uint32(32 - places.bit_length() + 1)
-    out = np.zeros(places, np.int64)
+    out = np.zeros(places, np.int32)
     for gram, salt in ((code, 0x27D4EB2F), (two, 0x165667B1), (three, 0xC2B2AE3D)):
-        out += np.bincount(((gram ^ (gram >> np.uint32(15))) * np.uint32(salt)) >> shift, minlength=places)
+        out += np.bincount(((gram ^ (gram >> np.uint32(15))) * np.uint32(salt)) >> shift, minlength=places).astype(np.int32)
     return out
 
 
@@ -102,7 +104,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for group, texts in slices(batch, "text"):
+            for group, texts in slices(batch, "text", 1 << 20, BATCH):
                 found = [counts(t, places) for t in texts]
                 held = [np.flatnonzero(c) if c is not None else np.empty(0, np.int64) for c in found]
                 values = [c[at] if c is not None else at for c, at in zip(found, held, strict=True)]
@@ -134,17 +136,18 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, reject: bool = True) -> DataFrame:
     """The columns `keep` (all by default), lang_pred, score (the best cosine), margin (to the best other language) and rejected.
 
-    With `reject`, rejected texts get the language `und`.
+    With `reject`, rejected texts get the language `und`. Own columns of these names are handed on as `<name>_before`.
     """
     made = ("lang_pred", "score", "margin", "rejected")
-    keep = [c for c in (df.columns if keep is None else keep) if c not in made]
+    names = apart(df.columns, made)
+    df, keep, text = df.withColumnsRenamed(names), [names[c] for c in (df.columns if keep is None else keep)], names[text]
     sent = df.sparkSession.sparkContext.broadcast(model)  # a few vectors for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         ends = np.flatnonzero(np.append(True, m.owner[1:] != m.owner[:-1])) if len(m.owner) else []
         for batch in batches:
-            for part, texts in slices(batch, text, 1 << 20):
+            for part, texts in slices(batch, text, 1 << 20, BATCH):
                 found = [counts(t, len(m.idf)) for t in texts]
                 some = [i for i, c in enumerate(found) if c is not None]
                 lang, score, margin, out = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), bool)

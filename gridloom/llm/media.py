@@ -7,7 +7,7 @@ transform in numpy, upsamples the chroma and gives the RGB tensor; and from the
 
 Null texts count as empty. A payload is the UTF-8 bytes and spaces (byte 32) up to a positive multiple of 192, so no
 file is empty. Rows are independent: equal texts give equal files, an empty table an empty table. A null file decodes to
-nulls; a file that can't be read raises ValueError.
+nulls; a file that can't be read raises ValueError. A kept column with the name of a new one is handed on as `<name>_before`.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridloom.llm.base import kept_schema, slices, with_columns
+from gridloom.llm.base import apart, kept_schema, slices, with_columns
 
 UNIT, PAD = 192, 32
 MCU = 384  # bytes in a unit of four luma and two chroma blocks
@@ -434,7 +434,8 @@ def features(rgb: np.ndarray) -> list[int]:
 
 def encode(df: DataFrame, text: str = "text", media: str = "media", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all by default) and `media`: a progressive JPEG that holds the bytes of `text`."""
-    keep = [c for c in (df.columns if keep is None else keep) if c != media]
+    names = apart(df.columns, [media])
+    df, keep, text = df.withColumnsRenamed(names), [names[c] for c in (df.columns if keep is None else keep)], names[text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -447,7 +448,8 @@ def encode(df: DataFrame, text: str = "text", media: str = "media", keep: list[s
 def decode(df: DataFrame, media: str = "media", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all by default), `payload` (the bytes of `encode`, else null), `height`, `width`, `rgb` and `features`."""
     made = ("payload", "height", "width", "rgb", "features")
-    keep = [c for c in (df.columns if keep is None else keep) if c not in made]
+    names = apart(df.columns, made)
+    df, keep, media = df.withColumnsRenamed(names), [names[c] for c in (df.columns if keep is None else keep)], names[media]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,9 +9,11 @@ cross. Neighbours in that order are of like size, so what a source gives comes n
 The prefix sums take two levels, as no source may go through one task: rows are counted in cells of a size step and a
 hash range (about the square root of the step's rows in each), cells are summed within a source, rows within a cell.
 
-Null texts have size 0; so do blank ones. Null ids and repeated rows are rows like others: rows that are alike in id,
-source and size share the copies that fall to them. Sources without a word have target 0. An empty table gives an empty
-table. Reruns agree: the order and the offset depend only on the rows and the seed.
+Null texts have size 0; so do blank ones. Null ids and repeated rows are rows like others: a row's place is a hash of its id
+and its text, so rows of one id (or of none) lie apart, and rows that are alike in both share the copies that fall to them.
+Sources without a word have target 0. Sources are few, as a source is what a weight is set for: one row of each goes through
+one window. An empty table gives an empty table. Reruns agree: the order and the offset depend only on the rows and the seed.
+Carried columns with the name of a new one are handed on as `<name>_before`.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import join_null_safe, words, written
+from gridloom.llm.base import apart, join_null_safe, words, written
 
 WEIGHTS = (5, 2, 1)
 #: Documents with fewer rows in a size step than this many squared have a single cell there.
@@ -58,11 +60,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], percent: int, mos
 
 def systematic_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, percent: int = 150, most: int = 2, seed: str = "mix", carry: list[str] | None = None) -> DataFrame:
     """doc_id, size, source_size, target and copies for each row of docs, and the columns in `carry`."""
-    key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
+    of_text = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), of_text).cast("binary"))
+    carry = carry or []
+    names = apart(carry, ["doc_id", "size", "source_size", "target", "copies"])
+    carried = [F.struct(*carry).alias("carried")] if carry else []
     size = word_count(F.col(text))
     bits = F.length(F.bin("size"))
     step = F.when(F.col("size") < 16, F.col("size")).otherwise(bits * 16 + F.call_function("shiftrightunsigned", F.col("size"), bits - 5) % 16)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), key.alias("key"), *(carry or []))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), key.alias("key"), *carried)
     rows = written(rows.withColumn("step", step.cast("int")))
     targets = source_targets(rows, weights, percent, most)
     cells = rows.groupBy("source", "step").agg(F.ceil(F.sqrt(F.count(F.lit(1))) / SPREAD).cast("long").alias("cells"))
@@ -72,7 +78,7 @@ def systematic_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "so
     before = Window.partitionBy("source").orderBy("step", "cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("source", "step", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     starts = join_null_safe(starts, targets, ["source"])
-    within = Window.partitionBy("source", "step", "cell").orderBy("key", "doc_id", "size", *([F.xxhash64(*carry)] if carry else []))
+    within = Window.partitionBy("source", "step", "cell").orderBy("key", "doc_id", "size", *([F.xxhash64("carried")] if carry else []))
     ranked = placed.withColumn("rank", F.row_number().over(within))
     joined = join_null_safe(ranked, starts, ["source", "step", "cell"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -80,13 +86,13 @@ def systematic_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "so
     upto = lambda n: F.floor(n * F.col("rate") + F.col("offset"))
     ready = joined.withColumns({"rate": rate, "offset": offset, "at": F.col("start") + F.col("rank")})
     copies = upto(F.col("at")) - upto(F.col("at") - 1)
-    return ready.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), *(carry or []))
+    return ready.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), *[F.col("carried")[c].alias(names[c]) for c in carry])
 
 
 #: DuckDB's form of the mix: one window over each source's whole order.
 ORACLE_SQL = rf"""
 WITH rows_ AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                      md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+                      md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 by_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows_ GROUP BY source),
 ranked AS (SELECT source, source_size, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS BIGINT) AS w FROM by_source),
 spent AS (SELECT *, CAST(sum(source_size) OVER () AS BIGINT) * 150 - 200 * CAST(coalesce(sum(source_size) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest,

@@ -265,11 +265,11 @@ def crossed(parts: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     """All links between the parts of each component, of (doc_id, root, part): what is not in a component's largest part meets
     all its members, block by block."""
     sizes = parts.groupBy("root", "part").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("root").agg(F.max_by("part", F.struct("size", -F.col("part"))).alias("main"), F.sum("size").alias("n"))
-    main = main.select("root", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"))
-    placed = parts.join(main, "root")
-    rest = placed.where("part != main").groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("rests"))
-    placed = written(placed.join(rest, "root").select("root", "doc_id", (F.col("part") != F.col("main")).alias("apart"), "chunks", "rests"))
+    main = sizes.groupBy("root").agg(F.max_by("part", F.struct("size", -F.col("part"))).alias("main"), F.max("size").alias("most"), F.sum("size").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    # a table of its own, so that the join is free to split a root that many members share
+    main = written(main.select("root", "main", blocks(F.col("n")).alias("chunks"), blocks(F.col("n") - F.col("most")).alias("rests")))
+    placed = written(parts.join(main, "root").select("root", "doc_id", (F.col("part") != F.col("main")).alias("apart"), "chunks", "rests"))
     full = placed.join(texts, "doc_id")
     asked = full.where("apart").withColumn("rest", F.floor(hashed("doc_id", 3) * F.col("rests")).cast("int"))
     asked = copies(asked, "chunks", "chunk").select(named("root", "rest", "chunk").alias("block"), F.lit(0).alias("side"), "doc_id", "text")
@@ -308,15 +308,16 @@ def verified_links(candidates: DataFrame, texts: DataFrame, width: int, percent:
     # all texts are shuffled once, those of the candidates are kept for the rounds below
     chosen = candidates.select(F.col("node").alias("doc_id"))
     texts = written(chosen.hint("merge").join(texts, "doc_id").select("doc_id", "text"))
-    sizes = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    dealt = candidates.join(sizes, "root").withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumnRenamed("node", "doc_id")
+    # tables of their own, so that joins are free to split a root that many members share
+    sizes = written(candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")))
+    dealt = candidates.join(sizes, "root").withColumnRenamed("node", "doc_id")
     dealt = written(dealt.withColumn("chunk", F.floor(hashed("doc_id", 1) * F.col("chunks")).cast("int")))
     large = dealt.where("chunks > 1")
     # central members link with more of the others: one of each of a few hash classes
     kind = F.floor(hashed("doc_id", 4) * CENTRAL).cast("int").alias("kind")
     central = large.groupBy("root", kind).agg(F.max_by("doc_id", F.struct("degree", "doc_id")).alias("doc_id")).select("root", "doc_id")
     pivots = large.where(hashed("doc_id", 2) * F.col("n") < PIVOTS).select("root", "doc_id").unionByName(central).distinct()
-    pivots = pivots.join(dealt.groupBy("root").agg(F.first("chunks").alias("chunks")), "root")
+    pivots = pivots.join(sizes.select("root", "chunks"), "root")
     pivot_rows = copies(pivots.join(texts, "doc_id"), "chunks", "chunk").select(named("root", "chunk").alias("block"), F.lit(2).alias("side"), "doc_id", "text")
     # pivots are members too: without a side, so that they give their prefixes; their second copy in that block links with the first
     own = dealt.join(texts, "doc_id").select(named("root", "chunk").alias("block"), F.lit(None).cast("int").alias("side"), "doc_id", "text")
@@ -329,7 +330,7 @@ def verified_links(candidates: DataFrame, texts: DataFrame, width: int, percent:
     reached = components(first)
     parts = large.select("doc_id", "root").join(reached.select(F.col("node").alias("doc_id"), F.col("root").alias("part")), "doc_id", "left")
     parts = written(parts.withColumn("part", F.coalesce("part", "doc_id")))
-    torn = parts.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("root")
+    torn = written(parts.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("root"))
     parts = parts.join(torn, "root", "left_semi")
     near = written(prefix_groups(prefixes, parts, percent))
     return first.unionByName(written(crossed(near, texts, width, percent)))
@@ -351,7 +352,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # the members of a document's buckets: how central it is
     near = written(met.groupBy("doc_id").agg(F.sum("n").alias("degree"), F.collect_set("top").alias("tops")))
     linked = components(near.select(F.col("doc_id").alias("u"), F.explode("tops").alias("v")))
-    candidates = linked.join(near.select(F.col("doc_id").alias("node"), "degree"), "node")
+    candidates = written(linked.join(near.select(F.col("doc_id").alias("node"), "degree"), "node"))
     found = verified_links(candidates, docs, width, percent)
     ties = owned.where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     groups = components(found.unionByName(ties))

@@ -1,18 +1,25 @@
 """Personal data replaced by keyed surrogates of the same type, script, gender and format.
 
 Detected: e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers, social security numbers, secrets
-(long hexadecimal strings, keys with a known prefix) and names of persons (a given name from a list and a capitalised
-surname of the same script).
+(long hexadecimal strings, keys with a known prefix) and names of persons: a given name from a list with a surname of the
+same script (middle initials, particles, inner capitals, apostrophes, hyphens and accents included), a name after a title,
+and then the bare given names and surnames of those persons in the same text.
 
 A surrogate comes from a keyed permutation of all strings of its form, so that equal entities always get equal surrogates
-(coreference, in all documents) and different entities of a form never share one (distinctness). Letters stay letters of
-their script and case, digits stay digits, punctuation stays; card numbers keep their first digit and whether their check
-digit holds, telephone numbers a valid area code; given names come from the list of the same script and gender.
-`collisions` checks distinctness over a whole corpus by joining nothing: entities are summed by their surrogate;
-`surrogate_texts` takes the next attempt of the key while that check finds any.
-
-Null texts stay null; texts without an entity stay as they are; ids, ties, repeated rows and other columns play no part.
-Whole texts are read; an empty table gives an empty table. Key and attempt are parameters: keep the key secret.
+(coreference, in all documents) and different entities of a form never share one (distinctness). The permutation is one
+cycle, so that nothing is its own surrogate. Letters stay letters of their script, case and kind of accent, digits stay
+digits, punctuation stays; card numbers keep their first digit and whether their check digit holds, telephone numbers a
+valid area code; given names come from the list of the same script and gender; a surname has one surrogate, whatever given
+name stands before it, so families stay together.
+
+`collisions` checks distinctness and coreference over a whole corpus by joining nothing: entities are summed by their
+surrogate; `real` counts surrogates that equal an entity of the corpus. `surrogate_texts` takes the first attempt of the key
+without either; if each has surrogates that are real entities (likely where a form is dense, such as telephone numbers of a
+large corpus), that with the fewest: all entities are replaced, so the texts still tell all of them apart.
+
+Null texts stay null; texts without an entity stay as they are; ids, ties, repeated rows and other columns play no part; a
+column with the name of the new one is handed on as `<name>_before`. Whole texts are read and no entity is too long; an empty
+table gives an empty table. Key and attempts are parameters: keep the key secret.
 """
 
 from __future__ import annotations
@@ -20,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import kept_schema, slices, with_columns, written
+from gridloom.llm.base import apart, discard, kept_schema, slices, with_columns, written
 
 # Given names by script and gender, and forms of surnames by script.
 GIVEN = {
@@ -40,11 +48,35 @@ GIVEN = {
     ("greek", "m"): "Ανδρέας Γιώργος Δημήτρης Κώστας Νίκος Πέτρος".split(),
 }
 GENDER = {name: kind for kind, names in GIVEN.items() for name in names}
-SURNAMES = {s: re.compile(p + r"(?!\w)") for s, p in {"latin": "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+", "cyrillic": "[А-ЯЁ][а-яё]+", "greek": "[Α-ΩΆ-Ώ][α-ωά-ώ]+"}.items()}
+# Titles before a name, and particles inside one.
+TITLES = set("Mr Mrs Ms Miss Dr Prof Herr Frau Sr Sra Srta Señor Señora Mme Mlle Monsieur Madame Signor Signora".split())
+PARTICLES = "van von der den de la del di da dos du le bin al el".split()
+
+#: Classes of characters that are permuted among themselves; other letters among those of their stretch of 64 code points.
+CLASSES = tuple(
+    "0123456789 aeiou bcdfghjklmnpqrstvwxyz AEIOU BCDFGHJKLMNPQRSTVWXYZ"
+    " àáâãäåæèéêëìíîïòóôõöøùúûüāăąēęěīįōőœūůűų çćčďđğķłļñńņňŕřśşšťţźžż"
+    " ÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜĀĂĄĒĘĚĪĮŌŐŒŪŮŰŲ ÇĆČĎĐĞĶŁĻÑŃŅŇŔŘŚŞŠŤŢŹŽŻ"
+    " аеёиіїоуыэєюя бвгґджзйклмнпрстфхцчшщ АЕЁИІЇОУЫЭЄЮЯ БВГҐДЖЗЙКЛМНПРСТФХЦЧШЩ"
+    " αεηιουω βγδζθκλμνξπρστφχψ άέήίόύώ ΑΕΗΙΟΥΩ ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ ΆΈΉΊΌΎΏ".split()
+)
+CLASS_OF = {c: k for k in CLASSES for c in k}
+HEX = {False: "0123456789abcdef", True: "0123456789ABCDEF"}
+
+
+@lru_cache(1 << 16)
+def class_of(c: str) -> str:
+    """The characters that may stand for a character; "" where only itself may."""
+    if c in CLASS_OF or not c.isalpha():
+        return CLASS_OF.get(c, "")
+    first, kind = ord(c) & ~63, unicodedata.category(c)
+    return "".join(x for x in map(chr, range(first, first + 64)) if unicodedata.category(x) == kind and x not in CLASS_OF)
+
+
+@lru_cache(1 << 14)
+def script(c: str) -> str:
+    return unicodedata.name(c, "").split(" ")[0].lower()
 
-#: Classes of characters that are permuted among themselves.
-CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ"]
-HEX = ["0123456789abcdef"]
 
 #: Where numbers may be: led by one class of characters, so that other text is passed over quickly.
 NUMERIC = re.compile(r"[0-9+(][0-9().+\- ]{6,}")
@@ -54,36 +86,75 @@ NUMBERS = re.compile(
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     r"|(?P<phone>(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+[2-9]\d{0,2}(?:[ .-]?\d{2,4}){2,5})(?!\w))"
 )
-EMAIL_LEFT, EMAIL_RIGHT = re.compile(r"[\w.+%-]*\Z"), re.compile(r"@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}")
-SECRET = re.compile(r"(?<![0-9A-Za-z])(?:(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,128}|(?:AKIA|ghp_|sk-|sk_live_|xox[bp]-)[0-9A-Za-z]{16,64})(?![0-9A-Za-z])")
+EMAIL_RIGHT = re.compile(r"@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}")
+SECRET = re.compile(r"(?<![0-9A-Za-z])(?:(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,}|(?:AKIA|ghp_|sk-|sk_live_|xox[bp]-)[0-9A-Za-z_-]{16,})(?![0-9A-Za-z])")
 LONG = re.compile(r"[0-9A-Za-z_-]{20,}")
-#: Two capitalised words; the first is then looked up.
-PAIR = re.compile(r"[A-ZА-ЯΑ-ΩΆ-Ώ][^\W\d_]{2,11} (?=[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ])")
+#: A capitalised word before a space, to be looked up; what may stand between a given name and a surname; a surname.
+CAPITAL = re.compile(r"[A-ZА-ЯΑ-ΩΆ-Ώ][^\W\d_]+(?=\.?[ \t\n])")
+BETWEEN = re.compile(rf"[ \t\n](?:[^\W\d_]\.[ \t\n])?(?:(?:{'|'.join(PARTICLES)})[ \t\n])*")
+SURNAME = re.compile(r"[^\W\d_](?:['’-]?[^\W\d_])+(?!\w)")
 TYPES = ("email", "phone", "ip", "card", "ssn", "secret", "person")
+#: Kinds of spans that count as persons.
+PERSONS = ("person", "surname", "given")
+
+
+def surname_end(text: str, at: int, of_script: str | None) -> int | None:
+    """Where a surname that begins at a place ends; None if there is none."""
+    m = SURNAME.match(text, at)
+    if not m or not text[at].isupper():
+        return None
+    word = m[0][:-2] if m[0].endswith(("'s", "’s")) else m[0]
+    letters = [c for c in word if c.isalpha()]
+    wanted = of_script or script(letters[0])
+    return at + len(word) if len(letters) > 1 and any(map(str.islower, letters)) and all(script(c) == wanted for c in letters) else None
+
+
+def persons(text: str) -> list[tuple[int, int, str]]:
+    """Full names and names after titles, then the bare names of those persons wherever they stand in the text."""
+    spans, bare = [], {}
+    for near in CAPITAL.finditer(text):
+        word, start, end = near[0], near.start(), near.end()
+        if word in GENDER:
+            between = BETWEEN.match(text, end)
+            stop = surname_end(text, between.end(), GENDER[word][0]) if between else None
+            if stop and not text[start - 1 : start].isalnum():
+                spans.append((start, stop, "person"))
+                bare.setdefault(word, "given")
+                bare[text[between.end() : stop]] = "surname"
+        elif word in TITLES and not text[start - 1 : start].isalnum():
+            at = end + 1 + (text[end] == ".")
+            stop = surname_end(text, at, None)
+            if stop:
+                bare[text[at:stop]] = "given" if text[at:stop] in GENDER else "surname"
+    if bare:
+        names = "|".join(map(re.escape, sorted(bare, key=len, reverse=True)))
+        spans += [(m.start(), m.end(), bare[m[0]]) for m in re.finditer(rf"(?<!\w)(?:{names})(?!\w)", text)]
+    return spans
 
 
 def found(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, type) of the entities of a text, in order, apart from each other; earlier and longer ones first."""
+    """(start, end, kind) of the entities of a text, in order, apart from each other; earlier and longer ones first."""
     if not text:
         return []
     spans = []
-    at = text.find("@")
+    at, floor = text.find("@"), 0
     while at >= 0:
         right = EMAIL_RIGHT.match(text, at)
-        left = EMAIL_LEFT.search(text[max(0, at - 64) : at]) if right else None
-        if right and left[0].strip(".+%-"):
-            start = at - len(left[0].lstrip(".+%-"))
-            spans.append((start, right.end(), "email"))
-        at = text.find("@", at + 1)
+        if right:
+            start = at
+            while start > floor and (text[start - 1].isalnum() or text[start - 1] in "._+%-"):
+                start -= 1
+            while start < at and text[start] in ".+%-":
+                start += 1
+            if start < at:
+                spans.append((start, right.end(), "email"))
+        floor = at + 1
+        at = text.find("@", floor)
     for near in NUMERIC.finditer(text):
         spans += [(m.start(), m.end(), m.lastgroup) for m in NUMBERS.finditer(text, near.start(), near.end() + 1)]
     for near in LONG.finditer(text):
         spans += [(m.start(), m.end(), "secret") for m in SECRET.finditer(text, near.start(), near.end() + 1)]
-    for near in PAIR.finditer(text):
-        if (kind := GENDER.get(near[0][:-1])) and not text[near.start() - 1 : near.start()].isalnum():
-            surname = SURNAMES[kind[0]].match(text, near.end())
-            if surname:
-                spans.append((near.start(), surname.end(), "person"))
+    spans += persons(text)
     out, end = [], 0
     for s in sorted(spans, key=lambda s: (s[0], -s[1])):
         if s[0] >= end:
@@ -101,49 +172,55 @@ class Surrogates:
         self.formed = lru_cache(1 << 16)(self._formed)
 
     def permuted(self, x: int, size: int, tweak: bytes) -> int:
-        """A permutation of range(size): four Feistel rounds over enough bits, walked until the value is in range."""
+        """A permutation of range(size) of one cycle: the next number in an order that the key and the tweak deal."""
+        return self._dealt((self._dealt(x, size, tweak, (0, 1, 2, 3)) + 1) % size, size, tweak, (3, 2, 1, 0))
+
+    def _dealt(self, x: int, size: int, tweak: bytes, rounds: tuple[int, ...]) -> int:
+        """Feistel rounds over enough bits, walked until the value is in range; in reverse order they undo themselves."""
         bits = max(2, (size - 1).bit_length())
         low = bits // 2
         high = bits - low
         a_mask, b_mask = (1 << high) - 1, (1 << low) - 1
         while True:
             a, b = x >> low, x & b_mask
-            for r in range(2):
-                a ^= self._draw(tweak, 2 * r, b, high) & a_mask
-                b ^= self._draw(tweak, 2 * r + 1, a, low) & b_mask
+            for r in rounds:
+                if r % 2:
+                    b ^= self._draw(tweak, r, a, low) & b_mask
+                else:
+                    a ^= self._draw(tweak, r, b, high) & a_mask
             x = a << low | b
             if x < size:
                 return x
 
     def _draw(self, tweak: bytes, r: int, x: int, bits: int) -> int:
-        seed = tweak + bytes([r]) + x.to_bytes(64, "little")
-        return int.from_bytes(hashlib.blake2b(seed, key=self.key, digest_size=min(64, bits // 8 + 1)).digest(), "little")
+        seed = tweak + bytes([r]) + x.to_bytes(96, "little")
+        return int.from_bytes(hashlib.blake2b(seed, key=self.key, digest_size=64).digest() * (bits // 512 + 1), "little")
 
-    def _formed(self, text: str, kind: str, classes: tuple[str, ...]) -> str:
-        """A string of the same form: each character of its class, the others as they are."""
+    def _formed(self, text: str, kind: str, chars: str | None = None) -> str:
+        """A string of the same form: each character of its class (or of `chars`), the others as they are."""
         if len(text) > 96:  # bounded pieces, each under the one before
             head, tail = text[:96], text[96:]
-            return self.formed(head, kind, classes) + self.formed(tail, kind + hashlib.sha256(head.encode()).hexdigest(), classes)
-        which = [next((c for c in classes if ch in c), "") for ch in text]
-        form = "".join(c[0] if c else ch for ch, c in zip(text, which, strict=True))
+            return self.formed(head, kind, chars) + self.formed(tail, kind + hashlib.sha256(head.encode()).hexdigest()[:16], chars)
+        which = [class_of(c) if chars is None else chars if c in chars else "" for c in text]
+        form = "".join(k[0] if k else c for c, k in zip(text, which, strict=True))
         x, size = 0, 1
-        for ch, c in zip(text, which, strict=True):
-            if c:
-                x, size = x * len(c) + c.index(ch), size * len(c)
-        x = self.permuted(x, size, f"{kind}:{form}".encode()[:512]) if size > 1 else x
+        for c, k in zip(text, which, strict=True):
+            if k:
+                x, size = x * len(k) + k.index(c), size * len(k)
+        x = self.permuted(x, size, hashlib.sha256(f"{kind}:{form}".encode()).digest()) if size > 1 else x
         out = []
-        for ch, c in zip(reversed(text), reversed(which), strict=True):
-            if c:
-                x, k = divmod(x, len(c))
-                ch = c[k]
-            out.append(ch)
+        for c, k in zip(reversed(text), reversed(which), strict=True):
+            if k:
+                x, i = divmod(x, len(k))
+                c = k[i]
+            out.append(c)
         return "".join(reversed(out))
 
     def digits(self, text: str, kind: str, ok=lambda d: True) -> str:
         """Other digits that pass `ok`, for digits that pass it: walked inside the set of those that do."""
-        out = self.formed(text, kind, (CLASSES[0],))
+        out = self.formed(text, kind, CLASSES[0])
         while not ok(out):
-            out = self.formed(out, kind, (CLASSES[0],))
+            out = self.formed(out, kind, CLASSES[0])
         return out
 
     @staticmethod
@@ -154,7 +231,7 @@ class Surrogates:
     def card(self, text: str) -> str:
         d = [int(c) for c in text if c.isdigit()]
         offset = (d[-1] - check_digit(d[:-1])) % 10
-        body = [d[0], *map(int, self.formed("".join(map(str, d[1:-1])), f"card{d[0]}", (CLASSES[0],)))]
+        body = [d[0], *map(int, self.formed("".join(map(str, d[1:-1])), f"card{d[0]}", CLASSES[0]))]
         return self.refilled(text, "".join(map(str, [*body, (check_digit(body) + offset) % 10])))
 
     def phone(self, text: str) -> str:
@@ -171,29 +248,34 @@ class Surrogates:
     def email(self, text: str) -> str:
         low = text.lower()
         name, _, top = low.rpartition(".")
-        made = f"{self.formed(name, 'email.' + top, tuple(CLASSES))}.{top}"
+        made = f"{self.formed(name, 'email.' + top)}.{top}"
         if len(low) != len(text):
             return made
         return "".join(m.upper() if t.isupper() else m for t, m in zip(text, made, strict=True))
 
     def _person(self, text: str) -> str:
-        given, surname = text.split(" ", 1)
-        script, gender = GENDER[given]
-        names = GIVEN[script, gender]
-        # the pair is permuted as one: the surname's form decides the tweak, the given name is one place more
-        new = self.formed(surname, f"surname {given}", tuple(CLASSES))
-        return f"{names[self.permuted(names.index(given), len(names), f'{script} {gender}'.encode())]} {new}"
+        parts = re.split(r"([ \t\n]+)", text)
+        middle = "".join(self.formed(p, "initial") if p.endswith(".") else p for p in parts[1:-1])
+        return self.given(parts[0]) + middle + self.surname(parts[-1])
+
+    def given(self, name: str) -> str:
+        names = GIVEN[GENDER[name]]
+        return names[self.permuted(names.index(name), len(names), " ".join(GENDER[name]).encode())]
+
+    def surname(self, name: str) -> str:
+        return self.formed(name, "surname")
 
     def of(self, entity: str, kind: str) -> str:
-        if kind == "secret":
-            return self.formed(entity, kind, tuple(HEX)) if re.fullmatch("[0-9a-f]+", entity) else self.prefixed(entity)
         if kind == "ssn":
             return self.digits(entity, kind, lambda d: (d[0] == "9") == (entity[0] == "9"))
         return getattr(self, kind)(entity)
 
-    def prefixed(self, entity: str) -> str:
-        head = re.match("AKIA|ghp_|sk-|sk_live_|xox[bp]-", entity)[0]
-        return head + self.formed(entity[len(head) :], f"secret {head}", tuple(CLASSES))
+    def secret(self, entity: str) -> str:
+        head = re.match("AKIA|ghp_|sk-|sk_live_|xox[bp]-|", entity)[0]
+        if head:
+            return head + self.formed(entity[len(head) :], f"secret {head}")
+        mixed = entity.lower() != entity and entity.upper() != entity
+        return self.formed(entity, "secret", HEX[False] + "ABCDEF" if mixed else HEX[entity.lower() != entity])
 
 
 def check_digit(digits: list[int]) -> int:
@@ -211,7 +293,7 @@ def canonical(entity: str, kind: str) -> str:
         if kind == "phone":
             return d[-10:] if not entity.startswith("+") or d.startswith("1") else f"+{d}"
         return d
-    return entity
+    return " ".join(entity.split()) if kind == "person" else entity
 
 
 def replaced(text: str | None, made: Surrogates) -> tuple[str | None, list[tuple[int, int, str, str]]]:
@@ -223,24 +305,43 @@ def replaced(text: str | None, made: Surrogates) -> tuple[str | None, list[tuple
     for s, e, _, new in spans:
         parts += [text[end:s], new]
         end = e
-    return "".join([*parts, text[end:]]), spans
+    return "".join([*parts, text[end:]]), [(s, e, "person" if kind in PERSONS else kind, new) for s, e, kind, new in spans]
 
 
-def entities(df: DataFrame, key: bytes, text: str = "text", attempt: int = 0) -> DataFrame:
-    """(type, entity, surrogate, n): the distinct entities of all texts in canonical form, with their mentions."""
+def mentions(df: DataFrame, text: str = "text") -> DataFrame:
+    """(type, entity, n): the distinct entities of all texts as they are written, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Surrogates(key, attempt)
         for batch in batches:
             for _, texts in slices(batch, text):
-                tally = Counter((kind, canonical(t[s:e], kind), canonical(made.of(t[s:e], kind), kind)) for t in texts for s, e, kind in found(t))
-                rows = list(zip(*tally.keys(), strict=True)) if tally else [(), (), ()]
-                yield pa.RecordBatch.from_arrays([*[pa.array(r, pa.string()) for r in rows], pa.array(list(tally.values()), pa.int64())], names=["type", "entity", "surrogate", "n"])
+                tally = Counter((kind, t[s:e]) for t in texts for s, e, kind in found(t))
+                rows = list(zip(*tally.keys(), strict=True)) if tally else [(), ()]
+                yield pa.RecordBatch.from_arrays([*[pa.array(r, pa.string()) for r in rows], pa.array(list(tally.values()), pa.int64())], names=["type", "entity", "n"])
+
+    listed = df.select(text).mapInArrow(run, "type string, entity string, n bigint")
+    return listed.groupBy("type", "entity").agg(F.sum("n").alias("n"))
+
+
+def surrogates(mentioned: DataFrame, key: bytes, attempt: int = 0) -> DataFrame:
+    """(type, entity, surrogate, n) of mentions, in canonical form. Bare names are types of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Surrogates(key, attempt)
+        for batch in batches:
+            kinds, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            new = [canonical(made.of(e, k), k) for e, k in zip(raw, kinds, strict=True)]
+            old = [canonical(e, k) for e, k in zip(raw, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(old, pa.string()), pa.array(new, pa.string()), batch.column(2)], names=["type", "entity", "surrogate", "n"])
 
-    listed = df.select(text).mapInArrow(run, "type string, entity string, surrogate string, n bigint")
+    listed = mentioned.select("type", "entity", "n").mapInArrow(run, "type string, entity string, surrogate string, n bigint")
     return listed.groupBy("type", "entity", "surrogate").agg(F.sum("n").alias("n"))
 
 
+def entities(df: DataFrame, key: bytes, text: str = "text", attempt: int = 0) -> DataFrame:
+    """(type, entity, surrogate, n): the distinct entities of all texts in canonical form, with their mentions."""
+    return surrogates(mentions(df, text), key, attempt)
+
+
 def collisions(listed: DataFrame) -> DataFrame:
     """Surrogates that more than one entity has, or entities with more than one surrogate: none if all is well."""
     shared = listed.groupBy("type", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("type", F.col("surrogate").alias("value"), F.lit("shared").alias("what"))
@@ -248,18 +349,39 @@ def collisions(listed: DataFrame) -> DataFrame:
     return shared.unionByName(torn)
 
 
-def surrogate_texts(df: DataFrame, key: bytes, text: str = "text", keep: list[str] | None = None, spans: str | None = "entities", attempts: int = 4) -> DataFrame:
-    """The columns `keep` (all by default) with `text` replaced and, unless it is None, a column of what was replaced.
+def real(listed: DataFrame) -> DataFrame:
+    """(type, value): surrogates that are an entity of the corpus too, their own or another."""
+    side = lambda c, old: listed.select("type", F.col(c).alias("value"), F.lit(old).alias("old"))
+    both = side("entity", True).unionByName(side("surrogate", False)).groupBy("type", "value").agg(F.max("old").alias("old"), F.min("old").alias("all_old"))
+    return both.where("old AND NOT all_old").select("type", "value")
 
-    The corpus's entities are checked first: the first attempt of the key without a collision is used; if all
-    `attempts` collide, ValueError.
-    """
-    keep = [c for c in (df.columns if keep is None else keep) if c != spans]
+
+def settled_attempt(mentioned: DataFrame, key: bytes, attempts: int) -> int:
+    """The first attempt of the key without collisions and real surrogates, else that with the fewest of the latter."""
+    best = None
     for attempt in range(attempts):
-        if collisions(written(entities(df, key, text, attempt))).isEmpty():
+        listed = written(surrogates(mentioned, key, attempt))
+        if collisions(listed).isEmpty():
+            n = real(listed).count()
+            best = min(best or (n, attempt), (n, attempt))
+        discard(listed)
+        if best and not best[0]:
             break
-    else:
+    if best is None:
         raise ValueError("surrogates collide under every attempt of this key")
+    return best[1]
+
+
+def surrogate_texts(df: DataFrame, key: bytes, text: str = "text", keep: list[str] | None = None, spans: str | None = "entities", attempts: int = 4) -> DataFrame:
+    """The columns `keep` (all by default) with `text` replaced and, unless it is None, a column of what was replaced.
+
+    The corpus's entities are checked first, see `settled_attempt`; if all `attempts` collide, ValueError.
+    """
+    names = apart(df.columns, [spans] if spans else [])
+    df, keep, text = df.withColumnsRenamed(names), [names[c] for c in (df.columns if keep is None else keep)], names[text]
+    mentioned = written(mentions(df, text))
+    attempt = settled_attempt(mentioned, key, attempts)
+    discard(mentioned)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("surrogate", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import kept_schema, slices, with_columns, written
+from gridloom.llm.base import apart, kept_schema, slices, with_columns, written
 
 PLACES = 1 << 16
 REMEMBERED = 60_000
@@ -147,9 +147,12 @@ def fit(docs: DataFrame, grades: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def graded(df: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None, at_least: int = 1, least: float = 0.5) -> DataFrame:
-    """The columns `keep` (all by default), expected_grade, tails (P(grade >= 1), P(grade >= 2), ...) and selected."""
+    """The columns `keep` (all by default), expected_grade, tails (P(grade >= 1), P(grade >= 2), ...) and selected.
+
+    Own columns of these names are handed on as `<name>_before`."""
     made = ("expected_grade", "tails", "selected")
-    keep = [c for c in (df.columns if keep is None else keep) if c not in made]
+    names = apart(df.columns, made)
+    df, keep, text = df.withColumnsRenamed(names), [names[c] for c in (df.columns if keep is None else keep)], names[text]
     sent = df.sparkSession.sparkContext.broadcast(model)  # `places` weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

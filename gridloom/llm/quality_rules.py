@@ -4,7 +4,10 @@ Fixed base rules come first. Then every rate of a document (scaled to whole numb
 language and source: upper quartile plus `REACH` quartile ranges, lower quartile less as many for the word length.
 Quartiles come from mergeable sketches: counts, least and largest value in bins of a sixteenth of an octave. Sketches of
 (language, source) merge into those of a language, and these into one of all; a group of fewer than `LEAST` documents
-uses the next wider sketch. Sketches are small sums, so no group of rows ever meets in one task.
+uses the next wider sketch: of so few a quartile says little. Sketches are small sums, so no group of rows ever meets in one
+task.
+
+A column of the caller with the name of a new one is handed on as `<name>_before`.
 
 Null and blank texts have no words and fail the base rules. Null languages and sources are groups like others; null ids
 stay as they are; repeated rows count as often as they occur; an empty table gives an empty table.
@@ -17,17 +20,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import SPACES, join_null_safe, words, written
+from gridloom.llm.base import SPACES, apart, join_null_safe, words, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 REACH, LEAST = 3, 50
 #: Rate -> (formula over the base columns, least width of a fence beyond the quartile, has a lower fence).
 RATES = {
-    "symbols": ("n_symbols * 1000 div n_words", 150, False),
-    "word_length": ("word_chars * 100 div n_words", 200, True),
-    "dup_lines": ("n_dup_lines * 1000 div n_words", 50, False),
-    "repeats": ("n_repeat_words * 1000 div n_words", 300, False),
+    "symbols": ("n_symbols * 1000 div nullif(n_words, 0)", 150, False),
+    "word_length": ("word_chars * 100 div nullif(n_words, 0)", 200, True),
+    "dup_lines": ("n_dup_lines * 1000 div nullif(n_words, 0)", 50, False),
+    "repeats": ("n_repeat_words * 1000 div nullif(n_words, 0)", 300, False),
 }
 
 
@@ -59,14 +62,19 @@ def repeated_words(found: Column) -> Column:
     return F.when(F.size(found) >= WINDOW, let(windows, look)).otherwise(F.lit(0))
 
 
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    own = [c for c in docs.columns if c != text]
+    names = apart(own, BASE)
     t = F.coalesce(F.col(text), F.lit(""))
     without = lambda x, chars: F.length(F.translate(x, chars, ""))
     lines = F.filter(F.split(t, "\n"), lambda x: without(x, SPACES) > 0)
     counted = let(words(t), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("repeats")))
     measured = docs.select(
-        *[c for c in docs.columns if c != text],
+        *([F.struct(*own).alias("own")] if own else []),
         counted.alias("counted"),
         without(t, SPACES).cast("long").alias("word_chars"),
         (F.length(t) - without(t, SYMBOLS)).cast("long").alias("n_symbols"),
@@ -74,7 +82,8 @@ def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     n, repeats = F.col("counted.n").cast("long"), F.col("counted.repeats").cast("long")
     measured = measured.withColumns({"n_words": n, "n_repeat_words": repeats}).drop("counted")
-    return measured.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
+    measured = measured.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
+    return measured.select(*[F.col("own")[c].alias(names[c]) for c in own], *BASE)
 
 
 def sketches(rates: DataFrame, by: list[str]) -> DataFrame:
@@ -103,14 +112,17 @@ def fences(parts: DataFrame, by: list[str], least_docs: int) -> DataFrame:
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = LEAST) -> DataFrame:
     """docs without the text, with the base measures, base_failed, the fences that held and kept."""
-    rows = written(base_measures(docs, text))
-    rated = rows.where("n_words > 0").select(F.col(lang).alias("lang"), F.col(source).alias("source"), *[F.expr(v[0]).alias(k) for k, v in RATES.items()])
+    own = [c for c in docs.columns if c != text]
+    sides = [f"{k}_{side}" for k in RATES for side in ("low", "high")]
+    names = apart(own, [*BASE, *sides, "kept"])
+    inner = docs.select(F.col(text).alias("text"), F.col(lang).alias("fence_lang"), F.col(source).alias("fence_source"), *([F.struct(*own).alias("own")] if own else []))
+    rows = written(base_measures(inner))
+    rated = rows.where("n_words > 0").select(F.col("fence_lang").alias("lang"), F.col("fence_source").alias("source"), *[F.expr(v[0]).alias(k) for k, v in RATES.items()])
     long = rated.unpivot(["lang", "source"], list(RATES), "rate", "value")
     parts = written(sketches(long, ["lang", "source"]))
     by_lang = merged(parts, ["lang"])
     levels = [(["lang", "source"], parts, least_docs), (["lang"], by_lang, least_docs), ([], merged(by_lang, []), 1)]
-    out = rows.withColumns({"fence_lang": F.col(lang), "fence_source": F.col(source)})
-    sides = [f"{k}_{side}" for k in RATES for side in ("low", "high")]
+    out = rows
     for at, (by, sketch, least) in enumerate(levels):
         found = fences(sketch, by, least).withColumnsRenamed({c: f"{c}_{at}" for c in sides} | {c: f"fence_{c}" for c in by})
         out = join_null_safe(out, found, [f"fence_{c}" for c in by], "left") if by else out.join(found, how="left")
@@ -120,7 +132,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
         inside &= F.expr(formula) <= held[f"{k}_high"]
         if low:
             inside &= F.expr(formula) >= held[f"{k}_low"]
-    return out.select(*rows.columns, *[v.alias(c) for c, v in held.items()], F.coalesce(inside, F.lit(False)).alias("kept"))
+    return out.select(*[F.col("own")[c].alias(names[c]) for c in own], *BASE, *[v.alias(c) for c, v in held.items()], F.coalesce(inside, F.lit(False)).alias("kept"))
 
 
 def _oracle() -> str:

@@ -12,9 +12,10 @@ aggregates: a retained place owns the windows that selected it, equal windows ha
 greatest document of a window's hash tell whether two have it. Equal stretches of owned windows count as one row first.
 
 Words are compared by 24-bit hashes after a 64-bit hash of the first `GRAM`; case counts. Null and blank texts, and those of
-fewer than `least` words, have no passages. A row without an id is a document like others; repeated rows are copies of
-each other only if their ids differ: matches count between different ids alone, or also inside one with `within`. An empty
-table gives an empty result.
+fewer than `least` words, have no passages. Ids are whole numbers from -2^62 on. Matches count between different ids alone,
+or also inside one with `within`, so repeated rows of one id are one document. Rows without an id are told apart by their
+texts: passages that two of them share are found, exact copies without an id are one document; their `doc_id` (and `other`)
+is null. Other columns of any name play no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ GRAM = 8
 #: Neighbours in the sorted order that each suffix is compared with.
 NEAR = 4
 WIDE = 3  # bytes of a word's hash
+#: Ids below stand for rows without one.
+LEAST_ID = -(1 << 62)
+#: Suffixes of a partition of the sorted order, about 300 bytes each.
+SORTED = 200_000
 REMEMBERED = 300_000
 
 
@@ -156,7 +161,9 @@ def settled(stretches: DataFrame, least: int, within: bool) -> DataFrame:
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 50, within: bool = False) -> DataFrame:
     """(doc_id, start, stop, n_words, other): the maximal runs of words start..stop-1 that repeat elsewhere, the text's words,
     and the smallest id of a document that a match of the run was found in."""
-    docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    row = F.xxhash64(text)
+    unnamed = F.shiftrightunsigned(row, 2) + F.lit(-(1 << 63))
+    docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), unnamed).alias("doc_id"), row.alias("row"), F.col(text).alias("text"))
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -201,7 +208,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cuts = written(texts.mapInArrow(cut, "key bigint, after binary, before binary, doc_id bigint, row bigint, place int, first int, windows array<bigint>"))
     kept = cuts.where("windows is null").select(*SUFFIX)
     order = ["key", "after", "doc_id", "row", "place"]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-kept.count() // SORTED))
     ranged = kept.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,5 +262,5 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     begun = spans.groupBy("doc_id", "row", "start", "stop").agg(F.min("other").alias("other")).withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
     runs = begun.withColumn("run", F.sum("new").over(by)).groupBy("doc_id", "row", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("other").alias("other"))
     sizes = retained.select("doc_id", "row", "n_words").distinct()
-    real = lambda c: F.when(F.col(c) >= 0, F.col(c)).alias(c)
+    real = lambda c: F.when(F.col(c) >= LEAST_ID, F.col(c)).alias(c)
     return runs.join(sizes, ["doc_id", "row"]).select(real("doc_id"), F.col("start").cast("long"), F.col("stop").cast("long"), F.col("n_words").cast("long"), real("other"))

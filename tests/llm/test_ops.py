@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -62,6 +63,21 @@ def test_awkward_rows_and_empty_tables(awkward, name):
     assert OPERATORS[name](awkward.where("false")).count() == 0
 
 
+MADE = "lang_pred score margin rejected entities expected_grade tails selected n_tokens media payload height width rgb features size source_size target copies ids decoded n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed symbols_high kept counted own key step cell rank n_shingles component_id row start other fence_lang".split()
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_columns_with_clashing_names(spark, name):
+    docs = frame(spark, [prose(1, 60), None, "", prose(1, 60)]).withColumns({c: F.lit(f"own {c}") for c in MADE})
+    got = OPERATORS[name](docs) if name != "mixing" else mixing.systematic_copies(docs, carry=["size", "copies", "key", "lang"])
+    rows = got.collect()
+    handed = [c for c in got.columns if c.endswith("_before")]
+    assert name == "repeats" or len(rows) == 4
+    assert all(r[c] == f"own {c.removesuffix('_before')}" for r in rows for c in handed)
+    expected = {"lang": 4, "pii": 1, "grades": 3, "counts": 1, "media": 6, "mixing": 2, "bpe": 2, "rules": 8}
+    assert len(handed) == expected.get(name, 0)
+
+
 def test_words_split_at_ascii_space_only(spark):
     got = [r.w for r in frame(spark, AWKWARD).orderBy("doc_id").select(words(F.col("text")).alias("w")).collect()]
     assert got == [WORD.findall(t or "") for t in AWKWARD]
@@ -75,6 +91,23 @@ def test_token_counts_equal_the_library(spark):
     assert got == {i: len(sp.encode(t or "")) for i, t in enumerate(texts)}
 
 
+def test_long_texts_without_spaces_take_linear_time():
+    path = public_tokenizers.path(queries.PIECE_MODEL)
+    table, sp, rnd = token_counts.PieceTable(path), sentencepiece.SentencePieceProcessor(model_file=path), random.Random(8)
+    texts = ["ab" * 50_000, "a" * 100_000, "".join(rnd.choice("etaoinshrdlu") for _ in range(100_000)), "漢字" * 50_000]
+    began = time.perf_counter()
+    assert token_counts.count_texts(texts, table, {}) == [len(sp.encode(t)) for t in texts]
+    assert time.perf_counter() - began < 20
+
+
+def test_rank_lists_equal_the_library(monkeypatch):
+    monkeypatch.setattr(token_counts, "LONG", 6)
+    path = public_tokenizers.path(queries.PIECE_MODEL)
+    table, sp, rnd = token_counts.PieceTable(path), sentencepiece.SentencePieceProcessor(model_file=path), random.Random(9)
+    texts = ["".join(rnd.choice("aab" if i % 2 else "abcdeing▁019éñ漢🙂'th") for _ in range(rnd.randint(7, 80))) for i in range(600)]
+    assert token_counts.count_texts(texts, table, {}) == [len(sp.encode(t)) for t in texts]
+
+
 def test_bpe_equals_the_library_also_where_cut(spark):
     path, pattern = public_tokenizers.path(queries.RANK_FILE), public_tokenizers.PATTERN
     enc = bpe_codec.encoding(path, pattern)
@@ -270,6 +303,32 @@ def test_repeated_spans_of_crowded_keys(spark, least):
     assert dict(got) == repeats_plain(list(enumerate(texts)), least)
 
 
+def led_in(pairs=40):
+    """Pairs of documents that share 20 words of their own before a line of 35 words that all have."""
+    line = prose(320, 35)
+    return [" ".join([prose(500 + 2 * i + k, 40, 5000), prose(2000 + i, 20, 5000), line, prose(700 + 2 * i + k, 40, 5000)]) for i in range(pairs) for k in range(2)]
+
+
+def test_repeated_spans_beside_a_common_line(spark):
+    passage = prose(321, 60)
+    texts = led_in() + [" ".join(x for k in range(8) for x in (passage, prose(3000 + k, 30, 5000))), prose(3100, 30, 5000) + " " + passage]
+    got = collections.defaultdict(set)
+    for r in repeats.repeated_spans(frame(spark, texts)).collect():
+        got[r.doc_id].update(range(r.start, r.stop))
+    assert len(got) == 82 and dict(got) == repeats_plain(list(enumerate(texts)), 50)
+
+
+def test_repeats_of_negative_and_missing_ids(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SORTED", 3)
+    passage = prose(322, 55)
+    texts = [" ".join([prose(900 + i, 20, 5000), passage]) for i in range(4)]
+    rows = [(i, t, "en", "s", 1) for i, t in zip((-5, -6, None, None), texts, strict=True)] + [(None, texts[3], "en", "s", 1), (-5, texts[0], "en", "s", 1)]
+    got = sorted((r.doc_id or 0, r.start, r.stop) for r in repeats.repeated_spans(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(-6, 20, 75), (-5, 20, 75), (0, 20, 75), (0, 20, 75)]
+    nameless = spark.createDataFrame(rows[2:5], SCHEMA)
+    assert sorted((r.doc_id, r.start, r.other) for r in repeats.repeated_spans(nameless).collect()) == [(None, 20, None)] * 2
+
+
 def test_repeats_inside_one_document(spark):
     texts = [" ".join([prose(310, 60, 5000), *[prose(311, 50)] * 9, prose(312, 60, 5000)]), prose(313, 200, 5000)]
     got = [(r.doc_id, r.start, r.stop) for r in repeats.repeated_spans(frame(spark, texts), within=True).collect()]
@@ -373,6 +432,120 @@ def test_surrogates_keep_form_coreference_and_distinctness(spark):
     assert sorted(r.what for r in pii.collisions(torn).collect()) == ["shared", "torn"]
 
 
+def test_names_of_a_family_accents_and_titles():
+    made = pii.Surrogates(b"key")
+    text, spans = pii.replaced("Mary Smith, Peter Smith and Anna B. Smith; Smith's dog. Mary left. Karl Müller, Eva Dvořák, Jane O'Brien, Ivan Łuk. Dr. Weiß and Mrs Novák.", made)
+    assert len(spans) == 11 and {k for *_, k, _ in spans} == {"person"}
+    new = [s[3] for s in spans]
+    assert len({n.split()[-1] for n in new[:3]} | {new[3]}) == 1 and new[4] == new[0].split()[0]
+    assert not any(w in text for w in "Smith Mary Peter Karl Müller Dvořák Brien Łuk Weiß Novák".split())
+    for old, n in zip("Müller Dvořák O'Brien Łuk".split(), (x.split()[-1] for x in new[5:9]), strict=True):
+        assert len(old) == len(n) and all(o.isupper() == c.isupper() and (pii.class_of(o) == pii.class_of(c)) for o, c in zip(old, n, strict=True))
+    assert pii.replaced("Mary had a lamb. The Smith works. Dr of it.", made)[1] == []
+
+
+def test_long_entities_are_found_whole():
+    made = pii.Surrogates(b"key")
+    for entity in ("a1" * 65, "F0" * 40, "0aB9" * 20, "sk-proj-" + "Ab_9-" * 30 + "z", "x" * 300 + "@mail.example.com"):
+        text, spans = pii.replaced(f"see {entity}, then", made)
+        assert [s[:2] for s in spans] == [(4, 4 + len(entity))] and entity not in text and len(text) == len(entity) + 10
+
+
+@pytest.mark.parametrize("size", [2, 3, 7, 32, 1000])
+def test_nothing_is_its_own_surrogate(size):
+    made = pii.Surrogates(b"key")
+    got = [made.permuted(x, size, b"t") for x in range(size)]
+    assert sorted(got) == list(range(size)) and all(x != y for x, y in enumerate(got))
+    names = [f"Jane {a}{b}" for a in "BCDFGH" for b in "aeiou"]
+    assert all(made.person(n) != n for n in names) and len({made.person(n) for n in names}) == len(names)
+
+
+def test_real_surrogates_are_counted_and_avoided(spark, monkeypatch):
+    rows = [("ip", "a", "b", 1), ("ip", "b", "c", 1), ("card", "b", "x", 1), ("ip", "d", "d", 1)]
+    listed = spark.createDataFrame(rows, "type string, entity string, surrogate string, n bigint")
+    assert sorted(r.value for r in pii.real(listed).collect()) == ["b", "d"]
+    names = [f"Jane {a}{b}" for a in "BCDFGH" for b in "aeiou"][:4]
+    mentioned = pii.mentions(frame(spark, names))
+    attempt = pii.settled_attempt(mentioned, b"key", 4)
+    counts = [pii.real(pii.surrogates(mentioned, b"key", a)).count() for a in range(4)]
+    assert counts[attempt] == min(counts)
+
+
+def pii_plain(text):
+    """Entities by one plain rule each, over the whole text; for texts of words, entities and separators alone."""
+    octet = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+    rules = [
+        r"(?<![\w.+%-])\w[\w.+%-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+        rf"(?<![\w.]){octet}(?:\.{octet}){{3}}(?![\w.])",
+        r"(?<!\w)(?:\d{4} ){3}\d{4}(?!\w)",
+        r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+        r"(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])",
+        r"(?<!\w)(?=\w*[a-f])(?=\w*\d)[0-9a-f]{32,}(?!\w)",
+        rf"(?<!\w)(?:{'|'.join(pii.GENDER)}) [A-Z][a-z]+(?!\w)",
+    ]
+    return sorted((m.start(), m.end()) for rule in rules for m in re.finditer(rule, text))
+
+
+def test_entities_equal_a_plain_version():
+    rnd = random.Random(12)
+    kinds = [
+        lambda: f"u{rnd.randrange(99)}.x@mail{rnd.randrange(9)}.example.org",
+        lambda: ".".join(str(rnd.randrange(256)) for _ in range(4)),
+        lambda: " ".join(f"{rnd.randrange(10**4):04d}" for _ in range(4)),
+        lambda: f"{rnd.randrange(1000):03d}-{rnd.randrange(100):02d}-{rnd.randrange(10**4):04d}",
+        lambda: f"{rnd.randrange(200, 1000)}-{rnd.randrange(1000):03d}-{rnd.randrange(10**4):04d}",
+        lambda: "a1" + "".join(rnd.choice("0123456789abcdef") for _ in range(rnd.randint(30, 200))),
+        lambda: f"{rnd.choice(list(pii.GENDER)[:64])} {rnd.choice('BCD')}{''.join(rnd.choice('abcde') for _ in range(5))}",
+        lambda: f"w{rnd.randrange(50)}",
+    ]
+    for _ in range(300):
+        text = ", ".join(rnd.choice(kinds)() for _ in range(rnd.randint(1, 30)))
+        assert [s[:2] for s in pii.found(text)] == pii_plain(text)
+
+
+def plain_language(text, model, places=lang_id.PLACES):
+    """The cosine of a text with each centroid, by dictionaries of n-grams."""
+    import math
+    import unicodedata
+
+    folded = "".join(c.lower() if unicodedata.category(c).startswith("L") else " " for c in f" {text} ")
+    codes = [ord(c) if c != " " else 0 for c in re.sub(" +", " ", folded)]
+    full, shift = (1 << 32) - 1, 32 - places.bit_length() + 1
+    tally = collections.Counter()
+    for size, salt in ((1, 0x27D4EB2F), (2, 0x165667B1), (3, 0xC2B2AE3D)):
+        for i in range(len(codes) - size + 1):
+            g = codes[i]
+            for c, k in zip(codes[i + 1 : i + size], (0x9E3779B1, 0x85EBCA6B)):
+                g = (g * k + c) & full
+            tally[((g ^ (g >> 15)) * salt & full) >> shift] += 1
+    v = {p: math.log1p(n) * float(model.idf[p]) for p, n in tally.items()}
+    norm = math.sqrt(sum(x * x for x in v.values()))
+    return [sum(x * float(c[p]) for p, x in v.items()) / norm for c in model.centroids]
+
+
+def test_languages_equal_a_plain_version(spark):
+    letters = {"aa": "abcde", "bb": "cdefg", "cc": "жзийк"}
+    rnd = random.Random(14)
+    texts = [" ".join("".join(rnd.choice(s) for _ in range(rnd.randint(2, 6))) for _ in range(15)) for s in list(letters.values()) * 30]
+    docs = spark.createDataFrame([(i, t, list(letters)[i % 3], "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    model = lang_id.fit(docs, per_lang=3)
+    asked = [*texts[:20], "Abc-DE  12 fé", "ж", "abcd жзий"]
+    for r in lang_id.identify(frame(spark, asked), model, reject=False).collect():
+        cosine = plain_language(asked[r.doc_id], model)
+        best = max(range(len(cosine)), key=cosine.__getitem__)
+        assert r.score == pytest.approx(max(cosine), abs=1e-4) and r.lang_pred == model.langs[model.owner[best]]
+
+
+def test_counts_of_many_short_texts_are_bounded():
+    import pyarrow as pa
+
+    from gridloom.llm.base import slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab"] * 3000 + [None] * 10)], names=["text"])
+    parts = [len(t) for _, t in slices(batch, "text", 1 << 20, 512)]
+    assert sum(parts) == 3010 and max(parts) == 512
+
+
 def test_media_query_digests(spark, tmp_path):
     frame(spark, AWKWARD).write.parquet(f"{tmp_path}/documents.parquet")
     for r in queries.op6_media(spark, str(tmp_path)).collect():
