@@ -127,7 +127,7 @@ def pivot_clip(v: Column, pivot: float, span: float) -> Column:
 
 def most_of_list(text: Column) -> Column:
     """The largest whole number in a list separated by ; or , (0 without one)."""
-    numbers = F.filter(F.transform(F.split(text, "[;,]"), F.trim), lambda x: x.rlike("^[0-9]+$"))
+    numbers = F.filter(F.transform(F.split(text, "[;,]"), lambda x: F.trim(x)), lambda x: x.rlike("^[0-9]+$"))
     return F.coalesce(F.array_max(F.transform(numbers, lambda x: x.try_cast("bigint"))), F.lit(0))
 
 

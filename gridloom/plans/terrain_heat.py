@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry, grid
-from gridloom.operators import fold, heat, regions, terrain, zones
+from gridloom.operators import classes, fold, heat, regions, terrain, zones
 from gridloom.plans.folds import COL, ROW, r
 from gridloom.plans.registry import Views, cell_sql, query
-from gridloom.plans.zonal import boxes
+from gridloom.plans.zonal import boxes, cells_sql
 from gridloom.sources.tables import written
 
 C6, C7 = cell_sql(6), cell_sql(7)
@@ -40,27 +40,48 @@ def _(v: Views) -> DataFrame:
     return terrain.adjacency(fold.fold_mean(v.px, 7))
 
 
-@query("w11_focal_mean", f"WITH {ONE} SELECT a.y, a.x, round(sum(b.s) / sum(b.c), 9) AS mean FROM one a JOIN (SELECT p.y, p.x, sum(q.v) AS s, count(*) AS c FROM one p JOIN one q ON q.y = p.y AND q.x BETWEEN p.x - 2 AND p.x + 2 GROUP BY 1, 2) b ON b.x = a.x AND b.y BETWEEN a.y - 2 AND a.y + 2 GROUP BY 1, 2", "px")
+@query("w11_focal_mean", f"WITH {ONE} SELECT a.y, a.x, round(avg(b.v), 9) AS mean FROM one a JOIN one b ON b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y BETWEEN a.y - 2 AND a.y + 2 GROUP BY 1, 2", "px")
 def _(v: Views) -> DataFrame:
     return terrain.focal_mean(v.px.where("year = 1995").select("y", "x", "v"), 2).select("y", "x", r("mean").alias("mean"))
 
 
-@query("w12_bilinear", f"WITH {ONE}, p AS (SELECT id, (id % 470) / 10.3 AS row, (id % 613) / 10.1 AS col FROM buildings), k AS (SELECT id, floor(row) + a AS y, floor(col) + b AS x, (1 - abs(row - floor(row) - a)) * (1 - abs(col - floor(col) - b)) AS w FROM p, (VALUES (0), (1)) s(a), (VALUES (0), (1)) t(b)) SELECT id, round(sum(w * v) / sum(w), 9) AS sample FROM k JOIN one USING (y, x) WHERE w > 0 GROUP BY 1", "px buildings")
+MEAN = "g AS (SELECT y, x, avg(v) * 1000 AS v FROM px GROUP BY 1, 2)"
+
+
+@query("w12_bilinear", f"WITH {MEAN}, p AS (SELECT id, (id % 490) / 10.0 - 1 AS row, (id % 660) / 10.0 - 1 AS col FROM buildings), q AS (SELECT *, CAST(greatest(0, least(46, floor(row))) AS INT) AS y0, CAST(greatest(0, least(62, floor(col))) AS INT) AS x0 FROM p WHERE row BETWEEN -0.5 AND 47.5 AND col BETWEEN -0.5 AND 63.5) SELECT id, round(a.v * (1 - (col - x0)) * (1 - (row - y0)) + b.v * (col - x0) * (1 - (row - y0)) + c.v * (1 - (col - x0)) * (row - y0) + d.v * (col - x0) * (row - y0), 6) AS sample FROM q JOIN g a ON a.y = y0 AND a.x = x0 JOIN g b ON b.y = y0 AND b.x = x0 + 1 JOIN g c ON c.y = y0 + 1 AND c.x = x0 JOIN g d ON d.y = y0 + 1 AND d.x = x0 + 1", "px buildings")
 def _(v: Views) -> DataFrame:
-    points = v.buildings.select("id", (F.col("id") % 470 / 10.3).alias("row"), (F.col("id") % 613 / 10.1).alias("col"))
-    return terrain.bilinear(points, v.px.where("year = 1995")).select("id", r("sample").alias("sample"))
+    points = v.buildings.select("id", (F.col("id") % 490 / 10.0 - 1).alias("row"), (F.col("id") % 660 / 10.0 - 1).alias("col"))
+    raster = v.px.groupBy("y", "x").agg((F.avg("v") * 1000).alias("v"))
+    return terrain.bilinear(points, raster, 48, 64).select("id", r("sample", 6).alias("sample"))
+
+
+QUADS = "quads AS (SELECT DISTINCT year AS source, -125.0 + 3 * (year - 1992) AS w, 24.0 AS s, -95.0 + 5 * (year - 1992) AS e, 36.0 + 2 * (year - 1992) AS n FROM px)"
+DEEP = f"{QUADS}, d AS (SELECT y, x, source, v, least(least(lon - w, e - lon) / (e - w), least(lat - s, n - lat) / (n - s)) AS depth FROM px JOIN quads ON source = year)"
+
+
+def mosaicked(v: Views) -> DataFrame:
+    """Years as sources: each has a footprint of its own, and these overlap."""
+    k = F.col("source") - 1992
+    quads = v.px.select(F.col("year").alias("source")).distinct().select("source", (-125.0 + 3 * k).alias("w"), F.lit(24.0).alias("s"), (-95.0 + 5 * k).alias("e"), (36.0 + 2 * k).alias("n"))
+    return terrain.mosaic(v.px.withColumnRenamed("year", "source"), quads)
 
 
-@query("w13_mosaic", "SELECT y, x, arg_max(v, (least(x, 64 - x) + year % 5) * 100 - (year - 1990)) AS v, count(*) AS sources FROM px GROUP BY 1, 2", "px")
+@query("w13_mosaic", f"WITH {DEEP} SELECT y, x, v, round(depth, 9) AS depth, sources FROM (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY depth DESC, source) AS rn, count(*) OVER (PARTITION BY y, x) AS sources FROM d WHERE depth >= 0) WHERE rn = 1", "px")
 def _(v: Views) -> DataFrame:
-    depth = F.least(F.col("x"), 64 - F.col("x")) + F.col("year") % 5
-    return terrain.mosaic(v.px.select("y", "x", F.col("year").alias("source"), depth.alias("depth"), "v"))
+    return mosaicked(v).select("y", "x", "v", r("depth").alias("depth"), "sources")
 
 
-@query("w14_hillshade", f"WITH {ONE}, d AS (SELECT y, x, v, lag(v) OVER a AS xl, lead(v) OVER a AS xr, lag(v) OVER b AS yl, lead(v) OVER b AS yr FROM (SELECT y, x, v * 100 AS v FROM one) WINDOW a AS (PARTITION BY y ORDER BY x), b AS (PARTITION BY x ORDER BY y)), g AS (SELECT y, x, (coalesce(xr, v) - coalesce(xl, v)) / CASE WHEN xr IS NOT NULL AND xl IS NOT NULL THEN 2 ELSE 1 END AS dx, (coalesce(yr, v) - coalesce(yl, v)) / CASE WHEN yr IS NOT NULL AND yl IS NOT NULL THEN 2 ELSE 1 END AS dy FROM d) SELECT y, x, round(greatest(0, sin(radians(45)) * cos(atan(sqrt(dx * dx + dy * dy))) + cos(radians(45)) * sin(atan(sqrt(dx * dx + dy * dy))) * cos(radians(135) - atan2(dy, -dx))), 9) AS shade FROM g", "px")
+@query("w13_coverage", f"WITH {DEEP} SELECT round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 9) AS covered, count(*) AS places FROM (SELECT y, x, bool_or(depth >= 0) AS hit FROM d GROUP BY 1, 2)", "px")
 def _(v: Views) -> DataFrame:
-    raster = v.px.where("year = 1995").select("y", "x", (F.col("v") * 100).alias("v"))
-    return terrain.hillshade(raster).select("y", "x", r("shade").alias("shade"))
+    share = terrain.covered_share(v.px.select("y", "x").distinct(), mosaicked(v))
+    return share.select(r("covered").alias("covered"), "places")
+
+
+@query("w14_hillshade", f"WITH {MEAN}, z AS (SELECT y, x, v * 2.5 AS z FROM g), n AS (SELECT a.y, a.x, a.z, l.z AS xl, h.z AS xr, d.z AS yl, u.z AS yr FROM z a LEFT JOIN z l ON l.y = a.y AND l.x = a.x - 1 LEFT JOIN z h ON h.y = a.y AND h.x = a.x + 1 LEFT JOIN z d ON d.x = a.x AND d.y = a.y - 1 LEFT JOIN z u ON u.x = a.x AND u.y = a.y + 1), g2 AS (SELECT y, x, CASE WHEN xl IS NULL AND xr IS NULL THEN 0 WHEN xl IS NULL THEN xr - z WHEN xr IS NULL THEN z - xl ELSE (xr - xl) / 2 END / 90 AS dx, CASE WHEN yl IS NULL AND yr IS NULL THEN 0 WHEN yl IS NULL THEN yr - z WHEN yr IS NULL THEN z - yl ELSE (yr - yl) / 2 END / 50 AS dy FROM n) SELECT y, x, round(greatest(0, least(1, (-dx * cos(radians(45)) * sin(radians(315)) - dy * cos(radians(45)) * cos(radians(315)) + sin(radians(45))) / sqrt(dx * dx + dy * dy + 1))), 9) AS shade FROM g2 WHERE y < 40", "px")
+def _(v: Views) -> DataFrame:
+    """The tile of the lower 40 rows; the rows above are its margin."""
+    raster = v.px.groupBy("y", "x").agg((F.avg("v") * 1000).alias("v"))
+    return terrain.hillshade(raster, 90.0, size_y=50.0, scale=2.5, inside=F.col("y") < 40).select("y", "x", r("shade").alias("shade"))
 
 
 @query("j23_painted", f"WITH {FOLD7} SELECT p.y, p.x, round(value, 9) AS value FROM (SELECT DISTINCT y, x, {C7} AS cell FROM px) p LEFT JOIN (SELECT * FROM fold WHERE value > 0.0201) f USING (cell)", "px")
@@ -69,17 +90,32 @@ def _(v: Views) -> DataFrame:
     return terrain.painted(lattice, fold.fold_mean(v.px, 7).where("value > 0.0201"), 7).select("y", "x", r("value").alias("value"))
 
 
-@query("j24_raised", "WITH g AS (SELECT y, x, lat, lon, avg(v) * 1000 AS ground FROM px GROUP BY ALL), b AS (SELECT *, coalesce(height, num_floors * 3.0, 0) AS h, CAST(round((cy - 24.65) / 0.5) AS INT) AS by_, CAST(round((cx + 124.75) / 0.9) AS INT) AS bx_ FROM buildings), f AS (SELECT b.id, b.h, b.cx, b.cy, g.ground AS base FROM b JOIN g ON g.y = b.by_ AND g.x = b.bx_), t AS (SELECT g.y, g.x, max(base + h) AS top FROM g JOIN f ON abs(g.lon - f.cx) < 0.5003 AND abs(g.lat - f.cy) < 0.3003 GROUP BY 1, 2) SELECT g.y, g.x, round(greatest(ground, coalesce(top, ground)), 4) AS surface FROM g LEFT JOIN t USING (y, x)", "px buildings")
-def _(v: Views) -> DataFrame:
+RAISED = "g AS (SELECT y, x, lat, lon, avg(v) * 1000 AS ground FROM px GROUP BY ALL), b AS (SELECT *, coalesce(height, num_floors * 3.0, 0) AS h, CAST(round((cy - 24.65) / 0.5) AS INT) AS by_, CAST(round((cx + 124.75) / 0.9) AS INT) AS bx_, 0.1003 + id % 5 / 10.0 AS wide FROM buildings), f AS (SELECT b.id, b.h, b.cx, b.cy, wide, g.ground AS base FROM b JOIN g ON g.y = b.by_ AND g.x = b.bx_), hit AS (SELECT g.y, g.x, f.id, base + h AS top FROM g JOIN f ON abs(g.lon - f.cx) < wide AND abs(g.lat - f.cy) < 0.3003)"
+
+
+def footprints(v: Views) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The lattice, the buildings with heights, the lattice places inside them, and the ground at their centroids."""
     lattice = written(v.px.groupBy("y", "x", "lat", "lon").agg((F.avg("v") * 1000).alias("ground")))
-    x, y = F.col("cx"), F.col("cy")
+    x, y, wide = F.col("cx"), F.col("cy"), 0.1003 + F.col("id") % 5 / 10.0
     homes = v.buildings.select("id", F.coalesce("height", F.col("num_floors") * 3.0, F.lit(0.0)).alias("height"), "cx", "cy", F.round((y - 24.65) / 0.5).cast("int").alias("y"), F.round((x + 124.75) / 0.9).cast("int").alias("x"))
     base = homes.join(lattice, ["y", "x"]).select("id", F.col("ground").alias("base"))
-    rings = homes.select("id", "height", geometry.box_ring(x - 0.5003, y - 0.3003, x + 0.5003, y + 0.3003).alias("ring"))
-    inside = zones.points_in(lattice, rings, 9).select("id", "y", "x", "height")
+    rings = homes.select("id", "height", geometry.box_ring(x - wide, y - 0.3003, x + wide, y + 0.3003).alias("ring"))
+    return lattice, homes, zones.points_in(lattice, rings, 9).select("id", "y", "x", "height"), base
+
+
+@query("j24_raised", f"WITH {RAISED}, t AS (SELECT y, x, max(top) AS top FROM hit GROUP BY 1, 2) SELECT g.y, g.x, round(greatest(ground, coalesce(top, ground)), 4) AS surface FROM g LEFT JOIN t USING (y, x)", "px buildings")
+def _(v: Views) -> DataFrame:
+    lattice, _homes, inside, base = footprints(v)
     return terrain.raised(lattice, inside, base).select("y", "x", r("surface", 4).alias("surface"))
 
 
+@query("j24_counts", f"WITH {RAISED}, k AS (SELECT b.id, b.h > 0 AND f.id IS NOT NULL AS ok, b.id IN (SELECT id FROM hit) AS held FROM b LEFT JOIN f USING (id)) SELECT count(*) FILTER (ok AND held) AS stamped, count(*) FILTER (ok AND NOT held) AS unresolved, count(*) FILTER (NOT ok) AS dropped FROM k", "px buildings")
+def _(v: Views) -> DataFrame:
+    """Footprints that fall between the lattice's places raise nothing: they are counted."""
+    _lattice, homes, inside, base = footprints(v)
+    return terrain.footprint_counts(homes, inside, base)
+
+
 # --- heat in time
 
 FRAMES = "frames AS (SELECT x * 100 + y AS cell, CAST(row_number() OVER (PARTITION BY x, y ORDER BY t) - 1 AS INT) AS f, CASE WHEN hour(t) % 7 = 3 THEN NULL ELSE tc END AS hi, mm FROM cube)"
@@ -111,10 +147,9 @@ def _(v: Views) -> DataFrame:
     return heat.sustained(frames(v), 12, 16, include_first=True, nan="hold").select("cell", "f", r("load").alias("load"))
 
 
-@query("w6_window_memory", f"WITH RECURSIVE {FRAMES.replace('CASE WHEN hour(t) % 7 = 3 THEN NULL ELSE tc END', 'tc')}, {load_sql(12, 16, 0.0, True)} SELECT cell, f, round(load, 9) AS load FROM l WHERE f < 60", "cube")
+@query("w6_window_memory", f"WITH RECURSIVE {FRAMES.replace('CASE WHEN hour(t) % 7 = 3 THEN NULL ELSE tc END', 'tc')}, {load_sql(12, 16, 0.0, True)} SELECT cell, f, round(load, 9) AS load FROM l", "cube")
 def _(v: Views) -> DataFrame:
-    whole = frames(v).drop("hi").join(frames_full(v), ["cell", "f"]).where("f < 60")
-    return heat.sustained_window(whole, 12, 16).select("cell", "f", r("load").alias("load"))
+    return heat.sustained_window(frames_full(v), 12, 16).select("cell", "f", r("load").alias("load"))
 
 
 def frames_full(v: Views) -> DataFrame:
@@ -146,41 +181,50 @@ def _(v: Views) -> DataFrame:
 
 # --- regions
 
-CLS7 = f"cl AS (SELECT DISTINCT year, cls, {C7} AS cell FROM px WHERE cls <= 3)"
-REACH = f"reach AS (SELECT year, cls, cell, cell AS label FROM cl UNION SELECT b.year, b.cls, b.cell, a.label FROM reach a, {NEAR}, cl b WHERE b.year = a.year AND b.cls = a.cls AND b.cell = a.cell + dy * 536870912 + dx)"
-LAB = "lab AS (SELECT year, cls, cell, min(label) AS label FROM reach GROUP BY 1, 2, 3)"
+CLS7 = f"cl AS (SELECT DISTINCT year, cls, {C7} AS cell FROM px)"
+#: The smallest cell that each cell reaches: a table keyed by cell, whose labels only fall.
+LAB = f"lab(year, cls, cell, label) USING KEY (year, cls, cell) AS (SELECT year, cls, cell, cell AS label FROM cl UNION SELECT b.year, b.cls, b.cell, min(a.label) FROM lab a, {NEAR}, recurring.lab b WHERE b.year = a.year AND b.cls = a.cls AND b.cell = a.cell + dy * 536870912 + dx AND b.label > a.label GROUP BY 1, 2, 3)"
+BLOBS = "b AS (SELECT year, cls, label, count(*) AS cells FROM lab GROUP BY 1, 2, 3)"
 
 
 def class_cells(v: Views) -> DataFrame:
-    return fold.with_cell(v.px.where("cls <= 3"), 7).select("year", "cls", "cell").distinct()
+    return fold.with_cell(v.px, 7).select("year", "cls", "cell").distinct()
 
 
 def with_patches(v: Views) -> DataFrame:
     return regions.cell_regions(class_cells(v), ["year", "cls"])
 
 
-@query("g4_patches", f"WITH RECURSIVE {CLS7}, {REACH}, {LAB}, p AS (SELECT year, cls, label, count(*) AS n FROM lab GROUP BY 1, 2, 3) SELECT year, cls, CAST(sum(n) AS BIGINT) AS cells, count(*) AS patches, max(n) AS largest FROM p GROUP BY 1, 2", "px")
+@query("g4_patches", f"WITH RECURSIVE {CLS7}, {LAB}, {BLOBS} SELECT year, cls, CAST(sum(cells) AS BIGINT) AS cells, count(*) AS patches, max(cells) AS largest FROM b GROUP BY 1, 2", "px")
 def _(v: Views) -> DataFrame:
     return regions.patches(with_patches(v), ["year", "cls"])
 
 
-@query("g5_g6_blobs", f"WITH RECURSIVE {CLS7}, {REACH}, {LAB} SELECT year, cls, label, count(*) AS cells, round(count(*) * {grid.area_km2(7)!r}, 3) AS km2, round(avg(degrees(asin(({ROW} + 0.5) / 128 * 2 - 1))), 9) AS lat, round(avg(({COL} + 0.5) / 256 * 360 - 180), 9) AS lon FROM lab GROUP BY 1, 2, 3 HAVING count(*) >= 2", "px")
+@query("a27_area_and_patches", f"WITH RECURSIVE {CLS7}, {LAB}, {BLOBS}, a AS (SELECT year, cls, 100 * count(*) / sum(count(*)) OVER (PARTITION BY year) AS pct FROM px GROUP BY 1, 2), p AS (SELECT year, cls, count(*) AS patches FROM b GROUP BY 1, 2), e AS (SELECT cls, coalesce(max(pct) FILTER (year = (SELECT min(year) FROM px)), 0) AS pct_0, coalesce(max(pct) FILTER (year = (SELECT max(year) FROM px)), 0) AS pct_1, coalesce(max(patches) FILTER (year = (SELECT min(year) FROM px)), 0) AS patches_0, coalesce(max(patches) FILTER (year = (SELECT max(year) FROM px)), 0) AS patches_1 FROM a JOIN p USING (year, cls) GROUP BY 1) SELECT cls, round(pct_0, 9) AS pct_0, round(pct_1, 9) AS pct_1, round(pct_1 - pct_0, 9) AS pct_change, patches_0, patches_1, patches_1 - patches_0 AS patches_change FROM e WHERE greatest(pct_0, pct_1) >= 0.5", "px")
+def _(v: Views) -> DataFrame:
+    areas = v.px.groupBy("year", "cls").agg(F.count(F.lit(1)).alias("n"))
+    found = classes.change_of_patches(areas, regions.patches(with_patches(v), ["year", "cls"]))
+    return found.withColumns({c: r(c) for c in ("pct_0", "pct_1", "pct_change")})
+
+
+@query("g5_g6_blobs", f"WITH RECURSIVE {CLS7}, {LAB} SELECT year, cls, label, count(*) AS cells, round(count(*) * {grid.area_km2(7)!r}, 3) AS km2, round(avg(degrees(asin(({ROW} + 0.5) / 128 * 2 - 1))), 9) AS lat, round(avg(({COL} + 0.5) / 256 * 360 - 180), 9) AS lon FROM lab GROUP BY 1, 2, 3 HAVING count(*) >= 2", "px")
 def _(v: Views) -> DataFrame:
     found = regions.blobs(with_patches(v), ["year", "cls"], 7, 1.5 * grid.area_km2(7))
     return found.select("year", "cls", "label", "cells", r("km2", 3).alias("km2"), r("lat").alias("lat"), r("lon").alias("lon"))
 
 
-@query("w7_track", f"WITH RECURSIVE {CLS7}, {REACH}, {LAB}, b AS (SELECT year, cls, label, count(*) AS cells FROM lab GROUP BY 1, 2, 3) SELECT year, cls, label, cells FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY cells DESC, label) AS rn FROM b WHERE cls = 2) WHERE rn = 1", "px")
+@query("w7_track", f"WITH RECURSIVE {CLS7}, {LAB}, {BLOBS} SELECT year, cls, label, cells FROM (SELECT *, row_number() OVER (PARTITION BY year, cls ORDER BY cells DESC, label) AS rn FROM b) WHERE rn = 1", "px")
 def _(v: Views) -> DataFrame:
-    found = regions.blobs(with_patches(v).where("cls = 2"), ["year", "cls"], 7)
-    return regions.track(found, ["year"]).select("year", "cls", "label", "cells")
+    found = regions.blobs(with_patches(v), ["year", "cls"], 7)
+    return regions.track(found, ["year", "cls"]).select("year", "cls", "label", "cells")
 
 
-@query("a33_a34_summary", f"WITH RECURSIVE {CLS7}, {REACH}, {LAB}, b AS (SELECT year, cls, label, count(*) AS cells FROM lab GROUP BY 1, 2, 3) SELECT cls, count(*) AS blobs, round(max(cells) * {grid.area_km2(7)!r}, 3) AS largest, arg_max(year, cells * 10000 - year) AS at_frame, round(quantile_cont(cells, 0.5), 9) AS median, count(*) FILTER (cells > 3) AS big FROM b GROUP BY 1", "px")
+@query("a33_a34_summary", f"WITH RECURSIVE {CLS7}, {LAB}, {BLOBS} SELECT cls, count(*) AS blobs, round(max(cells) * {grid.area_km2(7)!r}, 3) AS largest, arg_max(year, cells * 10000 - year) AS at_frame, round(quantile_cont(cells, 0.5), 9) AS median, count(*) FILTER (cells > 3) AS big FROM b GROUP BY 1", "px")
 def _(v: Views) -> DataFrame:
     found = written(regions.blobs(with_patches(v), ["year", "cls"], 7).withColumnRenamed("year", "f"))
-    stats = found.groupBy("cls").agg(r(F.percentile("cells", F.lit(0.5))).alias("median"), F.count_if(F.col("cells") > 3).alias("big"))
-    return regions.summary(found, ["cls"]).withColumn("largest", r("largest", 3)).join(stats, "cls")
+    middle = fold.quantiles_by(found, ["cls"], "cells", {"median": 0.5}).withColumn("median", r("median"))
+    big = found.groupBy("cls").agg(F.count_if(F.col("cells") > 3).alias("big"))
+    return regions.summary(found, ["cls"]).withColumn("largest", r("largest", 3)).join(middle, "cls").join(big, "cls")
 
 
 @query("g7_j16_boundary", f"WITH {CLS7} SELECT year, cls, a.cell, dir FROM cl a, (VALUES ('e', 1, 0), ('n', 0, 1), ('w', -1, 0), ('s', 0, -1)) s(dir, dx, dy) WHERE NOT EXISTS (SELECT 1 FROM cl b WHERE b.year = a.year AND b.cls = a.cls AND b.cell = a.cell + dy * 536870912 + dx)", "px")
@@ -188,23 +232,23 @@ def _(v: Views) -> DataFrame:
     return regions.boundary(class_cells(v), ["year", "cls"]).select("year", "cls", "cell", "dir")
 
 
-@query("g8_pixel_regions", "WITH RECURSIVE p AS (SELECT cls, y, x, CAST(y AS BIGINT) * 4294967296 + x AS px FROM px WHERE year = 1995 AND cls <= 4), q AS (SELECT cls, px, px AS label FROM p UNION SELECT b.cls, b.px, a.label FROM q a, (VALUES (1), (-1), (4294967296), (-4294967296)) s(d), p b WHERE b.cls = a.cls AND b.px = a.px + d), l AS (SELECT cls, px, min(label) AS label FROM q GROUP BY 1, 2), n AS (SELECT cls, label, count(*) AS n FROM l GROUP BY 1, 2) SELECT cls, CAST(sum(n) AS BIGINT) AS cells, count(*) AS patches, max(n) AS largest FROM n GROUP BY 1", "px")
+@query("g8_pixel_regions", "WITH RECURSIVE p AS (SELECT cls, y, x, CAST(y AS BIGINT) * 4294967296 + x AS px FROM px WHERE year = 1995), q(cls, px, label) USING KEY (cls, px) AS (SELECT cls, px, px AS label FROM p UNION SELECT b.cls, b.px, min(a.label) FROM q a, (VALUES (1), (-1), (4294967296), (-4294967296)) s(d), recurring.q b WHERE b.cls = a.cls AND b.px = a.px + d AND b.label > a.label GROUP BY 1, 2), n AS (SELECT cls, label, count(*) AS n FROM q GROUP BY 1, 2) SELECT cls, CAST(sum(n) AS BIGINT) AS cells, count(*) AS patches, max(n) AS largest FROM n GROUP BY 1", "px")
 def _(v: Views) -> DataFrame:
-    return regions.patches(regions.pixel_regions(v.px.where("year = 1995 AND cls <= 4").select("cls", "y", "x"), ["cls"]), ["cls"])
+    return regions.patches(regions.pixel_regions(v.px.where("year = 1995").select("cls", "y", "x"), ["cls"]), ["cls"])
 
 
-@query("g8_pixel_boundary", "WITH p AS (SELECT cls, y, x FROM px WHERE year = 1995 AND cls <= 4) SELECT a.cls, a.y, a.x, dir FROM p a, (VALUES ('e', 1, 0), ('n', 0, 1), ('w', -1, 0), ('s', 0, -1)) s(dir, dx, dy) WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.cls = a.cls AND b.y = a.y + dy AND b.x = a.x + dx)", "px")
+@query("g8_pixel_boundary", "WITH p AS (SELECT cls, y, x FROM px WHERE year = 1995) SELECT a.cls, a.y, a.x, dir FROM p a, (VALUES ('e', 1, 0), ('n', 0, 1), ('w', -1, 0), ('s', 0, -1)) s(dir, dx, dy) WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.cls = a.cls AND b.y = a.y + dy AND b.x = a.x + dx)", "px")
 def _(v: Views) -> DataFrame:
-    return regions.pixel_boundary(v.px.where("year = 1995 AND cls <= 4").select("cls", "y", "x"), ["cls"])
+    return regions.pixel_boundary(v.px.where("year = 1995").select("cls", "y", "x"), ["cls"])
 
 
 MODE7 = f"m AS (SELECT year, cell, cls FROM (SELECT *, row_number() OVER (PARTITION BY year, cell ORDER BY n DESC, cls) AS rn FROM (SELECT year, {C7} AS cell, cls, count(*) AS n FROM px GROUP BY 1, 2, 3)) WHERE rn = 1)"
 
 
-@query("a35_majority_patches", f"WITH RECURSIVE {MODE7}, rc AS (SELECT year, cls, cell, cell AS label FROM m WHERE cls = 1 UNION SELECT b.year, b.cls, b.cell, a.label FROM rc a, {NEAR}, m b WHERE b.year = a.year AND b.cls = a.cls AND b.cell = a.cell + dy * 536870912 + dx), l AS (SELECT year, cell, min(label) AS label FROM rc GROUP BY 1, 2), n AS (SELECT year, label, count(*) AS n FROM l GROUP BY 1, 2) SELECT year, CAST(sum(n) AS BIGINT) AS cells, count(*) AS patches, max(n) AS largest FROM n GROUP BY 1", "px")
+@query("a35_majority_patches", f"WITH RECURSIVE {MODE7}, {LAB.replace('FROM cl ', 'FROM m ')}, {BLOBS} SELECT year, cls, CAST(sum(cells) AS BIGINT) AS cells, count(*) AS patches, max(cells) AS largest FROM b GROUP BY 1, 2", "px")
 def _(v: Views) -> DataFrame:
-    majority = fold.fold_mode(v.px, 7, by=["year"]).where("cls = 1").select("year", "cell")
-    return regions.patches(regions.cell_regions(majority, ["year"]), ["year"])
+    majority = fold.fold_mode(v.px, 7, by=["year"]).select("year", "cls", "cell")
+    return regions.patches(regions.cell_regions(majority, ["year", "cls"]), ["year", "cls"])
 
 
 @query("a40_class_elevation", f"WITH {MODE7}, d AS (SELECT {C7} AS cell, avg(v) * 1000 AS elev FROM px GROUP BY 1), s AS (SELECT year, cls, avg(elev) AS mean, quantile_cont(elev, 0.95) AS p95, count(*) AS n FROM m JOIN d USING (cell) GROUP BY 1, 2 HAVING count(*) >= 5) SELECT year, cls, round(mean, 5) AS mean, round(p95, 5) AS p95, n, round(mean - first_value(mean) OVER (PARTITION BY cls ORDER BY year), 5) AS shift FROM s", "px")
@@ -212,17 +256,20 @@ def _(v: Views) -> DataFrame:
     from pyspark.sql import Window
 
     dem = fold.fold_mean(v.px, 7).select("cell", (F.col("value") * 1000).alias("elev"))
-    stats = fold.fold_mode(v.px, 7, by=["year"]).join(dem, "cell").groupBy("year", "cls").agg(F.avg("elev").alias("mean"), F.percentile("elev", F.lit(0.95)).alias("p95"), F.count(F.lit(1)).alias("n")).where("n >= 5")
+    met = written(fold.fold_mode(v.px, 7, by=["year"]).join(dem, "cell").select("year", "cls", "elev"))
+    stats = met.groupBy("year", "cls").agg(F.avg("elev").alias("mean"), F.count(F.lit(1)).alias("n")).where("n >= 5")
+    stats = stats.join(fold.quantiles_by(met, ["year", "cls"], "elev", {"p95": 0.95}), ["year", "cls"])
     first = F.first("mean").over(Window.partitionBy("cls").orderBy("year"))
     return stats.select("year", "cls", r("mean", 5).alias("mean"), r("p95", 5).alias("p95"), "n", r(F.col("mean") - first, 5).alias("shift"))
 
 
-@query("g2_touched_at_least_one", f"SELECT id, count(*) > 0 AS reached FROM buildings GROUP BY id", "buildings")
+@query("g2_touched_at_least_one", f"WITH c AS ({cells_sql(9)}), t AS (SELECT id, count(*) AS n FROM c JOIN buildings ON e0 > cx - 0.02 AND w0 <= cx + 0.02 AND n0 > cy - 0.02 AND s0 <= cy + 0.02 GROUP BY 1) SELECT b.id, coalesce(n, 0) AS cells, coalesce(n, 0) > 0 AS reached FROM buildings b LEFT JOIN t USING (id)", "buildings")
 def _(v: Views) -> DataFrame:
-    return zones.fill_touched(boxes(v), 9).groupBy("id").agg((F.count(F.lit(1)) > 0).alias("reached"))
+    n = zones.fill_touched(boxes(v), 9).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return v.buildings.select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("cells"), (F.coalesce("n", F.lit(0)) > 0).alias("reached"))
 
 
-@query("w10_row_index", f"WITH c AS (SELECT DISTINCT {C6} AS cell FROM px) SELECT cell, CAST(row_number() OVER (ORDER BY cell) - 1 AS INT) AS row FROM c", "px")
+@query("w10_row_index", f"WITH c AS (SELECT DISTINCT {C6} AS cell FROM px) SELECT cell, CAST(row_number() OVER (ORDER BY cell) - 1 AS BIGINT) AS row FROM c", "px")
 def _(v: Views) -> DataFrame:
     """The order of rows of a matrix: cells sorted in ranges, numbered by the cells of the ranges before."""
     cells = fold.with_cell(v.px, 6).select("cell").distinct()

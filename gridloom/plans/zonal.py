@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry, grid, scalars
 from gridloom.operators import classes, fold, zones
 from gridloom.plans.folds import COL, ROW, r
 from gridloom.plans.registry import Views, cell_sql, query
+from gridloom.sources import tables
 
 C6, C7, C9 = cell_sql(6), cell_sql(7), cell_sql(9)
 
@@ -45,7 +48,15 @@ def boxes(v: Views) -> DataFrame:
 
 @query("g1_fill_centres", f"WITH {FILL7} SELECT id, cell FROM fill", "zones")
 def _(v: Views) -> DataFrame:
-    return zones.fill_boxes(v.zones, 7)
+    return zones.fill_boxes(v.zones, 7, pieces=False)
+
+
+@query("g1_g2_date_line", f"WITH c AS (SELECT (CAST(7 AS BIGINT) * 288230376151711744 + iy * 536870912 + ix) AS cell, degrees(asin((iy + 0.5) / 128 * 2 - 1)) AS clat, (ix + 0.5) / 256.0 * 360 - 180 AS clon, degrees(asin(iy / 128.0 * 2 - 1)) AS s0, degrees(asin((iy + 1) / 128.0 * 2 - 1)) AS n0, ix / 256.0 * 360 - 180 AS w0, (ix + 1) / 256.0 * 360 - 180 AS e0 FROM range(256) a(ix), range(128) b(iy)), z AS (SELECT id, w + 295 + 2 AS w, w + 295 + 12.5 - 360 AS e, s - 20.5 AS s, n - 20.25 AS n FROM zones WHERE id % 5 = 0) SELECT id, cell, clat >= s AND clat < n AND (clon >= w OR clon < e) AS centre FROM c JOIN z ON n0 > s AND s0 <= n AND (e0 > w OR w0 <= e)", "zones")
+def _(v: Views) -> DataFrame:
+    """Boxes over the date line, by both rules."""
+    moved = v.zones.where("id % 5 = 0").select("id", (F.col("w") + 297).alias("w"), (F.col("w") + 295 + 12.5 - 360).alias("e"), (F.col("s") - 20.5).alias("s"), (F.col("n") - 20.25).alias("n"))
+    centres = zones.fill_boxes(moved, 7, pieces=False).withColumn("centre", F.lit(True))
+    return zones.fill_touched(moved, 7).join(centres, ["id", "cell"], "left").withColumn("centre", F.coalesce("centre", F.lit(False)))
 
 
 @query("g1_fill_rings", f"SELECT id, cell FROM ({cells_sql(8)}) c JOIN fields ON abs(clon - cx) + abs(clat - cy) < r", "fields")
@@ -83,19 +94,25 @@ def _(v: Views) -> DataFrame:
 
 @query("j1_a8_zonal_mean", f"WITH {FILL7}, {FOLD7} SELECT id, round(avg(value), 9) AS value, count(*) AS cells FROM fill JOIN fold USING (cell) GROUP BY 1", "px zones")
 def _(v: Views) -> DataFrame:
-    return zones.zonal_mean(fold.fold_mean(v.px, 7), zones.fill_boxes(v.zones, 7)).withColumn("value", r("value"))
+    return zones.zonal_mean(fold.fold_mean(v.px, 7), zones.fill_boxes(v.zones, 7, pieces=False)).withColumn("value", r("value"))
 
 
 @query("w8_zone_ranking", f"WITH {FILL7}, {FOLD7}, z AS (SELECT id, avg(value) AS value, count(*) AS cells FROM fill JOIN fold USING (cell) WHERE value > 0 GROUP BY 1) SELECT id, name, round(value, 9) AS value, cells FROM z JOIN zones USING (id) ORDER BY value DESC, id LIMIT 10", "px zones")
 def _(v: Views) -> DataFrame:
-    ranked = zones.with_names(zones.zonal_mean(fold.fold_mean(v.px, 7, positive=True), zones.fill_boxes(v.zones, 7)), v.zones.select("id", "name"))
+    ranked = zones.with_names(zones.zonal_mean(fold.fold_mean(v.px, 7, positive=True), zones.fill_boxes(v.zones, 7, pieces=False)), v.zones.select("id", "name"))
     return zones.top_zones(ranked, 10).select("id", "name", r("value").alias("value"), "cells")
 
 
-@query("w8_ladder", "SELECT id, rung, value FROM (SELECT id, CASE WHEN id % 3 = 0 THEN 'region' ELSE 'country' END AS rung, w AS value FROM zones) WHERE rung = 'region'", "zones")
+@query("w8_ladder", f"WITH c AS ({cells_sql(8)}), pieces AS (SELECT 'locality' AS rung, CAST(id AS VARCHAR) AS id, cell FROM c JOIN buildings ON clon >= cx - 1e-6 AND clon < cx + 1e-6 AND clat >= cy - 1e-6 AND clat < cy + 1e-6 UNION ALL SELECT 'county', CAST(id AS VARCHAR), cell FROM c JOIN fields ON abs(clon - cx) + abs(clat - cy) < r UNION ALL SELECT 'region', CAST(id AS VARCHAR), cell FROM c JOIN zones ON clon >= w AND clon < e AND clat >= s AND clat < n UNION ALL SELECT DISTINCT 'country', region, cell FROM c JOIN zones ON clon >= w AND clon < e AND clat >= s AND clat < n), fold AS (SELECT {cell_sql(8)} AS cell, avg(v) AS value FROM px GROUP BY 1), z AS (SELECT rung, id, avg(value) AS value, count(*) AS cells FROM pieces JOIN fold USING (cell) GROUP BY 1, 2) SELECT rung, id, round(value, 9) AS value, cells FROM z WHERE CASE rung WHEN 'locality' THEN 1 WHEN 'county' THEN 2 WHEN 'region' THEN 3 ELSE 4 END = (SELECT min(CASE rung WHEN 'locality' THEN 1 WHEN 'county' THEN 2 WHEN 'region' THEN 3 ELSE 4 END) FROM z) ORDER BY value DESC, id LIMIT 12", "px buildings fields zones")
 def _(v: Views) -> DataFrame:
-    ranked = v.zones.select("id", F.when(F.col("id") % 3 == 0, "region").otherwise("country").alias("rung"), F.col("w").alias("value"))
-    return zones.first_with_rows(ranked, "rung", ["locality", "county", "region", "country"])
+    """Zones of a view, ranked one level finer than the view asks for, on the first rung that any cell reaches."""
+    level = min(9, tables.level_in_view(-125.0, -65.0, 480, 9) + 1)
+    x, y = F.col("cx"), F.col("cy")
+    spots = v.buildings.select("id", (x - 1e-6).alias("w"), (y - 1e-6).alias("s"), (x + 1e-6).alias("e"), (y + 1e-6).alias("n"))
+    rungs = {"locality": zones.fill_boxes(spots, level), "county": zones.fill_centres(field_rings(v), level), "region": zones.fill_boxes(v.zones, level, pieces=False), "country": zones.fill_boxes(v.zones, level, "region").withColumnRenamed("region", "id")}
+    pieces = functools.reduce(DataFrame.unionByName, [d.select(F.lit(k).alias("rung"), F.col("id").cast("string").alias("id"), "cell") for k, d in rungs.items()])
+    ranked = zones.ranked_on_ladder(fold.fold_mean(v.px, level), pieces, list(rungs), 12)
+    return ranked.select("rung", "id", r("value").alias("value"), "cells")
 
 
 @query("j20_unreached", f"WITH {FILL7}, {FOLD7} SELECT id, name FROM zones WHERE id NOT IN (SELECT id FROM fill JOIN fold USING (cell) WHERE value > 0.05)", "px zones")
@@ -108,15 +125,19 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     cells = fold.fold_mean(v.px, 7)
     second = fold.fold_mean(v.px.where("cls = 1"), 7).select("cell", F.lit(1.0).alias("second"))
-    zone_count = zones.zonal_mean(cells, zones.fill_boxes(v.zones, 7)).count()
-    return cells.join(second, "cell", "left").agg(F.count(F.lit(1)).alias("cells"), r(F.avg("px")).alias("mean_px"), F.min("px").alias("least"), F.lit(zone_count).cast("long").alias("zones"), r(F.avg(F.coalesce("second", F.lit(0.0)))).alias("both_share"))
+    reached = zones.zonal_mean(cells, zones.fill_boxes(v.zones, 7, pieces=False)).agg(F.count(F.lit(1)).alias("zones"))
+    one = cells.join(second, "cell", "left").agg(F.count(F.lit(1)).alias("cells"), r(F.avg("px")).alias("mean_px"), F.min("px").alias("least"), r(F.avg(F.coalesce("second", F.lit(0.0)))).alias("both_share"))
+    both = one.unionByName(reached, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("cells", "mean_px", "least", "zones", "both_share")])
 
 
 @query("a37_join_quality", f"WITH {FOLD7}, b AS (SELECT id, {cell_sql(7, 'cy', 'cx')} AS cell, (abs(cx) + cy) / 2 AS w FROM buildings) SELECT round(corr(value, w), 9) AS c, round(quantile_cont(value / w, 0.5), 9) AS ratio, count(*) AS n FROM b JOIN fold USING (cell)", "px buildings")
 def _(v: Views) -> DataFrame:
     at = v.buildings.select("id", grid.cell(F.col("cy"), F.col("cx"), 7).alias("cell"), ((F.abs("cx") + F.col("cy")) / 2).alias("w"))
-    both = at.join(fold.fold_mean(v.px, 7), "cell")
-    return both.agg(r(F.corr("value", "w")).alias("c"), r(F.percentile(F.col("value") / F.col("w"), F.lit(0.5)), 9).alias("ratio"), F.count(F.lit(1)).alias("n"))
+    both = at.join(fold.fold_mean(v.px, 7), "cell").select("value", "w", (F.col("value") / F.col("w")).alias("part"))
+    middle = fold.quantiles_by(both, [], "part", {"ratio": 0.5}).select(r("ratio").alias("ratio"))
+    one = both.agg(r(F.corr("value", "w")).alias("c"), F.count(F.lit(1)).alias("n"))
+    return one.unionByName(middle, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("c", "ratio", "n")])
 
 
 # --- joins
@@ -176,23 +197,23 @@ def _(v: Views) -> DataFrame:
     return classes.misses(agreed(v), 5, 15, ~F.col("is_field")).withColumn("pct", r("pct"))
 
 
-@query("j8_j9_terrain_cover", f"WITH a AS (SELECT {C7} AS cell, avg(cls) AS c FROM px WHERE x % 2 = 0 GROUP BY 1), b AS (SELECT {C7} AS cell, avg(v) AS elev FROM px WHERE x % 3 = 0 GROUP BY 1) SELECT cell, round(c, 9) AS c, round(coalesce(elev, 0), 9) AS elev FROM a LEFT JOIN b USING (cell)", "px")
+@query("j8_j9_terrain_cover", f"WITH a AS (SELECT {C7} AS cell, avg(cls) AS c FROM px GROUP BY 1), b AS (SELECT {C7} AS cell, avg(tc) AS elev FROM cube GROUP BY 1) SELECT cell, round(c, 9) AS c, round(coalesce(elev, 0), 9) AS elev FROM a LEFT JOIN b USING (cell)", "px cube")
 def _(v: Views) -> DataFrame:
-    cover = fold.fold_mean(v.px.where("x % 2 = 0").withColumn("cls", F.col("cls").cast("double")), 7, "cls")
-    dem = fold.fold_mean(v.px.where("x % 3 = 0"), 7).select("cell", F.col("value").alias("elev"))
+    cover = fold.fold_mean(v.px.withColumn("cls", F.col("cls").cast("double")), 7, "cls")
+    dem = fold.fold_mean(v.cube, 7, "tc").select("cell", F.col("value").alias("elev"))
     return cover.join(dem, "cell", "left").select("cell", r("value").alias("c"), r(F.coalesce("elev", F.lit(0.0))).alias("elev"))
 
 
 PARENT = f"(7::BIGINT << 58) + ({ROW} >> 2) * 536870912 + ({COL} >> 2)"
 
 
-@query("j11_parent_join", f"WITH f AS (SELECT {C9} AS cell, avg(v) AS fine FROM px GROUP BY 1), c AS (SELECT {C7} AS parent, avg(v) AS coarse FROM px WHERE x % 4 = 0 GROUP BY 1) SELECT cell, round(fine, 9) AS fine, round(coarse, 9) AS coarse FROM (SELECT *, {PARENT} AS parent FROM f) LEFT JOIN c USING (parent)", "px")
+@query("j11_parent_join", f"WITH f AS (SELECT {C9} AS cell, avg(v) AS fine FROM px GROUP BY 1), c AS (SELECT {C7} AS parent, avg(tc) AS coarse FROM cube GROUP BY 1) SELECT cell, round(fine, 9) AS fine, round(coarse, 9) AS coarse FROM (SELECT *, {PARENT} AS parent FROM f) LEFT JOIN c USING (parent)", "px cube")
 def _(v: Views) -> DataFrame:
-    coarse = fold.fold_mean(v.px.where("x % 4 = 0"), 7).select("cell", F.col("value").alias("coarse"))
+    coarse = fold.fold_mean(v.cube, 7, "tc").select("cell", F.col("value").alias("coarse"))
     return zones.parent_join(fold.fold_mean(v.px, 9).select("cell", F.col("value").alias("fine")), coarse, 2).select("cell", r("fine").alias("fine"), r("coarse").alias("coarse"))
 
 
-HZ9 = f"hz AS (SELECT cell, max(CASE WHEN zone IN ('V', 'VE') THEN 3 WHEN zone LIKE 'A%' THEN 2 WHEN zone = 'X' AND subty LIKE '%0.2 PCT%' THEN 1 WHEN zone = 'D' THEN 0 ELSE -1 END) AS zc FROM ({cells_sql(9)}) c JOIN hazard ON clon >= w AND clon < e AND clat >= s AND clat < n GROUP BY 1)"
+HZ9 = f"hz AS (SELECT cell, max(CASE WHEN zone IN ('V', 'VE') THEN 3 WHEN zone IN ('A', 'AE', 'AH', 'AO', 'A99', 'AR') THEN 2 WHEN zone = 'X' AND subty LIKE '%0.2%' THEN 1 WHEN zone = 'D' THEN 0 ELSE -1 END) AS zc FROM ({cells_sql(9)}) c JOIN hazard ON clon >= w AND clon < e AND clat >= s AND clat < n GROUP BY 1)"
 
 
 def hazard_cells(v: Views, level: int = 9) -> DataFrame:
@@ -262,7 +283,9 @@ def _(v: Views) -> DataFrame:
 @query("a19_field_summary", "SELECT count(*) AS fields, round(sum(2 * r * r), 9) AS area, round(quantile_cont(2 * r * r, 0.5), 9) AS median, round(max(2 * r * r), 9) AS largest FROM fields", "fields")
 def _(v: Views) -> DataFrame:
     sized = field_rings(v).select(geometry.area(F.col("ring")).alias("a"))
-    return sized.agg(F.count(F.lit(1)).alias("fields"), r(F.sum("a")).alias("area"), r(F.percentile("a", F.lit(0.5))).alias("median"), r(F.max("a")).alias("largest"))
+    middle = fold.quantiles_by(sized, [], "a", {"median": 0.5}).select(r("median").alias("median"))
+    one = sized.agg(F.count(F.lit(1)).alias("fields"), r(F.sum("a")).alias("area"), r(F.max("a")).alias("largest"))
+    return one.unionByName(middle, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("fields", "area", "median", "largest")])
 
 
 @query("a20_w1_w2_majority", f"WITH {HITS}, {MAJ} SELECT id, cls, n, total, round(purity, 9) AS purity, CAST(rn AS INT) AS rn FROM maj", "px fields")
@@ -281,9 +304,14 @@ def _(v: Views) -> DataFrame:
     return classes.mixed_fields(classes.field_majority(field_hits(v)), 12).withColumns({"purity": r("purity"), "second_share": r("second_share")})
 
 
-@query("a36_campaigns", "WITH d AS (SELECT DISTINCT o_custkey % 20 AS footprint, year(o_orderdate) AS campaign, min(o_orderdate) OVER (PARTITION BY o_custkey % 20, year(o_orderdate)) AS day FROM orders), s AS (SELECT campaign, count(*) AS footprints, count(DISTINCT day) = 1 AS single, count(*) / 20.0 AS coverage FROM d GROUP BY 1) SELECT CAST(campaign AS INT) AS campaign, footprints, single, round(coverage, 9) AS coverage, row_number() OVER (ORDER BY coverage DESC, single DESC, campaign DESC) = 1 AS best FROM s")
+CAMPAIGN_ITEMS = "SELECT CAST(o_custkey % 25 AS BIGINT) AS footprint, CAST(year(o_orderdate) AS INT) AS campaign, max(o_orderdate) AS date FROM orders WHERE dayofyear(o_orderdate) % 25 = o_custkey % 25 GROUP BY 1, 2"
+
+
+@query("a36_campaigns", f"WITH c AS ({cells_sql(6)}), aoi AS (SELECT DISTINCT cell FROM c JOIN zones ON clon >= w AND clon < e AND clat >= s AND clat < n), lk AS (SELECT id AS footprint, cell FROM c JOIN zones ON clon >= w AND clon < e AND clat >= s AND clat < n), i AS ({CAMPAIGN_ITEMS}), s AS (SELECT campaign, count(DISTINCT footprint) AS footprints, count(DISTINCT date) AS days, bool_and(dayofyear(date) < 106.8 OR dayofyear(date) > 303.2) AS leaf_off FROM i GROUP BY 1), h AS (SELECT campaign, count(DISTINCT cell) AS hit FROM i JOIN lk USING (footprint) GROUP BY 1), t AS (SELECT s.*, coalesce(hit, 0) / (SELECT count(*) FROM aoi) AS cov, days = 1 AS one_date FROM s LEFT JOIN h USING (campaign)), nr AS (SELECT *, cov >= (SELECT max(cov) FROM t) - 0.02 AS near FROM t), pk AS (SELECT campaign FROM nr WHERE near AND (one_date OR NOT EXISTS (SELECT 1 FROM nr x WHERE x.near AND x.one_date)) ORDER BY cov DESC, campaign DESC LIMIT 1) SELECT campaign, footprints, days, round(cov, 9) AS cov, one_date, leaf_off, campaign = (SELECT campaign FROM pk) AS best FROM nr", "zones")
 def _(v: Views) -> DataFrame:
-    items = v.orders.groupBy((F.col("o_custkey") % 20).alias("footprint"), F.year("o_orderdate").alias("campaign")).agg(F.min("o_orderdate").alias("day"))
-    scored = items.groupBy("campaign").agg(F.count(F.lit(1)).alias("footprints"), (F.count_distinct("day") == 1).alias("single"), r(F.count(F.lit(1)) / 20.0).alias("coverage"))
-    best = F.row_number().over(Window.orderBy(F.col("coverage").desc(), F.col("single").desc(), F.col("campaign").desc())) == 1  # a row for each campaign
-    return scored.withColumn("best", best)
+    """Flights over the zones' area: an order is an item over the zone of its customer, its year is the campaign."""
+    day, footprint = F.col("o_orderdate"), F.col("o_custkey") % 25
+    items = v.orders.where(F.dayofyear(day) % 25 == footprint).select(footprint.cast("long").alias("footprint"), F.year(day).alias("campaign"), day.alias("date"))
+    lookup = zones.fill_boxes(v.zones, 6, pieces=False).withColumnRenamed("id", "footprint")
+    scored = classes.best_campaign(classes.campaign_scores(items, lookup, lookup.select("cell").distinct(), 37.0))
+    return scored.select("campaign", "footprints", "days", r("cov").alias("cov"), "one_date", "leaf_off", "best")

@@ -46,8 +46,8 @@ def with_cell_key(level: int, lat: str = "lat", lon: str = "lon") -> Column:
 class Sustained(StatefulProcessor):
     """Load of each key hour by hour; hours wait until the watermark has passed them, then run in order.
 
-    State of a key: the last hour and load, and the hours that wait. An hour that comes after its turn gives a row with
-    `late` true and changes nothing.
+    State of a key: the last hour and load, and the hours that wait. Spark drops hours that come behind the watermark before
+    they get here; one that comes in the batch of its own turn, if it does, gives a row with `late` true and changes nothing.
     """
 
     half_life, threshold, flush = 24.0, 27.0, 0.0

@@ -140,3 +140,170 @@ def test_window_memory_of_long_films(spark):
         expected[c, f], last[c] = load, (load, f)
     got = {(r.cell, r.f): r.load for r in heat.sustained_window(df, 1.5, 16).collect()}
     assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in expected)
+
+
+def one(spark, *columns):
+    return spark.range(1).select(*columns).first()
+
+
+def test_heat_index_by_hand(spark):
+    """20 C and 50 %: 68 F, simple formula 0.5 (68 + 61 + 0 + 4.7) = 66.85 F; 35 C and 60 %: the regression."""
+    f = lambda tc, rh: scalars.heat_index(F.lit(tc), F.lit(rh))
+    mild, hot = one(spark, f(20.0, 50.0), f(35.0, 60.0))
+    assert mild == pytest.approx((66.85 - 32) * 5 / 9) and round(mild, 2) == 19.36
+    t, r = 95.0, 60.0
+    full = -42.379 + 2.04901523 * t + 10.14333127 * r - 0.22475541 * t * r - 0.00683783 * t * t - 0.05481717 * r * r + 0.00122874 * t * t * r + 0.00085282 * t * r * r - 0.00000199 * t * t * r * r
+    assert hot == pytest.approx((full - 32) * 5 / 9)
+
+
+def test_hazard_classes_by_hand(spark):
+    rows = [("VE", None, 3), (" v ", None, 3), ("AE", "FLOODWAY", 2), ("A99", None, 2), ("AREA NOT INCLUDED", None, -1), ("X", "0.2 PCT ANNUAL CHANCE FLOOD HAZARD", 1), ("X", "AREA WITH REDUCED RISK DUE TO LEVEE", -1), ("X", None, -1), ("D", None, 0), ("OPEN WATER", None, -1), (None, None, -1)]
+    df = spark.createDataFrame(rows, "zone string, subty string, expected int")
+    assert df.where(scalars.zone_severity(F.col("zone"), F.col("subty")) != F.col("expected")).count() == 0
+
+
+def test_season_of_leaves_by_hand(spark):
+    rows = [(35.0, 105.0, 305.0), (45.0, 114.0, 296.0), (-45.0, 114.0, 296.0), (0.0, 73.5, 336.5), (89.0, 153.6, 256.4)]
+    for lat, first, last in rows:
+        assert one(spark, *scalars.leaf_season(F.lit(lat))) == pytest.approx((first, last))
+    days = spark.createDataFrame([(dt.date(2023, 4, 14),), (dt.date(2023, 4, 15),), (dt.date(2023, 11, 1),), (dt.date(2023, 11, 2),)], "d date")
+    assert [r[0] for r in days.orderBy("d").select(scalars.leaf_on(F.col("d"), F.lit(35.0))).collect()] == [False, True, True, False]
+
+
+def test_voltages(spark):
+    rows = [({"voltage": "115000;230000"}, 230000), ({"voltage": " 400 , x"}, 400), ({"voltage": "none"}, 0), ({"a": "5"}, 0), (None, 0)]
+    df = spark.createDataFrame(rows, "tags map<string,string>, v long")
+    assert df.where(scalars.voltage(F.col("tags")) != F.col("v")).count() == 0
+
+
+def test_focal_mean_with_a_hole(spark):
+    values = [[1.0, 2.0, 3.0], [4.0, None, 6.0], [1.0, 2.0, 5.0]]
+    rows = [(y, x, v) for y, row in enumerate(values) for x, v in enumerate(row)]
+    expected = {}
+    for y, x, _ in rows:
+        near = [v for b, a, v in rows if abs(a - x) <= 1 and abs(b - y) <= 1 and v is not None]
+        expected[y, x] = sum(near) / len(near)
+    whole = spark.createDataFrame(rows, "y int, x int, v double")
+    assert {(r.y, r.x): r["mean"] for r in terrain.focal_mean(whole, 1).collect()} == pytest.approx(expected)
+    assert expected[1, 1] == 3.0
+    del expected[1, 1]
+    assert {(r.y, r.x): r["mean"] for r in terrain.focal_mean(whole.where("v is not null"), 1).collect()} == pytest.approx(expected)
+
+
+def test_bilinear_goes_on_beyond_the_outer_pixels(spark):
+    raster = spark.createDataFrame([(y, x, 3.0 * y - 2.0 * x) for y in range(4) for x in range(5)], "y int, x int, v double")
+    points = spark.createDataFrame([(0, -0.5, -0.5), (1, 3.5, 4.5), (2, 1.25, 2.5), (3, -0.6, 1.0), (4, 1.0, 4.6)], "id int, row double, col double")
+    got = {r.id: r.sample for r in terrain.bilinear(points, raster, 4, 5).collect()}
+    assert got == pytest.approx({0: -0.5, 1: 1.5, 2: -1.25})
+    holed = raster.where("NOT (y = 1 AND x = 2)")
+    assert 2 not in {r.id for r in terrain.bilinear(points, holed, 4, 5).collect()}
+
+
+def test_hillshade_of_slopes(spark):
+    """Rows run north: a slope that falls to the north-west faces the sun, its opposite is dark; scale and sizes count."""
+    def shade(fx, fy, **more):
+        df = spark.createDataFrame([(y, x, fx * x + fy * y) for y in range(4) for x in range(4)], "y int, x int, v double")
+        return {round(r.shade, 9) for r in terrain.hillshade(df, **more).collect()}
+
+    lit, dark = shade(1.0, -1.0), shade(-1.0, 1.0)
+    c = math.cos(math.radians(45))
+    assert lit == {round(min(1.0, (2 * c * c + c) / math.sqrt(3)), 9)} and dark == {0.0}
+    assert shade(2.0, -6.0, size=4.0, size_y=12.0, scale=2.0) == lit
+
+
+def test_mosaic_takes_the_deepest(spark):
+    boxes = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0), (2, 5.0, 0.0, 25.0, 10.0)], "source int, w double, s double, e double, n double")
+    pixels = spark.createDataFrame([(s, 0, x, float(x), 5.0, float(s)) for s in (1, 2) for x in range(12)], "source int, y int, x int, lon double, lat double, v double")
+    got = {r.x: (r.v, r.sources) for r in terrain.mosaic(pixels, boxes).collect()}
+    assert got == {**{x: (1.0, 1) for x in range(5)}, 5: (1.0, 2), 6: (1.0, 2), 7: (1.0, 2), 8: (1.0, 2), 9: (2.0, 2), 10: (2.0, 2), 11: (2.0, 1)}
+    lattice = pixels.select("y", "x").distinct()
+    assert terrain.covered_share(lattice, terrain.mosaic(pixels.where("x < 3"), boxes)).first().covered == 0.25
+
+
+def quantile(values, p):
+    values = sorted(values)
+    at = (len(values) - 1) * p
+    low = math.floor(at)
+    high = min(low + 1, len(values) - 1)
+    return values[low] + (values[high] - values[low]) * (at - low)
+
+
+def test_quantiles_by_bins_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(fold, "BINS", 8)
+    groups = {"a": [float(i * 37 % 101) ** 3 for i in range(500)], "b": [5.0] * 40 + [1e300, -1e300], "c": [2.5], None: [1e-9 * i for i in range(7)]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("a", None), ("a", float("nan")), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.p2, r.p50, r.p98) for r in fold.quantiles_by(df, ["k"], "v", {"p2": 0.02, "p50": 0.5, "p98": 0.98}).collect()}
+    assert got == {k: pytest.approx(tuple(quantile(vs, p) for p in (0.02, 0.5, 0.98))) for k, vs in groups.items()}
+    assert fold.quantiles(df.where("false"), "v", [0.5]).collect() == []
+
+
+def test_long_films_in_time_that_grows_with_their_frames(spark):
+    import time
+
+    n = 20_000
+    rows = [(1, f, None if f % 7 == 3 else 20.0 + f * 37 % 11, 1.0 if f % 50 == 0 else 0.0) for f in range(5, n) if f % 1000 > 5]
+    df = spark.createDataFrame(rows, "cell int, f int, hi double, mm double")
+    for first in (False, True):
+        a, load, expected = 2 ** (-1 / 24), 0.0, []
+        for i, (_, _f, hi, mm) in enumerate(rows):
+            load = (a * load + (1 - a) * max(0.0, (hi or 0.0) - 22)) * (1 - 0.5 * min(1.0, mm / 2.5))
+            load = 0.0 if i == 0 and not first else load
+            expected.append(load)
+        began = time.perf_counter()
+        got = [r.load for r in heat.sustained(df, 24, 22, 0.5, include_first=first).orderBy("f").collect()]
+        assert time.perf_counter() - began < 20 and got == pytest.approx(expected, abs=1e-9)
+
+
+def test_boxes_and_rings_over_the_date_line(spark):
+    boxes = spark.createDataFrame([(1, 178.0, 0.0, -178.0, 4.0), (2, 178.0, 0.0, 182.0, 4.0)], "id int, w double, s double, e double, n double")
+    touched = {r.id: r.n for r in zones.fill_touched(boxes, 7).groupBy("id").agg(F.count("*").alias("n")).collect()}
+    filled = {r.id: r.cells for r in zones.fill_boxes(boxes, 7).groupBy("id").agg(F.sort_array(F.collect_list("cell")).alias("cells")).collect()}
+    plain = zones.fill_boxes(spark.createDataFrame([(1, 0.0, 0.0, 4.0, 4.0)], boxes.schema), 7).count()
+    assert touched[1] == touched[2] < 30 and filled[1] == filled[2] and abs(len(filled[1]) - plain) <= 4
+    ringed = boxes.where("id = 2").select("id", geometry.box_ring(*map(F.col, "wsen")).alias("ring"))
+    assert sorted(r.cell for r in zones.fill_centres(ringed, 7).collect()) == filled[1]
+
+
+def test_index_chooses_files(spark, tmp_path):
+    df = spark.range(400).select(F.col("id"), (F.col("id") % 20 * 1.0).alias("x"), (F.col("id") / 20).alias("y"), F.floor(F.col("id") % 20 / 5).alias("strip"))
+    path = str(tmp_path / "t")
+    df.repartition("strip").write.partitionBy("strip").parquet(path)
+    index = tables.file_index(spark, path, "x", "y")
+    assert index.count() == 4
+    got = tables.read_over(spark, index, (0.0, 0.0, 4.0, 3.0), "x", "y", df.drop("strip").schema)
+    assert {r.id for r in got.collect()} == {r.id for r in df.where("x <= 4 AND y <= 3").collect()}
+    assert len(got.inputFiles()) == 1 and tables.read_over(spark, index, (90.0, 0.0, 91.0, 1.0), "x", "y", df.schema).count() == 0
+
+
+def test_struct_boxes_prune_the_scan(spark, tmp_path):
+    boxed = spark.range(10).select("id", F.struct(*[F.col("id").cast("double").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]).alias("bbox"))
+    boxed.write.parquet(str(tmp_path / "t"))
+    plan = spark.read.parquet(str(tmp_path / "t")).where(tables.strictly_inside(1, 1, 5, 5)).select("id")._jdf.queryExecution().toString()
+    pushed = plan.split("PushedFilters: ")[1].splitlines()[0]
+    assert "bbox.xmax" in pushed and "GreaterT" in pushed
+
+
+def test_tiles_that_disagree(spark):
+    a = spark.createDataFrame([(1, 2.5, "x")], "k int, v float, only_a string")
+    b = spark.createDataFrame([(7.25, 1 << 40, 3)], "v double, k long, mixed int")
+    c = spark.createDataFrame([("text",)], "mixed string")
+    got = fold.union_tiles([a, b, c])
+    assert dict(got.dtypes) == {"k": "bigint", "v": "double", "only_a": "string", "mixed": "string"} and got.count() == 3
+
+
+def test_level_by_budget_counts_only_what_the_bound_leaves_open(spark):
+    df = spark.createDataFrame([(1, 5.0, 5.0), (2, 5.0, 5.0)], "level int, x double, y double")
+    assert tables.level_for_box(df, [1, 2, 4], (0, 0, 10, 10), 1.0, 100) == 1  # the bound fits
+    assert tables.level_for_box(df, [1, 2, 4], (0, 0, 10, 10), 1.0, 50) == 1  # counted: one row
+    assert tables.level_for_box(df, [1, 2, 4], (0, 0, 100, 100), 1.0, 20) == 4  # far over at 1 and 2
+    # 360 degrees over 20 on 400 pixels are 7200 pixels, 900 cells of 8 pixels: 2^(r+1) columns up to that
+    assert tables.level_in_view(-10.0, 10.0, 400, 9) == 8 and tables.level_in_view(-10.0, 10.0, 400, 3) == 3
+
+
+def test_written_tables_can_be_deleted(spark):
+    a, b = tables.written(spark.range(3)), tables.written(spark.range(4))
+    tables.discard(a)
+    assert b.count() == 4 and a.written_path.startswith(tables.session_dir(spark))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        spark.read.parquet(a.written_path).count()

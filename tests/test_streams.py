@@ -51,3 +51,39 @@ def test_sustained_stream(spark, tmp_path):
     got = [r.load for r in spark.table("loads").where("key = 1").orderBy("t").collect()]
     frames = df.select(F.col("key").alias("cell"), ((F.unix_timestamp("t") - int(T0.replace(tzinfo=dt.UTC).timestamp())) / 3600).cast("int").alias("f"), "hi", "mm")
     assert got == pytest.approx([r.load for r in heat.sustained(frames, 6, 20, 0.3).orderBy("f").collect()])
+
+
+def test_sustained_stream_and_hours_after_the_watermark(spark, tmp_path):
+    """Hours that come when the watermark has passed them change no load: Spark drops them before the processor."""
+    hour = lambda h, hi: (1, T0 + dt.timedelta(hours=h), hi, 0.0)
+    files = [[hour(h, 25.0) for h in range(6)], [hour(30, 22.0)], [hour(3, 99.0), hour(31, 22.0)], [hour(200, 0.0)], [hour(300, 0.0)]]
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, "key long, t timestamp, hi double, mm double").coalesce(1).write.parquet(f"{tmp_path}/in/b={i}")
+    schema = "key long, t timestamp, hi double, mm double"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    (tmp_path / "live").mkdir()
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/live")
+    q = streams.sustained_stream(stream, 6, 20).writeStream.format("memory").queryName("late_loads").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    for i in range(len(files)):
+        for f in (tmp_path / "in" / f"b={i}").glob("*.parquet"):
+            f.rename(tmp_path / "live" / f"{i}-{f.name}")
+        q.processAllAvailable()
+    q.stop()
+    got = spark.table("late_loads").orderBy("t").collect()
+    loads = [r for r in got if not r.late]
+    assert [r.t for r in loads][:8] == [T0 + dt.timedelta(hours=h) for h in (*range(6), 30, 31)]
+    a, load, expected = 2 ** (-1 / 6), 0.0, []
+    for i, hi in enumerate([25.0] * 6 + [22.0, 22.0]):
+        load = 0.0 if i == 0 else a * load + (1 - a) * max(0.0, hi - 20)
+        expected.append(load)
+    assert [r.load for r in loads][:8] == pytest.approx(expected)
+    assert not any(r.late for r in got)
+
+
+def test_sliding_film_stream(spark, tmp_path):
+    batch, stream = events(spark, tmp_path)
+    q = streams.sliding_film(stream, F.col("k"), "value", 3).writeStream.format("memory").queryName("films").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    expected = sorted(map(tuple, streams.sliding_film(batch, F.col("k"), "value", 3).collect()))
+    assert [r for r in sorted(map(tuple, spark.table("films").collect())) if r in expected] == expected
