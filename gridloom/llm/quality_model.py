@@ -1,7 +1,7 @@
 """Quality grades by ordinal cumulative-link regression on hashed text.
 
-One weight vector over hashed features of the whole text (words in lower case, the shapes of words, words that repeat
-their neighbour) gives a latent quality; ordered thresholds cut it into grades: P(grade >= k) = sigmoid(latent - t_k).
+One weight vector over hashed features of the whole text (words in lower case, their beginnings, the shapes of words,
+words that repeat their neighbour) gives a latent quality; ordered thresholds cut it into grades: P(grade >= k) = sigmoid(latent - t_k).
 The model gives the expected grade and the tail probabilities; a document is kept where P(grade >= `at_least`) reaches
 `least`.
 
@@ -31,6 +31,8 @@ from gridloom.llm.base import apart, kept_schema, slices, with_columns, written
 
 PLACES = 1 << 16
 REMEMBERED = 60_000
+#: Letters of a word's beginning, a feature that words of one stem share.
+BEGIN = 4
 
 
 class Classes(dict):
@@ -60,7 +62,8 @@ class Features:
         return RUN.sub(r"\1", word.translate(CLASSES))
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and values: damped word counts of length 1, shares of word shapes, the share of repeated neighbours."""
+        """Places and values: damped word counts of length 1, for words and for their beginnings, shares of word shapes, the share
+        of repeated neighbours."""
         words = (text or "").split()
         if not words:
             return np.empty(0, np.int32), np.empty(0, np.float32)
@@ -69,14 +72,14 @@ class Features:
             known.clear()
         tally = Counter(words)
         for w in [w for w in tally if w not in known]:
-            known[w] = (self.place("w:" + w.lower().strip(".,;:!?")), self.place("s:" + self.shape(w)))
+            known[w] = (self.place("w:" + (low := w.lower().strip(".,;:!?"))), self.place("b:" + low[:BEGIN]), self.place("s:" + self.shape(w)))
         pairs = np.array([known[w] for w in tally], np.int32)
         n = np.fromiter(tally.values(), np.float32, len(tally))
         damped = np.log1p(n)
         damped /= np.linalg.norm(damped)
         repeats = sum(map(eq, words, words[1:])) / len(words)
-        at = np.concatenate([pairs[:, 0], pairs[:, 1], [self.place("repeat"), self.place("bias")]])
-        return at.astype(np.int32), np.concatenate([damped, n / len(words), [repeats, 0.2]]).astype(np.float32)
+        at = np.concatenate([pairs[:, 0], pairs[:, 1], pairs[:, 2], [self.place("repeat"), self.place("bias")]])
+        return at.astype(np.int32), np.concatenate([damped, damped, n / len(words), [repeats, 0.2]]).astype(np.float32)
 
 
 @dataclass
@@ -89,33 +92,46 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(latent[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def fitted(at: np.ndarray, value: np.ndarray, row: np.ndarray, grade: np.ndarray, places: int, decay: float = 1e-5, rounds: int = 150, rate: float = 0.3) -> Model:
-    """The cumulative-link model of greatest likelihood (Adam, full batch, decayed weights)."""
-    top, n = int(grade.max()), len(grade)
+def fitted(at: np.ndarray, value: np.ndarray, row: np.ndarray, grade: np.ndarray, places: int, decay: float = 1e-5, rounds: int = 100, rate: float = 0.3, parts: int = 8) -> Model:
+    """The cumulative-link model of greatest likelihood (Adam over parts of the rows in turn, decayed weights). Rows ascend."""
+    top = int(grade.max())
     share = np.clip([(grade >= k).mean() for k in range(1, top + 1)], 1e-3, 1 - 1e-3)
     cuts = np.log((1 - share) / share)
     gaps = np.log(np.maximum(np.diff(cuts), 1e-2))
     params = np.concatenate([np.zeros(places), cuts[:1], gaps])
     m, v = np.zeros_like(params), np.zeros_like(params)
-    for step in range(1, rounds + 1):
-        w, first, log_gaps = params[:places], params[places], params[places + 1 :]
-        t = first + np.concatenate([[0], np.cumsum(np.exp(log_gaps))])
-        latent = np.bincount(row, w[at] * value, n)
-        # P(grade = g) = F(upper) - F(lower) with F the logistic function of threshold - latent
-        edge = np.concatenate([[-40], t, [40]])
-        lower, upper = edge[grade] - latent, edge[grade + 1] - latent
-        f = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        fl, fu = np.where(grade > 0, f(lower), 0), np.where(grade < top, f(upper), 1)
-        p = np.maximum(fu - fl, 1e-9)
-        dl, du = fl * (1 - fl) / p, fu * (1 - fu) / p  # of log p to -lower and to upper
-        g_latent = dl - du
-        g_t = np.array([(-(dl * (grade == k))).sum() + (du * (grade == k - 1)).sum() for k in range(1, top + 1)])
-        g_gaps = np.array([g_t[k:].sum() * np.exp(log_gaps[k - 1]) for k in range(1, top)])
-        up = np.concatenate([np.bincount(at, value * g_latent[row], places) / n - decay * w, [g_t.sum() / n], g_gaps / n])
-        m, v = 0.9 * m + 0.1 * up, 0.999 * v + 0.001 * up * up
+    parts = min(parts, max(1, len(grade) // 50))
+    dealt = [np.flatnonzero(row % parts == k) for k in range(parts)]
+    dealt = [(at[i], value[i], row[i] // parts, grade[k::parts]) for k, i in enumerate(dealt)]
+    for step in range(1, rounds * parts + 1):
+        p_at, p_value, p_row, p_grade = dealt[step % parts]
+        g = gradient(params, p_at, p_value, p_row, p_grade, places, top)
+        g[:places] -= decay * params[:places]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         params = params + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    t = params[places] + np.concatenate([[0], np.cumsum(np.exp(params[places + 1 :]))])
-    return Model(params[:places].astype(np.float32), t)
+    return Model(params[:places].astype(np.float32), thresholds(params, places))
+
+
+def thresholds(params: np.ndarray, places: int) -> np.ndarray:
+    """Ascending thresholds: the first as it is, the others by the logarithms of their gaps."""
+    return params[places] + np.concatenate([[0], np.cumsum(np.exp(params[places + 1 :]))])
+
+
+def gradient(params: np.ndarray, at: np.ndarray, value: np.ndarray, row: np.ndarray, grade: np.ndarray, places: int, top: int) -> np.ndarray:
+    """Of the mean log likelihood by the parameters: weights, first threshold, logarithms of gaps."""
+    n = len(grade)
+    t, log_gaps = thresholds(params, places), params[places + 1 :]
+    latent = np.bincount(row, params[at] * value, n)
+    # P(grade = g) = F(upper) - F(lower) with F the logistic function of threshold - latent
+    edge = np.concatenate([[-40], t, [40]])
+    lower, upper = edge[grade] - latent, edge[grade + 1] - latent
+    f = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    fl, fu = np.where(grade > 0, f(lower), 0), np.where(grade < top, f(upper), 1)
+    p = np.maximum(fu - fl, 1e-9)
+    dl, du = fl * (1 - fl) / p, fu * (1 - fu) / p  # of log p to -lower and to upper
+    g_t = np.array([(-(dl * (grade == k))).sum() + (du * (grade == k - 1)).sum() for k in range(1, top + 1)])
+    g_gaps = np.array([g_t[k:].sum() * np.exp(log_gaps[k - 1]) for k in range(1, top)])
+    return np.concatenate([np.bincount(at, value * (dl - du)[row], places) / n, [g_t.sum() / n], g_gaps / n])
 
 
 def fit(docs: DataFrame, grades: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", fit_rows: int = 6000, places: int = PLACES) -> Model | None:

@@ -564,6 +564,46 @@ def test_kept_documents_are_good_and_not_toxic(spark, tmp_path):
     assert got == {i: i % 3 == 0 for i in range(180)}
 
 
+def test_gradient_equals_differences_of_the_likelihood():
+    np = quality_model.np
+    rnd = np.random.default_rng(1)
+    places, n, top = 12, 40, 3
+    row = np.repeat(np.arange(n), 4)
+    at, value, grade = rnd.integers(0, places, len(row)), rnd.random(len(row)), rnd.integers(0, top + 1, n)
+    params = np.concatenate([rnd.normal(size=places), [-0.5], rnd.normal(size=top - 1)])
+
+    def likelihood(p):
+        latent = np.bincount(row, p[at] * value, n)
+        upto = lambda t: 1 / (1 + np.exp(-(t - latent)))
+        edge = [np.zeros(n), *map(upto, quality_model.thresholds(p, places)), np.ones(n)]
+        return np.log(np.choose(grade + 1, edge) - np.choose(grade, edge)).mean()
+
+    step = np.eye(len(params)) * 1e-6
+    expected = [(likelihood(params + s) - likelihood(params - s)) / 2e-6 for s in step]
+    assert quality_model.gradient(params, at, value, row, grade, places, top) == pytest.approx(expected, abs=1e-6)
+
+
+def test_grades_equal_a_plain_version(spark):
+    kinds = ["fine clear sound useful".split(), "fine clear rude nasty".split(), "### *** $$$ %%%".split()]
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(kinds[i % 3]) for _ in range(rnd.randint(1, 40))) for i in range(150)] + [None, "", " "]
+    docs = frame(spark, texts)
+    model = quality_model.fit(docs, docs.select("doc_id", (2 - F.col("doc_id") % 3).cast("int").alias("grade")))
+    place = lambda t: zlib.crc32(t.encode()) % quality_model.PLACES
+    classes = lambda w: "".join("a" if c.islower() else "A" if c.isupper() else "l" if c.isalpha() else "0" if c.isdigit() else c for c in w)
+    for r in quality_model.graded(docs, model).collect():
+        words_, latent = (texts[r.doc_id] or "").split(), 0.0
+        tally = collections.Counter(words_)
+        norm = sum(quality_model.np.log1p(n) ** 2 for n in tally.values()) ** 0.5
+        for w, n in tally.items():
+            damped = quality_model.np.log1p(n) / norm
+            latent += damped * model.weights[place("w:" + w.strip(".,;:!?"))] + damped * model.weights[place("b:" + w[:4])]
+            latent += n / len(words_) * model.weights[place("s:" + "".join(k for k, _ in itertools.groupby(classes(w))))]
+        if words_:
+            latent += sum(a == b for a, b in itertools.pairwise(words_)) / len(words_) * model.weights[place("repeat")] + 0.2 * model.weights[place("bias")]
+        assert r.tails == pytest.approx([1 / (1 + quality_model.np.exp(t - latent)) for t in model.thresholds], abs=1e-4)
+
+
 def test_shapes_are_of_whole_words():
     shape = quality_model.Features.shape
     assert shape("Ered***") == "Aa*" and shape("x" * 70) == "a" and shape("漢字" * 40 + "É9#!" * 2) == "lA0#!A0#!"
