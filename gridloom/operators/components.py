@@ -55,9 +55,10 @@ def components(edges: DataFrame) -> DataFrame:
     no rows. Each round moves every node to the smallest neighbour of its neighbours (pointer jumping), so the number of
     rounds grows with the logarithm of the longest chain.
     """
-    clean = written(edges.where("u is not null and v is not null").select("u", "v").distinct())
+    clean = written(edges.where("u is not null and v is not null").select("u", "v"))
     loose = clean.where("u = v").select(F.col("u").alias("node")).distinct()
-    star = written(contract(clean.where("u != v")))
+    # partitions are contracted as they come: edges that are dealt by place are mostly settled here
+    star = written(contract(clean.where("u != v")).distinct())
     while True:
         # large star: every neighbour of a node that is above it, and the node, go to the smallest of them
         both = star.select("u", "v").unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -15,12 +15,14 @@ from gridloom.sources.tables import written
 def labelled(nodes: DataFrame, keys: list[str], node: str, neighbours: Callable[[Column], Column]) -> DataFrame:
     """nodes with `label`, the smallest node that can be reached inside the same keys.
 
-    Nodes get numbers, neighbours inside the keys become edges, and the components of those give the labels.
+    Nodes get numbers in the order of their place, neighbours inside the keys become edges, and the components of those give
+    the labels. Edges are dealt by ranges of numbers, so that regions are put together inside partitions first and only what
+    crosses their borders is left to the rounds.
     """
-    base = written(nodes.select(*keys, node).distinct().withColumn("number", F.monotonically_increasing_id()))
+    base = written(nodes.select(*keys, node).distinct().repartitionByRange(*keys, node).sortWithinPartitions(*keys, node).withColumn("number", F.monotonically_increasing_id()))
     near = base.select(*keys, F.col("number").alias("u"), F.explode(neighbours(F.col(node))).alias("near")).where("near is not null")
     edges = near.join(base.withColumnsRenamed({node: "near", "number": "v"}), [*keys, "near"]).where("u > v").select("u", "v")
-    linked = components(edges).withColumnRenamed("node", "number")
+    linked = components(edges.repartitionByRange("u")).withColumnRenamed("node", "number")
     rooted = base.join(linked, "number", "left").withColumn("root", F.coalesce("root", "number"))
     least = rooted.groupBy("root").agg(F.min(node).alias("label"))
     return nodes.join(rooted.join(least, "root").select(*keys, node, "label"), [*keys, node])
