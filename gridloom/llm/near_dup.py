@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import slices, written
+from gridloom.llm.base import discard, slices, written
 from gridloom.llm.components import components, roots
 
 U = np.uint64
@@ -325,6 +325,7 @@ def verified_links(candidates: DataFrame, texts: DataFrame, width: int, percent:
     first = found.where("u IS NOT NULL").select("u", "v")
     prefixes = found.where("doc_id IS NOT NULL").select("doc_id", "rare", "rest", "size")
     if prefixes.isEmpty():
+        discard(texts, dealt)
         return first
     # of each component that was cut, the parts that are still apart
     reached = components(first)
@@ -333,7 +334,9 @@ def verified_links(candidates: DataFrame, texts: DataFrame, width: int, percent:
     torn = written(parts.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("root"))
     parts = parts.join(torn, "root", "left_semi")
     near = written(prefix_groups(prefixes, parts, percent))
-    return first.unionByName(written(crossed(near, texts, width, percent)))
+    second = written(crossed(near, texts, width, percent))
+    discard(texts, dealt, near)  # the links alone are read from now on
+    return first.unionByName(second)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import slices, written
+from gridloom.llm.base import discard, slices, written
 from gridloom.llm.near_dup import U, mixed
 
 GRAM = 8
@@ -256,6 +256,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     across = edges.repartition(1).sortWithinPartitions("side", *order).mapInArrow(meet, SPAN)
     stretches = cuts.where("windows is not null").select("doc_id", "row", "first", "windows", F.xxhash64("windows").alias("stretch"))
     spans = both.where("side is null").drop("side", *[f"e_{c}" for c in SUFFIX]).unionByName(across).unionByName(settled(stretches, least, within)).distinct()
+    spans = written(spans)
+    discard(cuts, both)  # suffixes and their contexts: the spans alone are read from now on
     # merge the spans of a text that touch or overlap
     by = Window.partitionBy("doc_id", "row").orderBy("start", "stop")
     reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
