@@ -130,6 +130,42 @@ def test_jpeg_round_trip_and_features_agree():
         assert rgb.shape == (jpeg.height, jpeg.width, 3) and media.features(rgb)[:2] == [jpeg.height, jpeg.width]
 
 
+def rgb_plain(jpeg):
+    """The pixels of a JPEG's coefficients by the transform's definition, one sample after the other."""
+    import math
+
+    zigzag = [x for s in range(15) for x in sorted(((i, s - i) for i in range(8) if 0 <= s - i < 8), reverse=s % 2 == 0)]
+    c = lambda k: math.sqrt(0.5) if k == 0 else 1.0
+    planes = []
+    for coef, q, (h, v) in zip(jpeg.coefs, jpeg.uses, jpeg.sampling, strict=True):
+        def sample(y, x, coef=coef, q=q, h=h, v=v):
+            y, x = y * v // jpeg.most[1], x * h // jpeg.most[0]
+            block, total = coef[y // 8, x // 8], 0.0
+            for k, (row, col) in enumerate(zigzag):
+                if block[k]:
+                    total += c(row) * c(col) / 4 * block[k] * jpeg.quant[q][k] * math.cos((2 * (y % 8) + 1) * row * math.pi / 16) * math.cos((2 * (x % 8) + 1) * col * math.pi / 16)
+            return min(255, max(0, math.floor(total + 0.5) + 128))
+
+        planes.append(sample)
+    out = {}
+    for y in range(jpeg.height):
+        for x in range(jpeg.width):
+            luma, cb, cr = planes[0](y, x), planes[1](y, x) - 128, planes[2](y, x) - 128
+            out[y, x] = (luma + 1.402 * cr, luma - 0.344136 * cb - 0.714136 * cr, luma + 1.772 * cb)
+    return out
+
+
+def test_jpeg_pixels_equal_a_plain_transform():
+    jpeg = media.Jpeg(media.write_jpeg(media.payload_of(prose(4, 60))))
+    rgb = jpeg.rgb()
+    expected = rgb_plain(jpeg)
+    assert rgb.shape == (jpeg.height, jpeg.width, 3)
+    # coefficients of a payload are all large: the whole-number transform may differ by a step or two
+    off = [abs(int(rgb[at][k]) - min(255, max(0, v))) for at, pixel in expected.items() for k, v in enumerate(pixel)]
+    assert max(off) <= 3 and sum(off) / len(off) < 1
+    assert media.features(rgb)[2:5] == [int(rgb[:, :, k].sum()) for k in range(3)]
+
+
 def test_jpeg_general_scans():
     """Runs of zeros, ends of blocks over several blocks, and new values in a refining scan, written by hand."""
     head = media.HEAD + media._segment(0xC2, b"\x08\x00\x08\x00\x10\x01\x01\x11\x00")
