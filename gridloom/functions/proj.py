@@ -104,19 +104,25 @@ def lonlat_fits(tiles: DataFrame, degree: int = 3, samples: int = 12, check: int
     a denser grid; a tile whose error is over the tolerance fails the job, so that no scene is shifted unseen."""
     schema = "tile bigint, cx double, cy double, sx double, sy double, lon array<double>, lat array<double>, error_mm double"
 
+    sides = {"sample": samples, "test": check}
+
     def grid_of(n: int) -> Column:
         line = F.sequence(F.lit(0), F.lit(n - 1))
         at = lambda i: i * 2 / float(n - 1) - 1
         return F.flatten(F.transform(line, lambda i: F.transform(line, lambda j: F.struct(at(i).alias("u"), at(j).alias("v")))))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        design = {}
+        for side, n in sides.items():
+            u, v = (x.ravel() for x in np.meshgrid(*[np.arange(n) * 2 / (n - 1) - 1] * 2, indexing="ij"))
+            design[side] = np.stack([u**i * v**j for i, j in powers(degree)], axis=1)
+        solve = np.linalg.pinv(design["sample"])
         for frame in batches:
             rows = []
             for r in frame.itertuples(index=False):
-                sample, test = ({k: np.array([p[k] for p in side]) for k in ("u", "v", "lon", "lat")} for side in (r.sample, r.test))
-                design = lambda p: np.stack([p["u"] ** i * p["v"] ** j for i, j in powers(degree)], axis=1)
-                lon, lat = (np.linalg.lstsq(design(sample), sample[k], rcond=None)[0] for k in ("lon", "lat"))
-                off = np.hypot(design(test) @ lat - test["lat"], (design(test) @ lon - test["lon"]) * np.cos(np.radians(test["lat"])))
+                lon, lat = solve @ np.array(r.sample_lon), solve @ np.array(r.sample_lat)
+                true_lon, true_lat = np.array(r.test_lon), np.array(r.test_lat)
+                off = np.hypot(design["test"] @ lat - true_lat, (design["test"] @ lon - true_lon) * np.cos(np.radians(true_lat)))
                 error = float(off.max() * 111_320_000)
                 if not error <= tolerance_mm:
                     raise ValueError(f"the fit of tile {r.tile} is off by {error:.3f} mm")
@@ -128,10 +134,12 @@ def lonlat_fits(tiles: DataFrame, degree: int = 3, samples: int = 12, check: int
 
     def true(p: Column) -> Column:
         lon, lat = albers_inverse(F.col("cx") + p["u"] * F.col("sx"), F.col("cy") + p["v"] * F.col("sy"))
-        return F.struct(p["u"].alias("u"), p["v"].alias("v"), lon.alias("lon"), lat.alias("lat"))
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
 
-    known = placed.select("*", F.transform(grid_of(samples), true).alias("sample"), F.transform(grid_of(check), true).alias("test"))
-    return known.mapInPandas(fit, schema)
+    known = placed.withColumns({side: F.transform(grid_of(n), true) for side, n in sides.items()})
+    part = lambda c: lambda p: p[c]
+    flat = {f"{side}_{c}": F.transform(side, part(c)) for side in sides for c in ("lon", "lat")}
+    return known.withColumns(flat).drop(*sides).mapInPandas(fit, schema)
 
 
 def lonlat(x: Column, y: Column, fit: str = "fit", degree: int = 3) -> Column:

@@ -232,13 +232,13 @@ def _(v: Views) -> DataFrame:
 
 @query("p6_f4_tile_fits", "SELECT DISTINCT y, x, round(lon, 6) AS lon, round(lat, 6) AS lat FROM px", "px")
 def _(v: Views) -> DataFrame:
-    """Pixels in metres get their degrees by the fit of their tile of 40 km; the fits are a table of coefficients."""
+    """Pixels in metres get their degrees by the fit of their tile of 200 km; the fits are a table of coefficients."""
     ax, ay = proj.albers(F.col("lon"), F.col("lat"))
     at = v.px.select("y", "x", ax.alias("ax"), ay.alias("ay")).distinct()
-    at = at.withColumns({"i": F.floor(F.col("ax") / 4e4), "j": F.floor(F.col("ay") / 4e4)}).withColumn("tile", F.col("i") * 10_000 + F.col("j"))
-    tiles = at.select("tile", (F.col("i") * 4e4).alias("w"), (F.col("j") * 4e4).alias("s"), ((F.col("i") + 1) * 4e4).alias("e"), ((F.col("j") + 1) * 4e4).alias("n")).distinct()
-    fits = proj.lonlat_fits(tiles, degree=4).select("tile", F.struct("cx", "cy", "sx", "sy", "lon", "lat").alias("fit"))
-    place = at.join(fits, "tile").select("y", "x", proj.lonlat(F.col("ax"), F.col("ay"), degree=4).alias("p"))
+    at = at.withColumns({"i": F.floor(F.col("ax") / 2e5), "j": F.floor(F.col("ay") / 2e5)}).withColumn("tile", F.col("i") * 10_000 + F.col("j"))
+    tiles = at.select("tile", (F.col("i") * 2e5).alias("w"), (F.col("j") * 2e5).alias("s"), ((F.col("i") + 1) * 2e5).alias("e"), ((F.col("j") + 1) * 2e5).alias("n")).distinct()
+    fits = proj.lonlat_fits(tiles, degree=6).select("tile", F.struct("cx", "cy", "sx", "sy", "lon", "lat").alias("fit"))
+    place = at.join(fits, "tile").select("y", "x", proj.lonlat(F.col("ax"), F.col("ay"), degree=6).alias("p"))
     return place.select("y", "x", r("p.lon", 6).alias("lon"), r("p.lat", 6).alias("lat"))
 
 
