@@ -7,7 +7,8 @@ octave), then of a hash, start at one random offset, and the document is taken o
 cross. Neighbours in that order are of like size, so what a source gives comes near its target.
 
 The prefix sums take two levels, as no source may go through one task: rows are counted in cells of a size step and a
-hash range (about the square root of the step's rows in each), cells are summed within a source, rows within a cell.
+hash range (about the square root of the step's rows in each), cells are summed within a source, rows within a cell. Ranks
+and the join with the sums share one dealing of the rows, by a source's name that is never null.
 
 Null texts have size 0; so do blank ones. Null ids and repeated rows are rows like others: a row's place is a hash of its id
 and its text, so rows of one id (or of none) lie apart, and rows that are alike in both share the copies that fall to them.
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import apart, join_null_safe, words, written
+from gridloom.llm.base import apart, words, written
 
 WEIGHTS = (5, 2, 1)
 #: Documents with fewer rows in a size step than this many squared have a single cell there.
@@ -69,18 +70,19 @@ def systematic_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "so
     bits = F.length(F.bin("size"))
     step = F.when(F.col("size") < 16, F.col("size")).otherwise(bits * 16 + F.call_function("shiftrightunsigned", F.col("size"), bits - 5) % 16)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), key.alias("key"), *carried)
-    rows = written(rows.withColumn("step", step.cast("int")))
-    targets = source_targets(rows, weights, percent, most)
-    cells = rows.groupBy("source", "step").agg(F.ceil(F.sqrt(F.count(F.lit(1))) / SPREAD).cast("long").alias("cells"))
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias("name")
+    rows = written(rows.withColumns({"step": step.cast("int"), "name": named("source")}))
+    targets = source_targets(rows, weights, percent, most).select("source_size", "target", named("source"))
+    cells = rows.groupBy("name", "step").agg(F.ceil(F.sqrt(F.count(F.lit(1))) / SPREAD).cast("long").alias("cells"))
     place = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("cells") / F.lit(float(1 << 32))).cast("int")
-    placed = join_null_safe(rows, cells, ["source", "step"]).withColumn("cell", place).drop("cells")
-    counts = placed.groupBy("source", "step", "cell").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("source").orderBy("step", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("source", "step", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    starts = join_null_safe(starts, targets, ["source"])
-    within = Window.partitionBy("source", "step", "cell").orderBy("key", "doc_id", "size", *([F.xxhash64("carried")] if carry else []))
+    placed = rows.join(cells, ["name", "step"]).withColumn("cell", place).drop("cells")
+    counts = placed.groupBy("name", "step", "cell").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("name").orderBy("step", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("name", "step", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = starts.join(targets, "name")
+    within = Window.partitionBy("name", "step", "cell").orderBy("key", "doc_id", "size", *([F.xxhash64("carried")] if carry else []))
     ranked = placed.withColumn("rank", F.row_number().over(within))
-    joined = join_null_safe(ranked, starts, ["source", "step", "cell"])
+    joined = ranked.join(starts, ["name", "step", "cell"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce("source", F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     upto = lambda n: F.floor(n * F.col("rate") + F.col("offset"))
