@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 #: Frames of a cell that are folded as one array.
-BLOCK = 256
+BLOCK = 64
 
 
 def sustained(frames: DataFrame, half_life: float | Column = 24.0, threshold: float | Column = 27.0, flush: float | Column = 0.0, include_first: bool = False, nan: str = "decay", by: tuple[str, ...] = ("cell",)) -> DataFrame:
