@@ -339,15 +339,29 @@ def verified_links(candidates: DataFrame, texts: DataFrame, width: int, percent:
     return first.unionByName(second)
 
 
+def equal_sets(rows: DataFrame) -> DataFrame:
+    """(doc_id, rep) of rows (doc_id, fingerprint): every document belongs to the class of its set, named by its smallest id; an id
+    with several sets has a row for each, which ties their classes together."""
+    # a table of its own, so that the join below is free to split a fingerprint that many rows share
+    classes = written(rows.where("fingerprint is not null and doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep")))
+    owned = rows.where("doc_id is not null").join(classes, "fingerprint", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    return written(owned.distinct())
+
+
+def grouped(rows: DataFrame, owned: DataFrame, found: DataFrame) -> DataFrame:
+    """Each of rows (doc_id, n_shingles) with component_id and kept, of the links (u, v) found and the classes of equal sets."""
+    ties = owned.where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    groups = components(found.unionByName(ties))
+    named = rows.select("doc_id", "n_shingles").join(groups.select(F.col("node").alias("doc_id"), F.col("root").alias("found")), "doc_id", "left")
+    component = F.coalesce("found", "doc_id")
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id (the smallest id of its group), kept (it is that one)."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows_ = written(sketched(docs, width, bands, rows))
-    # a table of its own, so that the join below is free to split a fingerprint that many rows share
-    classes = written(rows_.where("fingerprint is not null and doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep")))
-    # every document belongs to the class of its set; an id with several sets ties their classes together
-    owned = rows_.where("doc_id is not null").join(classes, "fingerprint", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    owned = written(owned.distinct())
+    owned = equal_sets(rows_)
     sets = rows_.where("fingerprint is not null and doc_id is not null").join(owned.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
     member = sets.select("doc_id", F.explode("keys").alias("key"))
     buckets = member.groupBy("key").agg(F.min("doc_id").alias("top"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("top < last").select("key", "top", "n")
@@ -357,8 +371,4 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     linked = components(near.select(F.col("doc_id").alias("u"), F.explode("tops").alias("v")))
     candidates = written(linked.join(near.select(F.col("doc_id").alias("node"), "degree"), "node"))
     found = verified_links(candidates, docs, width, percent)
-    ties = owned.where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    groups = components(found.unionByName(ties))
-    named = rows_.select("doc_id", "n_shingles").join(groups.select(F.col("node").alias("doc_id"), F.col("root").alias("found")), "doc_id", "left")
-    component = F.coalesce("found", "doc_id")
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return grouped(rows_, owned, found)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe_codec, lang_id, media, mixing, near_dup, pii, quality_model, quality_rules, repeats, token_counts
+from gridloom.llm import bpe_codec, count_tree, lang_id, manifest, media, mixing, near_dup, pii, prefix_trie, quality_model, quality_rules, repeats, token_counts
 from gridloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,23 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tree.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*manifest.FIELDS)
+    *others, text = map(F.col, manifest.FIELDS)
+    other = manifest.digest(*others, manifest.tampered(text, F.col("doc_id")))
+    listed = manifest.manifest(docs, manifest.digest(*others, text), carry={"other": other})
+    ended = listed.withColumns({"proof_sha256": manifest.proof_digest(F.col("proof")), "folded_root": manifest.folded(F.col("other"), F.col("proof"))})
+    return ended.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_lang_id": op1_lang_id,
@@ -108,6 +125,9 @@ def queries() -> dict[str, Query]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_quality_rules": op9_quality_rules,
         "op10_near_dup": op10_near_dup,
+        "op11_jaccard_join": op11_jaccard_join,
+        "op12_manifest": op12_manifest,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -115,4 +135,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_mixing": mixing.ORACLE_SQL,
         "op9_quality_rules": quality_rules.ORACLE_SQL,
+        "op12_manifest": manifest.ORACLE_SQL,
     }

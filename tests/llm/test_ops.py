@@ -183,13 +183,13 @@ def test_jpeg_general_scans():
         media.Jpeg(b"GIF89a")
 
 
-def near_plain(rows, percent=85):
+def near_plain(rows, percent=85, width=5):
     sets = {}
     for d, t in rows:
         w = WORD.findall((t or "").translate(LOWER))
         sets.setdefault(d, set())
         if w:
-            sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+            sets[d] = {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
     parent = {d: d for d in sets}
 
     def top(x):
