@@ -62,6 +62,36 @@ def _crossings(points: Column, x: Column, y: Column) -> Column:
     return _over_edges(points, hit)
 
 
+def edges_of(points: Column) -> Column:
+    """A ring's edges as an array of (ax, ay, bx, by)."""
+    after = F.concat(F.slice(points, 2, F.size(points)), F.slice(points, 1, 1))
+    return F.zip_with(points, after, lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+
+
+def edges_beside(edges: Column, w: Column, s: Column, n: Column) -> Column:
+    """The edges that decide for the places of a box (its west, south and north) whether they are inside: those of its rows that do
+    not lie west of it."""
+    return F.filter(edges, lambda g: (F.greatest(g["ay"], g["by"]) >= s) & (F.least(g["ay"], g["by"]) <= n) & (F.greatest(g["ax"], g["bx"]) >= w))
+
+
+def edges_contain(edges: Column, x: Column, y: Column) -> Column:
+    """`contains` for a ring's edges, or for those of `edges_beside` and a place of that box."""
+    hit = lambda g: ((g["ay"] > y) != (g["by"] > y)) & (x < (g["bx"] - g["ax"]) * (y - g["ay"]) / (g["by"] - g["ay"]) + g["ax"])
+    return F.size(F.filter(edges, hit)) % 2 == 1
+
+
+def edges_cross(edges: Column, w: Column, s: Column, e: Column, n: Column) -> Column:
+    """Whether any edge meets a box: it overlaps it, and not all corners lie on one side of it."""
+
+    def meets(g: Column) -> Column:
+        side = lambda x, y: (g["bx"] - g["ax"]) * (y - g["ay"]) - (g["by"] - g["ay"]) * (x - g["ax"])
+        corners = [side(w, s), side(w, n), side(e, s), side(e, n)]
+        over = (F.greatest(g["ax"], g["bx"]) >= w) & (F.least(g["ax"], g["bx"]) <= e) & (F.greatest(g["ay"], g["by"]) >= s) & (F.least(g["ay"], g["by"]) <= n)
+        return over & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
+
+    return F.exists(edges, meets)
+
+
 def contains_even_odd(rings: Column, x: Column, y: Column) -> Column:
     """Whether a place is inside a polygon with holes: an array of rings, counted together."""
     return F.aggregate(rings, F.lit(0.0), lambda t, r: t + _crossings(r, x, y)) % 2 == 1

@@ -65,6 +65,19 @@ def moved(c: Column, dcol: int | Column, drow: int | Column) -> Column:
     return F.when((row >= 0) & (row < rows), made(level_of(c), row, F.pmod(col_of(c) + dcol, rows * 2)))
 
 
+def neighbours(c: Column) -> Column:
+    """Array of the cells over a cell's edges; beyond a pole there is none."""
+    return F.array_compact(F.array(*[moved(c, *EDGES[d]) for d in EDGES]))
+
+
+def rectangle(level: Column, row: Column, col: Column) -> tuple[Column, Column, Column, Column]:
+    """(w, s, e, n) of a place of the grid in degrees; columns beyond the date line go on."""
+    rows = F.pow(F.lit(2.0), level)
+    lat = lambda r: F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r / rows * 2 - 1))))
+    lon = lambda c: c / (rows * 2) * 360 - 180
+    return lon(col), lat(row), lon(col + 1), lat(row + 1)
+
+
 def disk(c: Column, k: int) -> Column:
     """The cells within k edge steps, the cell itself included, as an array."""
     steps = [(x, y) for x in range(-k, k + 1) for y in range(-k, k + 1) if abs(x) + abs(y) <= k]

@@ -177,3 +177,34 @@ def leaf_season(lat: Column) -> tuple[Column, Column]:
 def leaf_on(date: Column, lat: Column) -> Column:
     first, last = leaf_season(lat)
     return F.dayofyear(date).between(first, last)
+
+
+# --- doubles as whole numbers of the same order
+
+#: 2 to the power 52, the bits of a mantissa; the exponent of the smallest normal number, and the bias of exponents.
+MANTISSA, SMALLEST, BIAS = 1 << 52, -1022, 1023
+
+
+def ordered_code(v: Column) -> Column:
+    """A double as a whole number in the same order: the bits of its size, below 0 for negative values. Both zeros are 0.
+
+    The exponent is that of the base-2 logarithm, set right by one where rounding has carried it over a power of two; powers of two
+    and divisions by them are exact."""
+    size = F.abs(v)
+    finite = F.when((size > 0) & (size < float("inf")), size).otherwise(1.0)
+    about = F.greatest(F.lit(SMALLEST), F.least(F.lit(1023), F.floor(F.log2(finite)).cast("int")))
+    scaled = finite / F.pow(F.lit(2.0), about)
+    exponent = F.when(scaled >= 2, about + 1).when((scaled < 1) & (about > SMALLEST), about - 1).otherwise(about)
+    share = F.when(scaled >= 2, scaled / 2).when((scaled < 1) & (about > SMALLEST), scaled * 2).otherwise(scaled)
+    normal = (exponent.cast("long") + BIAS) * F.lit(MANTISSA) + ((share - 1) * float(MANTISSA)).cast("long")
+    below = (share * float(MANTISSA)).cast("long")  # denormal: no leading one
+    bits = F.when(size == 0, F.lit(0).cast("long")).when(size == float("inf"), F.lit((2 * BIAS + 1) * MANTISSA)).when(share < 1, below).otherwise(normal)
+    return F.when(v < 0, -bits).otherwise(bits)
+
+
+def coded_value(code: Column) -> Column:
+    """The double of an ordered code."""
+    bits = F.abs(code)
+    exponent, mantissa = F.shiftright(bits, 52), (bits % MANTISSA) / float(MANTISSA)
+    size = F.when(exponent == 0, mantissa * 2.0**SMALLEST).when(exponent > 2 * BIAS, float("inf")).otherwise((1 + mantissa) * F.pow(F.lit(2.0), exponent - BIAS))
+    return F.when(code < 0, -size).otherwise(size)

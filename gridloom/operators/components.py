@@ -15,33 +15,55 @@ from pyspark.sql import functions as F
 from gridloom.sources.tables import discard, written
 
 
+#: Edges of a partition that wait before they are put together with what it holds.
+WAITING = 1 << 18
+
+
 def roots(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union-find over parallel arrays of node ids: the distinct nodes and the smallest node that each can reach."""
+    """Union-find over parallel arrays of node ids: the distinct nodes and the smallest node that each can reach.
+
+    All edges at once: the larger root of each edge is hung below the smallest root that it meets, paths are halved until every
+    node points to a root, and edges inside one tree are dropped. Each round leaves a part of the edges."""
     nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
-    a, b = at[: len(src)].tolist(), at[len(src) :].tolist()
-    parent = list(range(len(nodes)))
-    for x, y in zip(a, b, strict=True):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        while parent[y] != y:
-            parent[y] = y = parent[parent[y]]
-        if x < y:
-            parent[y] = x
-        elif y < x:
-            parent[x] = y
-    for i, p in enumerate(parent):  # a parent is never larger than its child, so one pass is enough
-        parent[i] = parent[p]
-    return nodes, nodes[np.array(parent, np.int64)] if len(nodes) else nodes
+    parent = np.arange(len(nodes))
+    a, b = at[: len(src)], at[len(src) :]
+    while len(a):
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(parent, high, low)
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+        a, b = parent[a], parent[b]
+        open_ = a != b
+        a, b = a[open_], b[open_]
+    return nodes, nodes[parent]
 
 
 def contract(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) of which each partition keeps a spanning star of what it holds, u > v."""
+    """Edges (u, v) of which each partition keeps a spanning star of what it holds, u > v.
+
+    Batches wait until they are as many edges as the star so far, so that each edge is gone through a few times, not once for
+    every later batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v = np.empty(0, np.int64), np.empty(0, np.int64)
+        waiting: list[pa.RecordBatch] = []
+        count = 0
+
+        def united() -> tuple[np.ndarray, np.ndarray]:
+            nodes, root = roots(np.concatenate([u, *(b.column(0).to_numpy() for b in waiting)]), np.concatenate([v, *(b.column(1).to_numpy() for b in waiting)]))
+            return nodes[nodes != root], root[nodes != root]
+
         for batch in batches:
-            nodes, root = roots(np.concatenate([u, batch.column(0).to_numpy()]), np.concatenate([v, batch.column(1).to_numpy()]))
-            u, v = nodes[nodes != root], root[nodes != root]
+            waiting.append(batch)
+            count += batch.num_rows
+            if count >= max(WAITING, len(u)):
+                u, v = united()
+                waiting, count = [], 0
+        if waiting:
+            u, v = united()
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 

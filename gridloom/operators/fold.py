@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import grid
-from gridloom.functions.scalars import above_floor, present
+from gridloom.functions.scalars import above_floor, coded_value, ordered_code, present
 from gridloom.sources.tables import discard, join_null_safe, written
 
 
@@ -94,36 +94,74 @@ def union_tiles(tiles: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), alike)
 
 
-#: Bins of one round of a search for a rank; rows of a search that may be sent to every task.
-BINS, SENT = 1024, 10_000
+#: Rows of a search for ranks that may be sent to every task.
+SENT = 10_000
+#: Bits of the digits by which ranks are looked for, and how far they stand from the right.
+DIGIT, SHIFTS = 16, (48, 32, 16, 0)
+
+
+def radix_counts(df: DataFrame, keys: Iterable[str], value: str) -> DataFrame:
+    """(keys, digit, n, low, high): how many present values have each leading digit of their ordered code, and the least and the
+    greatest such code. Counts of tiles merge by `merged_counts`: 65536 digits for each of the keys at most, however many rows."""
+    coded = df.where(present(F.col(value))).select(*keys, ordered_code(F.col(value).cast("double")).alias("code"))
+    return _counted(coded, list(keys))
+
+
+def merged_counts(parts: DataFrame, keys: Iterable[str]) -> DataFrame:
+    return parts.groupBy(*keys, "digit").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _counted(coded: DataFrame, by: list[str], shift: int = SHIFTS[0]) -> DataFrame:
+    return coded.groupBy(*by, F.shiftright("code", shift).alias("digit")).agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("low"), F.max("code").alias("high"))
+
+
+def between_values(low: Column, high: Column, part: Column) -> Column:
+    """The straight line from one value to another: no sum of it overflows, and nothing is drawn towards an infinite end where the
+    rank is a value's own."""
+    span = high - low
+    infinite = F.abs(span) == float("inf")
+    return F.when((low == high) | (part == 0), low).when(infinite, low * (1 - part) + high * part).otherwise(low + span * part)
 
 
 def quantiles_by(df: DataFrame, keys: Iterable[str], value: str, ps: dict[str, float]) -> DataFrame:
     """(keys, a column for each of ps): exact quantiles of the present values, between ranks as a straight line.
 
-    No task holds a group's values: counts in bins of the range that holds a rank narrow it down, until a bin holds one value.
-    A round divides the range by the number of bins; a few are enough for doubles."""
+    No task holds a group's values. Values are coded as whole numbers of the same order, and a table of codes is written once. A
+    pass counts the 16-bit digits below a prefix that holds a wanted rank and so lengthens it: four passes at most for any
+    doubles, fewer where a digit holds one value. Infinities are values like others (between a finite value and an infinite
+    one lies infinity, between both infinities NaN); -0.0 counts as 0.0."""
     keys = list(keys)
-    base = df.where(present(F.col(value))).select(*keys, F.col(value).cast("double").alias("v"), F.lit(0).alias("one"))
-    spread = base.groupBy("one", *keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    base = written(df.where(present(F.col(value))).select(F.lit(0).alias("one"), *keys, ordered_code(F.col(value).cast("double")).alias("code")))
+    by = ["one", *keys]
+    counts = written(_counted(base, by))
     at = lambda p: (F.col("n") - 1) * F.lit(p)
     ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), f(at(p)).cast("long").alias("rank"), (at(p) - F.floor(at(p))).alias("part")) for name, p in ps.items() for side, f in (("low", F.floor), ("high", F.ceil))])
-    state = written(spread.select("one", *keys, F.explode(ranks).alias("r"), "low", "high", F.lit(0).cast("long").alias("before")).select("one", *keys, "r.*", "low", "high", "before"))
-    small = F.broadcast if state.count() <= SENT else lambda d: d
-    named = ["one", *keys, "name", "side", "rank", "part"]
-    while not state.where("low < high").isEmpty():
-        wanted = state.where("low < high").select(*named, "low", "high", "before")
-        met = join_null_safe(base, small(wanted), ["one", *keys]).where("v >= low AND v <= high")
-        place = F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BINS))
-        binned = met.groupBy(*named, "before", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-        upto = F.col("before") + F.sum("n").over(Window.partitionBy(*named).orderBy("bin"))
-        held = binned.withColumn("upto", upto).where("upto > rank AND upto - n <= rank").select(*named, "low", "high", (F.col("upto") - F.col("n")).alias("before"))
-        last, state = state, written(state.where("low = high").unionByName(held))
-        discard(last)
-    side = lambda name, s: F.max(F.when((F.col("name") == name) & (F.col("side") == s), F.col("low")))
+    sizes = counts.groupBy(*by).agg(F.sum("n").alias("n"))
+    wanted = sizes.select(*by, F.explode(ranks).alias("r")).select(*by, "r.*", F.lit(0).cast("long").alias("before"))
+    named = [*by, "name", "side", "rank", "part"]
+    found: DataFrame | None = None
+    tables, prefix = [base, counts], []
+    for shift in SHIFTS:
+        if prefix:
+            asked = wanted.select(*by, "prefix").distinct()
+            small = F.broadcast(asked) if asked.count() <= SENT else asked
+            met = join_null_safe(base.withColumn("prefix", F.shiftright("code", shift + DIGIT)), small, [*by, "prefix"])
+            counts = _counted(met, [*by, "prefix"], shift)
+        upto = F.sum("n").over(Window.partitionBy(*by, *prefix).orderBy("digit"))
+        placed = counts.withColumn("upto", upto)
+        hit = join_null_safe(placed, wanted, [*by, *prefix]).where("before + upto > rank AND before + upto - n <= rank")
+        state = written(hit.select(*named, "low", "high", F.col("digit").alias("prefix"), (F.col("before") + F.col("upto") - F.col("n")).alias("before")))
+        tables.append(state)
+        done = state.where("low = high").select(*named, F.col("low").alias("code"))
+        found = done if found is None else found.unionByName(done)
+        wanted, prefix = state.where("low < high").select(*named, "prefix", "before"), ["prefix"]
+        if wanted.isEmpty():
+            break
+    end = written(found)
+    discard(*tables)
+    side = lambda name, s: F.max(F.when((F.col("name") == name) & (F.col("side") == s), coded_value(F.col("code"))))
     part = lambda name: F.max(F.when(F.col("name") == name, F.col("part")))
-    found = [(side(name, "low") + (side(name, "high") - side(name, "low")) * part(name)).alias(name) for name in ps]
-    return state.groupBy("one", *keys).agg(*found).drop("one")
+    return end.groupBy(*by).agg(*[between_values(side(name, "low"), side(name, "high"), part(name)).alias(name) for name in ps]).drop("one")
 
 
 def quantiles(df: DataFrame, value: str, ps: Iterable[float]) -> DataFrame:

@@ -8,30 +8,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Frames of a cell that are folded as one array.
+#: Frames of a cell that are folded as one array, and blocks that are folded as one array.
 BLOCK = 64
 
 
-def sustained(frames: DataFrame, half_life: float | Column = 24.0, threshold: float | Column = 27.0, flush: float | Column = 0.0, include_first: bool = False, nan: str = "decay", by: tuple[str, ...] = ("cell",)) -> DataFrame:
-    """(by, f, load) of frames (by, f, hi, mm): L = a L' + (1 - a) max(0, hi - threshold), cut by rain.
-
-    A missing index decays the load or holds it. The first frame begins at 0 unless `include_first`. Each frame is a linear
-    function of the load before it: the functions of a block of frames are put together in one array, the loads at the blocks'
-    first frames are folded over a cell's blocks, and every load follows from that of its block. So no array holds a film, and
-    the work grows with the frames.
-    """
-    decay = F.pow(F.lit(2.0), -1.0 / (half_life if isinstance(half_life, Column) else F.lit(float(half_life))))
-    limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    wash = flush if isinstance(flush, Column) else F.lit(float(flush))
-    missing = F.col("hi").isNull() | F.isnan("hi")
-    kept = 1 - wash * F.least(F.lit(1.0), F.coalesce("mm", F.lit(0.0)) / 2.5)
-    over = F.when(missing, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("hi") - limit))
-    a, b = decay * kept, (1 - decay) * over * kept
-    if nan == "hold":
-        a, b = F.when(missing, 1.0).otherwise(a), F.when(missing, 0.0).otherwise(b)
-    # one shuffle: blocks and cells are both grouped where the cell is
-    maps = frames.select(*by, "f", F.floor(F.col("f") / BLOCK).alias("block"), a.alias("a"), b.alias("b")).repartition(*by)
-    films = maps.groupBy(*by, "block").agg(F.sort_array(F.collect_list(F.struct("f", "a", "b"))).alias("film"))
+def missing(hi: Column) -> Column:
+    """An index that is not there, in every form of the recurrence: null or NaN."""
+    return hi.isNull() | F.isnan(hi)
+
+
+def excess(hi: Column, limit: Column) -> Column:
+    """What an index adds: its degrees over the threshold, nothing where it is missing."""
+    return F.when(missing(hi), 0.0).otherwise(F.greatest(F.lit(0.0), hi - limit))
+
+
+Setting = tuple[Column, Column, Column, Column]  # half-life, threshold, flush, vent
+
+
+def composed(x: Column, y: Column) -> Column:
+    """One linear function of the load after another; `z` is what comes out where no frame was before."""
+    return F.struct((y["a"] * x["a"]).alias("a"), (y["a"] * x["b"] + y["b"]).alias("b"), (y["a"] * x["z"] + y["b"]).alias("z"))
+
+
+def _loads(frames: DataFrame, by: tuple[str, ...], setting: Setting, more: Column | None, include_first: bool, nan: str) -> DataFrame:
+    half, limit, wash, vent = setting
+    wind = F.col("wind").cast("double") if "wind" in frames.columns else F.lit(0.0)
+    # one shuffle: blocks and cells are both grouped where the cell is; settings meet the films after it
+    kept = frames.select(*by, "f", F.floor(F.col("f") / BLOCK).alias("block"), F.col("hi").cast("double").alias("hi"), F.coalesce(F.col("mm").cast("double"), F.lit(0.0)).alias("mm"), F.coalesce(wind, F.lit(0.0)).alias("wind"))
+    films = kept.repartition(*by).groupBy(*by, "block").agg(F.sort_array(F.collect_list(F.struct("f", "hi", "mm", "wind"))).alias("film"))
+    if more is not None:
+        films = films.select("*", F.inline(more))  # a row for each of a few settings
+        by = (*by, "setting")
+    decay = F.pow(F.lit(2.0), -1.0 / half)
+
+    def linear(x: Column) -> Column:
+        rained = 1 - wash * F.least(F.lit(1.0), x["mm"] / 2.5)
+        over = excess(x["hi"], limit) * F.greatest(F.lit(0.0), 1 - vent * x["wind"] / 10)
+        a, b = decay * rained, (1 - decay) * over * rained
+        if nan == "hold":
+            a, b = F.when(missing(x["hi"]), 1.0).otherwise(a), F.when(missing(x["hi"]), 0.0).otherwise(b)
+        return F.struct(x["f"].alias("f"), a.alias("a"), b.alias("b"))
 
     def step(acc: Column, x: Column) -> Column:
         begun = F.size(acc["out"]) > 0  # the first frame's own function is left to the fold over blocks
@@ -40,52 +56,79 @@ def sustained(frames: DataFrame, half_life: float | Column = 24.0, threshold: fl
 
     kind = frames.schema["f"].dataType.simpleString()
     start = F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("d"), F.array().cast(f"array<struct<f:{kind},c:double,d:double>>").alias("out"))
-    folded = films.select(*by, "block", F.aggregate("film", start, step).alias("z"), F.col("film")[0]["a"].alias("a0"), F.col("film")[0]["b"].alias("b0"))
-    before = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    summed = folded.select(*by, "z.out", "a0", "b0", F.collect_list(F.struct("a0", "b0", F.col("z.c").alias("c"), F.col("z.d").alias("d"))).over(before).alias("earlier"))
-
-    def over_block(acc: Column, x: Column) -> Column:
-        first = x["a0"] * acc["load"] + x["b0"]
-        if not include_first:
-            first = F.when(acc["begun"], first).otherwise(0.0)
-        return F.struct((x["c"] * first + x["d"]).alias("load"), F.lit(True).alias("begun"))
-
-    carried = F.aggregate("earlier", F.struct(F.lit(0.0).alias("load"), F.lit(False).alias("begun")), over_block)
-    led = summed.select(*by, "out", "a0", "b0", carried.alias("left"))
-    first = F.col("a0") * F.col("left.load") + F.col("b0")
-    if not include_first:
-        first = F.when(F.col("left.begun"), first).otherwise(0.0)
-    each = led.select(*by, first.alias("first"), F.explode("out").alias("o"))
+    maps = films.select(*by, "block", F.transform("film", linear).alias("film"))
+    folded = maps.select(*by, "block", F.aggregate("film", start, step).alias("q"), F.col("film")[0]["a"].alias("a0"), F.col("film")[0]["b"].alias("b0"))
+    c, d = F.col("q.c"), F.col("q.d")
+    first = F.col("b0") if include_first else F.lit(0.0)
+    own = F.struct((c * F.col("a0")).alias("a"), (c * F.col("b0") + d).alias("b"), (c * first + d).alias("z"))
+    blocks = folded.select(*by, "block", F.floor(F.col("block") / BLOCK).alias("stretch"), "q.out", "a0", "b0", own.alias("own"))
+    # what comes before a block: the blocks before it in its stretch of blocks, and the stretches before that
+    inner = Window.partitionBy(*by, "stretch").orderBy("block")
+    before = inner.rowsBetween(Window.unboundedPreceding, -1)
+    same = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(None).cast("double").alias("z"))
+    after = lambda x, y: F.when(x["z"].isNull(), y).otherwise(composed(x, y))
+    near = blocks.select("*", F.aggregate(F.collect_list("own").over(before), same, after).alias("near"), F.lead("block").over(inner).isNull().alias("last"))
+    whole = F.when(F.col("last"), after(F.col("near"), F.col("own")))
+    earlier = Window.partitionBy(*by).orderBy("stretch").rangeBetween(Window.unboundedPreceding, -1)
+    far = F.aggregate(F.collect_list("whole").over(earlier), same, after)
+    left = near.withColumn("whole", whole).select(*by, "out", "a0", "b0", "near", far.alias("far"))
+    # nothing before: no load; else the load that the stretches have left, gone through the blocks
+    alone = F.col("far.z").isNull()
+    load = F.when(alone, F.col("near.z")).when(F.col("near.z").isNull(), F.col("far.z")).otherwise(F.col("near.a") * F.col("far.z") + F.col("near.b"))
+    led = left.select(*by, "out", "a0", "b0", load.alias("load"))
+    begin = F.when(F.col("load").isNull(), F.col("b0") if include_first else F.lit(0.0)).otherwise(F.col("a0") * F.col("load") + F.col("b0"))
+    each = led.select(*by, begin.alias("first"), F.explode("out").alias("o"))
     return each.select(*by, F.col("o.f").alias("f"), (F.col("o.c") * F.col("first") + F.col("o.d")).alias("load"))
 
 
+def sustained(frames: DataFrame, half_life: float | Column = 24.0, threshold: float | Column = 27.0, flush: float | Column = 0.0, include_first: bool = False, nan: str = "decay", by: tuple[str, ...] = ("cell",), vent: float = 0.0) -> DataFrame:
+    """(by, f, load) of frames (by, f, hi, mm, and wind where there is a vent): L = a L' + (1 - a) x, cut by rain, where x is
+    max(0, hi - threshold) less the share `vent` of it for each 10 of wind.
+
+    A missing index (null or NaN) decays the load or holds it. A frame without a row is no step: the load goes on from the frame
+    before, as if frames were numbered without gaps; give such frames a row with a missing index where they shall count. The
+    first frame begins at 0 unless `include_first`.
+
+    Each frame is a linear function of the load before it: the functions of a block of frames are put together in one array, so
+    are those of a stretch of blocks, and every load follows from that of its block. So no array holds a film, and the work
+    grows with the frames."""
+    wide = lambda x: x if isinstance(x, Column) else F.lit(float(x))
+    return _loads(frames, by, (wide(half_life), wide(threshold), wide(flush), wide(vent)), None, include_first, nan)
+
+
 def sustained_window(frames: DataFrame, half_life: float, threshold: float, by: tuple[str, ...] = ("cell",)) -> DataFrame:
-    """The same without rain, first frame included, as window sums of powers in blocks of frames.
+    """The same without rain, first frame included, as window sums of powers in blocks of frames. A frame without a row is a step of
+    decay here, as the powers count frames by their numbers.
 
-    Powers count from a block's first frame, so that they stay below 2^500; what the blocks before leave at that frame is
-    folded over a cell's blocks."""
+    Powers count from a block's first frame, so that they stay below 2^500. Films of one block, which the least and the greatest
+    frame tell, take one window; in others a second window in the same order adds what the blocks before have left."""
     a = 2 ** (-1 / half_life)
     wide = max(1, int(500 * half_life))
-    placed = frames.withColumns({"block": F.floor(F.col("f") / wide), "at": F.pmod("f", F.lit(wide))})
+    row = frames.agg(F.min("f").alias("first"), F.max("f").alias("last")).first()
+    single = row["first"] is None or row["first"] // wide == row["last"] // wide
+    base = 0 if row["first"] is None else int(row["first"]) // wide * wide
+    part = (1 - a) * excess(F.col("hi"), F.lit(threshold))
+    if single:
+        at = F.col("f") - base
+        w = Window.partitionBy(*by).orderBy("f").rowsBetween(Window.unboundedPreceding, 0)
+        return frames.select(*by, "f", (F.pow(F.lit(a), at) * F.sum(part * F.pow(F.lit(a), -at)).over(w)).alias("load"))
+    placed = frames.withColumns({"block": F.floor(F.col("f") / wide), "at": F.pmod("f", F.lit(wide))}).repartition(*by)
     w = Window.partitionBy(*by, "block").orderBy("f").rowsBetween(Window.unboundedPreceding, 0)
-    part = (1 - a) * F.greatest(F.lit(0.0), F.col("hi") - threshold) * F.pow(F.lit(a), -F.col("at"))
-    inside = placed.select(*by, "f", "block", "at", F.sum(part).over(w).alias("sum"))
-    films = inside.groupBy(*by, "block").agg(F.max("sum").alias("sum")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("block", "sum"))).alias("film"))
-
-    def step(acc: Column, x: Column) -> Column:
-        left = acc["left"] * F.pow(F.lit(a), (x["block"] - acc["block"]) * wide)
-        return F.struct(x["block"].alias("block"), (left + x["sum"]).alias("left"), F.concat(acc["out"], F.array(F.struct(x["block"].alias("block"), left.alias("left")))).alias("out"))
+    inside = placed.select(*by, "f", "block", "at", F.sum(part * F.pow(F.lit(a), -F.col("at"))).over(w).alias("sum"))
+    # the last sum of the block before; what still older blocks have left is below 2^-500 of it
+    earlier = Window.partitionBy(*by).orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.struct("block", "sum")).over(earlier)
+    carried = F.coalesce(last["sum"] * F.pow(F.lit(a), (F.col("block") - last["block"]) * wide), F.lit(0.0))
+    return inside.withColumn("carried", carried).select(*by, "f", (F.pow(F.lit(a), F.col("at")) * (F.col("sum") + F.col("carried"))).alias("load"))
 
-    start = F.struct(F.col("film")[0]["block"].alias("block"), F.lit(0.0).alias("left"), F.array().cast("array<struct<block:bigint,left:double>>").alias("out"))
-    lefts = films.select(*by, F.inline(F.aggregate("film", start, step, lambda acc: acc["out"])))
-    return inside.join(lefts, [*by, "block"]).select(*by, "f", (F.pow(F.lit(a), F.col("at")) * (F.col("sum") + F.col("left"))).alias("load"))
 
+def swept(frames: DataFrame, params: list[tuple[float, ...]], by: tuple[str, ...] = ("cell",), include_first: bool = False, nan: str = "decay") -> DataFrame:
+    """(setting, by, f, load): loads for each of a few settings (half-life, threshold, flush and, where given, vent).
 
-def swept(frames: DataFrame, params: list[tuple[float, float, float]], by: tuple[str, ...] = ("cell",)) -> DataFrame:
-    """Loads for each of a few (half_life, threshold, flush) settings: the settings are literals, one copy of the films each."""
-    rows = F.array(*[F.struct(F.lit(i).alias("setting"), F.lit(h).alias("half"), F.lit(t).alias("thr"), F.lit(w).alias("wash")) for i, (h, t, w) in enumerate(params)])
-    many = frames.withColumn("s", F.explode(rows)).select(*frames.columns, "s.*")
-    return sustained(many, F.col("half"), F.col("thr"), F.col("wash"), by=("setting", *by))
+    Films are shuffled and sorted once; the settings meet them after that."""
+    row = lambda i, p: F.struct(F.lit(i).alias("setting"), *[F.lit(float(x)).alias(c) for x, c in zip((*p, 0.0, 0.0)[:4], ("half_", "limit_", "wash_", "vent_"), strict=True)])
+    settings = F.array(*[row(i, p) for i, p in enumerate(params)])
+    return _loads(frames, by, (F.col("half_"), F.col("limit_"), F.col("wash_"), F.col("vent_")), settings, include_first, nan)
 
 
 def level_sets(bands: DataFrame, levels: Iterable[int], band: str = "band") -> DataFrame:

@@ -20,7 +20,7 @@ def labelled(nodes: DataFrame, keys: list[str], node: str, neighbours: Callable[
     crosses their borders is left to the rounds.
     """
     base = written(nodes.select(*keys, node).distinct().repartitionByRange(*keys, node).sortWithinPartitions(*keys, node).withColumn("number", F.monotonically_increasing_id()))
-    near = base.select(*keys, F.col("number").alias("u"), F.explode(neighbours(F.col(node))).alias("near")).where("near is not null")
+    near = base.select(*keys, F.col("number").alias("u"), F.explode(neighbours(F.col(node))).alias("near"))
     edges = near.join(base.withColumnsRenamed({node: "near", "number": "v"}), [*keys, "near"]).where("u > v").select("u", "v")
     linked = components(edges.repartitionByRange("u")).withColumnRenamed("node", "number")
     rooted = base.join(linked, "number", "left").withColumn("root", F.coalesce("root", "number"))
@@ -30,7 +30,7 @@ def labelled(nodes: DataFrame, keys: list[str], node: str, neighbours: Callable[
 
 def cell_regions(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Cells (keys, cell) with the label of their connected region inside the keys."""
-    return labelled(cells, keys, "cell", lambda c: F.transform(grid.edges(c), lambda e: e["neighbour"]))
+    return labelled(cells, keys, "cell", grid.neighbours)
 
 
 PIXEL = 1 << 32

@@ -34,7 +34,7 @@ def flow(cells: DataFrame, value: str = "value", k: int = 1) -> DataFrame:
 
 def adjacency(cells: DataFrame) -> DataFrame:
     """(cell, neighbour) of cells that are both in the set."""
-    around = cells.select("cell", F.explode(F.transform(grid.edges(F.col("cell")), lambda e: e["neighbour"])).alias("neighbour")).where("neighbour is not null")
+    around = cells.select("cell", F.explode(grid.neighbours(F.col("cell"))).alias("neighbour"))
     return around.join(cells.select(F.col("cell").alias("neighbour")), "neighbour").select("cell", "neighbour")
 
 

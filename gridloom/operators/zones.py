@@ -8,16 +8,78 @@ from pyspark.sql import functions as F
 from gridloom.functions import geometry, grid
 
 
-def candidates(level: int, w: Column, s: Column, e: Column, n: Column) -> Column:
-    """Array of the cells of a level that a box (degrees) can touch. A box over the date line has w > e, or runs beyond 180."""
-    rows, cols = 1 << level, 2 << level
-    clamp = lambda v, top: F.greatest(F.lit(0), F.least(F.lit(top - 1), F.floor(v)))
-    row = lambda lat: clamp((1 + F.sin(F.radians(lat))) / 2 * rows, rows).cast("long")
+def box_range(level: int | Column, w: Column, s: Column, e: Column, n: Column) -> tuple[Column, Column, Column, Column]:
+    """(first row, last row, first column, last column) of a level that a box (degrees) can touch. A box over the date line has
+    w > e, or runs beyond 180; its columns go on beyond the last."""
+    rows = F.pow(F.lit(2.0), level if isinstance(level, Column) else F.lit(level))
+    cols = rows * 2
+    row = lambda lat: F.greatest(F.lit(0.0), F.least(rows - 1, F.floor((1 + F.sin(F.radians(lat))) / 2 * rows))).cast("long")
     at = lambda lon: F.floor((lon + 180) / 360 * cols)
     first = at(w).cast("long")
-    last = F.when(e < w, at(e) + cols).when(e <= 180, F.least(F.lit(cols - 1), at(e))).otherwise(at(e)).cast("long")
-    last = F.greatest(first, F.least(last, first + cols - 1))
-    return F.flatten(F.transform(F.sequence(row(s), row(n)), lambda r: F.transform(F.sequence(first, last), lambda c: grid.made(level, r, F.pmod(c, F.lit(cols))))))
+    last = F.when(e < w, at(e) + cols).when(e <= 180, F.least(cols - 1, at(e))).otherwise(at(e)).cast("long")
+    return row(s), row(n), first, F.greatest(first, F.least(last, first + cols.cast("long") - 1))
+
+
+def candidates(level: int, w: Column, s: Column, e: Column, n: Column) -> Column:
+    """Array of the cells of a level that a small box (degrees) can touch."""
+    south, north, first, last = box_range(level, w, s, e, n)
+    return F.flatten(F.transform(F.sequence(south, north), lambda r: F.transform(F.sequence(first, last), lambda c: grid.made(level, r, F.pmod(c, F.lit(2 << level))))))
+
+
+def with_candidates(df: DataFrame, level: int, w: Column, s: Column, e: Column, n: Column, name: str = "cell") -> DataFrame:
+    """df with each cell of a level that a box (degrees) can touch: rows of the grid first, then columns, so that no array holds
+    a box's cells."""
+    south, north, first, last = box_range(level, w, s, e, n)
+    rows = df.select("*", first.alias("first_"), last.alias("last_"), F.explode(F.sequence(south, north)).alias("row_"))
+    each = rows.select("*", F.explode(F.sequence("first_", "last_")).alias("col_"))
+    return each.withColumn(name, grid.made(level, F.col("row_"), F.pmod("col_", F.lit(2 << level)))).drop("first_", "last_", "row_", "col_")
+
+
+#: Cells that an area begins with, and degrees by which a cell's box is widened so that rounding never cuts an edge off.
+COARSE, PAD = 64, 1e-9
+
+
+def cover(areas: DataFrame, level: int, ring: str = "ring", names: tuple[str, str, str, str] = ("cell", "turn", "inside", "edges")) -> DataFrame:
+    """areas, without their rings, with the cells of a level that they touch: (cell, turn, inside, edges), or under other names.
+
+    A quadtree: an area begins with some tens of coarse cells, and only those that its ring crosses are looked at again, split in
+    sixteen, down to the level. A cell that no edge meets is inside or outside as a whole; what is inside is split without any
+    test. No row holds more than the edges that can decide for its cell: those go with the cells that the ring crosses, and
+    `geometry.edges_contain` settles a place of such a cell at longitude + `turn` (the turn is that of cells beyond the date
+    line). Cells of one large area are dealt out once they are some hundreds."""
+    w, s, e, n = geometry.envelope(F.col(ring))
+    share = F.greatest((e - w) / 360, F.lit(1e-12)), F.greatest((F.sin(F.radians(n)) - F.sin(F.radians(s))) / 2, F.lit(1e-12))
+    fits = F.least((F.log2(COARSE / 2 / (share[0] * share[1]))) / 2, F.log2(COARSE / F.greatest(share[0] * 2, share[1])))
+    began = F.greatest(F.lit(0), F.least(F.lit(level), F.floor(fits).cast("int")))
+    own = ["own_"]  # the areas' other columns, whatever their names
+    areas = areas.select(F.struct(*[c for c in areas.columns if c != ring]).alias("own_"), ring)
+    lowest = areas.agg(F.min(began)).first()[0]  # how often the coarsest is split
+    south, north, first, last = box_range(F.col("lv"), w, s, e, n)
+    rows = areas.withColumn("lv", began).select(*own, "lv", geometry.edges_of(F.col(ring)).alias("edges"), F.lit(False).alias("inside"), first.alias("first_"), last.alias("last_"), F.explode(F.sequence(south, north)).alias("row"))
+    cells = rows.select(*own, "lv", "edges", "inside", "row", F.explode(F.sequence("first_", "last_")).alias("col"))
+
+    def settled(df: DataFrame) -> DataFrame:
+        box = [c + d for c, d in zip(grid.rectangle(F.col("lv"), F.col("row"), F.col("col")), (-PAD, -PAD, PAD, PAD), strict=True)]
+        cut = F.when(F.col("inside"), F.filter("edges", lambda g: F.lit(False))).otherwise(geometry.edges_beside(F.col("edges"), box[0], box[1], box[3]))
+        held = df.withColumns({"w_": box[0], "s_": box[1], "e_": box[2], "n_": box[3], "edges": cut})
+        crossed = geometry.edges_cross(F.col("edges"), *[F.col(c) for c in ("w_", "s_", "e_", "n_")])
+        middle = geometry.edges_contain(F.col("edges"), (F.col("w_") + F.col("e_")) / 2, (F.col("s_") + F.col("n_")) / 2)
+        told = held.withColumn("state", F.when(F.col("inside"), "in").when(crossed, "edge").when(middle, "in").otherwise("out")).where("state != 'out'")
+        return told.select(*own, "lv", "row", "col", F.when(F.col("state") == "edge", F.col("edges")).otherwise(F.filter("edges", lambda g: F.lit(False))).alias("edges"), (F.col("state") == "in").alias("inside"))
+
+    now = settled(cells)
+    steps = 0 if lowest is None else -(-(level - lowest) // 2)
+    for step in range(steps):
+        if step == 1:
+            now = now.repartition("lv", "row", "col")
+        m = F.when(F.col("lv") >= level, 1).when(F.col("lv") == level - 1, 2).otherwise(4)
+        split = now.withColumn("m", m).select(*own, "lv", "edges", "inside", "row", "col", "m", F.explode(F.sequence(F.lit(0), F.col("m") * F.col("m") - 1)).alias("i"))
+        deep = F.col("lv") + F.when(F.col("m") == 4, 2).when(F.col("m") == 2, 1).otherwise(0)
+        down = split.select(*own, deep.alias("lv"), "edges", "inside", (F.col("row") * F.col("m") + F.floor(F.col("i") / F.col("m"))).alias("row"), (F.col("col") * F.col("m") + F.col("i") % F.col("m")).alias("col"))
+        now = settled(down)
+    col = F.pmod("col", F.lit(2 << level))
+    made = (grid.made(level, F.col("row"), col), (F.col("col") - col) / (2 << level) * 360, F.col("inside"), F.col("edges"))
+    return now.select("own_.*", *[c.alias(n) for c, n in zip(made, names, strict=True)])
 
 
 def between_lons(lon: Column, w: Column, e: Column) -> Column:
@@ -29,16 +91,15 @@ def between_lons(lon: Column, w: Column, e: Column) -> Column:
 def fill_centres(zones: DataFrame, level: int, ring: str = "ring", key: str = "id") -> DataFrame:
     """(id, cell): cells whose centre is inside the ring. A row is one piece; pieces of an id are united by the distinct. A ring
     over the date line runs beyond 180 (or -180)."""
-    w, s, e, n = geometry.envelope(F.col(ring))
-    boxed = zones.withColumns({"w_": w, "e_": e, "cell": F.explode(candidates(level, w, s, e, n))})
+    touched = cover(zones.select(key, ring), level, ring)
     lat, lon = grid.centre(F.col("cell"))
-    turned = F.when((F.col("e_") > 180) & (lon < F.col("w_")), lon + 360).when((F.col("w_") < -180) & (lon > F.col("e_")), lon - 360).otherwise(lon)
-    return boxed.where(geometry.contains(F.col(ring), turned, lat)).select(key, "cell").distinct()
+    held = F.col("inside") | geometry.edges_contain(F.col("edges"), lon + F.col("turn"), lat)
+    return touched.where(held).select(key, "cell").distinct()
 
 
 def fill_boxes(zones: DataFrame, level: int, key: str = "id", pieces: bool = True) -> DataFrame:
     """The centre rule for boxes (w, s, e, n), half open. Without `pieces` each id has one box, whose cells are distinct as they are."""
-    boxed = zones.withColumn("cell", F.explode(candidates(level, F.col("w"), F.col("s"), F.col("e"), F.col("n"))))
+    boxed = with_candidates(zones.select(key, "w", "s", "e", "n"), level, *map(F.col, "wsen"))
     lat, lon = grid.centre(F.col("cell"))
     filled = boxed.where(between_lons(lon, F.col("w"), F.col("e")) & (lat >= F.col("s")) & (lat < F.col("n"))).select(key, "cell")
     return filled.distinct() if pieces else filled
@@ -46,7 +107,7 @@ def fill_boxes(zones: DataFrame, level: int, key: str = "id", pieces: bool = Tru
 
 def fill_touched(objects: DataFrame, level: int, key: str = "id") -> DataFrame:
     """The overlap rule for boxes (w, s, e, n): every cell that a box touches, so that each object has one at least."""
-    return objects.select(key, F.explode(candidates(level, F.col("w"), F.col("s"), F.col("e"), F.col("n"))).alias("cell")).distinct()
+    return with_candidates(objects.select(key, "w", "s", "e", "n"), level, *map(F.col, "wsen")).select(key, "cell").distinct()
 
 
 def single_owner(mapping: DataFrame, key: str = "id") -> DataFrame:
@@ -88,12 +149,14 @@ def ranked_on_ladder(cells: DataFrame, pieces: DataFrame, order: list[str], n: i
 
 
 def points_in(points: DataFrame, areas: DataFrame, level: int, ring: str = "ring", x: str = "lon", y: str = "lat") -> DataFrame:
-    """Points with the areas that hold them: an equi-join on cells that the areas touch, then the exact test.
-
-    The cover keeps a large area's points apart by cell, so no area's points meet in one task.
-    """
-    cover = areas.withColumn("at", F.explode(candidates(level, *geometry.envelope(F.col(ring)))))
-    return points.withColumn("at", grid.cell(F.col(y), F.col(x), level)).join(cover, "at").where(geometry.contains(F.col(ring), F.col(x), F.col(y))).drop("at", ring)
+    """Points with the areas that hold them: an equi-join on the areas' covering cells, then, in cells that a ring crosses, the
+    exact test against the edges beside the cell. Points of cells that lie inside need no test.
+
+    The cover keeps a large area's points apart by cell, so no area's points meet in one task."""
+    covering = cover(areas, level, ring, ("at", "turn_", "inside_", "edges_"))
+    met = points.withColumn("at", grid.cell(F.col(y), F.col(x), level)).join(covering, "at")
+    held = F.col("inside_") | geometry.edges_contain(F.col("edges_"), F.col(x) + F.col("turn_"), F.col(y))
+    return met.where(held).drop("at", "turn_", "inside_", "edges_")
 
 
 def parent_join(fine: DataFrame, coarse: DataFrame, up: int, how: str = "left") -> DataFrame:

@@ -161,9 +161,39 @@ def _(v: Views) -> DataFrame:
     return tables.in_blocks(px, px.where("cls = 12 AND year = 1995"), 8).select("year", "y", "x")
 
 
-@query("s18_grid_round_trip", "SELECT y, max(v) FILTER (x = 0) AS x0, max(v) FILTER (x = 1) AS x1, max(v) FILTER (x = 2) AS x2 FROM px WHERE year = 1995 GROUP BY y", "px")
+@query("s1_s13_block_store", "SELECT year, y, x, v FROM px WHERE (y // 8, x // 8) IN (SELECT (y // 8, x // 8) FROM px WHERE cls = 12 AND year = 1995)", "px")
 def _(v: Views) -> DataFrame:
-    return tables.labelled_grid(v.px.where("year = 1995"), "y", "x", "v", [0, 1, 2]).withColumnsRenamed({"0": "x0", "1": "x1", "2": "x2"})
+    """The same blocks from a store that is partitioned by them."""
+    path = tables.new_path(v.spark)
+    tables.write_blocks(v.px, path, 8, ["year"])
+    return tables.read_blocks(v.spark, path, v.px.where("cls = 12 AND year = 1995"), 8).select("year", "y", "x", "v")
+
+
+@query("s13_j2_zone_hours_by_block", "SELECT t, id, round(avg(tc), 9) AS value, count(*) AS px FROM cube JOIN zones ON lon >= w AND lon < e AND lat >= s AND lat < n WHERE region = 'ASIA' GROUP BY 1, 2", "cube zones")
+def _(v: Views) -> DataFrame:
+    """Hours of the zones of one region, from the blocks of the cube that they touch."""
+    path = tables.new_path(v.spark)
+    tables.write_blocks(v.cube, path, 2, ["t"])
+    lookup = v.cube.select("y", "x", "lat", "lon").distinct()
+    ringed = v.zones.where("region = 'ASIA'").select("id", geometry.box_ring(F.col("w"), F.col("s"), F.col("e"), F.col("n")).alias("ring"))
+    mapping = tables.written(zones.points_in(lookup, ringed, 4).select("y", "x", "id"))
+    return fold.fold_zone_hours(tables.read_blocks(v.spark, path, mapping, 2), mapping, "tc").select("t", "id", r("value").alias("value"), "px")
+
+
+@query("s17_p33_clustered_sink", "SELECT year, y, x, v FROM px WHERE lon BETWEEN -124 AND -105 AND lat BETWEEN 24 AND 36", "px")
+def _(v: Views) -> DataFrame:
+    """A box of a table that lies along the Hilbert curve, from the files whose row groups meet it."""
+    path = tables.new_path(v.spark)
+    tables.write_clustered(v.px, path, "lon", "lat", (-125.0, 24.0, -67.0, 49.0), group_bytes=1 << 16)
+    index = tables.file_index(v.spark, path, "lon", "lat")
+    return tables.read_over(v.spark, index, (-124, 24, -105, 36), "lon", "lat", v.px.schema).select("year", "y", "x", "v")
+
+
+@query("s18_grid_round_trip", f"SELECT year * 100 + y AS line, {', '.join(f'max(v) FILTER (x = {i}) AS x{i}' for i in range(64))} FROM px GROUP BY 1", "px")
+def _(v: Views) -> DataFrame:
+    """All columns of the raster, a line for each row of a year."""
+    lines = v.px.withColumn("line", F.col("year") * 100 + F.col("y"))
+    return tables.labelled_grid(lines, "line", "x", "v", list(range(64))).withColumnsRenamed({str(i): f"x{i}" for i in range(64)})
 
 
 # --- grid and projections
@@ -442,11 +472,11 @@ def _(v: Views) -> DataFrame:
     return fold.quantiles(v.cube, "tc", [0.02, 0.5, 0.98]).select(*[r(p).alias(p) for p in ("p2", "p50", "p98")])
 
 
-@query("a38_pyramid", "WITH lv AS (SELECT k AS level, y // k, x // k, avg(v) AS v FROM px, (VALUES (1), (2), (4)) t(k) WHERE year = 1995 GROUP BY 1, 2, 3) SELECT level, round(avg(v), 9) AS mean, round(max(v), 9) AS most, round(avg(CASE WHEN v = 0 THEN 1.0 ELSE 0.0 END), 9) AS zeros FROM lv GROUP BY level", "px")
+@query("a38_pyramid", "WITH lv AS (SELECT year, k AS level, y // k, x // k, avg(v) AS v FROM px, (VALUES (1), (2), (4)) t(k) GROUP BY 1, 2, 3, 4) SELECT year, level, round(avg(v), 9) AS mean, round(max(v), 9) AS most, round(avg(CASE WHEN v = 0 THEN 1.0 ELSE 0.0 END), 9) AS zeros FROM lv GROUP BY year, level", "px")
 def _(v: Views) -> DataFrame:
     k = F.explode(F.array(*[F.lit(x) for x in (1, 2, 4)])).alias("level")
-    levels = v.px.where("year = 1995").select("y", "x", "v", k).groupBy("level", F.floor(F.col("y") / F.col("level")), F.floor(F.col("x") / F.col("level"))).agg(F.avg("v").alias("v"))
-    return levels.groupBy("level").agg(r(F.avg("v")).alias("mean"), r(F.max("v")).alias("most"), r(F.avg(F.when(F.col("v") == 0, 1.0).otherwise(0.0))).alias("zeros"))
+    levels = v.px.select("year", "y", "x", "v", k).groupBy("year", "level", F.floor(F.col("y") / F.col("level")), F.floor(F.col("x") / F.col("level"))).agg(F.avg("v").alias("v"))
+    return levels.groupBy("year", "level").agg(r(F.avg("v")).alias("mean"), r(F.max("v")).alias("most"), r(F.avg(F.when(F.col("v") == 0, 1.0).otherwise(0.0))).alias("zeros"))
 
 
 @query("a32_frame_means", "SELECT t AS f, round(avg(tc), 9) AS tc FROM cube GROUP BY 1", "cube")

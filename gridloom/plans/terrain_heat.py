@@ -40,9 +40,9 @@ def _(v: Views) -> DataFrame:
     return terrain.adjacency(fold.fold_mean(v.px, 7))
 
 
-@query("w11_focal_mean", f"WITH {ONE} SELECT a.y, a.x, round(avg(b.v), 9) AS mean FROM one a JOIN one b ON b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y BETWEEN a.y - 2 AND a.y + 2 GROUP BY 1, 2", "px")
+@query("w11_focal_mean", "SELECT a.year, a.y, a.x, round(avg(b.v), 9) AS mean FROM px a JOIN px b ON b.year = a.year AND b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y BETWEEN a.y - 2 AND a.y + 2 GROUP BY 1, 2, 3", "px")
 def _(v: Views) -> DataFrame:
-    return terrain.focal_mean(v.px.where("year = 1995").select("y", "x", "v"), 2).select("y", "x", r("mean").alias("mean"))
+    return terrain.focal_mean(v.px.select("year", "y", "x", "v"), 2, by=("year",)).select("year", "y", "x", r("mean").alias("mean"))
 
 
 MEAN = "g AS (SELECT y, x, avg(v) * 1000 AS v FROM px GROUP BY 1, 2)"
@@ -164,6 +164,25 @@ def _(v: Views) -> DataFrame:
     return heat.swept(frames(v), [(6.0, 15.0, 0.0), (24.0, 17.0, 0.5)]).groupBy("setting", "cell").agg(r(F.max("load")).alias("most"))
 
 
+FRAMES_WIND = FRAMES.replace("mm FROM cube", "mm, rh / 8 AS wind FROM cube")
+
+
+def vent_sql(half: float, thr: float, wash: float, vent: float, name: str) -> str:
+    a = 2 ** (-1 / half)
+    more = f"({a!r} * {name}.load + (1 - {a!r}) * coalesce(greatest(0, x.hi - {thr}), 0) * greatest(0, 1 - {vent} * x.wind / 10)) * (1 - {wash} * least(1, x.mm / 2.5))"
+    return f"{name} AS (SELECT cell, f, CAST(0 AS DOUBLE) AS load FROM frames WHERE f = 0 UNION ALL SELECT x.cell, x.f, {more} FROM {name} JOIN frames x ON x.cell = {name}.cell AND x.f = {name}.f + 1)"
+
+
+@query("t3_sweep_vent", f"WITH RECURSIVE {FRAMES_WIND}, {vent_sql(6, 15, 0.0, 0.4, 'l0')}, {vent_sql(24, 14, 0.5, 1.0, 'l1')} SELECT 0 AS setting, cell, f, round(load, 9) AS load FROM l0 UNION ALL SELECT 1, cell, f, round(load, 9) FROM l1", "cube")
+def _(v: Views) -> DataFrame:
+    """All loads under two settings with wind, which carries part of the heat away."""
+    from gridloom.operators.zones import rank_in
+
+    wind = rank_in(v.cube, ["x", "y"], F.col("t"), name="f").select((F.col("x") * 100 + F.col("y")).alias("cell"), (F.col("f") - 1).alias("f"), (F.col("rh") / 8).alias("wind"))
+    film = frames(v).join(wind, ["cell", "f"])
+    return heat.swept(film, [(6.0, 15.0, 0.0, 0.4), (24.0, 14.0, 0.5, 1.0)]).select("setting", "cell", "f", r("load").alias("load"))
+
+
 @query("t4_one_place", "SELECT t, tc, rh FROM cube WHERE x = 3 AND y = 1", "cube")
 def _(v: Views) -> DataFrame:
     return v.cube.where("x = 3 AND y = 1").select("t", "tc", "rh").orderBy("t")
@@ -232,14 +251,14 @@ def _(v: Views) -> DataFrame:
     return regions.boundary(class_cells(v), ["year", "cls"]).select("year", "cls", "cell", "dir")
 
 
-@query("g8_pixel_regions", "WITH RECURSIVE p AS (SELECT cls, y, x, CAST(y AS BIGINT) * 4294967296 + x AS px FROM px WHERE year = 1995), q(cls, px, label) USING KEY (cls, px) AS (SELECT cls, px, px AS label FROM p UNION SELECT b.cls, b.px, min(a.label) FROM q a, (VALUES (1), (-1), (4294967296), (-4294967296)) s(d), recurring.q b WHERE b.cls = a.cls AND b.px = a.px + d AND b.label > a.label GROUP BY 1, 2), n AS (SELECT cls, label, count(*) AS n FROM q GROUP BY 1, 2) SELECT cls, CAST(sum(n) AS BIGINT) AS cells, count(*) AS patches, max(n) AS largest FROM n GROUP BY 1", "px")
+@query("g8_pixel_regions", "WITH RECURSIVE p AS (SELECT year, cls, y, x, CAST(y AS BIGINT) * 4294967296 + x AS px FROM px), q(year, cls, px, label) USING KEY (year, cls, px) AS (SELECT year, cls, px, px AS label FROM p UNION SELECT b.year, b.cls, b.px, min(a.label) FROM q a, (VALUES (1), (-1), (4294967296), (-4294967296)) s(d), recurring.q b WHERE b.year = a.year AND b.cls = a.cls AND b.px = a.px + d AND b.label > a.label GROUP BY 1, 2, 3), n AS (SELECT year, cls, label, count(*) AS n FROM q GROUP BY 1, 2, 3) SELECT year, cls, CAST(sum(n) AS BIGINT) AS cells, count(*) AS patches, max(n) AS largest FROM n GROUP BY 1, 2", "px")
 def _(v: Views) -> DataFrame:
-    return regions.patches(regions.pixel_regions(v.px.where("year = 1995").select("cls", "y", "x"), ["cls"]), ["cls"])
+    return regions.patches(regions.pixel_regions(v.px.select("year", "cls", "y", "x"), ["year", "cls"]), ["year", "cls"])
 
 
-@query("g8_pixel_boundary", "WITH p AS (SELECT cls, y, x FROM px WHERE year = 1995) SELECT a.cls, a.y, a.x, dir FROM p a, (VALUES ('e', 1, 0), ('n', 0, 1), ('w', -1, 0), ('s', 0, -1)) s(dir, dx, dy) WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.cls = a.cls AND b.y = a.y + dy AND b.x = a.x + dx)", "px")
+@query("g8_pixel_boundary", "SELECT a.year, a.cls, a.y, a.x, dir FROM px a, (VALUES ('e', 1, 0), ('n', 0, 1), ('w', -1, 0), ('s', 0, -1)) s(dir, dx, dy) WHERE NOT EXISTS (SELECT 1 FROM px b WHERE b.year = a.year AND b.cls = a.cls AND b.y = a.y + dy AND b.x = a.x + dx)", "px")
 def _(v: Views) -> DataFrame:
-    return regions.pixel_boundary(v.px.where("year = 1995").select("cls", "y", "x"), ["cls"])
+    return regions.pixel_boundary(v.px.select("year", "cls", "y", "x"), ["year", "cls"])
 
 
 MODE7 = f"m AS (SELECT year, cell, cls FROM (SELECT *, row_number() OVER (PARTITION BY year, cell ORDER BY n DESC, cls) AS rn FROM (SELECT year, {C7} AS cell, cls, count(*) AS n FROM px GROUP BY 1, 2, 3)) WHERE rn = 1)"

@@ -51,10 +51,11 @@ def _(v: Views) -> DataFrame:
     return zones.fill_boxes(v.zones, 7, pieces=False)
 
 
-@query("g1_g2_date_line", f"WITH c AS (SELECT (CAST(7 AS BIGINT) * 288230376151711744 + iy * 536870912 + ix) AS cell, degrees(asin((iy + 0.5) / 128 * 2 - 1)) AS clat, (ix + 0.5) / 256.0 * 360 - 180 AS clon, degrees(asin(iy / 128.0 * 2 - 1)) AS s0, degrees(asin((iy + 1) / 128.0 * 2 - 1)) AS n0, ix / 256.0 * 360 - 180 AS w0, (ix + 1) / 256.0 * 360 - 180 AS e0 FROM range(256) a(ix), range(128) b(iy)), z AS (SELECT id, w + 295 + 2 AS w, w + 295 + 12.5 - 360 AS e, s - 20.5 AS s, n - 20.25 AS n FROM zones WHERE id % 5 = 0) SELECT id, cell, clat >= s AND clat < n AND (clon >= w OR clon < e) AS centre FROM c JOIN z ON n0 > s AND s0 <= n AND (e0 > w OR w0 <= e)", "zones")
+@query("g1_g2_date_line", f"WITH c AS (SELECT (CAST(7 AS BIGINT) * 288230376151711744 + iy * 536870912 + ix) AS cell, degrees(asin((iy + 0.5) / 128 * 2 - 1)) AS clat, (ix + 0.5) / 256.0 * 360 - 180 AS clon, degrees(asin(iy / 128.0 * 2 - 1)) AS s0, degrees(asin((iy + 1) / 128.0 * 2 - 1)) AS n0, ix / 256.0 * 360 - 180 AS w0, (ix + 1) / 256.0 * 360 - 180 AS e0 FROM range(256) a(ix), range(128) b(iy)), z AS (SELECT id, 172 + (w + 125) / 12 AS w, 172 + (w + 125) / 12 + 10.5 - 360 AS e, s - 20.5 AS s, n - 20.25 AS n FROM zones) SELECT id, cell, clat >= s AND clat < n AND (clon >= w OR clon < e) AS centre FROM c JOIN z ON n0 > s AND s0 <= n AND (e0 > w OR w0 <= e)", "zones")
 def _(v: Views) -> DataFrame:
     """Boxes over the date line, by both rules."""
-    moved = v.zones.where("id % 5 = 0").select("id", (F.col("w") + 297).alias("w"), (F.col("w") + 295 + 12.5 - 360).alias("e"), (F.col("s") - 20.5).alias("s"), (F.col("n") - 20.25).alias("n"))
+    west = 172 + (F.col("w") + 125) / 12
+    moved = v.zones.select("id", west.alias("w"), (west + 10.5 - 360).alias("e"), (F.col("s") - 20.5).alias("s"), (F.col("n") - 20.25).alias("n"))
     centres = zones.fill_boxes(moved, 7, pieces=False).withColumn("centre", F.lit(True))
     return zones.fill_touched(moved, 7).join(centres, ["id", "cell"], "left").withColumn("centre", F.coalesce("centre", F.lit(False)))
 
@@ -304,14 +305,14 @@ def _(v: Views) -> DataFrame:
     return classes.mixed_fields(classes.field_majority(field_hits(v)), 12).withColumns({"purity": r("purity"), "second_share": r("second_share")})
 
 
-CAMPAIGN_ITEMS = "SELECT CAST(o_custkey % 25 AS BIGINT) AS footprint, CAST(year(o_orderdate) AS INT) AS campaign, max(o_orderdate) AS date FROM orders WHERE dayofyear(o_orderdate) % 25 = o_custkey % 25 GROUP BY 1, 2"
+CAMPAIGN_ITEMS = "SELECT CAST(o_custkey % 25 AS BIGINT) AS footprint, CAST(year(o_orderdate) AS INT) AS campaign, max(o_orderdate) AS date FROM orders GROUP BY 1, 2"
 
 
 @query("a36_campaigns", f"WITH c AS ({cells_sql(6)}), aoi AS (SELECT DISTINCT cell FROM c JOIN zones ON clon >= w AND clon < e AND clat >= s AND clat < n), lk AS (SELECT id AS footprint, cell FROM c JOIN zones ON clon >= w AND clon < e AND clat >= s AND clat < n), i AS ({CAMPAIGN_ITEMS}), s AS (SELECT campaign, count(DISTINCT footprint) AS footprints, count(DISTINCT date) AS days, bool_and(dayofyear(date) < 106.8 OR dayofyear(date) > 303.2) AS leaf_off FROM i GROUP BY 1), h AS (SELECT campaign, count(DISTINCT cell) AS hit FROM i JOIN lk USING (footprint) GROUP BY 1), t AS (SELECT s.*, coalesce(hit, 0) / (SELECT count(*) FROM aoi) AS cov, days = 1 AS one_date FROM s LEFT JOIN h USING (campaign)), nr AS (SELECT *, cov >= (SELECT max(cov) FROM t) - 0.02 AS near FROM t), pk AS (SELECT campaign FROM nr WHERE near AND (one_date OR NOT EXISTS (SELECT 1 FROM nr x WHERE x.near AND x.one_date)) ORDER BY cov DESC, campaign DESC LIMIT 1) SELECT campaign, footprints, days, round(cov, 9) AS cov, one_date, leaf_off, campaign = (SELECT campaign FROM pk) AS best FROM nr", "zones")
 def _(v: Views) -> DataFrame:
     """Flights over the zones' area: an order is an item over the zone of its customer, its year is the campaign."""
     day, footprint = F.col("o_orderdate"), F.col("o_custkey") % 25
-    items = v.orders.where(F.dayofyear(day) % 25 == footprint).select(footprint.cast("long").alias("footprint"), F.year(day).alias("campaign"), day.alias("date"))
+    items = v.orders.select(footprint.cast("long").alias("footprint"), F.year(day).alias("campaign"), day.alias("date"))
     lookup = zones.fill_boxes(v.zones, 6, pieces=False).withColumnRenamed("id", "footprint")
     scored = classes.best_campaign(classes.campaign_scores(items, lookup, lookup.select("cell").distinct(), 37.0))
     return scored.select("campaign", "footprints", "days", r("cov").alias("cov"), "one_date", "leaf_off", "best")

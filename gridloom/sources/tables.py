@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gridloom.functions import proj
+from gridloom.functions import proj, scalars
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     cluster ValueError, as executors don't share their own disks."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         named = spark.sparkContext.getCheckpointDir()
@@ -140,15 +146,64 @@ def strictly_inside(w: float, s: float, e: float, n: float, box: str = "bbox") -
     return (b["xmin"] > w) & (b["xmax"] < e) & (b["ymin"] > s) & (b["ymax"] < n)
 
 
-def extent_index(df: DataFrame, x: str, y: str, file: str = "file") -> DataFrame:
-    """(file, xmin, ymin, xmax, ymax): what each file covers."""
+def extent_index_by_scan(df: DataFrame, x: str, y: str, file: str = "file") -> DataFrame:
+    """(file, xmin, ymin, xmax, ymax) of a table with a column for its file: for stores without footers."""
     return df.groupBy(file).agg(F.min(x).alias("xmin"), F.min(y).alias("ymin"), F.max(x).alias("xmax"), F.max(y).alias("ymax"))
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The data files of a table's folder: what any scan of it is told as well."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).inputFiles()
+    return sorted(f for f in files if not f.rsplit("/", 1)[-1].startswith(("_", ".")))
+
+
+GROUPS = "file string, row_group int, rows bigint, xmin double, ymin double, xmax double, ymax double"
+
+
+def group_index(spark: SparkSession, path: str, x: str, y: str) -> DataFrame:
+    """The extents of the row groups of a Parquet table (`GROUPS`), from the footers alone: tasks open a share of the files each and
+    read no page. To be stored once for each release. A group without statistics, or a file whose store only Spark can open, has
+    no extent: it is always read."""
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for f in batch.column(0).to_pylist() for r in _extents(f, x, y)]
+            cols = list(zip(*rows, strict=True))
+            kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.float64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in GROUPS.split(", ")])
+
+    files = listed(spark, path)
+    table = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism)), "file")
+    return written(table.mapInArrow(footers, GROUPS))
+
+
+def _extents(file: str, x: str, y: str) -> list[tuple]:
+    """(file, group, rows, xmin, ymin, xmax, ymax) of each row group, from the footer."""
+    try:
+        store, at = pyarrow.fs.FileSystem.from_uri(unquote(file))
+        with store.open_input_file(at) as f:
+            meta = pyarrow.parquet.read_metadata(f)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError, ImportError):
+        return [(file, None, None, None, None, None, None)]
+    out = []
+    for k in range(meta.num_row_groups):
+        group = meta.row_group(k)
+        seen = {c.path_in_schema: c.statistics for c in (group.column(i) for i in range(group.num_columns))}
+        ends = [seen.get(c) for c in (x, y)]
+        if all(s is not None and s.has_min_max for s in ends):
+            low, high = [float(s.min) for s in ends], [float(s.max) for s in ends]
+            out.append((file, k, group.num_rows, *low, *high))
+        else:
+            out.append((file, k, group.num_rows, None, None, None, None))
+    return out
+
+
 def file_index(spark: SparkSession, path: str, x: str, y: str) -> DataFrame:
-    """The extents of the files of a Parquet table, as a table of its own: one pass over two columns, to be stored once for each
-    release and used by `read_over`. A file without values has no extent."""
-    return written(extent_index(spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), x, y), x, y))
+    """(file, xmin, ymin, xmax, ymax): what the row groups of each file cover, see `group_index`. A file with a group of unknown
+    extent has none, and is always read by `read_over`."""
+    known = F.count("xmin") == F.count(F.lit(1))
+    ends = [F.when(known, f(c)).alias(c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))]
+    return group_index(spark, path, x, y).groupBy("file").agg(*ends)
 
 
 def read_over(spark: SparkSession, index: DataFrame, box: tuple[float, float, float, float], x: str, y: str, schema: StructType) -> DataFrame:
@@ -191,11 +246,49 @@ def short_region(region: Column) -> Column:
 
 
 def in_blocks(df: DataFrame, mask: DataFrame, size: int, row: str = "y", col: str = "x") -> DataFrame:
-    """Rows of the blocks that a mask (y, x) touches: a semi-join on block ids, which prunes partitions by block."""
+    """Rows of the blocks that a mask (y, x) touches, of any table: a semi-join on block ids. `read_blocks` is the form for a store
+    that is partitioned by block, of which it reads no other files."""
     block = [F.floor(F.col(c) / size).alias(f"b{c}") for c in (row, col)]
     return df.select("*", *block).join(mask.select(*block).distinct(), [f"b{row}", f"b{col}"], "left_semi").drop(f"b{row}", f"b{col}")
 
 
+#: Blocks that may be sent to every task.
+SENT = 100_000
+
+
+def blocks_of(df: DataFrame, size: int, row: str = "y", col: str = "x") -> DataFrame:
+    """df with the number of its block of size by size pixels: one column, as Spark prunes partitions by each column alone."""
+    by, bx = (F.floor(F.col(c) / size) for c in (row, col))
+    return df.withColumn("block", by * F.lit(1 << 31) + bx)
+
+
+def write_blocks(df: DataFrame, path: str, size: int, order: Iterable[str] = (), row: str = "y", col: str = "x") -> None:
+    """A cube as a store with a partition for each block. Rows are dealt by ranges of (block, order), so that a block with a long
+    history is several files, each of a range of `order` (the time, say), and not one task's work."""
+    keys = ["block", *order]
+    blocks_of(df, size, row, col).repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("block").parquet(path)
+
+
+def read_blocks(spark: SparkSession, path: str, mask: DataFrame, size: int, row: str = "y", col: str = "x") -> DataFrame:
+    """The rows of a store's blocks that a mask (y, x) touches. The blocks are known when the query runs: the join on the partition
+    column prunes the files before they are opened. A mask of more blocks than may be sent is joined like any table."""
+    # the comparison holds for every block: Spark prunes by a side only if something selects its rows
+    touched = written(blocks_of(mask.select(row, col), size, row, col).select("block").distinct()).where(F.col("block") > -(1 << 62))
+    few = touched.count() <= SENT
+    return spark.read.parquet(path).join(F.broadcast(touched) if few else touched, "block", "left_semi")
+
+
+def write_clustered(df: DataFrame, path: str, x: str, y: str, box: tuple[float, float, float, float], zoom: int = 12, group_bytes: int | None = None) -> None:
+    """A Parquet table whose rows lie along the Hilbert curve of their places (x, y) in a box (w, s, e, n): files and row groups
+    cover small compact areas, so that the statistics of few of them meet a box that is asked for. Rows without a place come
+    first; places outside the box go to its edge."""
+    w, s, e, n = box
+    step = lambda c, low, high: F.least(F.lit((1 << zoom) - 1), F.greatest(F.lit(0), F.floor((F.col(c) - low) / (high - low) * (1 << zoom))))
+    placed = df.withColumn("hilbert_", scalars.hilbert(step(x, w, e), step(y, s, n), zoom))
+    out = placed.repartitionByRange("hilbert_").sortWithinPartitions("hilbert_").drop("hilbert_").write
+    (out.option("parquet.block.size", group_bytes) if group_bytes else out).parquet(path)
+
+
 def labelled_grid(df: DataFrame, row: str, col: str, value: str, cols: list) -> DataFrame:
     """A small grid from a long table: a row for each `row`, a column for each of `cols`."""
     return df.groupBy(row).pivot(col, cols).agg(F.first(value)).orderBy(row)

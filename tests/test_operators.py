@@ -228,8 +228,7 @@ def quantile(values, p):
     return values[low] + (values[high] - values[low]) * (at - low)
 
 
-def test_quantiles_by_bins_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(fold, "BINS", 8)
+def test_quantiles_by_digits_are_exact(spark):
     groups = {"a": [float(i * 37 % 101) ** 3 for i in range(500)], "b": [5.0] * 40 + [1e300, -1e300], "c": [2.5], None: [1e-9 * i for i in range(7)]}
     rows = [(k, v) for k, vs in groups.items() for v in vs] + [("a", None), ("a", float("nan")), ("d", None)]
     df = spark.createDataFrame(rows, "k string, v double")
@@ -307,3 +306,227 @@ def test_written_tables_can_be_deleted(spark):
     assert b.count() == 4 and a.written_path.startswith(tables.session_dir(spark))
     with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
         spark.read.parquet(a.written_path).count()
+
+
+def odd_doubles():
+    import random
+    import struct
+
+    rnd = random.Random(4)
+    some = [0.0, -0.0, math.inf, -math.inf, 5e-324, -5e-324, 2.0**-1022, 2.0**-1022 - 5e-324, 1.7e308, -1.7e308, 1.7976931348623157e308, 1.0, 2.0, 3.0, 0.1]
+    some += [f(2.0**e) for e in range(-1070, 1024, 37) for f in (lambda x: x, lambda x: -x, lambda x: math.nextafter(x, 0), lambda x: math.nextafter(x, math.inf))]
+    drawn = [struct.unpack("d", struct.pack("Q", rnd.getrandbits(64)))[0] for _ in range(500)]
+    return some + [x for x in drawn if not math.isnan(x)]
+
+
+def test_codes_keep_the_order_of_all_doubles(spark):
+    from gridloom.functions import scalars
+
+    values = odd_doubles()
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", scalars.ordered_code(F.col("v")).alias("code"))
+    rows = df.select("v", "code", scalars.coded_value(F.col("code")).alias("back")).collect()
+    assert all(r.v == r.back for r in rows)
+    in_order = sorted(rows, key=lambda r: r.v)
+    assert all((a.code < b.code) == (a.v < b.v) for a, b in zip(in_order, in_order[1:], strict=False))
+
+
+@pytest.mark.parametrize("values", [[1.0, 2.0, 3.0, math.inf], [-1.7e308, 0.0, 1.7e308], [-math.inf, 1.0], [0.0, -0.0, 5e-324], odd_doubles()])
+def test_quantiles_of_infinite_and_huge_values(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    ps = {f"p{k}": k / 8 for k in range(9)}
+    got = fold.quantiles_by(df, [], "v", ps).first()
+    values = sorted(values)
+    for name, p in ps.items():
+        at = (len(values) - 1) * p
+        low, high, part = values[math.floor(at)], values[math.ceil(at)], at % 1
+        if low == high or not part:
+            assert got[name] == low
+        elif math.isinf(low) and math.isinf(high):
+            assert math.isnan(got[name])
+        else:
+            assert got[name] == pytest.approx(low * (1 - part) + high * part)
+
+
+def test_counts_of_tiles_merge(spark):
+    df = spark.createDataFrame([("a", float(i * 7919 % 503)) for i in range(900)] + [(None, 1.0), ("a", None)], "k string, v double")
+    parts = fold.radix_counts(df.where("v < 200"), ["k"], "v").unionByName(fold.radix_counts(df.where("v >= 200"), ["k"], "v"))
+    assert sorted(map(tuple, fold.merged_counts(parts, ["k"]).select("digit", "n", "low", "high").collect())) == sorted(map(tuple, fold.radix_counts(df, ["k"], "v").select("digit", "n", "low", "high").collect()))
+
+
+def test_contraction_takes_time_that_grows_with_the_edges():
+    import time
+
+    import numpy as np
+
+    from gridloom.operators.components import roots
+
+    took = []
+    for n in (400_000, 800_000):
+        began = time.perf_counter()
+        u, v = np.empty(0, np.int64), np.empty(0, np.int64)
+        nodes, root = roots(np.concatenate([u, np.arange(n) * 2 + 1]), np.concatenate([v, np.arange(n) * 2]))
+        took.append(time.perf_counter() - began)
+        assert (root == nodes // 2 * 2).all()
+    assert took[1] < max(1.0, 3 * took[0])
+    chain, shuffled = np.arange(200_000), np.random.default_rng(1).permutation(199_999)
+    nodes, root = roots(chain[1:][shuffled], chain[:-1][shuffled])
+    assert (root == 0).all()
+
+
+def test_partitions_of_many_batches_are_contracted(spark, monkeypatch):
+    from gridloom.operators import components
+
+    edges = spark.range(60_000).select((F.col("id") * 7919 % 60_000).alias("v")).select((F.col("v") + 1).alias("u"), "v").coalesce(1)
+    kept = components.contract(edges)
+    assert kept.count() == 60_000 and kept.agg(F.max("v")).first()[0] == 0
+
+
+def cells_plain(points, level):
+    """The cells whose centre is inside a ring, by a test of every cell of the level."""
+    out = set()
+    for row in range(1 << level):
+        lat = math.degrees(math.asin((row + 0.5) / (1 << level) * 2 - 1))
+        for col in range(-(2 << level), 2 * (2 << level)):
+            lon = (col + 0.5) / (2 << level) * 360 - 180
+            hit = False
+            for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1], strict=True):
+                if (ay > lat) != (by > lat) and lon < (bx - ax) * (lat - ay) / (by - ay) + ax:
+                    hit = not hit
+            if hit:
+                out.add((level << 58) + (row << 29) + col % (2 << level))
+    return out
+
+
+RINGS = {
+    "comb": [(-100, 10), (-40, 10), (-40, 60), (-50, 15), (-60, 60), (-70, 15), (-80, 60), (-90, 15), (-100, 60)],
+    "speck": [(10.01, 10.01), (10.02, 10.01), (10.015, 10.02)],
+    "over": [(150, -30), (200, -50), (215, 20), (170, 30)],
+    "bow": [(0, 0), (40, 40), (40, 0), (0, 40)],
+    "pole": [(-170, 70), (170, 70), (170, 90), (-170, 90)],
+}
+
+
+def ringed(spark, names):
+    return spark.createDataFrame([(n, [(float(x), float(y)) for x, y in RINGS[n]], 1, "own") for n in names], "id string, ring array<struct<x:double,y:double>>, row int, edges string")
+
+
+@pytest.mark.parametrize("coarse", [2, 64])
+def test_cover_gives_the_same_cells_as_a_test_of_all(spark, monkeypatch, coarse):
+    monkeypatch.setattr(zones, "COARSE", coarse)
+    got = {}
+    for r in zones.fill_centres(ringed(spark, RINGS), 6).collect():
+        got.setdefault(r.id, set()).add(r.cell)
+    assert got == {n: c for n in RINGS if (c := cells_plain(RINGS[n], 6))}
+
+
+def test_cover_keeps_rows_small_and_edges_few(spark):
+    wavy = [(x / 10, 40 + 3 * math.sin(x) + (x % 7) / 10) for x in range(-900, 900)] + [(90.0, -40.0), (-90.0, -40.0)]
+    df = spark.createDataFrame([("wavy", wavy)], "id string, ring array<struct<x:double,y:double>>")
+    cover = zones.cover(df, 8).select("cell", "inside", F.size("edges").alias("n")).cache()
+    assert cover.where("inside AND n > 0").count() == 0 and cover.agg(F.max("n")).first()[0] < 900
+    assert cover.where("inside").count() > 5 * cover.where("NOT inside").count()
+    assert cover.count() == cover.select("cell").distinct().count()
+
+
+def test_points_in_rings_equal_a_plain_test(spark):
+    points = [(i, (i * 7919 % 3600) / 10 - 180, (i * 104729 % 1790) / 10 - 89.5) for i in range(4000)]
+    df = spark.createDataFrame(points, "p int, lon double, lat double")
+    got = {(r.p, r.id) for r in zones.points_in(df, ringed(spark, RINGS), 5).select("p", "id").collect()}
+
+    def inside(x, y, ring):
+        return sum((ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True)) % 2 == 1
+
+    assert got == {(i, n) for i, x, y in points for n, ring in RINGS.items() if any(inside(x + turn, y, ring) for turn in (-360, 0, 360))}
+
+
+def test_wind_and_missing_indices(spark):
+    """Vent cuts what a frame adds; a NaN is missing in every form; gaps are no steps of the fold and decay in the window."""
+    a = 2 ** (-1 / 6)
+    his, winds = [25.0, 30.0, math.nan, 28.0, None, 40.0], [0.0, 5.0, 1.0, 30.0, 2.0, None]
+    rows = [(1, f, hi, 0.0, w) for f, (hi, w) in enumerate(zip(his, winds, strict=True))]
+    df = spark.createDataFrame(rows, "cell int, f int, hi double, mm double, wind double")
+    load, expected = 0.0, [0.0]
+    for hi, w in list(zip(his, winds, strict=True))[1:]:
+        x = 0.0 if hi is None or math.isnan(hi) else max(0.0, hi - 20) * max(0.0, 1 - 0.5 * (w or 0.0) / 10)
+        load = a * load + (1 - a) * x
+        expected.append(load)
+    assert [r.load for r in heat.sustained(df, 6, 20, vent=0.5).orderBy("f").collect()] == pytest.approx(expected)
+    assert [r.load for r in heat.swept(df, [(9, 9), (6, 20, 0, 0.5)]).where("setting = 1").orderBy("f").collect()] == pytest.approx(expected)
+    windowed = [r.load for r in heat.sustained_window(df, 6, 20).orderBy("f").collect()]
+    assert windowed == pytest.approx([r.load for r in heat.sustained(df, 6, 20, include_first=True).orderBy("f").collect()]) and not any(map(math.isnan, windowed))
+    gap = df.where("f in (0, 1, 5)")
+    assert heat.sustained(gap, 6, 20, include_first=True).where("f = 5").first().load != pytest.approx(heat.sustained_window(gap, 6, 20).where("f = 5").first().load)
+
+
+def test_windows_of_several_blocks(spark):
+    """Half-lives so short that powers are counted anew many times in a film."""
+    rows = [(c, f, 20.0 + (f * 37 + c) % 11) for c in (1, 2) for f in range(3000)]
+    df = spark.createDataFrame(rows, "cell int, f int, hi double").withColumn("mm", F.lit(0.0))
+    got = {(r.cell, r.f): r.load for r in heat.sustained_window(df, 0.5, 22).collect()}
+    assert got == pytest.approx({(r.cell, r.f): r.load for r in heat.sustained(df, 0.5, 22, include_first=True).collect()}, abs=1e-9)
+
+
+def spoiled(path):
+    """Zeroes over all pages of a Parquet file; the footer stays."""
+    with open(path, "r+b") as f:
+        f.seek(-8, 2)
+        at = f.tell() - int.from_bytes(f.read(4), "little")
+        f.seek(4)
+        f.write(b"\0" * (at - 4))
+
+
+def test_extents_are_read_from_footers_alone(spark, tmp_path):
+    import glob
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = tmp_path / "t"
+    spark.range(400).select("id", (F.col("id") % 20 * 1.0).alias("x"), (F.col("id") / 20).alias("y")).repartitionByRange(4, "id").write.parquet(str(path))
+    expected = {(r.xmin, r.ymin, r.xmax, r.ymax) for r in tables.extent_index_by_scan(spark.read.parquet(str(path)).withColumn("file", F.col("_metadata.file_path")), "x", "y").collect()}
+    for f in glob.glob(f"{path}/part-*"):
+        spoiled(f)
+    index = tables.file_index(spark, str(path), "x", "y")
+    assert {tuple(r)[1:] for r in index.collect()} == expected and len(expected) == 4
+    with pytest.raises(Exception, match="parquet|Parquet|FAILED_READ_FILE|decompress|Expected"):
+        spark.read.parquet(str(path)).agg(F.sum("x")).collect()
+    table = pa.table({"x": [1.0, 2.0], "y": [3.0, 4.0]})
+    (tmp_path / "u").mkdir()
+    pq.write_table(table, tmp_path / "u" / "a.parquet", write_statistics=False)
+    pq.write_table(table, tmp_path / "u" / "b.parquet", row_group_size=1)
+    groups = tables.group_index(spark, str(tmp_path / "u"), "x", "y").collect()
+    assert sorted((r.file[-9:], r.row_group, r.rows, r.xmin, r.ymax) for r in groups) == [("a.parquet", 0, 2, None, None), ("b.parquet", 0, 1, 1.0, 3.0), ("b.parquet", 1, 1, 2.0, 4.0)]
+    index = tables.file_index(spark, str(tmp_path / "u"), "x", "y")
+    assert [r.file[-9:] for r in tables.files_over(index, 90, 90, 91, 91).collect()] == ["a.parquet"]
+
+
+def test_clustered_tables_touch_few_groups(spark, tmp_path):
+    df = spark.range(40_000).select("id", (F.col("id") * 7919 % 1000 / 10.0).alias("x"), (F.col("id") * 104729 % 997 / 10.0).alias("y"))
+    tables.write_clustered(df, str(tmp_path / "a"), "x", "y", (0.0, 0.0, 100.0, 100.0), group_bytes=1 << 14)
+    df.repartition(4).write.option("parquet.block.size", 1 << 14).parquet(str(tmp_path / "b"))
+    met = []
+    for name in "ab":
+        groups = tables.group_index(spark, str(tmp_path / name), "x", "y")
+        total = groups.agg(F.sum("rows")).first()[0]
+        met.append(tables.files_over(groups, 20, 20, 30, 30).agg(F.sum("rows")).first()[0] / total)
+    assert met[0] < 0.35 and met[1] == 1.0
+    index = tables.file_index(spark, str(tmp_path / "a"), "x", "y")
+    got = tables.read_over(spark, index, (20.0, 20.0, 30.0, 30.0), "x", "y", df.schema)
+    assert {r.id for r in got.collect()} == {r.id for r in df.where("x BETWEEN 20 AND 30 AND y BETWEEN 20 AND 30").collect()}
+
+
+def test_blocks_are_pruned_before_files_are_opened(spark, tmp_path):
+    import glob
+
+    cube = spark.range(20_000).select((F.col("id") % 40).cast("int").alias("x"), (F.col("id") / 40 % 50).cast("int").alias("y"), (F.col("id") / 2000).cast("int").alias("t"))
+    path = str(tmp_path / "store")
+    tables.write_blocks(cube, path, 10, ["t"])
+    mask = spark.createDataFrame([(3, 5), (4, 6), (45, 39)], "y int, x int")
+    got = tables.read_blocks(spark, path, mask, 10)
+    assert {r.block for r in got.select("block").distinct().collect()} == {0, 4 * 2**31 + 3}
+    assert got.count() == tables.in_blocks(cube, mask, 10).count() == 2000
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()
+    for f in glob.glob(f"{path}/block=*/part-*"):  # (4, 0) and (0, 3) as well
+        if "block=0/" not in f and f"block={4 * 2**31 + 3}/" not in f:
+            spoiled(f)
+    assert got.agg(F.sum("t")).first()[0] == tables.in_blocks(cube, mask, 10).agg(F.sum("t")).first()[0]
