@@ -5,8 +5,8 @@ places; their counts are damped, weighted by inverse document frequency and scal
 centroids, found by spherical k-means; a text takes the language of the centroid with the largest cosine. A text whose
 cosine is below what that centroid's own members have is rejected (`rejected`; as language `und` if so asked).
 
-The model is fitted on at most about `fit_docs` documents of each language, picked by a hash of their id, and is a few
-vectors for each language: small enough to send to every task. Prediction reads the text alone, whole.
+The model is fitted on at most `fit_docs` documents of each language, picked by a hash of id and text (rows alike in both count
+once, so rows without ids are picked like others), and is a few vectors for each language: small enough to send to every task. Prediction reads the text alone, whole.
 
 Null texts and texts without a letter are `und` with score 0, as is everything where nothing could be learned (no rows
 with text and language). Languages with fewer documents than centroids get fewer. Rows are independent; ties go to the
@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.base import apart, kept_schema, slices, with_columns, written
@@ -94,13 +94,17 @@ def clustered(v: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.n
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fit_docs: int = 1000, per_lang: int = 4, places: int = PLACES, spread: float = 4.0) -> Model:
-    """The model of the rows with text and language: about `fit_docs` of each language at most."""
-    usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sizes = {r[0]: r[1] for r in usable.groupBy(lang).count().collect()}
+    """The model of the rows with text and language: `fit_docs` of each language at most."""
+    # rows that are alike in id and text count once: a row's place in the sample is a hash of both
+    usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("place"))
+    sizes = {r[0]: r[1] for r in usable.groupBy("lang").agg(F.approx_count_distinct("place", 0.02)).collect()}
     if not sizes:
         return Model([], np.ones(places, np.float32), np.zeros((0, places), np.float32), np.zeros(0, np.int64), np.zeros(0))
-    part = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, fit_docs / n))]), F.col(lang))
-    picked = usable.where((F.shiftrightunsigned(F.xxhash64(doc_id), 11) * 2.0**-53) < part)
+    part = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 1.1 * fit_docs / max(1, n)))]), F.col("lang"))
+    likely = usable.where((F.shiftrightunsigned("place", 11) * 2.0**-53) < part).dropDuplicates(["lang", "place"])
+    # a little more than fit_docs of each language are left: the rank makes the bound hard
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("place", 11), "place"))
+    picked = likely.withColumn("rank", rank).where(F.col("rank") <= fit_docs).select("id", "lang", "place", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,10 +112,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
                 found = [counts(t, places) for t in texts]
                 held = [np.flatnonzero(c) if c is not None else np.empty(0, np.int64) for c in found]
                 values = [c[at] if c is not None else at for c, at in zip(found, held, strict=True)]
-                yield with_columns(group, ["id", "lang"], at=pa.array(held, pa.list_(pa.int32())), n=pa.array(values, pa.list_(pa.int32())))
+                yield with_columns(group, ["id", "lang", "place"], at=pa.array(held, pa.list_(pa.int32())), n=pa.array(values, pa.list_(pa.int32())))
 
-    named = picked.select(F.col(doc_id).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sample = written(named.mapInArrow(features, "id string, lang string, at array<int>, n array<int>").where(F.size("at") > 0))
+    sample = written(picked.mapInArrow(features, "id string, lang string, place bigint, at array<int>, n array<int>").where(F.size("at") > 0))
     total = sample.count()
     seen = np.zeros(places, np.int64)
     for place, n in sample.select(F.explode("at").alias("at")).groupBy("at").count().collect():
@@ -119,7 +122,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
 
     def centres(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by([("id", "ascending")])
+        group = group.sort_by([("id", "ascending"), ("place", "ascending")])
         dense = np.zeros((group.num_rows, places), np.float32)
         for i, (at, n) in enumerate(zip(group["at"].to_pylist(), group["n"].to_pylist(), strict=True)):
             dense[i, at] = n
