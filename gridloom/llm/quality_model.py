@@ -24,7 +24,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.base import apart, kept_schema, slices, with_columns, written
@@ -135,15 +135,21 @@ def gradient(params: np.ndarray, at: np.ndarray, value: np.ndarray, row: np.ndar
 
 
 def fit(docs: DataFrame, grades: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", fit_rows: int = 6000, places: int = PLACES) -> Model | None:
-    """The model of (doc_id, grade) rows whose documents are in docs: about `fit_rows` of them at most; None without two grades."""
-    rated = grades.select(F.col(doc_id).cast("string").alias("id"), F.col(grade).cast("int").alias("grade")).where("id is not null and grade is not null")
+    """The model of (doc_id, grade) rows whose documents are in docs: `fit_rows` of them at most, repeated rows once; None without two grades."""
+    rated = grades.select(F.col(doc_id).cast("string").alias("id"), F.col(grade).cast("int").alias("grade")).where("id is not null and grade is not null").distinct()
     total = rated.count()
     if not total:
         return None
-    part = min(1.0, fit_rows / total)
-    sample = rated.where(F.shiftrightunsigned(F.xxhash64("id", F.lit(5)), 11) * 2.0**-53 < part)
+    share = lambda n: min(1.0, 1.1 * fit_rows / n)
+    place = lambda *c: F.shiftrightunsigned(F.xxhash64(*c, F.lit(5)), 11) * 2.0**-53
+    sample = rated.where(place("id") < share(total))
     # at most about fit_rows small rows: the side that is sent is bounded
-    picked = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id")
+    met = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id")
+    met = met.withColumn("place", place("id", "text", "grade"))
+    # an id may have any number of rows: their distinct texts are sampled once more, and ranked for a hard bound
+    count = met.agg(F.approx_count_distinct("place", 0.02)).first()[0]
+    likely = met.where(F.col("place") < share(max(1, count))).dropDuplicates(["id", "place", "grade"])
+    picked = likely.withColumn("rank", F.row_number().over(Window.orderBy("place", "id", "grade"))).where(F.col("rank") <= fit_rows)  # about fit_rows rows
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features(places)
