@@ -6,12 +6,15 @@ its source's target over its size; their prefix sums run through the source in o
 octave), then of a hash, start at one random offset, and the document is taken once for each whole number that they
 cross. Neighbours in that order are of like size, so what a source gives comes near its target.
 
-The prefix sums take two levels, as no source may go through one task: rows are counted in cells of a size step and a
-hash range (about the square root of the step's rows in each), cells are summed within a source, rows within a cell. Ranks
-and the join with the sums share one dealing of the rows, by a source's name that is never null.
+The prefix sums take three levels, as no source may go through one task: rows are counted in cells of a size step and a
+hash range (about the square root of the step's rows in each), cells are summed within a source, hashes within a cell, and
+rows that are alike within a hash. Those (rows without id and text, or copies that share an id) may be most of a source: they
+are dealt over `ALIKE` shares by their place in the table, so that neither a count nor a rank sees them all. Ranks and the join
+with the sums share one dealing of the rows, by a source's name that is never null.
 
 Null texts have size 0; so do blank ones. Null ids and repeated rows are rows like others: a row's place is a hash of its id
-and its text, so rows of one id (or of none) lie apart, and rows that are alike in both share the copies that fall to them.
+and its text, so rows of one id (or of none) lie apart, and rows that are alike in both share the copies that fall to them, in the
+order of their places in the table.
 Sources without a word have target 0. Sources are few, as a source is what a weight is set for: one row of each goes through
 one window. An empty table gives an empty table. Reruns agree: the order and the offset depend only on the rows and the seed.
 Carried columns with the name of a new one are handed on as `<name>_before`.
@@ -27,6 +30,8 @@ from gridloom.llm.base import apart, words, written
 WEIGHTS = (5, 2, 1)
 #: Documents with fewer rows in a size step than this many squared have a single cell there.
 SPREAD = 4
+#: Shares over which rows that are alike in id and text are dealt.
+ALIKE = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -71,18 +76,25 @@ def systematic_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "so
     step = F.when(F.col("size") < 16, F.col("size")).otherwise(bits * 16 + F.call_function("shiftrightunsigned", F.col("size"), bits - 5) % 16)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), key.alias("key"), *carried)
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias("name")
-    rows = written(rows.withColumns({"step": step.cast("int"), "name": named("source")}))
+    rows = written(rows.withColumns({"step": step.cast("int"), "name": named("source"), "share": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(ALIKE)).cast("int")}))
     targets = source_targets(rows, weights, percent, most).select("source_size", "target", named("source"))
     cells = rows.groupBy("name", "step").agg(F.ceil(F.sqrt(F.count(F.lit(1))) / SPREAD).cast("long").alias("cells"))
     place = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("cells") / F.lit(float(1 << 32))).cast("int")
-    placed = rows.join(cells, ["name", "step"]).withColumn("cell", place).drop("cells")
-    counts = placed.groupBy("name", "step", "cell").agg(F.count(F.lit(1)).alias("n"))
+    # a row for each hash: rows that are alike are counted where they are read, then by share
+    shares = rows.groupBy("name", "step", "key", "share").agg(F.count(F.lit(1)).alias("n"))
+    alike = shares.groupBy("name", "step", "key").agg(F.sort_array(F.collect_list(F.struct("share", "n"))).alias("shares"), F.sum("n").alias("n"))
+    placed = alike.join(cells, ["name", "step"]).withColumn("cell", place).drop("cells")
+    counts = placed.groupBy("name", "step", "cell").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("name").orderBy("step", "cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("name", "step", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     starts = starts.join(targets, "name")
-    within = Window.partitionBy("name", "step", "cell").orderBy("key", "doc_id", "size", *([F.xxhash64("carried")] if carry else []))
-    ranked = placed.withColumn("rank", F.row_number().over(within))
-    joined = ranked.join(starts, ["name", "step", "cell"])
+    within = Window.partitionBy("name", "step", "cell").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.withColumn("earlier", F.coalesce(F.sum("n").over(within), F.lit(0))).join(starts, ["name", "step", "cell"])
+    upto_share = lambda i: F.aggregate(F.slice("shares", F.lit(1), i), F.lit(0).cast("long"), lambda t, x: t + x["n"])
+    begun = F.transform("shares", lambda x, i: F.struct(x["share"].alias("share"), (F.col("start") + F.col("earlier") + upto_share(i)).alias("start")))
+    sums = ranked.select("name", "step", "key", "source_size", "target", F.inline(begun))
+    own = Window.partitionBy("name", "step", "key", "share").orderBy("doc_id", *([F.xxhash64("carried")] if carry else []))
+    joined = rows.withColumn("rank", F.row_number().over(own)).join(sums, ["name", "step", "key", "share"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce("source", F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     upto = lambda n: F.floor(n * F.col("rate") + F.col("offset"))
