@@ -1,16 +1,20 @@
 """Personal data replaced by keyed surrogates of the same type, script, gender and format.
 
-Detected: e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers, social security numbers, secrets
-(long hexadecimal strings, keys with a known prefix) and names of persons: a given name from a list with a surname of the
-same script (middle initials, particles, inner capitals, apostrophes, hyphens and accents included), a name after a title,
-and then the bare given names and surnames of those persons in the same text.
+Detected: e-mail addresses, telephone numbers, IPv4, IPv6 and MAC addresses, payment card numbers, international bank account
+numbers (those whose check digits hold), social security numbers, secrets (long hexadecimal strings, keys with a known prefix)
+and names of persons: a given name from a list with a surname of the same script (middle initials, particles, inner
+capitals, apostrophes, hyphens and accents included; all in capitals as well), a name after a title, and then the bare given
+names and surnames of those persons in the same text. Names beyond the list, street addresses, dates of birth and passport
+numbers are not found; an address such as maria.schmidt@ and the name beside it get surrogates that don't show their tie.
 
 A surrogate comes from a keyed permutation of all strings of its form, so that equal entities always get equal surrogates
 (coreference, in all documents) and different entities of a form never share one (distinctness). The permutation is one
 cycle, so that nothing is its own surrogate. Letters stay letters of their script, case and kind of accent, digits stay
 digits, punctuation stays; card numbers keep their first digit and whether their check digit holds, telephone numbers a
-valid area code; given names come from the list of the same script and gender; a surname has one surrogate, whatever given
-name stands before it, so families stay together.
+valid area code, bank accounts their country and valid check digits; network addresses stay in their block (private, loopback,
+multicast, public, and so on). Given names come from the list of the same script and gender; a surname has one surrogate,
+whatever given name stands before it, and endings that tell the gender stay while the stem changes, so families stay
+together. Letters of one language's Cyrillic stay in it.
 
 `collisions` checks distinctness and coreference over a whole corpus by joining nothing: entities are summed by their
 surrogate; `real` counts surrogates that equal an entity of the corpus. `surrogate_texts` takes the first attempt of the key
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections import Counter
@@ -40,14 +45,19 @@ from gridloom.llm.base import apart, discard, kept_schema, slices, with_columns,
 
 # Given names by script and gender, and forms of surnames by script.
 GIVEN = {
-    ("latin", "f"): "Alice Anna Barbara Carmen Clara Diana Elena Emma Eva Greta Hannah Helen Ingrid Isabel Jane Julia Karen Laura Linda Lucia Maria Marta Mary Nina Olga Paula Rosa Sara Sofia Susan Teresa Ursula".split(),
-    ("latin", "m"): "Albert Andrew Anton Carlos Charles Daniel David Edward Erik Felix Frank George Hans Henry Hugo Ivan James Jean John Jorge Karl Louis Luis Mark Martin Michael Oliver Paul Peter Robert Thomas Victor".split(),
+    ("latin", "f"): "Aisha Alice Ananya Anna Barbara Carmen Clara Diana Elena Emma Eva Fatima Giulia Greta Hannah Helen Ingrid Isabel Jane Julia Karen Khadija Laura Leila Linda Lucia Maria Marta Mary Mei Nina Olga Paula Priya Rosa Sakura Sara Sofia Susan Teresa Ursula Wanjiru Yuki Zainab Zeynep".split(),
+    ("latin", "m"): "Abdul Ahmed Albert Amit Andrew Anton Carlos Charles Chidi Daniel David Edward Erik Felix Frank George Giovanni Hans Hassan Henry Hiroshi Hugo Ibrahim Ivan James Jean John Jorge Karl Kenji Kwame Louis Luis Mark Martin Mehmet Michael Mohammed Oliver Omar Paul Peter Rahul Raj Robert Thomas Victor Wei Yusuf".split(),
     ("cyrillic", "f"): "Анна Вера Дарья Елена Ирина Лариса Мария Нина Ольга Светлана Софья Татьяна".split(),
     ("cyrillic", "m"): "Андрей Борис Виктор Дмитрий Иван Михаил Николай Олег Павел Пётр Сергей Юрий".split(),
     ("greek", "f"): "Άννα Ελένη Ειρήνη Κατερίνα Μαρία Σοφία".split(),
     ("greek", "m"): "Ανδρέας Γιώργος Δημήτρης Κώστας Νίκος Πέτρος".split(),
 }
 GENDER = {name: kind for kind, names in GIVEN.items() for name in names}
+#: The same names in capitals, as they are written before a surname in capitals.
+CAPITALS = {name.upper(): name for name in GENDER if len(name) > 2}
+# Endings of surnames that tell the gender; each is kept. Letters of Russian and of Ukrainian.
+ENDINGS = tuple("ский ская цкий цкая ов ова ев ева ёв ёва ин ина ын ына ová ská cká ská ski cki ska cka ską".split())
+ALPHABETS = ("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "абвгґдеєжзиіїйклмнопрстуфхцчшщьюя")
 # Titles before a name, and particles inside one.
 TITLES = set("Mr Mrs Ms Miss Dr Prof Herr Frau Sr Sra Srta Señor Señora Mme Mlle Monsieur Madame Signor Signora".split())
 PARTICLES = "van von der den de la del di da dos du le bin al el".split()
@@ -73,6 +83,23 @@ def class_of(c: str) -> str:
     return "".join(x for x in map(chr, range(first, first + 64)) if unicodedata.category(x) == kind and x not in CLASS_OF)
 
 
+def alphabet(word: str) -> str:
+    """The Cyrillic letters of the language that a word's own letters are of: Ukrainian with a letter of its own, else Russian; "" of
+    words in other scripts."""
+    low = word.lower()
+    if not any("\u0400" <= c <= "\u04ff" for c in low):
+        return ""
+    return ALPHABETS[any(c in ALPHABETS[1] and c not in ALPHABETS[0] for c in low)]
+
+
+def parted(surname: str) -> tuple[str, str]:
+    """(stem, ending) of a surname; no ending where it has none that tells the gender, or hardly a stem."""
+    for ending in sorted(ENDINGS, key=len, reverse=True):
+        if surname.endswith(ending) and len(surname) - len(ending) >= 2:
+            return surname[: -len(ending)], ending
+    return surname, ""
+
+
 @lru_cache(1 << 14)
 def script(c: str) -> str:
     return unicodedata.name(c, "").split(" ")[0].lower()
@@ -86,14 +113,20 @@ NUMBERS = re.compile(
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     r"|(?P<phone>(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+[2-9]\d{0,2}(?:[ .-]?\d{2,4}){2,5})(?!\w))"
 )
+#: Addresses with colons, led by hexadecimal digits or a colon; accounts of banks, led by a country.
+COLONS = re.compile(r"(?<![\w:.])(?:(?P<mac>[0-9A-Fa-f]{2}(?P<sep>[:-])(?:[0-9A-Fa-f]{2}(?P=sep)){4}[0-9A-Fa-f]{2})|(?P<ipv6>(?:[0-9A-Fa-f]{1,4})?(?::[0-9A-Fa-f]{0,4}){2,7}))(?![\w:]|\.\d)")
+IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+# Blocks of IPv4 and IPv6 addresses that serve one purpose.
+BLOCKS = tuple(map(ipaddress.ip_network, "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.168.0.0/16 224.0.0.0/4 240.0.0.0/4 fc00::/7 fe80::/10 ff00::/8 2000::/3".split()))
 EMAIL_RIGHT = re.compile(r"@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}")
 SECRET = re.compile(r"(?<![0-9A-Za-z])(?:(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,}|(?:AKIA|ghp_|sk-|sk_live_|xox[bp]-)[0-9A-Za-z_-]{16,})(?![0-9A-Za-z])")
 LONG = re.compile(r"[0-9A-Za-z_-]{20,}")
 #: A capitalised word before a space, to be looked up; what may stand between a given name and a surname; a surname.
 CAPITAL = re.compile(r"[A-ZА-ЯΑ-ΩΆ-Ώ][^\W\d_]+(?=\.?[ \t\n])")
+SHOUTED = re.compile(r"[ \t\n]((?:[^\W\d_a-zà-ÿ]['’-]?)+[^\W\d_a-zà-ÿ])(?!\w)")
 BETWEEN = re.compile(rf"[ \t\n](?:[^\W\d_]\.[ \t\n])?(?:(?:{'|'.join(PARTICLES)})[ \t\n])*")
 SURNAME = re.compile(r"[^\W\d_](?:['’-]?[^\W\d_])+(?!\w)")
-TYPES = ("email", "phone", "ip", "card", "ssn", "secret", "person")
+TYPES = ("email", "phone", "ip", "card", "ssn", "secret", "person", "ipv6", "mac", "iban")
 #: Kinds of spans that count as persons.
 PERSONS = ("person", "surname", "given")
 
@@ -121,6 +154,10 @@ def persons(text: str) -> list[tuple[int, int, str]]:
                 spans.append((start, stop, "person"))
                 bare.setdefault(word, "given")
                 bare[text[between.end() : stop]] = "surname"
+        elif word in CAPITALS and not text[start - 1 : start].isalnum():
+            loud = SHOUTED.match(text, end)
+            if loud and loud[1].isupper() and all(script(c) == GENDER[CAPITALS[word]][0] for c in loud[1] if c.isalpha()):
+                spans.append((start, loud.end(), "person"))
         elif word in TITLES and not text[start - 1 : start].isalnum():
             at = end + 1 + (text[end] == ".")
             stop = surname_end(text, at, None)
@@ -132,6 +169,21 @@ def persons(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
+def unmasked(text: str) -> ipaddress.IPv6Address | None:
+    """The address that a text is; None for what only looks like one, and for the addresses of no host and of the host itself."""
+    try:
+        address = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    return address if int(address) > 1 else None
+
+
+def account_remainder(text: str) -> int:
+    """Of a bank account number by 97, its first four characters put last: 1 where the check digits hold."""
+    plain = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
 def found(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a text, in order, apart from each other; earlier and longer ones first."""
     if not text:
@@ -152,6 +204,11 @@ def found(text: str | None) -> list[tuple[int, int, str]]:
         at = text.find("@", floor)
     for near in NUMERIC.finditer(text):
         spans += [(m.start(), m.end(), m.lastgroup) for m in NUMBERS.finditer(text, near.start(), near.end() + 1)]
+    if ":" in text or "-" in text:
+        for m in COLONS.finditer(text):
+            if m.lastgroup == "sep" or m["mac"] or unmasked(m["ipv6"]):
+                spans.append((m.start(), m.end(), "mac" if m["mac"] else "ipv6"))
+    spans += [(m.start(), m.end(), "iban") for m in IBAN.finditer(text) if account_remainder(m[0]) == 1]
     for near in LONG.finditer(text):
         spans += [(m.start(), m.end(), "secret") for m in SECRET.finditer(text, near.start(), near.end() + 1)]
     spans += persons(text)
@@ -196,12 +253,17 @@ class Surrogates:
         seed = tweak + bytes([r]) + x.to_bytes(96, "little")
         return int.from_bytes(hashlib.blake2b(seed, key=self.key, digest_size=64).digest() * (bits // 512 + 1), "little")
 
-    def _formed(self, text: str, kind: str, chars: str | None = None) -> str:
-        """A string of the same form: each character of its class (or of `chars`), the others as they are."""
+    def _formed(self, text: str, kind: str, chars: str | None = None, classed: bool = False) -> str:
+        """A string of the same form: each character of its class (or of `chars`; if `classed`, those of its class that are in chars),
+        the others as they are."""
         if len(text) > 96:  # bounded pieces, each under the one before
             head, tail = text[:96], text[96:]
-            return self.formed(head, kind, chars) + self.formed(tail, kind + hashlib.sha256(head.encode()).hexdigest()[:16], chars)
-        which = [class_of(c) if chars is None else chars if c in chars else "" for c in text]
+            return self.formed(head, kind, chars, classed) + self.formed(tail, kind + hashlib.sha256(head.encode()).hexdigest()[:16], chars, classed)
+        if classed:
+            which = ["".join(x for x in class_of(c) if not chars or x.lower() in chars) for c in text]
+            which = [k if c in k else "" for c, k in zip(text, which, strict=True)]
+        else:
+            which = [class_of(c) if chars is None else chars if c in chars else "" for c in text]
         form = "".join(k[0] if k else c for c, k in zip(text, which, strict=True))
         x, size = 0, 1
         for c, k in zip(text, which, strict=True):
@@ -241,9 +303,44 @@ class Surrogates:
         fits = (lambda x: (x[0] in "01") == (rest[0] in "01")) if local else (lambda x: True)
         return self.refilled(text, head + self.digits(rest, "phone" if local else "phone" + head, fits))
 
+    def placed(self, address: ipaddress.IPv4Address | ipaddress.IPv6Address) -> int:
+        """Another address of the same block: all bits behind the block's, or, outside all blocks, walked among those outside."""
+        x, bits = int(address), address.max_prefixlen
+        mine = [b for b in BLOCKS if b.version == address.version]
+        for b in mine:
+            if address in b:
+                low, size = int(b.network_address), b.num_addresses
+                return low + self.permuted(x - low, size, f"ip {b}".encode())
+        ends = [(int(b.network_address), int(b.broadcast_address)) for b in mine]
+        x = self.permuted(x, 1 << bits, b"ip")
+        while any(low <= x <= high for low, high in ends) or x < 2:
+            x = self.permuted(x, 1 << bits, b"ip")
+        return x
+
     def ip(self, text: str) -> str:
         x = int.from_bytes(bytes(map(int, text.split("."))), "big")
-        return ".".join(map(str, self.permuted(x, 1 << 32, b"ip").to_bytes(4, "big")))
+        return str(ipaddress.IPv4Address(self.placed(ipaddress.IPv4Address(x))))
+
+    def ipv6(self, text: str) -> str:
+        made = ipaddress.IPv6Address(self.placed(ipaddress.IPv6Address(text)))
+        out = made.compressed if "::" in text else ":".join(f"{int(g, 16):x}" for g in made.exploded.split(":"))
+        return out.upper() if text.upper() == text and text.lower() != text else out
+
+    def mac(self, text: str) -> str:
+        """The bits that say whether an address is of one card or many, and who has given it out, stay."""
+        x = int(text.replace(text[2], ""), 16)
+        kind = x >> 40 & 3
+        rest = self.permuted((x >> 42) << 40 | x & ((1 << 40) - 1), 1 << 46, b"mac %d" % kind)
+        x = (rest >> 40) << 42 | kind << 40 | rest & ((1 << 40) - 1)
+        out = text[2].join(f"{x:012x}"[i : i + 2] for i in range(0, 12, 2))
+        return out.upper() if text.upper() == text and text.lower() != text else out
+
+    def iban(self, text: str) -> str:
+        plain = text.replace(" ", "")
+        body = self.formed(plain[4:], f"iban {plain[:2]}")
+        check = 98 - account_remainder(f"{plain[:2]}00{body}")
+        it = iter(f"{plain[:2]}{check:02d}{body}")
+        return "".join(c if c == " " else next(it) for c in text)
 
     def email(self, text: str) -> str:
         low = text.lower()
@@ -255,6 +352,8 @@ class Surrogates:
 
     def _person(self, text: str) -> str:
         parts = re.split(r"([ \t\n]+)", text)
+        if parts[0] in CAPITALS:
+            return self.given(CAPITALS[parts[0]]).upper() + "".join(parts[1:-1]) + self.surname(parts[-1])
         middle = "".join(self.formed(p, "initial") if p.endswith(".") else p for p in parts[1:-1])
         return self.given(parts[0]) + middle + self.surname(parts[-1])
 
@@ -263,7 +362,13 @@ class Surrogates:
         return names[self.permuted(names.index(name), len(names), " ".join(GENDER[name]).encode())]
 
     def surname(self, name: str) -> str:
-        return self.formed(name, "surname")
+        """The stem in letters of its own language, under the ending; walked until it reads as a stem and an ending of the same kind."""
+        stem, ending = parted(name)
+        letters = alphabet(stem)
+        new = self.formed(stem, "surname" + letters[:4], letters or None, True)
+        while parted(new + ending) != (new, ending) or alphabet(new) != letters:
+            new = self.formed(new, "surname" + letters[:4], letters or None, True)
+        return new + ending
 
     def of(self, entity: str, kind: str) -> str:
         if kind == "ssn":
@@ -286,8 +391,12 @@ def check_digit(digits: list[int]) -> int:
 
 def canonical(entity: str, kind: str) -> str:
     """What two mentions of one entity have in common."""
-    if kind == "email":
-        return entity.lower()
+    if kind in ("email", "mac"):
+        return entity.lower().replace("-", ":") if kind == "mac" else entity.lower()
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(entity).compressed
+    if kind == "iban":
+        return entity.replace(" ", "")
     if kind in ("card", "phone"):
         d = "".join(c for c in entity if c.isdigit())
         if kind == "phone":
