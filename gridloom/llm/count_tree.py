@@ -7,7 +7,8 @@ shingle. Documents without a word (null, empty or blank text) have an empty set
 Shingles are hashed into groups, a power of two between once and twice the set's size; a set's counts by group are its point.
 Two sets share no more shingles than the coordinate minima of their points add up to. An R-tree over points bounds all that a
 node holds at once, by the largest count of each coordinate and the smallest size; points of the next power of two are folded in
-half, as sizes that can link differ by less. What a tree lets through is verified on the full sets.
+half, as sizes that can link differ by less. What a tree lets through is verified on the full sets. Points take two bits a
+group; trees with the same members are one.
 
 One tree over all points would not do: random points of hundreds of coordinates lie in boxes that overlap, wherever they are
 cut. So points are dealt to many small trees: in one order of all shingles, the rarest first, sets that link share one of their
@@ -15,12 +16,12 @@ first |set| - ceil(percent / 100 * |set|) + 1 (any order is exact; frequencies c
 slots over all documents). Each shared shingle names a tree of the sets that have it among their first ones. Boilerplate is
 frequent, so it comes last and names few trees.
 
-Equal sets are one point (an aggregate, so a third of all rows may be copies). Each tree's most central member is asked first
-against the tree; of what these links connect, only trees that still hold several parts are searched on: the members outside a
-tree's largest part against all of it. Members of trees of more than BLOCK points are first dealt anew, by all that they hold in
-one of so many groups that sets that link are the same in one at least; trees that are still larger are searched in blocks of
-BLOCK points. Links between documents that are connected already are not looked for. Points travel to the blocks, sets only
-for pairs that a tree lets through.
+Equal sets are one point (an aggregate, so a third of all rows may be copies). The most central member of each tree but the
+smallest is asked first against the tree; of what these links connect, only trees that still hold several parts are searched
+on: the members outside a tree's largest part against all of it. Trees whose members another tree has are left out, so that
+copies of one text, which share all their first shingles, are in few trees; trees of more than BLOCK points are searched in
+blocks. Links between documents that are connected already are not looked for. Points travel to the blocks, texts only for
+pairs that a tree lets through.
 
 A document without an id takes part in no link; its component is null. Rows that repeat an id are one node. Ties go to the
 smallest id. An empty table gives an empty table; other columns play no part.
@@ -33,16 +34,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import slices, written
+from gridloom.llm.base import discard, slices, written
 from gridloom.llm.components import components
-from gridloom.llm.near_dup import Shingler, copies, equal_sets, grouped, hashed, mixed, named, prefix_size
+from gridloom.llm.shingles import Shingler, U, copies, equal_sets, grouped, hashed, named, prefix_size
 
-U = np.uint64
 #: Slots of the frequency sketch, and of one of its parts; points of a block and of a leaf; the fewest groups.
-SLOTS, SLOT_PART, BLOCK, LEAF, LEAST = 1 << 18, 1 << 12, 256, 8, 8
+SLOTS, SLOT_PART, BLOCK, LEAF, LEAST = 1 << 18, 1 << 12, 512, 8, 8
+#: Members from which on a tree's most central one is asked before the others.
+LED = 9
 
 
 def frequencies(docs: DataFrame, width: int, slots: int = SLOTS) -> np.ndarray:
@@ -112,24 +114,30 @@ def sketched(docs: DataFrame, width: int, percent: int, often: np.ndarray) -> Da
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, fingerprint binary, keys array<bigint>")
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    """A set's counts by group."""
+def point(s: np.ndarray) -> bytes:
+    """A set's counts by group, two bits each: counts over 3 are 3, what that loses is known from the set's size."""
     groups = max(LEAST, 1 << (len(s) - 1).bit_length())
-    return np.minimum(np.bincount((s >> U(20) & U(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8)
+    counts = np.minimum(np.bincount((s >> U(20) & U(groups - 1)).astype(np.int64), minlength=groups), 3).astype(np.uint8).reshape(-1, 4)
+    return (counts[:, 0] | counts[:, 1] << 2 | counts[:, 2] << 4 | counts[:, 3] << 6).tobytes()
+
+
+def unpacked(packed: bytes) -> np.ndarray:
+    four = np.frombuffer(packed, np.uint8)
+    return np.stack([four & 3, four >> 2 & 3, four >> 4 & 3, four >> 6], axis=1).reshape(-1)
 
 
 def pointed(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, size, point, members) of the columns (doc_id, text)."""
+    """(doc_id, size, point, text) of the columns (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
             for part, texts in slices(batch, "text", 1 << 20):
                 sets = [shingler.set_of(t) for t in texts]
-                cols = [pa.array([len(s) for s in sets], pa.int32()), pa.array([point(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), *cols], names=["doc_id", "size", "point", "members"])
+                cols = [pa.array([len(s) for s in sets], pa.int32()), pa.array([point(s) for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols, part.column(1)], names=["doc_id", "size", "point", "text"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, size int, point binary, members binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, size int, point binary, text string")
 
 
 class Tree:
@@ -139,7 +147,7 @@ class Tree:
         self.at = np.arange(len(points)) if at is None else at
         own, n = points[self.at], sizes[self.at]
         self.high, self.least, self.most = own.max(axis=0), int(n.min()), int(n.max())
-        self.lost = int((n - own.sum(axis=1, dtype=np.int64)).max())  # of counts over 255
+        self.lost = int((n - own.sum(axis=1, dtype=np.int64)).max())  # of counts that are too large for a point
         self.below: list[Tree] = []
         if len(self.at) > LEAF:
             low = own.min(axis=0)
@@ -178,7 +186,7 @@ def bounded_pairs(asked: list[bytes], asked_sizes: np.ndarray, own: list[bytes],
     """(asked, own): all pairs whose bound reaches percent, found through trees by the number of groups."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
     levels = [np.array([len(p) for p in side]) for side in (asked, own)]
-    rows = lambda side, at: np.stack([np.frombuffer(side[i], np.uint8) for i in at])
+    rows = lambda side, at: np.stack([unpacked(side[i]) for i in at])
     for width in np.unique(np.concatenate(levels)):
         q, q2 = (np.flatnonzero(levels[0] == w) for w in (width, 2 * width))
         o, o2 = (np.flatnonzero(levels[1] == w) for w in (width, 2 * width))
@@ -195,25 +203,31 @@ def bounded_pairs(asked: list[bytes], asked_sizes: np.ndarray, own: list[bytes],
 
 
 def searched(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) that a tree lets through, of rows (block, side, doc_id, part, size, point): those of side 0 are asked against
-    the tree of side 1; members of one part are not paired."""
-    dealt = rows.select("block", "side", "doc_id", "part", "size", "point").repartition("block").sortWithinPartitions("block", "side")
-
-    def pairs(sides: list[int], ids: list[int], parts: list[int], sizes: list[int], points: list[bytes]) -> Iterator[pa.RecordBatch]:
-        a = [i for i, s in enumerate(sides) if s == 0]
-        b = [i for i, s in enumerate(sides) if s == 1]
-        if not a or not b:
-            return
+    """Pairs (u, v) that a tree lets through, of rows (block, side, doc_id, part, size, point).
+
+    Those of side 0 are asked against the tree of side 1. Of a block whose rows have no side, all are in the tree, and those that are
+    not of its largest part are asked. Members of one part are not paired."""
+    dealt = rows.select("block", "side", "doc_id", "part", "size", "point").repartition("block").sortWithinPartitions("block")
+
+    def pairs(sides: list[int | None], ids: list[int], parts: list[int], sizes: list[int], points: list[bytes]) -> Iterator[pa.RecordBatch]:
         size, part, ident = np.array(sizes, np.int64), np.array(parts, np.int64), np.array(ids, np.int64)
+        if sides and sides[0] is None:
+            names, at, counts = np.unique(part, return_inverse=True, return_counts=True)
+            a, b = np.flatnonzero(at != counts.argmax()), np.arange(len(ids))
+        else:
+            side = np.array(sides, np.int64)
+            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(a) or not len(b):
+            return
         i, j = bounded_pairs([points[k] for k in a], size[a], [points[k] for k in b], size[b], percent)
-        i, j = np.array(a)[i], np.array(b)[j]
+        i, j = a[i], b[j]
         keep = (part[i] != part[j]) & (ident[i] != ident[j])
         i, j = ident[i[keep]], ident[j[keep]]
         if len(i):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: str | None = None
+        now: object = None
         held: list[list] = [[] for _ in range(5)]
         for batch in batches:
             for part, points in slices(batch, "point"):
@@ -229,17 +243,21 @@ def searched(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
-def verified(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, points: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v) that link, by their full sets."""
-    sets = points.select("doc_id", "members")
+    texts = points.select("doc_id", "text")
     # both sides are tables, so that joins are free to split an id that many pairs have
-    both = written(pairs.distinct()).join(sets.withColumnsRenamed({"doc_id": "u", "members": "a"}), "u").join(sets.withColumnsRenamed({"doc_id": "v", "members": "b"}), "v")
+    both = written(pairs.distinct()).join(texts.withColumnsRenamed({"doc_id": "u", "text": "a"}), "u").join(texts.withColumnsRenamed({"doc_id": "v", "text": "b"}), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        last: tuple[object, np.ndarray] = (None, np.empty(0, U))
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_py(), U), np.frombuffer(b.as_py(), U)
+            for v, a, b in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if v != last[0]:
+                    last = v, shingler.set_of(b.as_py())
+                x, y = shingler.set_of(a.as_py()), last[1]
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -256,86 +274,58 @@ def led_pairs(met: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     asked = written(met.join(leaders, "key").where(fits).select("doc_id", "lead").distinct())
     chunks = written(asked.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks")))
     placed = asked.join(chunks, "lead").withColumn("chunk", F.floor(hashed("doc_id", 1) * F.col("chunks")).cast("int"))
+    points = points.select("doc_id", "size", "point")
     own = placed.join(points, "doc_id").select(named("lead", "chunk").alias("block"), F.lit(1).alias("side"), "doc_id", F.col("doc_id").alias("part"), "size", "point")
     lead = copies(chunks.withColumnRenamed("lead", "doc_id").join(points, "doc_id"), "chunks", "chunk")
     lead = lead.select(named("doc_id", "chunk").alias("block"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("part"), "size", "point")
     return searched(own.unionByName(lead), percent)
 
 
-def widest_difference(size: int, percent: int) -> int:
-    """In how many shingles a set of that size and a set at least as large differ at most if they link."""
-    both = size + 100 * size // percent
-    return both - 2 * -(-percent * both // (100 + percent))
-
-
-def content_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of what a set holds in each of many groups, one of which any two sets that link share.
-
-    Sets that differ in d shingles are the same in all but d of their groups, so there are more groups than d can be for the band
-    of sizes that the smaller set is in; a set gives keys for its own band and for that of the smallest set it can link with.
-    Groups without a shingle would be the same in many sets: they are left out, but where so many are empty that a pair of such
-    sets might be the same in empty groups alone."""
-    n, out = len(s), []
-    bands = {(-(-percent * n // 100)).bit_length(), n.bit_length()}
-    for band in bands:
-        most = widest_difference((1 << band) - 1, percent)
-        groups = most + most // 8 + 3
-        at = (mixed(s ^ U(band)) % U(groups)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        held, first = np.unique(at[order], return_index=True)
-        told = np.zeros(groups, U)
-        told[held] = np.add.reduceat(mixed(s)[order], first)
-        name = mixed(told + mixed(np.arange(1, groups + 1, dtype=U) * U(64) + U(band)))
-        out.append(name if groups - len(held) >= groups - most else name[held])
-    return np.concatenate(out).view(np.int64)
-
+def distinct_trees(member: DataFrame) -> DataFrame:
+    """(key, doc_id, size, n) of (key, pos, doc_id, size): the members of the trees that have several, without the trees whose members
+    are all in one other.
 
-def finer(met: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """(key, doc_id) of the documents of met, dealt by what they hold in a group instead of by one shingle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [content_keys(np.frombuffer(m.as_py(), U), percent) for m in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "keys"])
-
-    asked = met.select("doc_id").distinct().join(points, "doc_id").select("doc_id", "members")
-    return asked.mapInArrow(run, "doc_id bigint, keys array<bigint>").select(F.explode("keys").alias("key"), "doc_id")
-
-
-def with_parts(met: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, trees) of those trees that hold several parts (doc_id, part): (key, doc_id, part) and (key, main, n, most)."""
-    full = written(met.join(parts, "doc_id", "left").select("key", "doc_id", F.coalesce("part", "doc_id").alias("part")))
+    If all members of a tree have the same shared shingle before its own in their order, the tree of that one has them all."""
+    trees = written(member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    met = member.join(trees, "key")
+    before = F.lag("key").over(Window.partitionBy("doc_id").orderBy("pos")).alias("before")  # of a prefix's shingles
+    met = written(met.select("key", "doc_id", "size", "n", before))
+    inside = (F.count("before") == F.max("n")) & (F.min("before") == F.max("before"))
+    kept = written(met.groupBy("key").agg(F.coalesce(inside, F.lit(False)).alias("inside")).where("NOT inside").select("key"))
+    return met.join(kept, "key").select("key", "doc_id", "size", "n")
+
+
+def small_trees(full: DataFrame, points: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs in trees (key, doc_id, part) of one block at most: trees of the same members are one block."""
+    listed = F.sort_array(F.collect_list("doc_id")).alias("members")
+    sets = full.groupBy("key").agg(listed, F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("members").distinct()
+    numbered = written(sets.withColumn("block", F.monotonically_increasing_id()))
+    each = numbered.select(F.col("block").cast("string").alias("block"), F.explode("members").alias("doc_id"))
+    ready = each.join(points.select("doc_id", "size", "point"), "doc_id").join(parts, "doc_id", "left")
+    return searched(ready.select("block", F.lit(None).cast("int").alias("side"), "doc_id", F.coalesce("part", "doc_id").alias("part"), "size", "point"), percent)
+
+
+def large_trees(full: DataFrame, points: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs in trees (key, doc_id, part) of any size: what is not in a tree's largest part, asked against all of it, block by block."""
     sizes = full.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"))
-    trees = sizes.groupBy("key").agg(F.max_by("part", F.struct("size", -F.col("part"))).alias("main"), F.max("size").alias("most"), F.sum("size").alias("n"))
-    return full, written(trees.where("most < n"))
-
-
-def crossed(full: DataFrame, trees: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """What is not in a tree's largest part, asked against all of the tree, block by block."""
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    trees = trees.select("key", "main", blocks(F.col("n")).alias("chunks"), blocks(F.col("n") - F.col("most")).alias("rests"))
+    of_tree = sizes.groupBy("key").agg(F.max_by("part", F.struct("size", -F.col("part"))).alias("main"), F.max("size").alias("most"), F.sum("size").alias("n"))
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    trees = written(of_tree.where("most < n").select("key", "main", blocks(F.col("n")).alias("chunks"), blocks(F.col("n") - F.col("most")).alias("rests")))
     placed = written(full.join(trees, "key").select("key", "doc_id", "part", (F.col("part") != F.col("main")).alias("apart"), "chunks", "rests"))
     ready = placed.join(points.select("doc_id", "size", "point"), "doc_id")
-    block = named(F.col("key").cast("string"), "rest", "chunk").alias("block")
+    name = named(F.col("key").cast("string"), "rest", "chunk").alias("block")
     asked = ready.where("apart").withColumn("rest", F.floor(hashed("doc_id", 3) * F.col("rests")).cast("int"))
-    asked = copies(asked, "chunks", "chunk").select(block, F.lit(0).alias("side"), "doc_id", "part", "size", "point")
+    asked = copies(asked, "chunks", "chunk").select(name, F.lit(0).alias("side"), "doc_id", "part", "size", "point")
     against = copies(ready.withColumn("chunk", F.floor(hashed("doc_id", 1) * F.col("chunks")).cast("int")), "rests", "rest")
-    against = against.select(block, F.lit(1).alias("side"), "doc_id", "part", "size", "point")
+    against = against.select(name, F.lit(1).alias("side"), "doc_id", "part", "size", "point")
     return searched(asked.unionByName(against), percent)
 
 
 def open_pairs(met: DataFrame, parts: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different parts (doc_id, part) in the trees that hold several. Members of trees of more than one block, as pages
-    of one template are, are first dealt anew by what they hold in a group: what shares a paragraph alone falls apart there."""
-    full, trees = with_parts(met, parts)
-    small, large = trees.where(F.col("n") <= BLOCK), trees.where(F.col("n") > BLOCK)
-    found = crossed(full, small, points, percent)
-    if large.isEmpty():
-        return found
-    again = written(finer(full.join(large, "key", "left_semi"), points, percent))
-    shared = written(again.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-    full, trees = with_parts(again.join(shared, "key"), parts)
-    return found.unionByName(crossed(full, trees, points, percent))
+    """Pairs of different parts (doc_id, part) in the trees (key, doc_id, n) that hold several."""
+    full = written(met.join(parts, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("part", "doc_id").alias("part")))
+    found = small_trees(full.where(F.col("n") <= BLOCK), points, parts, percent)
+    return found.unionByName(large_trees(full.where(F.col("n") > BLOCK).drop("n"), points, percent, BLOCK))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85, slots: int = SLOTS) -> DataFrame:
@@ -344,11 +334,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = written(sketched(docs, width, percent, frequencies(docs, width, slots)))
     owned = equal_sets(rows)
     sets = rows.where("fingerprint is not null and doc_id is not null").join(owned.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
-    member = sets.select("doc_id", F.col("n_shingles").cast("int").alias("size"), F.explode("keys").alias("key"))
-    trees = written(member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    met = written(member.join(trees, "key"))
+    member = sets.select("doc_id", F.col("n_shingles").cast("int").alias("size"), F.posexplode("keys").alias("pos", "key"))
+    met = written(distinct_trees(member))
     points = written(pointed(met.select("doc_id").distinct().hint("merge").join(docs, "doc_id"), width))
-    first = written(verified(led_pairs(met, points.select("doc_id", "size", "point"), percent), points, percent))
+    first = written(verified(led_pairs(met.where(F.col("n") >= LED), points, percent), points, width, percent))
     parts = written(components(first).select(F.col("node").alias("doc_id"), F.col("root").alias("part")))
-    second = written(verified(open_pairs(met, parts, points, percent), points, percent))
+    second = written(verified(open_pairs(met, parts, points, percent), points, width, percent))
+    discard(points)
     return grouped(rows, owned, first.unionByName(second))

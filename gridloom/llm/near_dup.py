@@ -9,9 +9,11 @@ Steps: one pass makes each document's set size, fingerprint and band keys. Equal
 components, by ids alone. A component of a block's size is compared by one exact matrix product of its full sets. Larger
 ones are cut into blocks that share some pivots (random members and the most central ones); what a component's largest
 part has not reached by then is looked for by prefixes: with the shingles of a component in one order, the rarest first,
-two sets that link share one of the first few of each, so only members that share such a shingle are compared. Pages of
-one template whose own words differ share none and are not compared again: texts sent grow in proportion to documents.
-No pair list is ever emitted: a block returns a spanning forest of its links.
+two sets that link share one of the first few of each, so only members that share such a shingle are looked at. These send
+points, not texts: counts of shingles by group, whose coordinate minima bound what two sets share (`count_tree`), in blocks of
+POINTS; only pairs whose bound reaches the similarity are compared by their texts. Pages of one template, with words or
+paragraphs of their own, are not compared again: texts sent grow in proportion to documents.
+A block of texts returns a spanning forest of its links.
 
 A document without an id takes part in no group: its component is null and it is kept. Rows that repeat an id are one
 node. Ties go to the smallest id. Empty tables give empty results; other columns play no part.
@@ -20,56 +22,27 @@ node. Ties go to the smallest id. Empty tables give empty results; other columns
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm import count_tree
 from gridloom.llm.base import discard, slices, written
 from gridloom.llm.components import components, roots
+from gridloom.llm.shingles import Shingler, U, copies, equal_sets, grouped, hashed, mixed, named, prefix_size
 
-U = np.uint64
 BANDS, ROWS = 24, 6
 #: Members of a block; random pivots that a component of several blocks is expected to have; its central ones at most.
 BLOCK, PIVOTS, CENTRAL = 224, 24, 16
+#: Shingles of a block's members together, as far as single members let that be; columns of a slice of a product.
+SHINGLES, WIDE = 1 << 22, 4096
+#: Points of a block in which members that are still apart are looked through.
+POINTS = 1024
 #: Sets with fewer shingles take many levels of ranks.
 FEW, BATCH = 16, 8192
-ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64: a permutation of 64-bit numbers."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-class Shingler:
-    """Sets of 64-bit shingle hashes; remembers the hashes of words up to a bound."""
-
-    def __init__(self, width: int, remembered: int = 100_000):
-        self.width, self.remembered, self.known = width, remembered, {}
-
-    def set_of(self, text: str | None) -> np.ndarray:
-        """The sorted distinct shingles of a text."""
-        found = (text or "").encode().translate(ASCII_LOWER).split()  # bytes split at the six ASCII spaces
-        if not found:
-            return np.empty(0, U)
-        known = self.known
-        if len(known) > self.remembered:
-            known.clear()
-        for w in set(found).difference(known):
-            known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        h = np.fromiter(map(known.__getitem__, found), U, len(found))
-        n = min(self.width, len(h))
-        size = len(h) - n + 1
-        out = np.full(size, n, U)
-        for k in range(n):
-            out = mixed(out * U(0x9E3779B97F4A7C15) + h[k : k + size])
-        out.sort()
-        return out[np.append(True, out[1:] != out[:-1])]
 
 
 def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
@@ -152,33 +125,42 @@ def sketched(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, fingerprint binary, keys array<bigint>")
 
 
-def links(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
-    """Where sets of a and b link, as a boolean matrix; exact."""
-    sizes = [np.array([len(s) for s in x], np.int64) for x in (a, b)]
-    common = np.zeros((len(a), len(b)), np.int64)
-    shared = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
-
-    def cells(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        row, value = np.repeat(np.arange(len(x)), [len(s) for s in x]), np.concatenate(x)
-        at = np.minimum(np.searchsorted(shared, value), len(shared) - 1)
-        hit = shared[at] == value
-        return row[hit], at[hit]
-
-    if len(shared):
-        (ra, ca), (rb, cb) = cells(a), cells(b)
-        for start in range(0, len(shared), 4096):
-            parts = []
-            for x, r, c in ((a, ra, ca), (b, rb, cb)):
-                at = (c >= start) & (c < start + 4096)
-                parts.append(np.zeros((len(x), min(4096, len(shared) - start)), np.float32))
-                parts[-1][r[at], c[at] - start] = 1
-            common += np.rint(parts[0] @ parts[1].T).astype(np.int64)  # whole numbers below 2^24: exact
-    return 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
-
-
-def prefix_size(size: int, percent: int) -> int:
-    """Of how many first shingles, in any one order of all, a set shares at least one with every set that it links with."""
-    return size - -(-percent * size // 100) + 1
+def links(sets: list[np.ndarray], left: list[int], right: list[int], percent: int) -> np.ndarray:
+    """Where sets of the rows `left` and `right` link, as a boolean matrix; exact.
+
+    Only shingles that both sides have, and more than one row, are columns; they are sorted once and multiplied slice by slice,
+    so time and memory grow with the shingles."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    common = np.zeros((len(left), len(right)), np.int64)
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    value, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    on = np.zeros((2, len(sets)), bool)
+    on[0, left], on[1, right] = True, True
+    both = np.zeros((2, len(value)), bool)
+    for k in range(2):
+        both[k, column[on[k][rows]]] = True
+    kept = both.all(axis=0) & (held > 1)
+    number = np.cumsum(kept) - 1
+    cell = kept[column]
+    at, row = number[column[cell]], rows[cell]
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    place = np.full((2, len(sets)), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    total = int(kept.sum())
+    ends = np.searchsorted(at, np.arange(0, total + WIDE, WIDE))
+    for k, (i, j) in enumerate(zip(ends, ends[1:], strict=False)):
+        parts = []
+        for side, n in ((0, len(left)), (1, len(right))):
+            mine = place[side, row[i:j]]
+            dense = np.zeros((n, min(WIDE, total - k * WIDE)), np.float32)
+            dense[mine[mine >= 0], at[i:j][mine >= 0] - k * WIDE] = 1
+            parts.append(dense)
+        common += np.rint(parts[0] @ parts[1].T).astype(np.int64)  # whole numbers below 2^24: exact
+    own = sizes[left][:, None] + sizes[right][None, :]
+    # a member beside itself shares all, lone shingles too
+    common = np.where(np.array(left)[:, None] == np.array(right)[None, :], sizes[left][:, None], common)
+    return 100 * common >= percent * (own - common)
 
 
 def prefixed(s: np.ndarray, order: np.ndarray, seen: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +194,7 @@ def compared(rows: DataFrame, width: int, percent: int) -> DataFrame:
         left = [i for i, s in enumerate(sides) if s != 1 and len(sets[i])]
         right = [i for i, s in enumerate(sides) if s != 0 and len(sets[i])]
         if left and right:
-            i, j = np.nonzero(links([sets[i] for i in left], [sets[i] for i in right], percent))
+            i, j = np.nonzero(links(sets, left, right, percent))
             ids_ = np.array(ids, np.int64)
             nodes, root = roots(ids_[np.array(left)[i]], ids_[np.array(right)[j]])
             yield out(u=pa.array(nodes[nodes != root]), v=pa.array(root[nodes != root]))
@@ -244,38 +226,9 @@ def compared(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, COMPARED)
 
 
-def hashed(column: str, salt: int) -> Column:
-    """A hash of a column between 0 and 1."""
-    return F.shiftrightunsigned(F.xxhash64(column, F.lit(salt)), 1) / F.lit(float(1 << 63))
-
-
-def copies(rows: DataFrame, n: str, name: str, wide: int = 32) -> DataFrame:
-    """Each row `n` times, numbered: first a row for each stretch of numbers, dealt anew, then the stretch's rows, so that no
-    task makes or reads all copies of a row that many blocks need."""
-    stretch = rows.withColumn("stretch", F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / wide).cast("int"))))
-    dealt = stretch.repartition("doc_id", "stretch")
-    last = F.least(F.col(n) - 1, F.col("stretch") * wide + (wide - 1))
-    return dealt.withColumn(name, F.explode(F.sequence(F.col("stretch") * wide, last.cast("int")))).drop("stretch")
-
-
-named: Callable[..., Column] = lambda *c: F.concat_ws(":", *c)
-
-
-def crossed(parts: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """All links between the parts of each component, of (doc_id, root, part): what is not in a component's largest part meets
-    all its members, block by block."""
-    sizes = parts.groupBy("root", "part").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("root").agg(F.max_by("part", F.struct("size", -F.col("part"))).alias("main"), F.max("size").alias("most"), F.sum("size").alias("n"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    # a table of its own, so that the join is free to split a root that many members share
-    main = written(main.select("root", "main", blocks(F.col("n")).alias("chunks"), blocks(F.col("n") - F.col("most")).alias("rests")))
-    placed = written(parts.join(main, "root").select("root", "doc_id", (F.col("part") != F.col("main")).alias("apart"), "chunks", "rests"))
-    full = placed.join(texts, "doc_id")
-    asked = full.where("apart").withColumn("rest", F.floor(hashed("doc_id", 3) * F.col("rests")).cast("int"))
-    asked = copies(asked, "chunks", "chunk").select(named("root", "rest", "chunk").alias("block"), F.lit(0).alias("side"), "doc_id", "text")
-    against = copies(full.withColumn("chunk", F.floor(hashed("doc_id", 1) * F.col("chunks")).cast("int")), "rests", "rest")
-    against = against.select(named("root", "rest", "chunk").alias("block"), F.lit(1).alias("side"), "doc_id", "text")
-    return compared(asked.unionByName(against), width, percent).select("u", "v")
+def blocks(n: Column, shingles: Column) -> Column:
+    """Of how many blocks so many members with so many shingles are."""
+    return F.ceil(F.greatest(n / BLOCK, shingles / SHINGLES)).cast("int")
 
 
 def prefix_groups(prefixes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -284,7 +237,7 @@ def prefix_groups(prefixes: DataFrame, parts: DataFrame, percent: int) -> DataFr
 
     The order of a component's shingles: those that no pivot has by how many members have them, then those of the fewest
     pivots; the prefixes give the latter in that order."""
-    held = written(prefixes.join(parts, "doc_id").select("doc_id", "root", "part", "rare", "rest", "size"))
+    held = written(prefixes.join(parts.drop("n_shingles"), "doc_id").select("doc_id", "root", "part", "rare", "rest", "size"))
     each = held.select("doc_id", "root", F.explode("rare").alias("shingle"))
     often = written(each.groupBy("root", "shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     # shingles of one member alone come first and are in no other prefix: they only use up places
@@ -299,17 +252,17 @@ def prefix_groups(prefixes: DataFrame, parts: DataFrame, percent: int) -> DataFr
     met = written(near.select("doc_id", "root", "part", F.explode(prefix).alias("shingle")))
     groups = written(met.groupBy("root", "shingle").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("doc_id").alias("top")).where("low < high").select("root", "shingle", "top"))
     edges = met.join(groups, ["root", "shingle"]).select(F.col("doc_id").alias("u"), F.col("top").alias("v"))
-    return components(edges).select(F.col("node").alias("doc_id"), "root").join(parts.select("doc_id", "part"), "doc_id")
+    return components(edges).select(F.col("node").alias("doc_id"), "root").join(parts.select("doc_id", "part", "n_shingles"), "doc_id")
 
 
 def verified_links(candidates: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Exact links (u, v) inside candidate components (node, root, degree), connecting all that a full comparison would connect."""
+    """Exact links (u, v) inside candidate components (node, root, degree, n_shingles), connecting all that a full comparison would connect."""
     # candidates grow with the data: never sent to every task, whatever their size, so that the plan is one at every size;
     # all texts are shuffled once, those of the candidates are kept for the rounds below
     chosen = candidates.select(F.col("node").alias("doc_id"))
     texts = written(chosen.hint("merge").join(texts, "doc_id").select("doc_id", "text"))
     # tables of their own, so that joins are free to split a root that many members share
-    sizes = written(candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")))
+    sizes = written(candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")).withColumn("chunks", blocks(F.col("n"), F.col("shingles"))))
     dealt = candidates.join(sizes, "root").withColumnRenamed("node", "doc_id")
     dealt = written(dealt.withColumn("chunk", F.floor(hashed("doc_id", 1) * F.col("chunks")).cast("int")))
     large = dealt.where("chunks > 1")
@@ -329,46 +282,30 @@ def verified_links(candidates: DataFrame, texts: DataFrame, width: int, percent:
         return first
     # of each component that was cut, the parts that are still apart
     reached = components(first)
-    parts = large.select("doc_id", "root").join(reached.select(F.col("node").alias("doc_id"), F.col("root").alias("part")), "doc_id", "left")
+    parts = large.select("doc_id", "root", "n_shingles").join(reached.select(F.col("node").alias("doc_id"), F.col("root").alias("part")), "doc_id", "left")
     parts = written(parts.withColumn("part", F.coalesce("part", "doc_id")))
     torn = written(parts.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("root"))
     parts = parts.join(torn, "root", "left_semi")
     near = written(prefix_groups(prefixes, parts, percent))
-    second = written(crossed(near, texts, width, percent))
-    discard(texts, dealt, near)  # the links alone are read from now on
+    points = written(count_tree.pointed(near.select("doc_id").distinct().join(texts, "doc_id"), width))
+    pairs = count_tree.large_trees(near.select(F.col("root").alias("key"), "doc_id", "part"), points, percent, POINTS)
+    second = written(count_tree.verified(pairs, points, width, percent))
+    discard(texts, dealt, near, points)  # the links alone are read from now on
     return first.unionByName(second)
 
 
-def equal_sets(rows: DataFrame) -> DataFrame:
-    """(doc_id, rep) of rows (doc_id, fingerprint): every document belongs to the class of its set, named by its smallest id; an id
-    with several sets has a row for each, which ties their classes together."""
-    # a table of its own, so that the join below is free to split a fingerprint that many rows share
-    classes = written(rows.where("fingerprint is not null and doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep")))
-    owned = rows.where("doc_id is not null").join(classes, "fingerprint", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    return written(owned.distinct())
-
-
-def grouped(rows: DataFrame, owned: DataFrame, found: DataFrame) -> DataFrame:
-    """Each of rows (doc_id, n_shingles) with component_id and kept, of the links (u, v) found and the classes of equal sets."""
-    ties = owned.where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    groups = components(found.unionByName(ties))
-    named = rows.select("doc_id", "n_shingles").join(groups.select(F.col("node").alias("doc_id"), F.col("root").alias("found")), "doc_id", "left")
-    component = F.coalesce("found", "doc_id")
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id (the smallest id of its group), kept (it is that one)."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows_ = written(sketched(docs, width, bands, rows))
     owned = equal_sets(rows_)
     sets = rows_.where("fingerprint is not null and doc_id is not null").join(owned.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
-    member = sets.select("doc_id", F.explode("keys").alias("key"))
+    member = sets.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
     buckets = member.groupBy("key").agg(F.min("doc_id").alias("top"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("top < last").select("key", "top", "n")
     met = member.join(buckets, "key")
     # the members of a document's buckets: how central it is
-    near = written(met.groupBy("doc_id").agg(F.sum("n").alias("degree"), F.collect_set("top").alias("tops")))
+    near = written(met.groupBy("doc_id").agg(F.sum("n").alias("degree"), F.max("n_shingles").alias("n_shingles"), F.collect_set("top").alias("tops")))
     linked = components(near.select(F.col("doc_id").alias("u"), F.explode("tops").alias("v")))
-    candidates = written(linked.join(near.select(F.col("doc_id").alias("node"), "degree"), "node"))
+    candidates = written(linked.join(near.select(F.col("doc_id").alias("node"), "degree", "n_shingles"), "node"))
     found = verified_links(candidates, docs, width, percent)
     return grouped(rows_, owned, found)
