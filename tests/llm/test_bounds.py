@@ -24,8 +24,8 @@ def test_language_sample_is_bounded_though_ids_are_missing(spark, monkeypatch):
 
 
 def test_grade_sample_is_bounded_though_ids_repeat(spark, monkeypatch):
-    rows = [(5, f"good text {i}", "en", "s", 1) for i in range(3000)] + [(i, f"bad {i}", "en", "s", 1) for i in range(100, 400)]
-    grades = [(5, 1)] * 500 + [(i, 0) for i in range(100, 400)]
+    rows = [(i % 10, f"good text {i}", "en", "s", 1) for i in range(3000)] + [(i, f"bad {i}", "en", "s", 1) for i in range(100, 400)]
+    grades = [(i % 10, 1) for i in range(500)] + [(i, 0) for i in range(100, 400)]
     seen, written = [], quality_model.written
     monkeypatch.setattr(quality_model, "written", lambda df: seen.append(written(df)) or seen[-1])
     model = quality_model.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(grades, "doc_id long, grade int"), fit_rows=200)
