@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions import grid
+from gridloom.functions import grid, proj
 from gridloom.functions.scalars import present
 from gridloom.operators.fold import quantiles
+from gridloom.operators.zones import with_candidates
 
 
 def rebased(df: DataFrame, value: str = "elev") -> DataFrame:
@@ -38,18 +41,41 @@ def adjacency(cells: DataFrame) -> DataFrame:
     return around.join(cells.select(F.col("cell").alias("neighbour")), "neighbour").select("cell", "neighbour")
 
 
-def focal_mean(raster: DataFrame, radius: int, value: str = "v", by: tuple[str, ...] = ()) -> DataFrame:
-    """The mean over a square of pixels, of those that have a value: sums along rows, then along columns.
-
-    A row's pixels first give their share to all places beside them, so that a missing pixel takes nothing from the columns.
-    Every row of the raster gets a mean, also one whose own value is missing (null or NaN)."""
-    held = raster.where(present(F.col(value)))
-    spread = held.withColumn("x", F.explode(F.sequence(F.col("x") - radius, F.col("x") + radius)))
-    rows = spread.groupBy(*by, "y", "x").agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
-    asked = rows.join(raster.select(*by, "y", "x", F.lit(True).alias("asked")), [*by, "y", "x"], "full")
-    cols = Window.partitionBy(*by, "x").orderBy("y").rangeBetween(-radius, radius)
-    meant = asked.select(*by, "y", "x", "asked", (F.sum("s").over(cols) / F.sum("c").over(cols)).alias("mean"))
-    return meant.where("asked").drop("asked")
+def focal_mean(raster: DataFrame, radius: int, value: str = "v", by: tuple[str, ...] = (), tile: int = 256) -> DataFrame:
+    """(by, y, x, mean): the mean over a square of pixels, of those that have a value.
+
+    Pixels go to square tiles of `tile` or twice the radius a side, with a margin of the radius: few are sent twice, whatever the
+    radius. In a tile, running sums of values and of counts give each square's sum by its four corners. A missing pixel takes
+    nothing from its neighbours; every row of the raster gets a mean, also one whose own value is missing (null or NaN), null
+    where the whole square is."""
+    side = max(tile, 2 * radius)
+    home = lambda c: F.floor(F.col(c) / side).cast("long")
+    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / side).cast("long"), F.floor((F.col(c) + radius) / side).cast("long")))
+    held = raster.select(*by, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.when(present(F.col(value)), F.col(value).cast("double")).alias("v_"))
+    dealt = held.withColumn("ty_", reach("y")).withColumn("tx_", reach("x"))
+    dealt = dealt.withColumn("own_", (F.col("ty_") == home("y")) & (F.col("tx_") == home("x"))).where("own_ OR v_ IS NOT NULL")
+    wide = side + 2 * radius
+    kinds = [f"`{c}` {raster.schema[c].dataType.simpleString()}" for c in by]
+
+    def means(key: tuple, rows: pa.Table) -> pa.Table:
+        y0, x0 = key[-2].as_py() * side - radius, key[-1].as_py() * side - radius
+        y, x = (rows[c].to_numpy() for c in ("y", "x"))
+        v = rows["v_"].to_numpy()  # NaN where missing
+        sums = np.zeros((2, wide + 1, wide + 1))
+        there = ~np.isnan(v)
+        np.add.at(sums[0], (y[there] - y0 + 1, x[there] - x0 + 1), v[there])
+        np.add.at(sums[1], (y[there] - y0 + 1, x[there] - x0 + 1), 1)
+        sums = sums.cumsum(axis=1).cumsum(axis=2)
+        own = rows["own_"].to_numpy(zero_copy_only=False)
+        y, x = y[own], x[own]
+        top, left = y - y0 - radius, x - x0 - radius
+        span = 2 * radius + 1
+        total, n = (c[top + span, left + span] - c[top, left + span] - c[top + span, left] + c[top, left] for c in sums)
+        mean = np.divide(total, n, out=np.full(len(n), np.nan), where=n > 0.5)
+        return pa.table({**{c: pa.array([k.as_py()] * len(y), k.type) for c, k in zip(by, key, strict=False)}, "y": y, "x": x, "mean": pa.array(mean, mask=n < 0.5)})
+
+    out = dealt.groupBy(*by, "ty_", "tx_").applyInArrow(means, ", ".join([*kinds, "y long", "x long", "mean double"]))
+    return out.withColumns({c: F.col(c).cast(raster.schema[c].dataType) for c in ("y", "x")})
 
 
 def hillshade(raster: DataFrame, size: float = 1.0, azimuth: float = 315.0, altitude: float = 45.0, value: str = "v", by: tuple[str, ...] = (), size_y: float | None = None, scale: float = 1.0, inside: Column | None = None) -> DataFrame:
@@ -104,6 +130,34 @@ def mosaic(pixels: DataFrame, footprints: DataFrame, value: str = "v") -> DataFr
     return deep.groupBy("y", "x").agg(F.max_by(value, best).alias(value), F.max("depth").alias("depth"), F.count(F.lit(1)).alias("sources"))
 
 
+def source_pixels(places: DataFrame, sources: DataFrame, level: int = 6) -> DataFrame:
+    """places (lon, lat, ...) with source, row, col and depth for each source whose footprint has them.
+
+    Sources differ in projection and pixel size: (source, kind, left, top, dx, dy, w, s, e, n), where kind is `degrees`, `albers`
+    (metres) or `webmap` (pixels of the world map at zoom 0 of 256 pixels, rows run down), left and top the raster's corner, dx
+    and dy the size of a pixel, and w to n the footprint in degrees. A place is carried into each source's own units, which
+    gives the row and column of its pixel. Footprints meet places by cells of a level, so no place looks at all sources."""
+    reach = with_candidates(sources, level, *map(F.col, "wsen"), name="at")
+    met = places.withColumn("at", grid.cell(F.col("lat"), F.col("lon"), level)).join(reach, "at")
+    met = met.where(F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n")))
+    ax, ay = proj.albers(F.col("lon"), F.col("lat"))
+    mx, my = proj.mercator_pixel(F.col("lon"), F.col("lat"), 0)
+    along = F.when(F.col("kind") == "albers", ax).when(F.col("kind") == "webmap", mx).otherwise(F.col("lon")) - F.col("left")
+    down = F.when(F.col("kind") == "webmap", my - F.col("top")).when(F.col("kind") == "albers", F.col("top") - ay).otherwise(F.col("top") - F.col("lat"))
+    col, row = F.floor(along / F.col("dx")).cast("int"), F.floor(down / F.col("dy")).cast("int")
+    return met.select(*places.columns, "source", row.alias("row"), col.alias("col"), depth_inside(F.col("lon"), F.col("lat"), *map(F.col, "wsen")).alias("depth"))
+
+
+def mosaic_by_lookup(lattice: DataFrame, sources: DataFrame, pixels: DataFrame, level: int = 6, value: str = "v") -> DataFrame:
+    """(y, x, value, depth, source): for each place of a lattice (y, x, lon, lat) the pixel of the source that has it deepest inside
+    its footprint, the first on ties; places that no source has a value for have no row. See `source_pixels` for the sources;
+    pixels are (source, row, col, value), met by an equi-join."""
+    asked = source_pixels(lattice.select("y", "x", "lon", "lat"), sources, level).drop("lon", "lat")
+    hit = asked.join(pixels.where(present(F.col(value))).select("source", "row", "col", value), ["source", "row", "col"])
+    best = F.max_by(F.struct(value, "source"), F.struct("depth", -F.col("source"))).alias("best")
+    return hit.groupBy("y", "x").agg(best, F.max("depth").alias("depth")).select("y", "x", F.col("best")[value].alias(value), "depth", F.col("best.source").alias("source"))
+
+
 def covered_share(lattice: DataFrame, made: DataFrame) -> DataFrame:
     """One row: the share of a lattice's places (y, x) that a mosaic has."""
     hit = lattice.select("y", "x").join(made.select("y", "x", F.lit(1.0).alias("hit")), ["y", "x"], "left")

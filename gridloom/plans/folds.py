@@ -247,11 +247,12 @@ def _(v: Views) -> DataFrame:
     return v.px.select("y", "x", ax.alias("ax"), ay.alias("ay")).distinct().select("y", "x", r(lat).alias("lat"), r(lon).alias("lon"))
 
 
-@query("p3_mercator", "SELECT id, round(lon2, 9) AS lon, round(lat2, 9) AS lat FROM (SELECT id, cx AS lon2, cy AS lat2 FROM fields)", "fields")
+@query("p3_mercator", "SELECT id, round((cx + 180) / 360 * 1048576, 4) AS col, round((1 - ln(tan(radians(cy)) + 1 / cos(radians(cy))) / pi()) / 2 * 1048576, 4) AS row, round(cx, 9) AS lon, round(cy, 9) AS lat FROM fields", "fields")
 def _(v: Views) -> DataFrame:
+    """Pixels of the web map, and the places that they give back."""
     col, row = proj.mercator_pixel(F.col("cx"), F.col("cy"), 12)
     lon, lat = proj.mercator_place(F.col("col"), F.col("row"), 12)
-    return v.fields.select("id", col.alias("col"), row.alias("row")).select("id", r(lon).alias("lon"), r(lat).alias("lat"))
+    return v.fields.select("id", col.alias("col"), row.alias("row")).select("id", r("col", 4).alias("col"), r("row", 4).alias("row"), r(lon).alias("lon"), r(lat).alias("lat"))
 
 
 @query("p4_mollweide", f"WITH RECURSIVE it AS (SELECT id, cx, radians(cy) AS phi, radians(cy) AS th, 0 AS k FROM fields UNION ALL SELECT id, cx, phi, th - (2 * th + sin(2 * th) - pi() * sin(phi)) / greatest(2 + 2 * cos(2 * th), 1e-12), k + 1 FROM it WHERE k < 12) SELECT id, round(2 * sqrt(2.0) / pi() * {proj.A} * radians(cx) * cos(th), 2) AS mx, round(sqrt(2.0) * {proj.A} * sin(th), 2) AS my FROM it WHERE k = 12", "fields")

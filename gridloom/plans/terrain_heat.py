@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions import geometry, grid
+from gridloom.functions import geometry, grid, proj
 from gridloom.operators import classes, fold, heat, regions, terrain, zones
 from gridloom.plans.folds import COL, ROW, r
 from gridloom.plans.registry import Views, cell_sql, query
@@ -77,6 +77,35 @@ def _(v: Views) -> DataFrame:
     return share.select(r("covered").alias("covered"), "places")
 
 
+#: Three sources over the raster's places: degrees, Albers metres, and the web map, each with a pixel size of its own.
+LOOKUP = {1: ("degrees", -126.0, 52.0, 0.5, 0.75, -125.0, 24.0, -90.0, 49.0), 2: ("albers", -2.6e6, 3.4e6, 1.1e5, 0.9e5, -110.0, 26.0, -68.0, 47.0), 3: ("webmap", 35.0, 85.0, 0.4, 0.3, -100.0, 30.0, -80.0, 40.0)}
+LOOKUP_SQL = ", ".join(f"({k}, '{v[0]}', " + ", ".join(f"{x!r}::DOUBLE" for x in v[1:]) + ")" for k, v in LOOKUP.items())
+
+
+def looked_up(name: str, places: str) -> str:
+    """SQL of the pixels of all sources in which places (lon, lat, ...) lie."""
+    q = f"(1 - {proj.E2}) * (sn / (1 - {proj.E2} * sn * sn) - ln((1 - {proj.E} * sn) / (1 + {proj.E} * sn)) / (2 * {proj.E}))"
+    rho = f"{proj.A} * sqrt({proj.C} - {proj.N} * ({q})) / {proj.N}"
+    turned = f"(SELECT *, {rho} AS rho, {proj.N} * (radians(lon) - {proj.LON0}) AS th, radians(lat) AS phi FROM (SELECT *, sin(radians(lat)) AS sn FROM {places}))"
+    along = "CASE kind WHEN 'albers' THEN rho * sin(th) WHEN 'webmap' THEN (lon + 180) / 360 * 256 ELSE lon END - l"
+    down = f"CASE kind WHEN 'albers' THEN t - ({proj.RHO0} - rho * cos(th)) WHEN 'webmap' THEN (1 - ln(tan(phi) + 1 / cos(phi)) / pi()) / 2 * 256 - t ELSE t - lat END"
+    depth = "least(least(lon - w, e - lon) / (e - w), least(lat - s, n - lat) / (n - s))"
+    return f"{name} AS (SELECT y, x, v, source, CAST(floor(({down}) / dy) AS INT) AS row, CAST(floor(({along}) / dx) AS INT) AS col, {depth} AS depth FROM {turned} JOIN src ON lon BETWEEN w AND e AND lat BETWEEN s AND n)"
+
+
+@query("w13_mosaic_by_lookup", f"WITH src(source, kind, l, t, dx, dy, w, s, e, n) AS (VALUES {LOOKUP_SQL}), own AS (SELECT y, x, lon, lat, avg(v) AS v FROM px GROUP BY 1, 2, 3, 4), aside AS (SELECT y, x, lon + 0.11 AS lon, lat + 0.07 AS lat, v FROM own), {looked_up('given', 'own')}, {looked_up('asked', 'aside')}, pixels AS (SELECT source, row, col, avg(v) AS v FROM given WHERE (row * 7 + col * 3 + source) % 11 > 0 GROUP BY 1, 2, 3), h AS (SELECT a.y, a.x, p.v, a.depth, source FROM asked a JOIN pixels p USING (source, row, col)) SELECT y, x, round(v, 9) AS v, round(depth, 9) AS depth, source FROM (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY depth DESC, source) AS rn FROM h) WHERE rn = 1", "px")
+def _(v: Views) -> DataFrame:
+    """Three rasters, made of the means of what lies in their pixels and with holes, and the raster's places a little aside."""
+    names = ("left", "top", "dx", "dy", "w", "s", "e", "n")
+    rows = F.array(*[F.struct(F.lit(k).alias("source"), F.lit(row[0]).alias("kind"), *[F.lit(x).alias(c) for c, x in zip(names, row[1:], strict=True)]) for k, row in LOOKUP.items()])
+    sources = v.spark.range(1).select(F.inline(rows))
+    own = v.px.groupBy("y", "x", "lon", "lat").agg(F.avg("v").alias("v"))
+    given = terrain.source_pixels(own, sources).where((F.col("row") * 7 + F.col("col") * 3 + F.col("source")) % 11 > 0)
+    aside = own.select("y", "x", (F.col("lon") + 0.11).alias("lon"), (F.col("lat") + 0.07).alias("lat"))
+    made = terrain.mosaic_by_lookup(aside, sources, given.groupBy("source", "row", "col").agg(F.avg("v").alias("v")))
+    return made.select("y", "x", r("v").alias("v"), r("depth").alias("depth"), "source")
+
+
 @query("w14_hillshade", f"WITH {MEAN}, z AS (SELECT y, x, v * 2.5 AS z FROM g), n AS (SELECT a.y, a.x, a.z, l.z AS xl, h.z AS xr, d.z AS yl, u.z AS yr FROM z a LEFT JOIN z l ON l.y = a.y AND l.x = a.x - 1 LEFT JOIN z h ON h.y = a.y AND h.x = a.x + 1 LEFT JOIN z d ON d.x = a.x AND d.y = a.y - 1 LEFT JOIN z u ON u.x = a.x AND u.y = a.y + 1), g2 AS (SELECT y, x, CASE WHEN xl IS NULL AND xr IS NULL THEN 0 WHEN xl IS NULL THEN xr - z WHEN xr IS NULL THEN z - xl ELSE (xr - xl) / 2 END / 90 AS dx, CASE WHEN yl IS NULL AND yr IS NULL THEN 0 WHEN yl IS NULL THEN yr - z WHEN yr IS NULL THEN z - yl ELSE (yr - yl) / 2 END / 50 AS dy FROM n) SELECT y, x, round(greatest(0, least(1, (-dx * cos(radians(45)) * sin(radians(315)) - dy * cos(radians(45)) * cos(radians(315)) + sin(radians(45))) / sqrt(dx * dx + dy * dy + 1))), 9) AS shade FROM g2 WHERE y < 40", "px")
 def _(v: Views) -> DataFrame:
     """The tile of the lower 40 rows; the rows above are its margin."""

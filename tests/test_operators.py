@@ -530,3 +530,26 @@ def test_blocks_are_pruned_before_files_are_opened(spark, tmp_path):
         if "block=0/" not in f and f"block={4 * 2**31 + 3}/" not in f:
             spoiled(f)
     assert got.agg(F.sum("t")).first()[0] == tables.in_blocks(cube, mask, 10).agg(F.sum("t")).first()[0]
+
+
+@pytest.mark.parametrize(("radius", "tile"), [(0, 4), (1, 4), (5, 4), (3, 256)])
+def test_focal_means_over_tiles_equal_a_plain_version(spark, radius, tile):
+    """Holes, missing values, negative places, several rasters; tiles smaller than the raster and than the square."""
+    rows = [(k, y, x, None if (y * 5 + x) % 7 == 0 else float("nan") if (y + x) % 11 == 0 else float((y * 31 + x * 17) % 23)) for k in ("a", None) for y in range(-7, 9) for x in range(-5, 12) if (y + 2 * x) % 13]
+    df = spark.createDataFrame(rows, "k string, y int, x int, v double")
+    held = {(k, y, x): v for k, y, x, v in rows if v is not None and not math.isnan(v)}
+    expected = {}
+    for k, y, x, _ in rows:
+        near = [held[k, b, a] for b in range(y - radius, y + radius + 1) for a in range(x - radius, x + radius + 1) if (k, b, a) in held]
+        expected[k, y, x] = pytest.approx(sum(near) / len(near)) if near else None
+    got = {(r.k, r.y, r.x): r["mean"] for r in terrain.focal_mean(df, radius, by=("k",), tile=tile).collect()}
+    assert got == expected
+
+
+def test_mosaic_by_lookup_takes_the_deepest_that_has_a_value(spark):
+    """Two sources of different pixel sizes, one with a hole."""
+    sources = spark.createDataFrame([(1, "degrees", 0.0, 10.0, 1.0, 1.0, 0.0, 0.0, 10.0, 10.0), (2, "degrees", 4.0, 10.0, 0.5, 2.5, 4.0, 0.0, 12.0, 10.0)], "source int, kind string, left double, top double, dx double, dy double, w double, s double, e double, n double")
+    pixels = spark.createDataFrame([(1, y, x, float(y * 100 + x)) for y in range(10) for x in range(10)] + [(2, y, x, None if x == 8 else float(-y * 100 - x)) for y in range(4) for x in range(16)], "source int, row int, col int, v double")
+    lattice = spark.createDataFrame([(0, 0, 1.5, 5.5), (0, 1, 8.9, 5.5), (0, 2, 8.2, 5.5), (0, 3, 11.9, 0.1), (0, 4, 13.0, 5.0)], "y int, x int, lon double, lat double")
+    got = {r.x: (r.v, r.source) for r in terrain.mosaic_by_lookup(lattice, sources, pixels).collect()}
+    assert got == {0: (401.0, 1), 1: (-109.0, 2), 2: (408.0, 1), 3: (-315.0, 2)}
