@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.base import written
+from gridloom.llm.manifest import CRC32_SQL
 
 WIDE = 16
 #: Paths of one run, and their bytes; conversations of one part of a list of ends.
@@ -238,3 +239,24 @@ def trie(convs: DataFrame) -> DataFrame:
     asked = nodes.where("parent IS NOT NULL").drop("parent_conv_id").withColumn("salt", F.pmod(F.xxhash64("conv_id", "depth"), F.lit(SALT)).cast("int"))
     return nodes.where("parent IS NULL").select(*kept).unionByName(asked.join(opened, ["parent", "salt"]).select(*kept))
 
+
+
+#: DuckDB's form of the trie: nodes by the hash of all turns so far, subtrees by the paths of each node's smallest member.
+ORACLE_SQL = f"""
+WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(CAST(strlen(role) AS VARCHAR) || ':' || role || text)) AS p
+           FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+ids AS (SELECT c, c - c % 100 AS family, {CRC32_SQL.format("c")} % 6 AS h FROM (SELECT DISTINCT conv_id AS c FROM t)),
+built AS (SELECT c, 0 AS part, p, role, text FROM ids JOIN t ON t.conv_id = family AND p <= h
+          UNION ALL SELECT c, 1, p, role, text FROM ids JOIN t ON t.conv_id = c AND p > h),
+chains AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, p) AS d, len(text) AS size,
+                  md5(string_agg(CAST(strlen(role) AS VARCHAR) || ':' || role || CAST(strlen(text) AS VARCHAR) || ':' || text, '') OVER (PARTITION BY c ORDER BY part, p ROWS UNBOUNDED PRECEDING)) AS k FROM built),
+paths AS (SELECT c, d, size, k FROM chains UNION ALL SELECT c, 0, 0, '' FROM ids),
+linked AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) AS up, d = max(d) OVER (PARTITION BY c) AS ended FROM paths),
+nodes AS (SELECT k, any_value(d) AS d, any_value(up) AS up, any_value(size) AS size, min(c) AS conv_id, count(*) AS n,
+                 sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ended), '')) AS ends FROM linked GROUP BY k),
+kids AS (SELECT up AS k, count(*) AS kids FROM nodes WHERE up IS NOT NULL GROUP BY up),
+counted AS (SELECT n.*, coalesce(kids, 0) AS kids FROM nodes n LEFT JOIN kids USING (k)),
+trees AS (SELECT a.k, sum(CASE WHEN f.kids = 0 THEN 1 ELSE 0 END) AS leaves, sum((f.n - 1) * f.size) AS saved FROM counted f JOIN linked a ON a.c = f.conv_id AND a.d <= f.d GROUP BY a.k)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, n.n AS n_convs, n.kids AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM counted n JOIN trees USING (k) LEFT JOIN nodes q ON q.k = n.up
+"""

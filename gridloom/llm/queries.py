@@ -136,4 +136,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_mixing": mixing.ORACLE_SQL,
         "op9_quality_rules": quality_rules.ORACLE_SQL,
         "op12_manifest": manifest.ORACLE_SQL,
+        "op13_prefix_trie": prefix_trie.ORACLE_SQL,
     }

@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from test_ops import AWKWARD, SCHEMA, awkward, edited, frame, near_plain, prose, templates  # noqa: F401
@@ -305,3 +306,13 @@ def test_role_and_text_are_told_apart(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     found = prefix_trie.trie(prefix_trie.sequences(spark.read.parquet(f"{tmp_path}/conversations.parquet"))).where("depth = 1")
     assert found.count() == 3
+
+
+@pytest.mark.parametrize("name", ["op12_manifest", "op13_prefix_trie"])
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = queries.queries()[name](spark, SF)
+    expected = con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, expected), key=key)
