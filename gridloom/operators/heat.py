@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-
-
-#: Frames of a cell that are folded as one array, and blocks that are folded as one array.
-BLOCK = 64
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def missing(hi: Column) -> Column:
@@ -22,63 +21,67 @@ def excess(hi: Column, limit: Column) -> Column:
     return F.when(missing(hi), 0.0).otherwise(F.greatest(F.lit(0.0), hi - limit))
 
 
-Setting = tuple[Column, Column, Column, Column]  # half-life, threshold, flush, vent
-
-
-def composed(x: Column, y: Column) -> Column:
-    """One linear function of the load after another; `z` is what comes out where no frame was before."""
-    return F.struct((y["a"] * x["a"]).alias("a"), (y["a"] * x["b"] + y["b"]).alias("b"), (y["a"] * x["z"] + y["b"]).alias("z"))
-
-
-def _loads(frames: DataFrame, by: tuple[str, ...], setting: Setting, more: Column | None, include_first: bool, nan: str) -> DataFrame:
-    half, limit, wash, vent = setting
-    wind = F.col("wind").cast("double") if "wind" in frames.columns else F.lit(0.0)
-    # one shuffle: blocks and cells are both grouped where the cell is; settings meet the films after it
-    kept = frames.select(*by, "f", F.floor(F.col("f") / BLOCK).alias("block"), F.col("hi").cast("double").alias("hi"), F.coalesce(F.col("mm").cast("double"), F.lit(0.0)).alias("mm"), F.coalesce(wind, F.lit(0.0)).alias("wind"))
-    films = kept.repartition(*by).groupBy(*by, "block").agg(F.sort_array(F.collect_list(F.struct("f", "hi", "mm", "wind"))).alias("film"))
-    if more is not None:
-        films = films.select("*", F.inline(more))  # a row for each of a few settings
-        by = (*by, "setting")
-    decay = F.pow(F.lit(2.0), -1.0 / half)
-
-    def linear(x: Column) -> Column:
-        rained = 1 - wash * F.least(F.lit(1.0), x["mm"] / 2.5)
-        over = excess(x["hi"], limit) * F.greatest(F.lit(0.0), 1 - vent * x["wind"] / 10)
-        a, b = decay * rained, (1 - decay) * over * rained
-        if nan == "hold":
-            a, b = F.when(missing(x["hi"]), 1.0).otherwise(a), F.when(missing(x["hi"]), 0.0).otherwise(b)
-        return F.struct(x["f"].alias("f"), a.alias("a"), b.alias("b"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begun = F.size(acc["out"]) > 0  # the first frame's own function is left to the fold over blocks
-        c, d = F.when(begun, x["a"] * acc["c"]).otherwise(1.0), F.when(begun, x["a"] * acc["d"] + x["b"]).otherwise(0.0)
-        return F.struct(c.alias("c"), d.alias("d"), F.concat(acc["out"], F.array(F.struct(x["f"].alias("f"), c.alias("c"), d.alias("d")))).alias("out"))
-
-    kind = frames.schema["f"].dataType.simpleString()
-    start = F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("d"), F.array().cast(f"array<struct<f:{kind},c:double,d:double>>").alias("out"))
-    maps = films.select(*by, "block", F.transform("film", linear).alias("film"))
-    folded = maps.select(*by, "block", F.aggregate("film", start, step).alias("q"), F.col("film")[0]["a"].alias("a0"), F.col("film")[0]["b"].alias("b0"))
-    c, d = F.col("q.c"), F.col("q.d")
-    first = F.col("b0") if include_first else F.lit(0.0)
-    own = F.struct((c * F.col("a0")).alias("a"), (c * F.col("b0") + d).alias("b"), (c * first + d).alias("z"))
-    blocks = folded.select(*by, "block", F.floor(F.col("block") / BLOCK).alias("stretch"), "q.out", "a0", "b0", own.alias("own"))
-    # what comes before a block: the blocks before it in its stretch of blocks, and the stretches before that
-    inner = Window.partitionBy(*by, "stretch").orderBy("block")
-    before = inner.rowsBetween(Window.unboundedPreceding, -1)
-    same = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(None).cast("double").alias("z"))
-    after = lambda x, y: F.when(x["z"].isNull(), y).otherwise(composed(x, y))
-    near = blocks.select("*", F.aggregate(F.collect_list("own").over(before), same, after).alias("near"), F.lead("block").over(inner).isNull().alias("last"))
-    whole = F.when(F.col("last"), after(F.col("near"), F.col("own")))
-    earlier = Window.partitionBy(*by).orderBy("stretch").rangeBetween(Window.unboundedPreceding, -1)
-    far = F.aggregate(F.collect_list("whole").over(earlier), same, after)
-    left = near.withColumn("whole", whole).select(*by, "out", "a0", "b0", "near", far.alias("far"))
-    # nothing before: no load; else the load that the stretches have left, gone through the blocks
-    alone = F.col("far.z").isNull()
-    load = F.when(alone, F.col("near.z")).when(F.col("near.z").isNull(), F.col("far.z")).otherwise(F.col("near.a") * F.col("far.z") + F.col("near.b"))
-    led = left.select(*by, "out", "a0", "b0", load.alias("load"))
-    begin = F.when(F.col("load").isNull(), F.col("b0") if include_first else F.lit(0.0)).otherwise(F.col("a0") * F.col("load") + F.col("b0"))
-    each = led.select(*by, begin.alias("first"), F.explode("out").alias("o"))
-    return each.select(*by, F.col("o.f").alias("f"), (F.col("o.c") * F.col("first") + F.col("o.d")).alias("load"))
+Decay = tuple[Column, Column]  # what is kept of the load at each frame, and the share of a frame's own heat
+
+
+def decay(half_life: float | Column) -> Decay:
+    """From a half-life in frames. Of a plain number, the share is one less the decimals of what is kept, as SQL takes it."""
+    if isinstance(half_life, Column):
+        kept = F.pow(F.lit(2.0), -1.0 / half_life)
+        return kept, 1 - kept
+    kept = 2 ** (-1 / half_life)
+    return F.lit(kept), F.lit(float(1 - Decimal(repr(kept))))
+
+
+def step(kept: Column, new: Column, limit: Column, wash: Column, vent: Column, nan: str) -> Column:
+    """A frame as one function of the load before it, load -> (a * load + b) * c."""
+    rained = 1 - wash * F.least(F.lit(1.0), F.col("mm") / 2.5)
+    own = new * excess(F.col("hi"), limit) * F.greatest(F.lit(0.0), 1 - vent * F.col("wind") / 10)
+    if nan == "hold":
+        held = missing(F.col("hi"))
+        kept, own, rained = F.when(held, 1.0).otherwise(kept), F.when(held, 0.0).otherwise(own), F.when(held, 1.0).otherwise(rained)
+    return F.struct(kept.alias("a"), own.alias("b"), rained.alias("c"))
+
+
+def prepared(frames: DataFrame) -> DataFrame:
+    """Frames with hi, mm and wind as doubles: no rain and no wind where there are none."""
+    absent = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in frames.columns else F.lit(0.0)
+    return frames.withColumns({"hi": F.col("hi").cast("double"), "mm": absent("mm"), "wind": absent("wind")})
+
+
+def in_order(by: tuple[str, ...]) -> WindowSpec:
+    """Prepared frames of a film; those of one number in an order that reruns repeat."""
+    return Window.partitionBy(*by).orderBy("f", "hi", "mm", "wind")
+
+
+def followed(frames: DataFrame, steps: list[Column], by: tuple[str, ...], include_first: bool) -> DataFrame:
+    """(by, f, load0, load1, ...) of prepared frames: the load under each of `steps`, frame after frame in order, so that sums are
+    made in the order of the recurrence. One shuffle; a task holds a batch of its sorted rows and one load for each step."""
+    film = in_order(by)
+    ready = frames.select(*by, "f", (F.row_number().over(film) == 1).alias("first_"), *[x.alias(f"step{i}_") for i, x in enumerate(steps)])
+    flat = ready.select(*by, "f", "first_", *[F.col(f"step{i}_.{c}").alias(f"{c}{i}_") for i in range(len(steps)) for c in "abc"])
+    kept, count = len(by) + 1, len(steps)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = [0.0] * count
+        for batch in batches:
+            first = batch.column(kept).to_pylist()
+            loads = []
+            for i in range(count):
+                a, b, c = (batch.column(kept + 1 + 3 * i + k).to_numpy(zero_copy_only=False).tolist() for k in range(3))
+                load, out = last[i], []
+                for begun, x, y, z in zip(first, a, b, c, strict=True):
+                    if begun:
+                        load = y * z if include_first else 0.0
+                    else:
+                        load = (x * load + y) * z
+                    out.append(load)
+                last[i] = load
+                loads.append(pa.array(out, pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *loads], names=[*batch.schema.names[:kept], *[f"load{i}" for i in range(count)]])
+
+    doubles = [StructField(f"load{i}", DoubleType()) for i in range(count)]
+    return flat.mapInArrow(follow, StructType([*flat.schema.fields[:kept], *doubles]))
 
 
 def sustained(frames: DataFrame, half_life: float | Column = 24.0, threshold: float | Column = 27.0, flush: float | Column = 0.0, include_first: bool = False, nan: str = "decay", by: tuple[str, ...] = ("cell",), vent: float = 0.0) -> DataFrame:
@@ -89,46 +92,31 @@ def sustained(frames: DataFrame, half_life: float | Column = 24.0, threshold: fl
     before, as if frames were numbered without gaps; give such frames a row with a missing index where they shall count. The
     first frame begins at 0 unless `include_first`.
 
-    Each frame is a linear function of the load before it: the functions of a block of frames are put together in one array, so
-    are those of a stretch of blocks, and every load follows from that of its block. So no array holds a film, and the work
-    grows with the frames."""
+    Frames are sorted by cell and number and gone through in that order, see `followed`: no array holds a film, and loads are
+    those of the recurrence to the last bit."""
     wide = lambda x: x if isinstance(x, Column) else F.lit(float(x))
-    return _loads(frames, by, (wide(half_life), wide(threshold), wide(flush), wide(vent)), None, include_first, nan)
+    one = step(*decay(half_life), wide(threshold), wide(flush), wide(vent), nan)
+    return followed(prepared(frames), [one], by, include_first).withColumnRenamed("load0", "load")
 
 
 def sustained_window(frames: DataFrame, half_life: float, threshold: float, by: tuple[str, ...] = ("cell",)) -> DataFrame:
-    """The same without rain, first frame included, as window sums of powers in blocks of frames. A frame without a row is a step of
-    decay here, as the powers count frames by their numbers.
-
-    Powers count from a block's first frame, so that they stay below 2^500. Films of one block, which the least and the greatest
-    frame tell, take one window; in others a second window in the same order adds what the blocks before have left."""
-    a = 2 ** (-1 / half_life)
-    wide = max(1, int(500 * half_life))
-    row = frames.agg(F.min("f").alias("first"), F.max("f").alias("last")).first()
-    single = row["first"] is None or row["first"] // wide == row["last"] // wide
-    base = 0 if row["first"] is None else int(row["first"]) // wide * wide
-    part = (1 - a) * excess(F.col("hi"), F.lit(threshold))
-    if single:
-        at = F.col("f") - base
-        w = Window.partitionBy(*by).orderBy("f").rowsBetween(Window.unboundedPreceding, 0)
-        return frames.select(*by, "f", (F.pow(F.lit(a), at) * F.sum(part * F.pow(F.lit(a), -at)).over(w)).alias("load"))
-    placed = frames.withColumns({"block": F.floor(F.col("f") / wide), "at": F.pmod("f", F.lit(wide))}).repartition(*by)
-    w = Window.partitionBy(*by, "block").orderBy("f").rowsBetween(Window.unboundedPreceding, 0)
-    inside = placed.select(*by, "f", "block", "at", F.sum(part * F.pow(F.lit(a), -F.col("at"))).over(w).alias("sum"))
-    # the last sum of the block before; what still older blocks have left is below 2^-500 of it
-    earlier = Window.partitionBy(*by).orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.struct("block", "sum")).over(earlier)
-    carried = F.coalesce(last["sum"] * F.pow(F.lit(a), (F.col("block") - last["block"]) * wide), F.lit(0.0))
-    return inside.withColumn("carried", carried).select(*by, "f", (F.pow(F.lit(a), F.col("at")) * (F.col("sum") + F.col("carried"))).alias("load"))
+    """The same without rain, first frame included. A frame without a row is a step of decay here: a frame keeps a power of what is
+    kept at one step, the number of frames since the one before it, which a window tells."""
+    kept, new = decay(half_life)
+    gap = F.col("f") - F.lag("f").over(in_order(by))
+    one = step(F.pow(kept, F.coalesce(gap, F.lit(1)).cast("double")), new, F.lit(float(threshold)), F.lit(0.0), F.lit(0.0), "decay")
+    return followed(prepared(frames.select(*by, "f", "hi")), [one], by, True).withColumnRenamed("load0", "load")
 
 
 def swept(frames: DataFrame, params: list[tuple[float, ...]], by: tuple[str, ...] = ("cell",), include_first: bool = False, nan: str = "decay") -> DataFrame:
     """(setting, by, f, load): loads for each of a few settings (half-life, threshold, flush and, where given, vent).
 
-    Films are shuffled and sorted once; the settings meet them after that."""
-    row = lambda i, p: F.struct(F.lit(i).alias("setting"), *[F.lit(float(x)).alias(c) for x, c in zip((*p, 0.0, 0.0)[:4], ("half_", "limit_", "wash_", "vent_"), strict=True)])
-    settings = F.array(*[row(i, p) for i, p in enumerate(params)])
-    return _loads(frames, by, (F.col("half_"), F.col("limit_"), F.col("wash_"), F.col("vent_")), settings, include_first, nan)
+    Films are shuffled, sorted and gone through once, with a load for each setting."""
+    full = [(*p, 0.0, 0.0)[:4] for p in params]
+    steps = [step(*decay(half), *[F.lit(float(x)) for x in more], nan) for half, *more in full]
+    loads = followed(prepared(frames), steps, by, include_first)
+    each = F.array(*[F.struct(F.lit(i).alias("setting"), F.col(f"load{i}").alias("load")) for i in range(len(full))])
+    return loads.select(*by, "f", F.inline(each)).select("setting", *by, "f", "load")
 
 
 def level_sets(bands: DataFrame, levels: Iterable[int], band: str = "band") -> DataFrame:

@@ -2,12 +2,15 @@
 
 import datetime as dt
 import math
+from decimal import Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry, grid, proj, scalars
 from gridloom.operators import fold, heat, regions, terrain, zones
+from gridloom.plans import terrain_heat
 from gridloom.sources import tables
 
 
@@ -553,3 +556,30 @@ def test_mosaic_by_lookup_takes_the_deepest_that_has_a_value(spark):
     lattice = spark.createDataFrame([(0, 0, 1.5, 5.5), (0, 1, 8.9, 5.5), (0, 2, 8.2, 5.5), (0, 3, 11.9, 0.1), (0, 4, 13.0, 5.0)], "y int, x int, lon double, lat double")
     got = {r.x: (r.v, r.source) for r in terrain.mosaic_by_lookup(lattice, sources, pixels).collect()}
     assert got == {0: (401.0, 1), 1: (-109.0, 2), 2: (408.0, 1), 3: (-315.0, 2)}
+
+
+def test_loads_are_those_of_the_recurrence_to_the_last_bit(spark):
+    """Sums made in another order differ in their last bits, and then by one in the ninth decimal of some row of a long table."""
+    rows = [(c, f, None if f % 7 == 3 else 15 + (f * f * 37 + c * 11) % 2801 / 100, 2.5 * (f % 5 == 0)) for c in range(4) for f in range(500)]
+    df = spark.createDataFrame(rows, "cell long, f int, hi double, mm double").repartition(3)
+    a, new = 2 ** (-1 / 12), float(1 - Decimal(repr(2 ** (-1 / 12))))
+    for first, nan, wash in ((True, "hold", 0.0), (False, "decay", 0.4), (True, "decay", 0.0)):
+        expected, load = {}, 0.0
+        for c, f, hi, mm in rows:
+            if f == 0:
+                load = 0.0
+            if hi is not None or nan == "decay":
+                load = (a * load + new * max(0.0, (hi or 0.0) - 16)) * (1 - wash * min(1.0, mm / 2.5))
+            if f == 0 and not first:
+                load = 0.0
+            expected[c, f] = load
+        assert {(r.cell, r.f): r.load for r in heat.sustained(df, 12, 16, wash, first, nan).collect()} == expected
+        assert {(r.cell, r.f): r.load for r in heat.swept(df, [(3, 9), (12, 16, wash)], include_first=first, nan=nan).where("setting = 1").collect()} == expected
+    assert {(r.cell, r.f): r.load for r in heat.sustained_window(df, 12, 16).collect()} == expected
+
+
+def test_loads_are_rounded_as_the_sql_rounds(spark):
+    """A double just below a tie, which its scaled double lies on."""
+    x = next(x for x in (k + 0.0000000005 - 2.0**-50 for k in range(1, 4000)) if math.floor(x * 1e9 + 0.5) / 1e9 != float(round(Decimal(x), 9)))
+    found = spark.range(1).select(terrain_heat.scaled(F.lit(x)).alias("x")).first().x
+    assert found == duckdb.sql(f"SELECT round({x!r}::DOUBLE, 9)").fetchall()[0][0]
