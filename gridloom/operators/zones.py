@@ -55,7 +55,7 @@ def cover(areas: DataFrame, level: int, ring: str = "ring", names: tuple[str, st
     areas = areas.select(F.struct(*[c for c in areas.columns if c != ring]).alias("own_"), ring)
     lowest = areas.agg(F.min(began)).first()[0]  # how often the coarsest is split
     south, north, first, last = box_range(F.col("lv"), w, s, e, n)
-    rows = areas.withColumn("lv", began).select(*own, "lv", geometry.edges_of(F.col(ring)).alias("edges"), F.lit(False).alias("inside"), first.alias("first_"), last.alias("last_"), F.explode(F.sequence(south, north)).alias("row"))
+    rows = dealt(areas).withColumn("lv", began).select(*own, "lv", geometry.edges_of(F.col(ring)).alias("edges"), F.lit(False).alias("inside"), first.alias("first_"), last.alias("last_"), F.explode(F.sequence(south, north)).alias("row"))
     cells = rows.select(*own, "lv", "edges", "inside", "row", F.explode(F.sequence("first_", "last_")).alias("col"))
 
     def settled(df: DataFrame) -> DataFrame:
@@ -159,6 +159,27 @@ def points_in(points: DataFrame, areas: DataFrame, level: int, ring: str = "ring
     return met.where(held).drop("at", "turn_", "inside_", "edges_")
 
 
+def dealt(areas: DataFrame) -> DataFrame:
+    """Areas over all cores: a file of many small ones may be one task's, and each becomes many rows."""
+    return areas.repartition(2 * areas.sparkSession.sparkContext.defaultParallelism)
+
+
+def points_in_small(points: DataFrame, areas: DataFrame, level: int, ring: str = "ring", x: str = "lon", y: str = "lat") -> DataFrame:
+    """`points_in` for very many areas that span a few cells of the level each, such as footprints: an equi-join on the cells that an
+    area's box can touch, then the exact test against its whole ring. No cover is made, as most of its cells would hold no point."""
+    w, s, e, n = geometry.envelope(F.col(ring))
+    boxed = dealt(areas).withColumns({"w_": w - PAD, "s_": s - PAD, "e_": e + PAD, "n_": n + PAD})
+    south, north, first, last = box_range(level, *map(F.col, ("w_", "s_", "e_", "n_")))
+    rows = boxed.withColumns({"first_": first, "last_": last, "row_": F.explode(F.sequence(south, north))})
+    each = rows.withColumn("col_", F.explode(F.sequence("first_", "last_")))
+    col = F.pmod("col_", F.lit(2 << level))
+    placed = each.withColumns({"at": grid.made(level, F.col("row_"), col), "turn_": (F.col("col_") - col) / (2 << level) * 360}).drop("first_", "last_", "row_", "col_")
+    met = points.withColumn("at", grid.cell(F.col(y), F.col(x), level)).join(placed, "at")
+    near = F.col(y).between(F.col("s_"), F.col("n_")) & (F.col(x) + F.col("turn_")).between(F.col("w_"), F.col("e_"))
+    held = near & geometry.contains(F.col(ring), F.col(x) + F.col("turn_"), F.col(y))
+    return met.where(held).drop("at", "turn_", "w_", "s_", "e_", "n_", ring)
+
+
 def parent_join(fine: DataFrame, coarse: DataFrame, up: int, how: str = "left") -> DataFrame:
     """Fine cells with the values of the coarse cell that they sit in; no match stays null."""
     return fine.withColumn("parent", grid.parent(F.col("cell"), up)).join(coarse.withColumnRenamed("cell", "parent"), "parent", how).drop("parent")

@@ -591,3 +591,20 @@ def test_wind_comes_with_its_frame(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     found = registry.QUERIES["t3_sweep_vent"](spark, str(tmp_path)).groupBy("cell").count().collect()
     assert sum(r["count"] for r in found) == 30
+
+
+def test_points_in_small_rings_equal_the_cover_form(spark):
+    points = [(i, (i * 7919 % 3600) / 10 - 180, (i * 104729 % 1790) / 10 - 89.5) for i in range(4000)]
+    df = spark.createDataFrame(points, "p int, lon double, lat double")
+    small = [(f"s{k}", [(x, y), (x + 3, y + 1), (x + 2, y + 4), (x - 1, y + 2)]) for k, (x, y) in enumerate([(-179.0, -80.0), (178.5, 10.0), (0.0, 0.0), (10.05, 84.0)] * 3)]
+    rings = ringed(spark, RINGS).select("id", "ring").unionByName(spark.createDataFrame(small, "id string, ring array<struct<x:double,y:double>>")).coalesce(1)
+    got, expected = (sorted(map(tuple, f(df, rings, 4).select("p", "id").collect())) for f in (zones.points_in_small, zones.points_in))
+    assert got == expected and len(got) > 100
+
+
+def test_areas_of_one_file_are_dealt_out(spark):
+    """Areas that begin at the level are not split, and were all one task's."""
+    rings = [(k, [(k % 90, 1.0), (k % 90 + 0.5, 1.0), (k % 90 + 0.2, 1.5)]) for k in range(400)]
+    df = spark.createDataFrame([(k, [(float(x), y) for x, y in r]) for k, r in rings], "id int, ring array<struct<x:double,y:double>>").coalesce(1)
+    tasks = zones.cover(df, 6).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= 4
