@@ -173,11 +173,11 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     """Hours of the zones of one region, from the blocks of the cube that they touch."""
     path = tables.new_path(v.spark)
-    tables.write_blocks(v.cube, path, 2, ["t"])
+    tables.write_blocks(v.cube, path, 16, ["t"])
     lookup = v.cube.select("y", "x", "lat", "lon").distinct()
     ringed = v.zones.where("region = 'ASIA'").select("id", geometry.box_ring(F.col("w"), F.col("s"), F.col("e"), F.col("n")).alias("ring"))
     mapping = tables.written(zones.points_in(lookup, ringed, 4).select("y", "x", "id"))
-    return fold.fold_zone_hours(tables.read_blocks(v.spark, path, mapping, 2), mapping, "tc").select("t", "id", r("value").alias("value"), "px")
+    return fold.fold_zone_hours(tables.read_blocks(v.spark, path, mapping, 16), mapping, "tc").select("t", "id", r("value").alias("value"), "px")
 
 
 @query("s17_p33_clustered_sink", "SELECT year, y, x, v FROM px WHERE lon BETWEEN -124 AND -105 AND lat BETWEEN 24 AND 36", "px")

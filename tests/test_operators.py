@@ -1,6 +1,7 @@
 """Properties of the operators: areas, partitions of space, merges, recurrences, streams."""
 
 import datetime as dt
+import glob
 import math
 from decimal import Decimal
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import geometry, grid, proj, scalars
 from gridloom.operators import fold, heat, regions, terrain, zones
-from gridloom.plans import registry, terrain_heat
+from gridloom.plans import core, registry, terrain_heat  # noqa: F401
 from gridloom.sources import tables
 
 
@@ -608,3 +609,15 @@ def test_areas_of_one_file_are_dealt_out(spark):
     df = spark.createDataFrame([(k, [(float(x), y) for x, y in r]) for k, r in rings], "id int, ring array<struct<x:double,y:double>>").coalesce(1)
     tasks = zones.cover(df, 6).groupBy(F.spark_partition_id()).count().collect()
     assert len(tasks) >= 4
+
+
+def test_zone_hours_by_block_keep_few_files(spark, tmp_path, monkeypatch):
+    """A raster of 2,000 rows: blocks of a few pixels would be a thousand folders."""
+    paths, write = [], tables.write_blocks
+    monkeypatch.setattr(tables, "write_blocks", lambda df, path, *a, **k: (paths.append(path), write(df, path, *a, **k))[1])
+    rows = [(k, dt.datetime(2024, 1, 1), 16 * k + k % 16, "error", 100.0) for k in range(2000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    for t in ("nation", "region"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    assert registry.QUERIES["s13_j2_zone_hours_by_block"](spark, str(tmp_path)).count() > 0
+    assert len(glob.glob(f"{paths[0]}/block=*")) == 125
