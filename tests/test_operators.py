@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import geometry, grid, proj, scalars
 from gridloom.operators import fold, heat, regions, terrain, zones
-from gridloom.plans import core, registry, terrain_heat  # noqa: F401
+from gridloom.plans import core, terrain_heat
 from gridloom.sources import tables
 
 
@@ -590,7 +590,7 @@ def test_wind_comes_with_its_frame(spark, tmp_path):
     """Two films under one name: a join of frames with their wind by name and number would make four rows of two."""
     rows = [(60 * u + k, dt.datetime(2024, 1, 1, k), u, "error", 100.0 + k) for u in (1602, 1603, 3) for k in range(5)]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
-    found = registry.QUERIES["t3_sweep_vent"](spark, str(tmp_path)).groupBy("cell").count().collect()
+    found = core.QUERIES["t3_sweep_vent"](spark, str(tmp_path)).groupBy("cell").count().collect()
     assert sum(r["count"] for r in found) == 30
 
 
@@ -619,5 +619,5 @@ def test_zone_hours_by_block_keep_few_files(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     for t in ("nation", "region"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
-    assert registry.QUERIES["s13_j2_zone_hours_by_block"](spark, str(tmp_path)).count() > 0
+    assert core.QUERIES["s13_j2_zone_hours_by_block"](spark, str(tmp_path)).count() > 0
     assert len(glob.glob(f"{paths[0]}/block=*")) == 125
