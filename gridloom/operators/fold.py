@@ -173,6 +173,16 @@ def band_stats(df: DataFrame, band: str, value: str, at_least: float = 0.5) -> D
     return df.groupBy(band).agg(F.avg(value).alias("mean"), F.avg(F.when(F.col(value) >= at_least, 1.0).otherwise(0.0)).alias("share"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation as an aggregate: NaN where a side holds one value alone, at which Spark's own divides by zero and stops
+    the query; null without pairs."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = (F.when(both, F.col(c).cast("double")) for c in (x, y))
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    alike = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b)) | (spread == 0)
+    return F.when(alike, F.lit(float("nan"))).otherwise(F.covar_pop(a, b) / spread)
+
+
 def share_of_children(fine: DataFrame, up: int, flag: Column) -> DataFrame:
     """(parent, hits, share): flagged fine cells over all the children that a parent has."""
     return fine.groupBy(grid.parent(F.col("cell"), up).alias("parent")).agg(F.count_if(flag).alias("hits")).withColumn("share", F.least(F.lit(1.0), F.col("hits") / float(4**up)))

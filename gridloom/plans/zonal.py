@@ -137,7 +137,7 @@ def _(v: Views) -> DataFrame:
     at = v.buildings.select("id", grid.cell(F.col("cy"), F.col("cx"), 7).alias("cell"), ((F.abs("cx") + F.col("cy")) / 2).alias("w"))
     both = at.join(fold.fold_mean(v.px, 7), "cell").select("value", "w", (F.col("value") / F.col("w")).alias("part"))
     middle = fold.quantiles_by(both, [], "part", {"ratio": 0.5}).select(r("ratio").alias("ratio"))
-    one = both.agg(r(F.corr("value", "w")).alias("c"), F.count(F.lit(1)).alias("n"))
+    one = both.agg(r(fold.correlation("value", "w")).alias("c"), F.count(F.lit(1)).alias("n"))
     return one.unionByName(middle, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("c", "ratio", "n")])
 
 

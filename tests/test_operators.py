@@ -621,3 +621,17 @@ def test_zone_hours_by_block_keep_few_files(spark, tmp_path, monkeypatch):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     assert core.QUERIES["s13_j2_zone_hours_by_block"](spark, str(tmp_path)).count() > 0
     assert len(glob.glob(f"{paths[0]}/block=*")) == 125
+
+
+def test_correlation_with_a_side_of_one_value(spark, tmp_path):
+    """Every pixel holds the same value, as in large tables: Spark's own correlation divides by zero."""
+    for t in ("lineitem", "customer"):
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        (df.withColumn("l_discount", F.lit(0.0)) if t == "lineitem" else df).write.parquet(f"{tmp_path}/{t}.parquet")
+    found = core.QUERIES["a37_join_quality"](spark, str(tmp_path)).first()
+    assert math.isnan(found.c) and found.ratio == 0 and found.n > 0
+    df = spark.createDataFrame([(0.1, 1.0, 2.0), (0.1, 2.0, 4.5), (0.1, 4.0, 8.0), (None, 9.0, None)], "a double, b double, c double")
+    one, two, none = (fold.correlation(*p) for p in (("a", "b"), ("b", "c"), ("a", "a")))
+    r = df.agg(one.alias("one"), two.alias("two"), F.round(F.corr("b", "c"), 12).alias("own")).first()
+    assert math.isnan(r.one) and round(r.two, 12) == r.own
+    assert df.where("a IS NULL").agg(none.alias("none")).first().none is None
