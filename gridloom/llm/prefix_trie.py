@@ -3,9 +3,9 @@
 A conversation is a sequence of turns (role, text); each distinct sequence of first d turns is a node of depth d, from the
 textless root. Turns are hashed first, so a conversation is one path of 16 bytes a turn, and equal conversations are merged by
 an aggregate. Paths are then range-partitioned and sorted, so that those of one subtree lie side by side, and taken in runs of
-bounded size. A run is peeled from its maximum depth: the paths that end at that depth join the nodes that have survived, equal
-neighbours become one node with all its sums, its last turn is stripped, and the shorter paths are grouped again. Every node is
-found and summed in that one descent.
+bounded size. A run is peeled from its maximum depth: the paths that end at that depth join the longer ones, neighbours that are
+equal up to it become one node with all its sums, its last turn is stripped, and the shorter paths are grouped again. Every node
+is found and summed in that one descent.
 
 Only the nodes on a run's first and last path can go on in other runs. They are left open: a run hands on these two paths
 with the sums at each depth, and the paths of all runs are peeled again by the same rule until one run holds them all. A run of
@@ -122,11 +122,10 @@ class Run:
         acc = {c: np.zeros(count, np.int64) for c in SUMS}
         least = np.full(count, LAST, np.int64)
         has_ends = np.array([e is not None for e in self.ends])
-        alive = np.zeros(count, bool)
         left = [{c: [] for c in (*SUMS, "least", "ends")} for _ in range(2)]  # of the first and the last path, deepest first
         waiting = None
         for d in range(int(self.deep.max()), -1, -1):
-            rows = np.flatnonzero(alive | (self.deep == d))
+            rows = np.flatnonzero(self.deep >= d)  # all, as a path that was handed on has sums of its own at each depth
             between = np.minimum.reduceat(self.shared, rows)[:-1]
             start = np.concatenate([[True], between < d])
             first = np.flatnonzero(start)
@@ -156,8 +155,6 @@ class Run:
                 group = (np.cumsum(start) - 1)[np.searchsorted(rows, waiting["row"])]
                 yield self.out(waiting, low[group], open_[group], stands[group], d)
             waiting = {"depth": d, "row": stands[shut], "low": low[shut], "n": node["n"][shut], "kids": node["kids"][shut], "leaves": leaves[shut], "saved": saved[shut], "ends": told[shut]}
-            alive[:] = False
-            alive[stands] = True
             for c, value in (("n", node["n"]), ("kids", np.ones(len(first), np.int64)), ("leaves", leaves), ("saved", saved)):
                 acc[c][:] = 0
                 acc[c][stands] = np.where(shut, value, 0)

@@ -289,6 +289,22 @@ def test_trie_in_runs_of_any_size(spark, monkeypatch, run):
     assert trie_of(spark, convs) == trie_plain(convs)
 
 
+def test_trie_over_many_runs(spark):
+    """Runs whose last path begins like the first of the next: what the second holds of shorter prefixes counts too."""
+    rnd = random.Random(4)
+    convs = {c: [("u", "ab"[rnd.randrange(2)]) for _ in range(rnd.randrange(12))] for c in range(1500)}
+    many = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        got = trie_of(spark, convs)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == trie_plain(convs)
+
+
 def test_trie_of_awkward_turns(spark, tmp_path):
     """Null turns, roles, texts and ids, ties, repeated rows, absent heads, negative ids, columns with the operator's own names."""
     rows = [(c, t, r, x) for c in (0, 1, 2, 99, 100, 101, 250, -3, -150) for t, r, x in [(None, "user", "first"), (1, None, "é漢🙂"), (1, "user", None), (2, "a", "b"), (2, "a", "b"), (3, "", "")][: 6 - abs(c) % 5]]
