@@ -54,29 +54,43 @@ def in_order(by: tuple[str, ...]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy("f", "hi", "mm", "wind")
 
 
-def followed(frames: DataFrame, steps: list[Column], by: tuple[str, ...], include_first: bool) -> DataFrame:
+def followed(frames: DataFrame, steps: list[Column], by: tuple[str, ...], include_first: bool, shared: bool = False) -> DataFrame:
     """(by, f, load0, load1, ...) of prepared frames: the load under each of `steps`, frame after frame in order, so that sums are
-    made in the order of the recurrence. One shuffle; a task holds a batch of its sorted rows and one load for each step."""
+    made in the order of the recurrence. One shuffle; a task holds a batch of its sorted rows and two loads for each step.
+
+    Frames of one number are steps one after another; where films are `shared`, each goes on from the greatest load of the number
+    before, which is the greatest that any way through the films reaches, as no step makes more of less."""
     film = in_order(by)
     ready = frames.select(*by, "f", (F.row_number().over(film) == 1).alias("first_"), *[x.alias(f"step{i}_") for i, x in enumerate(steps)])
     flat = ready.select(*by, "f", "first_", *[F.col(f"step{i}_.{c}").alias(f"{c}{i}_") for i in range(len(steps)) for c in "abc"])
     kept, count = len(by) + 1, len(steps)
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = [0.0] * count
+        last = [(0.0, None, None)] * count
         for batch in batches:
             first = batch.column(kept).to_pylist()
+            number = batch.column(kept - 1).to_pylist()
             loads = []
             for i in range(count):
                 a, b, c = (batch.column(kept + 1 + 3 * i + k).to_numpy(zero_copy_only=False).tolist() for k in range(3))
-                load, out = last[i], []
-                for begun, x, y, z in zip(first, a, b, c, strict=True):
-                    if begun:
-                        load = y * z if include_first else 0.0
-                    else:
-                        load = (x * load + y) * z
-                    out.append(load)
-                last[i] = load
+                (load, before, at), out = last[i], []
+                if shared:
+                    most = load
+                    for begun, f, x, y, z in zip(first, number, a, b, c, strict=True):
+                        same = f == at and not begun
+                        before, at = None if begun else before if same else most, f
+                        own = (x * before + y) * z if before is not None else y * z if include_first else 0.0
+                        most = max(most, own) if same else own
+                        out.append(own)
+                    load = most
+                else:
+                    for begun, x, y, z in zip(first, a, b, c, strict=True):
+                        if begun:
+                            load = y * z if include_first else 0.0
+                        else:
+                            load = (x * load + y) * z
+                        out.append(load)
+                last[i] = load, before, at
                 loads.append(pa.array(out, pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *loads], names=[*batch.schema.names[:kept], *[f"load{i}" for i in range(count)]])
 
@@ -108,13 +122,13 @@ def sustained_window(frames: DataFrame, half_life: float, threshold: float, by:
     return followed(prepared(frames.select(*by, "f", "hi")), [one], by, True).withColumnRenamed("load0", "load")
 
 
-def swept(frames: DataFrame, params: list[tuple[float, ...]], by: tuple[str, ...] = ("cell",), include_first: bool = False, nan: str = "decay") -> DataFrame:
+def swept(frames: DataFrame, params: list[tuple[float, ...]], by: tuple[str, ...] = ("cell",), include_first: bool = False, nan: str = "decay", shared: bool = False) -> DataFrame:
     """(setting, by, f, load): loads for each of a few settings (half-life, threshold, flush and, where given, vent).
 
-    Films are shuffled, sorted and gone through once, with a load for each setting."""
+    Films are shuffled, sorted and gone through once, with a load for each setting; `shared` as in `followed`."""
     full = [(*p, 0.0, 0.0)[:4] for p in params]
     steps = [step(*decay(half), *[F.lit(float(x)) for x in more], nan) for half, *more in full]
-    loads = followed(prepared(frames), steps, by, include_first)
+    loads = followed(prepared(frames), steps, by, include_first, shared)
     each = F.array(*[F.struct(F.lit(i).alias("setting"), F.col(f"load{i}").alias("load")) for i in range(len(full))])
     return loads.select(*by, "f", F.inline(each)).select("setting", *by, "f", "load")
 

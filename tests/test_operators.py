@@ -638,20 +638,31 @@ def test_correlation_with_a_side_of_one_value(spark, tmp_path):
     assert df.where("a IS NULL").agg(none.alias("none")).first().none is None
 
 
+def shared_names(spark, tmp_path, users):
+    """Events of users whose films are of 5 to 7 frames."""
+    rows = [(60 * u + 7 * k, dt.datetime(2024, 1, 1, k), u, "error" if (u + k) % 3 == 0 else "view", 40.0 + (u * 13 + k * k * 29) % 90) for u in users for k in range(5 + u % 3)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+
+
+def by_sql(tmp_path, name, columns, where="true"):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet' WHERE {where}")
+    return Counter(con.execute(f"SELECT {', '.join(columns)} FROM ({core.ORACLES[name]})").fetchall())
+
+
 @pytest.mark.parametrize("name", ["t1_hold_first", "t1_t2_sustained", "t3_sweep_vent", "w6_window_memory"])
 def test_films_that_share_a_name_keep_their_own_loads(spark, tmp_path, name):
     """Each film's rows are those that the SQL gives for it alone, and the SQL has them among those of the whole table, where it goes
     on from each load of a name with each frame of it (2, 4, 8, ... rows of two films)."""
     users = (1602, 3, 5)  # the first two are 300 both
-    rows = [(60 * u + 7 * k, dt.datetime(2024, 1, 1, k), u, "error" if (u + k) % 3 == 0 else "view", 40.0 + (u * 13 + k * k * 29) % 90) for u in users for k in range(5 + u % 3)]
-    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    shared_names(spark, tmp_path, users)
     got = core.QUERIES[name](spark, str(tmp_path))
+    found = Counter(map(tuple, got.collect()))
+    assert found == sum((by_sql(tmp_path, name, got.columns, f"user_id = {u}") for u in users), Counter())
+    assert found <= by_sql(tmp_path, name, got.columns)
 
-    def expected(where):
-        con = duckdb.connect()
-        con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet' WHERE {where}")
-        return Counter(con.execute(f"SELECT {', '.join(got.columns)} FROM ({core.ORACLES[name]})").fetchall())
 
-    found = Counter(map(tuple, got.collect()))
-    assert found == sum((expected(f"user_id = {u}") for u in users), Counter())
-    assert found <= expected("true")
+def test_greatest_loads_of_films_that_share_a_name_are_those_of_the_sql(spark, tmp_path):
+    shared_names(spark, tmp_path, (1602, 3, 5, 3202, 4))
+    got = core.QUERIES["t3_sweep"](spark, str(tmp_path))
+    assert Counter(map(tuple, got.collect())) == by_sql(tmp_path, "t3_sweep", got.columns)
